@@ -81,10 +81,6 @@ def _blank_quotes(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"'[^']*'", "''"), r'"[^"]*"', '""')
 
 
-def _sorted_text(names: Column) -> Column:
-    return F.array_sort(F.array_distinct(names))
-
-
 def sql_log_identifiers(
     df: DataFrame, catalog: Mapping[str, Sequence[str]], text: str = "sql_text"
 ) -> DataFrame:
@@ -100,7 +96,7 @@ def sql_log_identifiers(
     found = df.withColumn("_sql", _blank_quotes(F.lower(F.col(text)))).withColumns({
         "_refs": F.arrays_zip(
             _all(F.col("_sql"), REF_PATTERN, 2).alias("name"),
-            _all(F.col("_sql"), REF_PATTERN, 3).alias("alias"),
+            _all(F.col("_sql"), REF_PATTERN, 3).alias("nick"),
         ),
         "_as": F.filter(_all(F.col("_sql"), AS_PATTERN), lambda a: ~a.isin(RESERVED)),
         "_qualified": F.arrays_zip(
@@ -114,33 +110,33 @@ def sql_log_identifiers(
             WORD_PATTERN,
         )),
     })
-    known_refs = F.filter("_refs", lambda r: r.name.isin(tables))
+    known_refs = F.filter("_refs", lambda r: r["name"].isin(tables))
     # Names a qualifier may use, each with its table; of two with one name the later holds.
     owners = F.flatten(F.transform(known_refs, lambda r: F.filter(
         F.array(
-            F.struct(r.name.alias("owner"), r.name.alias("table")),
-            F.struct(r.alias.alias("owner"), r.name.alias("table")),
+            F.struct(r["name"].alias("owner"), r["name"].alias("table")),
+            F.struct(r["nick"].alias("owner"), r["name"].alias("table")),
         ),
-        lambda o: (o.owner == o.table) | ((o.owner != "") & ~o.owner.isin(RESERVED)),
+        lambda o: (o["owner"] == o["table"])
+        | ((o["owner"] != "") & ~o["owner"].isin(RESERVED)),
     )))
     found = found.withColumn("_owners", owners)
 
     def resolves(ref: Column) -> Column:
-        table = F.get(
-            F.reverse(F.filter("_owners", lambda o: o.owner == ref.owner)), F.lit(0)
-        ).table
-        return F.coalesce(F.concat_ws(".", table, ref.name).isin(qualified), F.lit(False))
+        same = F.filter("_owners", lambda o: o["owner"] == ref["owner"])
+        table = F.get(F.reverse(same), F.lit(0))["table"]
+        return F.coalesce(F.concat(table, F.lit("."), ref["name"]).isin(qualified), F.lit(False))
 
-    aliases = F.concat(F.transform("_owners", lambda o: o.owner), F.col("_as"))
+    aliases = F.concat(F.transform("_owners", lambda o: o["owner"]), F.col("_as"))
     unknown = F.concat(
-        F.transform(F.filter("_refs", lambda r: ~r.name.isin(tables)), lambda r: r.name),
+        F.transform(F.filter("_refs", lambda r: ~r["name"].isin(tables)), lambda r: r["name"]),
         F.transform(
             F.filter("_qualified", lambda q: ~resolves(q)),
-            lambda q: F.concat_ws(".", q.owner, q.name),
+            lambda q: F.concat_ws(".", q["owner"], q["name"]),
         ),
         F.array_except(F.filter("_words", lambda w: ~w.isin(known)), aliases),
     )
-    return found.withColumn("unknown", _sorted_text(unknown)).drop(
+    return found.withColumn("unknown", F.array_sort(F.array_distinct(unknown))).drop(
         "_sql", "_refs", "_as", "_qualified", "_words", "_owners"
     )
 
