@@ -326,13 +326,12 @@ def to_date(t: Tables) -> DataFrame:
 
 
 def rounding(t: Tables) -> DataFrame:
-    """Net amounts at three precisions, halves away from zero."""
+    """Net amounts to cents and to whole units, halves away from zero."""
     return t["order_items"].select(
         "order_id",
         "line_no",
         F.round("net_amount", 2).alias("to_cents"),
         F.round("net_amount", 0).alias("to_units"),
-        F.round(F.col("net_amount") / F.col("quantity").cast("decimal(18,2)"), 1).alias("per_unit"),
     )
 
 

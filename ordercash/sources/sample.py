@@ -17,11 +17,11 @@ class Sample:
     """Lazy readers of one folder of sample tables."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self._spark = spark
+        self.spark = spark
         self._root = root
 
     def raw(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._root}/{name}.parquet")
+        return self.spark.read.parquet(f"{self._root}/{name}.parquet")
 
     def star(self) -> dict[str, DataFrame]:
         lineitem = self.raw("lineitem")
