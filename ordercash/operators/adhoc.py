@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordercash.model import Tables
@@ -83,8 +83,15 @@ def theta_join(t: Tables, as_of: date) -> DataFrame:
 
     The bands are a fixed list of five rows and are broadcast.
     """
-    spark = SparkSession.active()
-    bands = spark.createDataFrame(list(AGE_BANDS), "band string, first_day int, last_day int")
+    rows = [
+        F.struct(
+            F.lit(band).alias("band"),
+            F.lit(first).cast("int").alias("first_day"),
+            F.lit(last).cast("int").alias("last_day"),
+        )
+        for band, first, last in AGE_BANDS
+    ]
+    bands = t["invoices"].sparkSession.range(1).select(F.inline(F.array(*rows)))
     aged = live_invoices(t).filter(F.col("invoice_date").isNotNull()).select(
         F.datediff(F.lit(as_of), "invoice_date").alias("age"), "total_amount"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordercash.model import Tables
-from ordercash.plans import left_join_many, left_join_one, newest_first, page
+from ordercash.plans import broadcast_page, left_join_many, left_join_one, newest_first, page
 from ordercash.plans.joins import ROWS_PER_TASK
 
 TOP = 20  # Fixed value: rows shown by each report.
@@ -130,8 +130,10 @@ def trace_orders(
         s["sales_order_headers"].select("sales_order", "sold_to_party", "creation_date"),
         newest, limit,
     )
-    keys = F.broadcast(orders.select(F.col("sales_order").alias("reference_sd_document")))
-    items = s["outbound_delivery_items"].join(keys, "reference_sd_document", "left_semi")
+    keys = orders.select(F.col("sales_order").alias("reference_sd_document"))
+    items = s["outbound_delivery_items"].join(
+        broadcast_page(keys, limit), "reference_sd_document", "left_semi"
+    )
     paths = _paths(s, orders, items, rows_per_task)
     order = newest + [
         F.col(c).asc_nulls_last() for c in ("delivery_document", "billing_document", "payment_id")
@@ -145,3 +147,10 @@ def trace_orders_full(s: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFram
     orders = s["sales_order_headers"].select("sales_order", "sold_to_party")
     paths = _paths(s, orders, s["outbound_delivery_items"], rows_per_task)
     return paths.select(*_PATH, "n_paths")
+
+
+# Each report by the name ``question_intent`` gives it.
+REPORTS = {
+    f.__name__: f
+    for f in (recent_orders, customer_details, top_materials, unpaid_invoices, trace_orders)
+}

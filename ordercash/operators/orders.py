@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ordercash.model import Tables
 from ordercash.plans import (
+    broadcast_page,
     having_no,
     left_join_many,
     left_join_one,
@@ -31,9 +32,9 @@ def list_orders(t: Tables, limit: int = 50, offset: int = 0) -> DataFrame:
     newest = newest_first("order_date", "order_id")
     rows = page(t["orders"], newest, limit, offset)
     keys = rows.select("customer_id").distinct()
-    names = _names(t).join(F.broadcast(keys), "customer_id", "left_semi")
+    names = _names(t).join(broadcast_page(keys, limit), "customer_id", "left_semi")
     return (
-        left_join_one(rows, F.broadcast(names), "customer_id")
+        left_join_one(rows, broadcast_page(names, limit), "customer_id")
         .select(
             "order_id", "customer_id", "customer_name", "order_date", "total_amount",
             "currency", "delivery_status", "process_status",

@@ -5,9 +5,9 @@ from ordercash.plans.joins import (
     left_join_many,
     left_join_one,
 )
-from ordercash.plans.paging import newest_first, page
+from ordercash.plans.paging import broadcast_page, newest_first, page
 
 __all__ = [
-    "having_no", "having_some", "hot_keys", "left_join_many", "left_join_one",
+    "broadcast_page", "having_no", "having_some", "hot_keys", "left_join_many", "left_join_one",
     "newest_first", "page",
 ]

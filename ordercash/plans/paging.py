@@ -11,6 +11,14 @@ def newest_first(column: str, *key: str) -> list[Column]:
     return [F.col(column).desc_nulls_first(), *[F.col(k).asc_nulls_last() for k in key]]
 
 
+MAX_BROADCAST_ROWS = 10_000
+
+
+def broadcast_page(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a DataFrame of at most ``rows`` rows, given only when they are few."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page; planned as a per-partition top-k, never as a full sort."""
     return df.orderBy(*order).offset(offset).limit(limit)

@@ -25,10 +25,11 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in local tests, is a temporary folder set.
+    Only on a local master without that setting, as in tests, is a temporary folder taken.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and spark.sparkContext.master.startswith("local"):
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if not root:
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -60,6 +60,12 @@ def load_jdbc(
     }
 
 
+def create_views(tables: Mapping[str, DataFrame]) -> None:
+    """Each table as a temporary view of its name, for ``spark.sql``."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
 def hash_predicates(column: str, n: int) -> list[str]:
     """Predicates that deal the rows of a PostgreSQL table to ``n`` tasks by a text key."""
     key = f"coalesce(hashtext({column}), 0)"

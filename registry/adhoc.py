@@ -98,12 +98,12 @@ def _(s):
     "adhoc_anti_join",
     """SELECT product_id, product_name FROM o2c_products p WHERE NOT EXISTS (
         SELECT 1 FROM o2c_order_items i WHERE i.product_id = p.product_id
-        AND i.item_category = 'N')""",
+        AND i.quantity >= 45)""",
 )
 def _(s):
     t = s.star()
-    pending = t["order_items"].filter(F.col("item_category") == "N")
-    return adhoc.anti_join({**t, "order_items": pending})
+    bulk = t["order_items"].filter(F.col("quantity") >= 45)
+    return adhoc.anti_join({**t, "order_items": bulk})
 
 
 @query(
