@@ -115,21 +115,25 @@ def graph_nodes(
     """
     ids = _present(df, columns)
     if not ids:
-        return _no_nodes(df, order_by)
+        none = df.filter(F.lit(False))
+        return _record(
+            none.select(F.struct("*").alias("context"), F.struct(*order_by).alias("first_ord"))
+        )
     entities = F.array(
-        *[F.struct(F.lit(k).alias("type"), i.alias("entity_id")) for k, i in ids.items()]
+        *[F.struct(i.alias("_id"), F.lit(k).alias("_type")) for k, i in ids.items()]
     )
     named = df.select(
-        F.explode(F.filter(entities, lambda e: e.entity_id.isNotNull())).alias("_entity"),
+        F.inline(entities),
         F.struct(*order_by).alias("_ord"),
         *[F.col(f"`{c}`") for c in df.columns],
-    ).withColumns({"_type": F.col("_entity.type"), "_id": F.col("_entity.entity_id")})
+    ).filter(F.col("_id").isNotNull())
     first = [
         F.min_by(F.when(_filled(df, c), F.col(f"`{c}`")), F.when(_filled(df, c), F.col("_ord")))
         .alias(c)
         for c in df.columns
     ]
-    merged = named.groupBy("_type", "_id").agg(F.min("_ord").alias("_first_ord"), *first)
+    # Ids come first: the rows are sorted to be grouped, and ids differ sooner than types do.
+    merged = named.groupBy("_id", "_type").agg(F.min("_ord").alias("_first_ord"), *first)
     return merged.select(
         F.concat_ws("_", "_type", "_id").alias("id"),
         F.col("_type").alias("type"),
@@ -146,29 +150,28 @@ def record_fallback(
     columns: dict[str, Sequence[str]] = ENTITY_COLUMNS,
 ) -> DataFrame:
     """One ``record_0`` node holding the first row, when no row of ``df`` names an entity."""
-    first = df.orderBy(*order_by).limit(1)
     ids = _present(df, columns)
-    if ids:
-        named = df.filter(F.coalesce(*ids.values()).isNotNull()).select(F.lit(1)).limit(1)
-        first = first.filter(~named.exists())
-    return _record(df, order_by, first)
-
-
-def _record(df: DataFrame, order_by: Sequence[str], rows: DataFrame) -> DataFrame:
-    return rows.select(
+    named = F.coalesce(*ids.values()).isNotNull() if ids else F.lit(False)
+    order = F.struct(*order_by)
+    first = df.agg(
+        F.max(named).alias("named"),
+        F.min_by(F.struct("*"), order).alias("context"),
+        F.min(order).alias("first_ord"),
+    ).filter(~F.col("named"))
+    return _record(first.select("context", "first_ord"))
+
+
+def _record(first: DataFrame) -> DataFrame:
+    return first.select(
         F.lit("record_0").alias("id"),
         F.lit("record").alias("type"),
         F.lit("record_0").alias("entity_id"),
         F.lit("Result Row").alias("label"),
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("context"),
-        F.struct(*order_by).alias("first_ord"),
+        "context",
+        "first_ord",
     )
 
 
-def _no_nodes(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    return _record(df, order_by, df.filter(F.lit(False)))
-
-
 def graph_edges(
     df: DataFrame,
     columns: dict[str, Sequence[str]] = ENTITY_COLUMNS,
@@ -194,12 +197,9 @@ def graph_edges(
         return df.filter(F.lit(False)).select(
             *[empty.alias(c) for c in ("id", "source", "target", "label")]
         )
-    linked = F.filter(
-        F.array(*pairs),
-        lambda p: p.source.isNotNull() & p.target.isNotNull() & (p.source != p.target),
-    )
     return (
-        df.select(F.inline(linked))
+        df.select(F.inline(F.array(*pairs)))
+        .filter(F.col("source") != F.col("target"))
         .distinct()
         .select(F.concat_ws("_", F.lit("e"), "source", "target").alias("id"), "*")
     )
@@ -228,5 +228,6 @@ def node_details(nodes: DataFrame) -> DataFrame:
     entries = F.array(
         *[F.struct(F.lit(a).alias("attribute"), v.alias("value")) for a, v in attributes]
     )
-    filled = F.filter(entries, lambda e: e.value.isNotNull() & (e.value != ""))
-    return nodes.select(F.col("id").alias("node_id"), F.inline(filled))
+    return nodes.select(F.col("id").alias("node_id"), F.inline(entries)).filter(
+        F.col("value") != ""
+    )

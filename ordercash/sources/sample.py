@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +15,38 @@ DELIVERY_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'C' WHEN 'P' THEN 'B' ELSE '
 SHIPPED = "CASE WHEN l_linestatus = 'F' THEN 'C' ELSE 'A' END"
 
 
+class LazyTables(Mapping):
+    """Tables by name, each read only when asked for."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]) -> None:
+        self._builders = builders
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._builders[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 class Sample:
     """Lazy readers of one folder of sample tables."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self._root = root
+        self._read: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._root}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self._root}/{name}.parquet")
+        return self._read[name]
 
-    def star(self) -> dict[str, DataFrame]:
-        lineitem = self.raw("lineitem")
-        orders = self.raw("orders")
-        return {
-            "customers": self.raw("customer").selectExpr(
+    def star(self) -> LazyTables:
+        return LazyTables({
+            "customers": lambda: self.raw("customer").selectExpr(
                 "CAST(c_custkey AS STRING) AS customer_id",
                 "c_name AS name",
                 "c_mktsegment AS `grouping`",
@@ -35,7 +54,7 @@ class Sample:
                 "CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS is_archived",
                 "DATE '1994-01-01' + CAST(c_custkey % 365 AS INT) AS created_date",
             ),
-            "orders": orders.selectExpr(
+            "orders": lambda: self.raw("orders").selectExpr(
                 "CAST(o_orderkey AS STRING) AS order_id",
                 "CAST(o_custkey AS STRING) AS customer_id",
                 "o_orderpriority AS order_type",
@@ -46,7 +65,7 @@ class Sample:
                 f"{DELIVERY_STATUS} AS delivery_status",
                 "o_orderstatus AS process_status",
             ),
-            "order_items": lineitem.selectExpr(
+            "order_items": lambda: self.raw("lineitem").selectExpr(
                 "CAST(l_orderkey AS STRING) AS order_id",
                 "CAST(l_linenumber AS STRING) AS line_no",
                 "CAST(l_partkey AS STRING) AS product_id",
@@ -57,14 +76,14 @@ class Sample:
                 "l_returnflag AS item_category",
                 "l_linestatus AS delivery_status",
             ),
-            "deliveries": self._deliveries().selectExpr(
+            "deliveries": lambda: self._deliveries().selectExpr(
                 "CONCAT('D', l_orderkey, l_linestatus) AS delivery_id",
                 "CAST(l_orderkey AS STRING) AS order_id",
                 "CASE WHEN l_linestatus = 'F' THEN CAST(last_ship AS DATE) END AS ship_date",
                 f"{SHIPPED} AS picking_status",
                 f"{SHIPPED} AS goods_status",
             ),
-            "invoices": self._invoices().selectExpr(
+            "invoices": lambda: self._invoices().selectExpr(
                 "CONCAT('I', l_orderkey, l_returnflag) AS invoice_id",
                 "CAST(l_orderkey AS STRING) AS order_id",
                 "CAST(o_custkey AS STRING) AS customer_id",
@@ -73,7 +92,7 @@ class Sample:
                 "'USD' AS currency",
                 "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_cancelled",
             ),
-            "payments": self.raw("events")
+            "payments": lambda: self.raw("events")
             .filter("event_type IN ('purchase', 'error')")
             .selectExpr(
                 "CONCAT('P', event_id) AS payment_id",
@@ -83,14 +102,14 @@ class Sample:
                 "'USD' AS currency",
                 "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS is_incoming",
             ),
-            "products": self.raw("part").selectExpr(
+            "products": lambda: self.raw("part").selectExpr(
                 "CAST(p_partkey AS STRING) AS product_id",
                 "p_name AS product_name",
                 "p_type AS product_type",
                 "p_brand AS old_sku",
                 "CASE WHEN p_size > 45 THEN 1 ELSE 0 END AS is_deleted",
             ),
-        }
+        })
 
     def _deliveries(self) -> DataFrame:
         return (
@@ -113,10 +132,9 @@ class Sample:
         orders = self.raw("orders").select("o_orderkey", "o_custkey")
         return billed.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
-    def sap(self) -> dict[str, DataFrame]:
-        lineitem = self.raw("lineitem")
-        return {
-            "business_partners": self.raw("customer").selectExpr(
+    def sap(self) -> LazyTables:
+        return LazyTables({
+            "business_partners": lambda: self.raw("customer").selectExpr(
                 "CONCAT('BP', c_custkey) AS business_partner",
                 "CAST(c_custkey AS STRING) AS customer",
                 "c_name AS business_partner_name",
@@ -125,41 +143,41 @@ class Sample:
                 "c_mktsegment AS business_partner_grouping",
                 "DATE '1994-01-01' + CAST(c_custkey % 365 AS INT) AS last_change_date",
             ),
-            "sales_order_headers": self.raw("orders").selectExpr(
+            "sales_order_headers": lambda: self.raw("orders").selectExpr(
                 "CAST(o_orderkey AS STRING) AS sales_order",
                 "CAST(o_custkey AS STRING) AS sold_to_party",
                 "CAST(o_orderdate AS DATE) AS creation_date",
                 "CAST(o_totalprice AS DECIMAL(18,2)) AS total_net_amount",
                 f"{DELIVERY_STATUS} AS overall_delivery_status",
             ),
-            "sales_order_items": lineitem.selectExpr(
+            "sales_order_items": lambda: self.raw("lineitem").selectExpr(
                 "CAST(l_orderkey AS STRING) AS sales_order",
                 "CAST(l_linenumber AS STRING) AS sales_order_item",
                 "CAST(l_partkey AS STRING) AS material",
                 "CAST(l_quantity AS DECIMAL(18,2)) AS requested_quantity",
                 f"{NET} AS net_amount",
             ),
-            "outbound_delivery_headers": self._deliveries().selectExpr(
+            "outbound_delivery_headers": lambda: self._deliveries().selectExpr(
                 "CONCAT('D', l_orderkey, l_linestatus) AS delivery_document",
                 "CASE WHEN l_linestatus = 'F' THEN CAST(last_ship AS DATE) END "
                 "AS actual_goods_movement_date",
                 f"{SHIPPED} AS overall_goods_movement_status",
                 f"{SHIPPED} AS overall_picking_status",
             ),
-            "outbound_delivery_items": lineitem.filter("l_suppkey % 3 <> 0").selectExpr(
+            "outbound_delivery_items": lambda: self.raw("lineitem").filter("l_suppkey % 3 <> 0").selectExpr(
                 "CONCAT('D', l_orderkey, l_linestatus) AS delivery_document",
                 "CAST(l_linenumber AS STRING) AS delivery_document_item",
                 "CAST(l_orderkey AS STRING) AS reference_sd_document",
                 "CAST(l_linenumber AS STRING) AS reference_sd_document_item",
             ),
-            "billing_document_items": lineitem.filter("l_returnflag <> 'N'").selectExpr(
+            "billing_document_items": lambda: self.raw("lineitem").filter("l_returnflag <> 'N'").selectExpr(
                 "CONCAT('I', l_orderkey, l_returnflag) AS billing_document",
                 "CAST(l_partkey AS STRING) AS material",
                 f"{NET} AS net_amount",
                 "CONCAT('D', l_orderkey, l_linestatus) AS reference_sd_document",
                 "CAST(l_linenumber AS STRING) AS reference_sd_document_item",
             ),
-            "billing_document_headers": self._invoices().selectExpr(
+            "billing_document_headers": lambda: self._invoices().selectExpr(
                 "CONCAT('I', l_orderkey, l_returnflag) AS billing_document",
                 "CONCAT('A', l_orderkey, l_returnflag) AS accounting_document",
                 "CAST(o_custkey AS STRING) AS sold_to_party",
@@ -167,7 +185,7 @@ class Sample:
                 "total AS total_net_amount",
                 "l_returnflag = 'R' AS billing_document_is_cancelled",
             ),
-            "payments_accounts_receivable": self._invoices()
+            "payments_accounts_receivable": lambda: self._invoices()
             .filter("l_returnflag = 'A' AND l_orderkey % 2 = 0")
             .selectExpr(
                 "CONCAT('A', l_orderkey, l_returnflag) AS accounting_document",
@@ -177,18 +195,18 @@ class Sample:
                 "CASE WHEN l_orderkey % 10 <> 0 THEN CAST(last_ship AS DATE) END "
                 "AS clearing_date",
             ),
-            "products": self.raw("part").selectExpr(
+            "products": lambda: self.raw("part").selectExpr(
                 "CAST(p_partkey AS STRING) AS product",
                 "p_type AS product_type",
                 "p_brand AS product_old_id",
                 "p_size > 45 AS is_marked_for_deletion",
             ),
-            "product_descriptions": self.raw("part").selectExpr(
+            "product_descriptions": lambda: self.raw("part").selectExpr(
                 "CAST(p_partkey AS STRING) AS product",
                 "'EN' AS language",
                 "p_name AS product_description",
             ),
-        }
+        })
 
     def questions(self) -> DataFrame:
         return self.raw("orders").selectExpr("o_orderkey AS question_id", f"{QUESTION} AS question")

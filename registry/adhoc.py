@@ -209,10 +209,10 @@ def _(s):
     "adhoc_rank",
     """SELECT * FROM (SELECT product_type, product_id, total_revenue, RANK() OVER (
             PARTITION BY product_type ORDER BY total_revenue DESC NULLS FIRST) AS place
-        FROM (SELECT pr.product_type, oi.product_id, SUM(oi.net_amount) AS total_revenue
-            FROM o2c_order_items oi JOIN o2c_products pr ON pr.product_id = oi.product_id
-            JOIN o2c_invoices i ON i.order_id = oi.order_id AND i.is_cancelled = 0
-            GROUP BY pr.product_type, oi.product_id))
+        FROM (SELECT product_type, product_id, SUM(net_amount) AS total_revenue
+            FROM o2c_products JOIN o2c_order_items USING (product_id)
+            JOIN (SELECT order_id FROM o2c_invoices WHERE is_cancelled = 0) USING (order_id)
+            GROUP BY product_type, product_id))
     WHERE place <= 3""",
     number=["total_revenue"],
 )

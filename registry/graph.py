@@ -243,11 +243,11 @@ def _(s):
         unnest([product_id, product_type, old_sku, CAST(total_orders AS VARCHAR), product_id,
             'product']) AS value
     FROM (SELECT 'product_' || product_id AS id, * FROM (
-        SELECT oi.product_id, pr.product_type, pr.old_sku,
-            COUNT(DISTINCT oi.order_id) AS total_orders
-        FROM o2c_order_items oi JOIN o2c_products pr ON pr.product_id = oi.product_id
-        JOIN o2c_invoices i ON i.order_id = oi.order_id AND i.is_cancelled = 0
-        GROUP BY oi.product_id, pr.product_type, pr.old_sku))""",
+        SELECT product_id, product_type, old_sku, COUNT(DISTINCT order_id) AS total_orders
+        FROM o2c_products JOIN (SELECT product_id, order_id FROM o2c_order_items)
+            USING (product_id)
+        WHERE order_id IN (SELECT order_id FROM o2c_invoices WHERE is_cancelled = 0)
+        GROUP BY product_id, product_type, old_sku))""",
 )
 def _(s):
     sold = products.billed_products(s.star()).select(

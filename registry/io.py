@@ -139,10 +139,10 @@ for _name, (_sql, _text, _number) in _FROM_SAP.items():
 
 @query(
     "o2c_from_sap",
-    """SELECT o.order_id, c.name AS customer_name, o.order_date, o.total_amount,
-        o.delivery_status
-    FROM o2c_orders o LEFT JOIN o2c_customers c ON c.customer_id = o.customer_id
-    LEFT JOIN o2c_deliveries d ON d.order_id = o.order_id WHERE d.delivery_id IS NULL""",
+    """SELECT order_id, (SELECT name FROM o2c_customers c
+            WHERE c.customer_id = o.customer_id) AS customer_name, order_date, total_amount,
+        delivery_status
+    FROM o2c_orders o WHERE order_id NOT IN (SELECT order_id FROM o2c_deliveries)""",
     text=["order_date"], number=["total_amount"],
 )
 def _(s):
