@@ -205,18 +205,35 @@ def graph_edges(
     )
 
 
-def build_graph(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a result; no rows in, none out."""
-    nodes = graph_nodes(df, order_by).unionByName(record_fallback(df, order_by))
-    return nodes, graph_edges(df)
+def _graph(
+    df: DataFrame,
+    order_by: Sequence[str],
+    columns: dict[str, Sequence[str]],
+    links: Sequence[Link],
+    fallback: bool,
+) -> tuple[DataFrame, DataFrame]:
+    nodes = graph_nodes(df, order_by, columns)
+    if fallback:
+        nodes = nodes.unionByName(record_fallback(df, order_by, columns))
+    return nodes, graph_edges(df, columns, links)
+
+
+def build_graph(
+    df: DataFrame, order_by: Sequence[str], fallback: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a result; no rows in, none out.
+
+    ``fallback=False`` leaves out the record node, and with it one evaluation of ``df``, for
+    a result known to name some entity.
+    """
+    return _graph(df, order_by, ENTITY_COLUMNS, LINKS, fallback)
 
 
-def o2c_typed_graph(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def o2c_typed_graph(
+    df: DataFrame, order_by: Sequence[str], fallback: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """The documented model: payment nodes too, and a label for each kind of link."""
-    nodes = graph_nodes(df, order_by, TYPED_COLUMNS).unionByName(
-        record_fallback(df, order_by, TYPED_COLUMNS)
-    )
-    return nodes, graph_edges(df, TYPED_COLUMNS, TYPED_LINKS)
+    return _graph(df, order_by, TYPED_COLUMNS, TYPED_LINKS, fallback)
 
 
 def node_details(nodes: DataFrame) -> DataFrame:

@@ -42,21 +42,32 @@ def load_jsonl(
     return {name: spark.read.schema(schemas[name]).json(f"{root}/{name}") for name in tables}
 
 
+def hash_predicates(column: str, n: int) -> list[str]:
+    """Predicates that deal the rows of a PostgreSQL table to ``n`` tasks by a text key."""
+    key = f"coalesce(hashtext({column}), 0)"
+    return [f"mod(mod({key}, {n}) + {n}, {n}) = {i}" for i in range(n)]
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,
-    tables: Iterable[str],
+    schemas: Mapping[str, T.StructType] = STAR,
+    tasks: int = 64,
     properties: Mapping[str, str] | None = None,
-    partitions: Mapping[str, list[str]] | None = None,
 ) -> dict[str, DataFrame]:
-    """Tables of a database. ``partitions`` gives, per table, predicates that divide its rows;
-    each is read by its own task. A table without them is read by one task."""
-    predicates = partitions or {}
+    """Tables of a PostgreSQL database, each read by ``tasks`` tasks.
+
+    Rows are dealt out by a hash of the table's first column, its key or its document. Filters
+    and columns are pushed into each task's query.
+    """
     return {
         name: spark.read.jdbc(
-            url, name, predicates=predicates.get(name), properties=dict(properties or {})
+            url,
+            name,
+            predicates=hash_predicates(schema.names[0], tasks),
+            properties=dict(properties or {}),
         )
-        for name in tables
+        for name, schema in schemas.items()
     }
 
 
@@ -66,12 +77,6 @@ def create_views(tables: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def hash_predicates(column: str, n: int) -> list[str]:
-    """Predicates that deal the rows of a PostgreSQL table to ``n`` tasks by a text key."""
-    key = f"coalesce(hashtext({column}), 0)"
-    return [f"mod(mod({key}, {n}) + {n}, {n}) = {i}" for i in range(n)]
-
-
 def check_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Per keyed table: rows, null keys and repeated keys.
 

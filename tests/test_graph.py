@@ -78,6 +78,15 @@ def test_rows_without_entities_give_one_record(spark):
     assert [r.id for r in plain.collect()] == ["record_0"]
 
 
+def test_fallback_can_be_left_out(spark):
+    bare = spark.createDataFrame([(1, "")], "n int, order_id string")
+    assert graph.build_graph(bare, ["n"], fallback=False)[0].count() == 0
+    df = _df(spark)
+    assert rows(graph.build_graph(df, ["n"], fallback=False)[0]) == rows(
+        graph.build_graph(df, ["n"])[0]
+    )
+
+
 def test_no_rows_give_an_empty_graph(spark):
     for df in (_df(spark).limit(0), spark.createDataFrame([], "n int, v string")):
         nodes, edges = graph.build_graph(df, ["n"])

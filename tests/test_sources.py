@@ -80,6 +80,21 @@ def test_hash_predicates_cover_each_part_once():
     assert [p.rsplit(" = ", 1)[1] for p in got] == ["0", "1", "2"]
 
 
+def test_load_jdbc_reads_each_table_in_parts():
+    class Reader:
+        def jdbc(self, url, table, predicates, properties):
+            return (url, table, len(predicates), predicates[0], properties)
+
+    class Session:
+        read = Reader()
+
+    got = tables.load_jdbc(Session(), "jdbc:postgresql://h/d", tasks=8, properties={"user": "u"})
+    assert set(got) == set(model.STAR)
+    url, table, n, first, properties = got["order_items"]
+    assert (url, table, n, properties) == ("jdbc:postgresql://h/d", "order_items", 8, {"user": "u"})
+    assert "hashtext(order_id)" in first
+
+
 def test_check_keys_finds_nulls_and_repeats(spark):
     t = {"orders": spark.createDataFrame([("1",), ("1",), (None,)], "order_id string")}
     assert rows(tables.check_keys(t)) == [("orders", 3, 1, 1)]
