@@ -57,8 +57,10 @@ def sql_log_audit(df: DataFrame, text: str = "sql_text") -> DataFrame:
     Verdicts: ``empty``, ``not_select``, ``forbidden``, ``ok``. A forbidden word counts
     wherever it stands, inside a literal too.
     """
-    raw = F.regexp_replace(strip(F.col(text)), r";+\z", "")
-    lower = F.lower(raw)
+    checked = df.withColumn("_raw", F.rtrim(strip(F.col(text)), F.lit(";"))).withColumn(
+        "_lower", F.lower("_raw")
+    )
+    raw, lower = F.col("_raw"), F.col("_lower")
     starts = lower.startswith("select") | lower.startswith("with")
     verdict = (
         F.when(F.col(text).isNull() | (strip(F.col(text)) == ""), "empty")
@@ -67,8 +69,10 @@ def sql_log_audit(df: DataFrame, text: str = "sql_text") -> DataFrame:
         .otherwise("ok")
     )
     final = F.when(lower.contains("limit"), raw).otherwise(F.concat(raw, F.lit(DEFAULT_LIMIT)))
-    return df.withColumn("verdict", verdict).withColumn(
-        "final_sql", F.when(F.col("verdict") == "ok", final)
+    return (
+        checked.withColumn("verdict", verdict)
+        .withColumn("final_sql", F.when(F.col("verdict") == "ok", final))
+        .drop("_raw", "_lower")
     )
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 # White space as a text editor sees it: the Unicode class and the four ASCII separators.
 WS = r"[\s\x1c-\x1f]"
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end; ``trim`` alone removes spaces only."""
-    return F.regexp_replace(text, rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def collapse(text: Column) -> Column:

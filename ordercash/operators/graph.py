@@ -3,7 +3,7 @@
 The graph follows the rows: an entity becomes a node when a row names it, and two entities
 are linked when the same row names both. A node's context keeps, for each column, the first
 non-empty value in row order. Row order is given by ordering columns, and the first value is
-a ``min_by`` aggregate, so no row is numbered and partial results combine before the shuffle.
+a minimum over (order, value), so no row is numbered and partial results combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -99,6 +99,15 @@ def _filled(df: DataFrame, column: str) -> Column:
     return value.isNotNull()
 
 
+def _first(df: DataFrame, column: str) -> Column:
+    """Aggregate: the filled value of the first row; of rows that tie, the least value."""
+    value, filled = F.col(f"`{column}`"), _filled(df, column)
+    if "map<" in df.schema[column].dataType.simpleString():  # maps have no order
+        return F.min_by(F.when(filled, value), F.when(filled, F.col("_ord")))
+    ordered = F.struct(F.col("_ord").alias("ord"), value.alias("value"))
+    return F.min(F.when(filled, ordered))["value"]
+
+
 def _label(kind: Column, entity_id: Column) -> Column:
     return F.concat_ws(" ", F.initcap(kind), entity_id)
 
@@ -127,11 +136,7 @@ def graph_nodes(
         F.struct(*order_by).alias("_ord"),
         *[F.col(f"`{c}`") for c in df.columns],
     ).filter(F.col("_id").isNotNull())
-    first = [
-        F.min_by(F.when(_filled(df, c), F.col(f"`{c}`")), F.when(_filled(df, c), F.col("_ord")))
-        .alias(c)
-        for c in df.columns
-    ]
+    first = [_first(df, c).alias(c) for c in df.columns]
     # Ids come first: the rows are sorted to be grouped, and ids differ sooner than types do.
     merged = named.groupBy("_id", "_type").agg(F.min("_ord").alias("_first_ord"), *first)
     return merged.select(

@@ -125,6 +125,15 @@ def test_empty_arrays_count_as_empty(spark):
     assert graph.graph_nodes(df, ["n"]).collect()[0].context.tags == ["x"]
 
 
+def test_ties_and_maps(spark):
+    df = spark.createDataFrame(
+        [(1, "o1", "b", None), (1, "o1", "a", {"k": 1}), (2, "o1", "0", {"k": 2})],
+        "n int, order_id string, v string, m map<string,int>",
+    )
+    node = graph.graph_nodes(df, ["n"]).collect()[0]
+    assert (node.context.v, node.context.m) == ("a", {"k": 1})
+
+
 def test_node_details_list_filled_fields(spark):
     nodes, _ = graph.build_graph(_df(spark), ["n"])
     got = rows(graph.node_details(nodes).filter("node_id = 'invoice_i2'"), "attribute", "value")
