@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordercash.model import Tables
-from ordercash.plans import left_join_many, left_join_one, newest_first, page
+from ordercash.plans import left_join_many, left_join_one, near, newest_first, page
 from ordercash.plans.joins import ROWS_PER_TASK
 
 
@@ -33,6 +33,7 @@ def customer_orders(
     invoices = t["invoices"].select(
         "order_id", "invoice_id", F.col("total_amount").alias("invoice_amount"), "is_cancelled"
     )
+    deliveries, invoices = near(deliveries, orders, "order_id"), near(invoices, orders, "order_id")
     with_deliveries = left_join_many(orders, deliveries, "order_id", "delivery_id", rows_per_task)
     return left_join_many(
         with_deliveries, invoices, "order_id", "invoice_id", rows_per_task

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordercash.model import Tables
-from ordercash.plans import broadcast_page, left_join_many, left_join_one, newest_first, page
+from ordercash.plans import (
+    broadcast_page,
+    left_join_many,
+    left_join_one,
+    near,
+    newest_first,
+    page,
+)
 from ordercash.plans.joins import ROWS_PER_TASK
 
 TOP = 20  # Fixed value: rows shown by each report.
@@ -89,25 +98,52 @@ def unpaid_invoices(s: Tables, limit: int = TOP) -> DataFrame:
 _PATH = ("sales_order", "sold_to_party", "delivery_document", "billing_document", "payment_id")
 
 
-def _paths(s: Tables, orders: DataFrame, delivery_items: DataFrame, rows_per_task: int) -> DataFrame:
+class _Links(NamedTuple):
+    """The four tables a trace follows, as pairs of the documents they link."""
+
+    delivery_items: DataFrame
+    billing_items: DataFrame
+    headers: DataFrame
+    payments: DataFrame
+
+
+def _links(s: Tables) -> _Links:
+    return _Links(
+        s["outbound_delivery_items"].select(
+            F.col("reference_sd_document").alias("sales_order"), "delivery_document"
+        ),
+        s["billing_document_items"].select(
+            F.col("reference_sd_document").alias("delivery_document"), "billing_document"
+        ),
+        s["billing_document_headers"].select("billing_document", "accounting_document"),
+        s["payments_accounts_receivable"].select("accounting_document"),
+    )
+
+
+def _links_near(links: _Links, orders: DataFrame, limit: int) -> _Links:
+    """The item tables, the largest, cut down to a page of orders before they are shuffled."""
+    keys = broadcast_page(orders.select("sales_order"), limit)
+    delivery_items = links.delivery_items.join(keys, "sales_order", "left_semi")
+    billing_items = near(links.billing_items, delivery_items, "delivery_document")
+    return links._replace(delivery_items=delivery_items, billing_items=billing_items)
+
+
+def _paths(orders: DataFrame, links: _Links, rows_per_task: int) -> DataFrame:
     """Every distinct link path of ``orders`` and how many item-level paths it stands for.
 
     Items link documents, so a document pair occurs once per item that names it. The pairs
     are counted before they are joined; the number of item paths is the product of counts.
     """
-    deliveries = delivery_items.groupBy(
-        F.col("reference_sd_document").alias("sales_order"), "delivery_document"
-    ).agg(F.count("*").alias("n_delivery"))
-    billings = s["billing_document_items"].groupBy(
-        F.col("reference_sd_document").alias("delivery_document"), "billing_document"
-    ).agg(F.count("*").alias("n_billing"))
-    headers = s["billing_document_headers"].select("billing_document", "accounting_document")
-    payments = s["payments_accounts_receivable"].groupBy("accounting_document").agg(
-        F.count("*").alias("n_payment")
+    deliveries = links.delivery_items.groupBy("sales_order", "delivery_document").agg(
+        F.count("*").alias("n_delivery")
     )
+    billings = links.billing_items.groupBy("delivery_document", "billing_document").agg(
+        F.count("*").alias("n_billing")
+    )
+    payments = links.payments.groupBy("accounting_document").agg(F.count("*").alias("n_payment"))
     paths = left_join_many(orders, deliveries, "sales_order", "delivery_document", rows_per_task)
     paths = left_join_many(paths, billings, "delivery_document", "billing_document", rows_per_task)
-    paths = left_join_one(paths, headers, "billing_document")
+    paths = left_join_one(paths, links.headers, "billing_document")
     paths = left_join_one(paths, payments, "accounting_document")
     n_paths = F.lit(1).cast("bigint")
     for n in ("n_delivery", "n_billing", "n_payment"):
@@ -123,18 +159,14 @@ def trace_orders(
     """Order to delivery to invoice to payment for the newest orders, ``limit`` link paths.
 
     Every order has at least one path, so the newest ``limit`` orders hold all rows of the
-    page; delivery items are probed with their keys before anything is shuffled.
+    page, and the item tables are probed with their keys before they are shuffled.
     """
     newest = newest_first("creation_date", "sales_order")
     orders = page(
         s["sales_order_headers"].select("sales_order", "sold_to_party", "creation_date"),
         newest, limit,
     )
-    keys = orders.select(F.col("sales_order").alias("reference_sd_document"))
-    items = s["outbound_delivery_items"].join(
-        broadcast_page(keys, limit), "reference_sd_document", "left_semi"
-    )
-    paths = _paths(s, orders, items, rows_per_task)
+    paths = _paths(orders, _links_near(_links(s), orders, limit), rows_per_task)
     order = newest + [
         F.col(c).asc_nulls_last() for c in ("delivery_document", "billing_document", "payment_id")
     ]
@@ -145,7 +177,7 @@ def trace_orders(
 def trace_orders_full(s: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Every distinct link path of every order, with the number of item-level paths."""
     orders = s["sales_order_headers"].select("sales_order", "sold_to_party")
-    paths = _paths(s, orders, s["outbound_delivery_items"], rows_per_task)
+    paths = _paths(orders, _links(s), rows_per_task)
     return paths.select(*_PATH, "n_paths")
 
 

@@ -11,6 +11,7 @@ from ordercash.plans import (
     having_no,
     left_join_many,
     left_join_one,
+    near,
     newest_first,
     page,
 )
@@ -178,7 +179,7 @@ def order_items(t: Tables, order_id: str) -> DataFrame:
     """Lines of one order with product attributes, in line order."""
     items = t["order_items"].filter(F.col("order_id") == order_id)
     products = t["products"].select("product_id", "product_name", "product_type", "old_sku")
-    return left_join_one(items, products, "product_id").select(
+    return left_join_one(items, near(products, items, "product_id"), "product_id").select(
         *items.columns, "product_name", "product_type", "old_sku"
     ).orderBy(
         F.col("line_no").cast("int").asc_nulls_last(), "product_id", "plant", "net_amount"

@@ -4,10 +4,11 @@ from ordercash.plans.joins import (
     hot_keys,
     left_join_many,
     left_join_one,
+    near,
 )
 from ordercash.plans.paging import broadcast_page, newest_first, page
 
 __all__ = [
     "broadcast_page", "having_no", "having_some", "hot_keys", "left_join_many", "left_join_one",
-    "newest_first", "page",
+    "near", "newest_first", "page",
 ]

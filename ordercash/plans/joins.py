@@ -86,3 +86,20 @@ def having_some(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
 def having_no(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose key does not occur in ``other``; a null key never occurs."""
     return df.join(other.select(on).distinct(), on, "left_anti")
+
+
+def near(df: DataFrame, keys: DataFrame, on: str, most: int = MAX_HOT_KEYS) -> DataFrame:
+    """``df`` cut down, before any shuffle, to the rows whose key occurs in a short ``keys``.
+
+    For a lookup that touches few keys of a large table. Up to ``most`` keys are broadcast and
+    other rows are dropped at the scan; when there are more, ``df`` passes through whole. Either
+    way no row that could match is lost, so a join that follows gives the same result.
+    """
+    some = keys.select(on).limit(most + 1)
+    too_many = some.agg(F.count("*") > most).scalar()
+    flagged = some.distinct().withColumn("_near", F.lit(True))
+    return (
+        df.join(F.broadcast(flagged), on, "left")
+        .filter(F.col("_near") | too_many)
+        .drop("_near")
+    )

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from ordercash.plans import broadcast_page, having_no, having_some, hot_keys, left_join_many
+from ordercash.plans import broadcast_page, having_no, having_some, hot_keys, left_join_many, near
 from ordercash.plans.paging import MAX_BROADCAST_ROWS
 from tests.conftest import rows
 
@@ -50,3 +50,17 @@ def test_page_is_broadcast_only_when_small(spark):
 
     assert hinted(broadcast_page(left, 50))
     assert not hinted(broadcast_page(left, MAX_BROADCAST_ROWS + 1))
+
+
+def test_near_keeps_every_row_that_could_match(spark):
+    left, many = _tables(spark)
+    few = left.filter("l in ('l3', 'l4', 'l5')")
+    assert rows(near(many, few, "k")) == [("b", 1), ("b", 2)]
+    assert rows(near(many, few, "k", most=3)) == [("b", 1), ("b", 2)]
+    assert rows(near(many, few, "k", most=2)) == rows(many)
+    assert rows(near(many, few.limit(0), "k")) == []
+    doubled = few.unionByName(few)
+    assert rows(near(many, doubled, "k")) == [("b", 1), ("b", 2)]
+    for most in (1, 2, 10):
+        joined = few.join(near(many, few, "k", most=most), "k", "left")
+        assert rows(joined) == rows(few.join(many, "k", "left"))
