@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ordercash.functions.plain import plain
 from ordercash.functions.strings import WS, strip
 
 
@@ -41,11 +42,11 @@ def _shown(df: DataFrame, column: str) -> Column:
     elif isinstance(kind, T.DecimalType):
         text = _plain_number(value.cast("string"))
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        plain = value.cast("string")
-        text = F.when(plain.contains("E"), _plain_number(value.cast("decimal(38,10)").cast("string"))
-                      ).otherwise(plain)
+        short = value.cast("string")
+        whole = _plain_number(value.cast("decimal(38,10)").cast("string"))
+        text = F.when(short.contains("E"), whole).otherwise(short)
     else:
-        text = value.cast("string")
+        text = plain(value, kind).cast("string")
     return F.coalesce(text, F.lit("None"))
 
 

@@ -216,13 +216,26 @@ def row_number(t: Tables, latest: int = 3) -> DataFrame:
 
 
 def rank(t: Tables, best: int = 3) -> DataFrame:
-    """The best-selling few products of each type by billed revenue, ties included."""
+    """The best-selling few products of each type by billed revenue, ties included.
+
+    Ranks are found over distinct revenues, of which only the few highest per type reach the
+    window, and are then joined to the products; any number of products may tie.
+    """
+    sold = billed_products(t).select("product_type", "product_id", "total_revenue")
+    revenues = sold.groupBy("product_type", "total_revenue").agg(F.count("*").alias("tied"))
     w = Window.partitionBy("product_type").orderBy(F.col("total_revenue").desc_nulls_first())
-    return (
-        billed_products(t).select("product_type", "product_id", "total_revenue")
-        .withColumn("place", F.rank().over(w))
+    ahead = F.sum("tied").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    places = (
+        revenues.withColumn("n", F.row_number().over(w))
+        .filter(F.col("n") <= best)
+        .withColumn("place", F.coalesce(ahead, F.lit(0)) + 1)
         .filter(F.col("place") <= best)
+        .select(F.col("product_type").alias("type"), F.col("total_revenue").alias("at"), "place")
+    )
+    same = F.col("type").eqNullSafe(F.col("product_type")) & F.col("at").eqNullSafe(
+        F.col("total_revenue")
     )
+    return sold.join(places, same).select("product_type", "product_id", "total_revenue", "place")
 
 
 def window_agg(t: Tables) -> DataFrame:

@@ -16,9 +16,16 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
+def configure(spark: SparkSession, shuffle_partitions: int | None = None) -> SparkSession:
+    """Apply the settings; ``shuffle_partitions`` is the number AQE starts from and coalesces.
+
+    Give it for large data: about the bytes of the largest shuffle over 128 MB.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if shuffle_partitions is not None:
+        initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+        spark.conf.set(initial, str(shuffle_partitions))
     return spark
 
 

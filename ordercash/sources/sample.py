@@ -164,13 +164,17 @@ class Sample:
                 f"{SHIPPED} AS overall_goods_movement_status",
                 f"{SHIPPED} AS overall_picking_status",
             ),
-            "outbound_delivery_items": lambda: self.raw("lineitem").filter("l_suppkey % 3 <> 0").selectExpr(
+            "outbound_delivery_items": lambda: self.raw("lineitem")
+            .filter("l_suppkey % 3 <> 0")
+            .selectExpr(
                 "CONCAT('D', l_orderkey, l_linestatus) AS delivery_document",
                 "CAST(l_linenumber AS STRING) AS delivery_document_item",
                 "CAST(l_orderkey AS STRING) AS reference_sd_document",
                 "CAST(l_linenumber AS STRING) AS reference_sd_document_item",
             ),
-            "billing_document_items": lambda: self.raw("lineitem").filter("l_returnflag <> 'N'").selectExpr(
+            "billing_document_items": lambda: self.raw("lineitem")
+            .filter("l_returnflag <> 'N'")
+            .selectExpr(
                 "CONCAT('I', l_orderkey, l_returnflag) AS billing_document",
                 "CAST(l_partkey AS STRING) AS material",
                 f"{NET} AS net_amount",

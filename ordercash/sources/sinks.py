@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-PREVIEW_ROWS = 50  # Fixed value: rows shown with a result.
 
+from ordercash.functions.plain import is_plain, plain
 
-def _plain(value: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.DecimalType):
-        return value.cast("double")
-    if isinstance(kind, T.DateType):
-        return value.cast("string")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-        micros = F.date_format(value, "SSSSSS")
-        return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
-    if isinstance(kind, T.StructType):
-        fields = [_plain(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
-        return F.when(value.isNotNull(), F.struct(*fields))
-    if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda v: _plain(v, kind.elementType))
-    if isinstance(kind, T.MapType):
-        return F.transform_values(value, lambda _, v: _plain(v, kind.valueType))
-    return value
-
-
-def _is_plain(kind: T.DataType) -> bool:
-    if isinstance(kind, T.StructType):
-        return all(_is_plain(f.dataType) for f in kind.fields)
-    if isinstance(kind, T.ArrayType):
-        return _is_plain(kind.elementType)
-    if isinstance(kind, T.MapType):
-        return _is_plain(kind.valueType)
-    return not isinstance(
-        kind, (T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    )
+PREVIEW_ROWS = 50  # Fixed value: rows shown with a result.
 
 
 def export_rows(df: DataFrame) -> DataFrame:
@@ -45,8 +15,8 @@ def export_rows(df: DataFrame) -> DataFrame:
     return df.select(
         *[
             F.col(f"`{f.name}`")
-            if _is_plain(f.dataType)
-            else _plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name)
+            if is_plain(f.dataType)
+            else plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name)
             for f in df.schema.fields
         ]
     )

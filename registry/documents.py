@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from ordercash.operators import documents
+from ordercash.model import SAP_RELATIONSHIPS
+from ordercash.operators import analytics, documents
 from registry.base import query
+from registry.star import orphans_sql
 
 
 @query(
@@ -102,3 +104,15 @@ TRACE_FULL = f"SELECT {_PATH}, COUNT(*) AS n_paths {_CHAIN} GROUP BY ALL"
 @query("trace_orders_full", TRACE_FULL)
 def _(s):
     return documents.trace_orders_full(s.sap())
+
+
+# Product names are left out: in the sample they come from the products themselves.
+_RELATIONSHIPS = tuple(r for r in SAP_RELATIONSHIPS if r.child != "product_descriptions")
+
+
+@query(
+    "relationship_check_documents",
+    " UNION ALL ".join(orphans_sql(r, prefix="") for r in _RELATIONSHIPS),
+)
+def _(s):
+    return analytics.relationship_check(s.sap(), _RELATIONSHIPS)

@@ -303,17 +303,17 @@ def _(s):
     return analytics.stage_counts(s.star())
 
 
-def _orphans(r) -> str:
+def orphans_sql(r, prefix: str = "o2c_") -> str:
     return f"""SELECT '{r.child}.{r.child_key}' AS child, '{r.parent}.{r.parent_key}' AS parent,
         COUNT(*) AS child_rows,
         COUNT(CASE WHEN c.{r.child_key} IS NULL THEN 1 END) AS null_keys,
         COUNT(CASE WHEN c.{r.child_key} IS NOT NULL AND p.{r.parent_key} IS NULL THEN 1 END)
             AS orphans
-    FROM o2c_{r.child} c LEFT JOIN (SELECT DISTINCT {r.parent_key} FROM o2c_{r.parent}) p
+    FROM {prefix}{r.child} c LEFT JOIN (SELECT DISTINCT {r.parent_key} FROM {prefix}{r.parent}) p
         ON p.{r.parent_key} = c.{r.child_key}"""
 
 
-@query("relationship_check", " UNION ALL ".join(_orphans(r) for r in STAR_RELATIONSHIPS))
+@query("relationship_check", " UNION ALL ".join(orphans_sql(r) for r in STAR_RELATIONSHIPS))
 def _(s):
     return analytics.relationship_check(s.star())
 

@@ -32,8 +32,8 @@ def test_domain_words_are_substrings(spark):
 
 def test_hints_take_the_word_after_the_first_whole_word(spark):
     df = _ask(
-        spark, " show\n customer   C-1_x orders", "customer details", "Customers 5", "ORDER 7, order 8",
-        "reorder 9",
+        spark, " show\n customer   C-1_x orders", "customer details", "Customers 5",
+        "ORDER 7, order 8", "reorder 9",
     )
     got = rows(questions.question_hints(df), "normalized", "customer_hint", "order_hint")
     assert sorted(got) == sorted([
@@ -170,6 +170,11 @@ def test_digest(spark):
     )
 
 
+def test_digest_times_are_iso_text(spark):
+    df = spark.sql("SELECT 1 AS id, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS at")
+    assert "at: 2024-01-02T03:04:05" in messages.result_digest(df, ["id"]).collect()[0].digest
+
+
 def test_digest_numbers(spark):
     df = spark.createDataFrame(
         [(1, Decimal("10.000"), 1.5, 2.0e7), (2, Decimal("0.120"), 100.0, 0.25)],
