@@ -196,8 +196,8 @@ def _(s):
 
 @query(
     "adhoc_row_number",
-    """SELECT * FROM (SELECT customer_id, order_id, order_date, ROW_NUMBER() OVER (
-        PARTITION BY customer_id ORDER BY order_date DESC NULLS FIRST, order_id) AS n
+    """SELECT * FROM (SELECT customer_id, order_id, order_date, CAST(ROW_NUMBER() OVER (
+        PARTITION BY customer_id ORDER BY order_date DESC NULLS FIRST, order_id) AS INT) AS n
         FROM o2c_orders) WHERE n <= 3""",
     text=["order_date"],
 )
@@ -280,8 +280,8 @@ def _(s):
 
 @query(
     "adhoc_date_now",
-    f"""SELECT order_id, requested_delivery_date, {_DAY} - requested_delivery_date AS days_late
-    FROM o2c_orders WHERE delivery_status <> 'C'
+    f"""SELECT order_id, requested_delivery_date,
+        CAST({_DAY} - requested_delivery_date AS INT) AS days_late FROM o2c_orders WHERE delivery_status <> 'C'
         AND requested_delivery_date < {_DAY} - INTERVAL 30 DAY""",
     text=["requested_delivery_date"],
 )
@@ -311,7 +311,8 @@ def _(s):
 @query(
     "adhoc_to_date",
     """SELECT invoice_id, CAST(strptime(strftime(invoice_date, '%Y%m%d'), '%Y%m%d') AS DATE)
-        AS day, invoice_date - CAST(date_trunc('month', invoice_date) AS DATE) AS days_in
+        AS day, CAST(invoice_date - CAST(date_trunc('month', invoice_date) AS DATE) AS INT)
+        AS days_in
     FROM o2c_invoices""",
     text=["day"],
 )

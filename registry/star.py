@@ -253,7 +253,7 @@ def _(s):
     "delivery_performance",
     """SELECT COUNT(days) AS shipped_orders, ROUND(AVG(days), 1) AS avg_days,
         MIN(days) AS min_days, MAX(days) AS max_days
-    FROM (SELECT ship_date - order_date AS days FROM o2c_orders JOIN (
+    FROM (SELECT CAST(ship_date - order_date AS INT) AS days FROM o2c_orders JOIN (
         SELECT order_id, ship_date FROM o2c_deliveries WHERE goods_status = 'C')
         USING (order_id))""",
 )
