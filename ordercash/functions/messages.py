@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordercash.functions.plain import plain
+from ordercash.functions.plain import as_text
 from ordercash.functions.strings import WS, strip
 
 
@@ -23,30 +23,13 @@ def strip_markdown_tables(text: Column) -> Column:
     )
 
 
-def _plain_number(digits: Column) -> Column:
-    """A decimal's digits as a float prints: no zeros at the end, but one after the point."""
-    trimmed = F.regexp_replace(digits, r"(\.\d*?)0+\z", "$1")
-    return (
-        F.when(~trimmed.contains("."), F.concat(trimmed, F.lit(".0")))
-        .when(trimmed.endswith("."), F.concat(trimmed, F.lit("0")))
-        .otherwise(trimmed)
-    )
-
-
 def _shown(df: DataFrame, column: str) -> Column:
     """A value as the digest prints it."""
     value = F.col(f"`{column}`")
     kind = df.schema[column].dataType
+    text = as_text(value, kind, point=True)
     if isinstance(kind, T.BooleanType):
-        text = F.initcap(value.cast("string"))
-    elif isinstance(kind, T.DecimalType):
-        text = _plain_number(value.cast("string"))
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        short = value.cast("string")
-        whole = _plain_number(value.cast("decimal(38,10)").cast("string"))
-        text = F.when(short.contains("E"), whole).otherwise(short)
-    else:
-        text = plain(value, kind).cast("string")
+        text = F.initcap(text)
     return F.coalesce(text, F.lit("None"))
 
 

@@ -36,3 +36,23 @@ def is_plain(kind: T.DataType) -> bool:
     return not isinstance(
         kind, (T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)
     )
+
+
+def as_text(value: Column, kind: T.DataType, point: bool) -> Column:
+    """A value as text: ISO dates, and numbers without zeros at the end of the fraction.
+
+    A whole number of a fractional type ends in ``.0`` when ``point`` is set.
+    """
+    if not isinstance(kind, T.FractionalType):
+        return plain(value, kind).cast("string")
+    short = value.cast("string")
+    if isinstance(kind, T.DecimalType):
+        digits = short
+    else:
+        digits = F.when(short.contains("E"), value.cast("decimal(38,10)").cast("string")).otherwise(
+            short
+        )
+    trimmed = F.regexp_replace(digits, r"\.0*\z|(\.\d*?[1-9])0+\z", "$1")
+    if not point:
+        return trimmed
+    return F.when(trimmed.contains("."), trimmed).otherwise(F.concat(trimmed, F.lit(".0")))

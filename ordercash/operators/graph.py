@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ordercash.functions.plain import as_text
 from ordercash.functions.strings import strip
 
 # The columns that may hold the id of each entity type, in order of preference.
@@ -243,9 +244,12 @@ def o2c_typed_graph(
 
 def node_details(nodes: DataFrame) -> DataFrame:
     """Long form of the nodes: (node_id, attribute, value) for each filled context field."""
-    fields = [f for f in nodes.schema["context"].dataType.names]
     own = {"entity_id", "entity_type"}
-    attributes = [(f, F.col(f"context.`{f}`").cast("string")) for f in fields if f not in own]
+    attributes = [
+        (f.name, as_text(F.col(f"context.`{f.name}`"), f.dataType, point=False))
+        for f in nodes.schema["context"].dataType.fields
+        if f.name not in own
+    ]
     attributes += [("entity_id", F.col("entity_id")), ("entity_type", F.col("type"))]
     entries = F.array(
         *[F.struct(F.lit(a).alias("attribute"), v.alias("value")) for a, v in attributes]

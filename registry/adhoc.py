@@ -281,7 +281,8 @@ def _(s):
 @query(
     "adhoc_date_now",
     f"""SELECT order_id, requested_delivery_date,
-        CAST({_DAY} - requested_delivery_date AS INT) AS days_late FROM o2c_orders WHERE delivery_status <> 'C'
+        CAST({_DAY} - requested_delivery_date AS INT) AS days_late
+    FROM o2c_orders WHERE delivery_status <> 'C'
         AND requested_delivery_date < {_DAY} - INTERVAL 30 DAY""",
     text=["requested_delivery_date"],
 )

@@ -110,14 +110,13 @@ def _(s):
 
 _N = sqllog.NAME
 _COLUMN_ROWS = [(t, c) for t, cols in CATALOG.items() for c in cols]
+_REF = rf"\b(from|join)\s+({_N})(?:\s+(?:as\s+)?({_N}))?"
 _IDENTIFIER_CTES = {
     "lexed": rf"""SELECT log_id, regexp_replace(regexp_replace(lower(sql_text),
             '''(?:''''|[^''])*''', '''''', 'g'), '"(?:[^"]|"")*"', '""', 'g') AS q
         FROM sql_log""",
-    "table_refs": rf"""SELECT log_id, unnest(regexp_extract_all(q, '{{REF}}', 2)) AS name,
-            COALESCE(unnest(regexp_extract_all(q, '{{REF}}', 3)), '') AS alias FROM lexed""".replace(
-        "{REF}", rf"\b(from|join)\s+({_N})(?:\s+(?:as\s+)?({_N}))?"
-    ),
+    "table_refs": f"""SELECT log_id, unnest(regexp_extract_all(q, '{_REF}', 2)) AS name,
+            COALESCE(unnest(regexp_extract_all(q, '{_REF}', 3)), '') AS alias FROM lexed""",
     "known_refs": f"SELECT * FROM table_refs WHERE name IN {_in(CATALOG)}",
     "name_owners": f"""SELECT log_id, name AS owner, name AS tbl FROM known_refs
         UNION SELECT log_id, alias, name FROM known_refs

@@ -1,5 +1,7 @@
+import datetime
+from decimal import Decimal
+
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ordercash.operators import graph
 from tests.conftest import rows
@@ -119,12 +121,24 @@ def test_typed_graph_labels_and_payments(spark):
 def test_empty_arrays_count_as_empty(spark):
     df = spark.createDataFrame(
         [(1, "o1", []), (2, "o1", ["x"])],
-        T.StructType([T.StructField("n", T.IntegerType()), T.StructField("order_id", T.StringType()),
-                      T.StructField("tags", T.ArrayType(T.StringType()))]),
+        "n int, order_id string, tags array<string>",
     )
     assert graph.graph_nodes(df, ["n"]).collect()[0].context.tags == ["x"]
 
 
+def test_node_details_print_numbers_and_dates(spark):
+    df = spark.createDataFrame(
+        [("o1", Decimal("12.50"), Decimal("10.00"), 2.0e7, 0.25, True, datetime.date(2024, 1, 2))],
+        "order_id string, a decimal(9,2), b decimal(9,2), c double, d double, e boolean, f date",
+    )
+    nodes, _ = graph.build_graph(df, ["order_id"])
+    got = {r.attribute: r.value for r in graph.node_details(nodes).collect()}
+    assert got == {
+        "order_id": "o1", "a": "12.5", "b": "10", "c": "20000000", "d": "0.25", "e": "true",
+        "f": "2024-01-02", "entity_id": "o1", "entity_type": "order",
+    }
+
+
 def test_ties_and_maps(spark):
     df = spark.createDataFrame(
         [(1, "o1", "b", None), (1, "o1", "a", {"k": 1}), (2, "o1", "0", {"k": 2})],
