@@ -218,6 +218,11 @@ class Sample:
     def sql_log(self) -> DataFrame:
         return self.raw("orders").selectExpr("o_orderkey AS log_id", f"{SQL_TEXT} AS sql_text")
 
+    def joined_sql_log(self) -> DataFrame:
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS log_id", f"{JOINED_SQL_TEXT} AS sql_text"
+        )
+
     def messages(self) -> DataFrame:
         return self.raw("conversations")
 
@@ -232,8 +237,8 @@ QUESTION = """CASE o_orderkey % 8
   WHEN 6 THEN 'customer details'
   ELSE 'stop the small payment clearing' END"""
 
-# Quotes inside a literal are written as CHR(39), which every engine reads alike.
-_LITERALS = (
+# Statements an analyst might log, one per remainder of the order key; KEY stands for the key.
+STATEMENTS = (
     "SELECT sales_order FROM sales_order_headers WHERE sales_order = 'KEY';",
     "DROP TABLE products",
     "SELECT product FROM products WHERE product = 'update' LIMIT 5",
@@ -244,17 +249,38 @@ _LITERALS = (
     "WHERE a.sales_order = b.sales_order",
     "SELECT EXTRACT(year FROM creation_date) AS y FROM sales_order_headers",
 )
+JOINED_STATEMENTS = (
+    "SELECT soh.sales_order, bp.business_partner_name FROM sales_order_headers AS soh "
+    "JOIN business_partners bp ON soh.sold_to_party = bp.customer",
+    "SELECT products.product FROM sales_order_items JOIN products ON material = product",
+    "SELECT a.material FROM sales_order_items a JOIN products a ON 1 = 1",
+    "SELECT COUNT(*) AS n, SUM(net_amount) total FROM sales_order_items GROUP BY material",
+    "SELECT x.sales_order FROM (SELECT sales_order FROM sales_order_items) AS x "
+    "WHERE x.sales_order = 'it''s' OR x.sales_order = 'KEY'",
+    'select "some name" from products where product_type in (\'a\', \'b\')',
+    "SELECT p.product AS product_id, d.product_description AS label FROM products p "
+    "LEFT JOIN product_descriptions d ON p.product = d.product LIMIT 5",
+    "SELECT dense_rank() OVER (ORDER BY product) AS r FROM products",
+    "SELECT o.order_id AS order_id, c.name AS order_id FROM orders o "
+    "JOIN customers c ON o.customer_id = c.customer_id",
+    "SELECT product AS sku_id FROM products;;",
+    "  select a, b, c, d, e, f, g from nowhere n  ",
+    "SELECT billing_document FROM billing_document_headers bdh WHERE 1.5 < 20 AND "
+    "bdh.billing_document = 'KEY' ORDER BY bdh.billing_document_date DESC",
+)
+
 
+def _sql_text(statements: tuple[str, ...]) -> str:
+    """A CASE over the order key; quotes are CHR(39), which every engine reads alike."""
 
-def _sql_text() -> str:
     def literal(text: str) -> str:
-        quote = "CHR(39)"
         parts = [f"'{p}'" for p in text.split("'")]
-        joined = f", {quote}, ".join(parts).replace("'KEY'", "CAST(o_orderkey AS STRING)")
+        joined = ", CHR(39), ".join(parts).replace("'KEY'", "CAST(o_orderkey AS STRING)")
         return f"CONCAT({joined})"
 
-    cases = " ".join(f"WHEN {i} THEN {literal(s)}" for i, s in enumerate(_LITERALS))
-    return f"CASE o_orderkey % 8 {cases} END"
+    cases = " ".join(f"WHEN {i} THEN {literal(s)}" for i, s in enumerate(statements))
+    return f"CASE o_orderkey % {len(statements)} {cases} END"
 
 
-SQL_TEXT = _sql_text()
+SQL_TEXT = _sql_text(STATEMENTS)
+JOINED_SQL_TEXT = _sql_text(JOINED_STATEMENTS)

@@ -8,7 +8,15 @@ from textwrap import dedent
 from pyspark.sql import DataFrame, SparkSession
 
 from ordercash.session import configure
-from ordercash.sources.sample import DELIVERY_STATUS, NET, QUESTION, SHIPPED, SQL_TEXT, Sample
+from ordercash.sources.sample import (
+    DELIVERY_STATUS,
+    JOINED_SQL_TEXT,
+    NET,
+    QUESTION,
+    SHIPPED,
+    SQL_TEXT,
+    Sample,
+)
 from ordercash.sources.sinks import export_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +97,7 @@ CTES = {
         DATE '1994-01-01' + CAST(c_custkey % 365 AS INT) AS last_change_date FROM customer""",
     "questions": f"SELECT o_orderkey AS question_id, {QUESTION} AS question FROM orders",
     "sql_log": f"SELECT o_orderkey AS log_id, {SQL_TEXT} AS sql_text FROM orders",
+    "joined_log": f"SELECT o_orderkey AS log_id, {JOINED_SQL_TEXT} AS sql_text FROM orders",
 }
 
 

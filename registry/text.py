@@ -92,9 +92,7 @@ def _(s):
     return questions.question_tables(s.questions())
 
 
-@query(
-    "sql_log_audit",
-    rf"""SELECT log_id, sql_text, verdict, CASE WHEN verdict = 'ok' THEN
+_AUDIT = rf"""SELECT log_id, sql_text, verdict, CASE WHEN verdict = 'ok' THEN
         CASE WHEN contains(lower(raw), 'limit') THEN raw ELSE raw || ' LIMIT 20' END END
         AS final_sql
     FROM (SELECT *, CASE WHEN trim(sql_text) = '' THEN 'empty'
@@ -102,12 +100,19 @@ def _(s):
                 THEN 'not_select'
             WHEN regexp_matches(lower(raw), '\b({'|'.join(sqllog.FORBIDDEN)})\b')
                 THEN 'forbidden' ELSE 'ok' END AS verdict
-        FROM (SELECT *, rtrim(trim(sql_text), ';') AS raw FROM sql_log))""",
-)
+        FROM (SELECT *, rtrim(trim(sql_text), ';') AS raw FROM {{log}}))"""
+
+
+@query("sql_log_audit", _AUDIT.format(log="sql_log"))
 def _(s):
     return sqllog.sql_log_audit(s.sql_log())
 
 
+@query("sql_log_audit_joins", _AUDIT.format(log="joined_log"))
+def _(s):
+    return sqllog.sql_log_audit(s.joined_sql_log())
+
+
 _N = sqllog.NAME
 _COLUMN_ROWS = [(t, c) for t, cols in CATALOG.items() for c in cols]
 _REF = rf"\b(from|join)\s+({_N})(?:\s+(?:as\s+)?({_N}))?"
@@ -116,11 +121,14 @@ _IDENTIFIER_CTES = {
             '''(?:''''|[^''])*''', '''''', 'g'), '"(?:[^"]|"")*"', '""', 'g') AS q
         FROM sql_log""",
     "table_refs": f"""SELECT log_id, unnest(regexp_extract_all(q, '{_REF}', 2)) AS name,
+            unnest(range(len(regexp_extract_all(q, '{_REF}', 2)))) AS pos,
             COALESCE(unnest(regexp_extract_all(q, '{_REF}', 3)), '') AS alias FROM lexed""",
     "known_refs": f"SELECT * FROM table_refs WHERE name IN {_in(CATALOG)}",
-    "name_owners": f"""SELECT log_id, name AS owner, name AS tbl FROM known_refs
-        UNION SELECT log_id, alias, name FROM known_refs
-            WHERE alias <> '' AND alias NOT IN {_in(sqllog.RESERVED)}""",
+    "name_owners": f"""SELECT log_id, owner, arg_max(tbl, pos) AS tbl FROM (
+        SELECT log_id, name AS owner, name AS tbl, 2 * pos AS pos FROM known_refs
+        UNION ALL SELECT log_id, alias, name, 2 * pos + 1 FROM known_refs
+            WHERE alias <> '' AND alias NOT IN {_in(sqllog.RESERVED)})
+        GROUP BY log_id, owner""",
     "as_names": rf"""SELECT log_id, unnest(regexp_extract_all(q, '\bas\s+({_N})\b', 1)) AS name
         FROM lexed""",
     "qualified": rf"""SELECT log_id, unnest(regexp_extract_all(q, '\b({_N})\.({_N})\b', 1)) AS o,
@@ -144,23 +152,33 @@ _IDENTIFIER_CTES = {
 }
 
 
+_UNKNOWN = """SELECT s.log_id, COALESCE(string_agg(b.bad, ', ' ORDER BY b.bad), '') AS unknown
+    FROM {log} s LEFT JOIN bad_names b ON b.log_id = s.log_id GROUP BY s.log_id"""
+
+
+def _unknown(log):
+    checked = sqllog.sql_log_identifiers(log, CATALOG)
+    return checked.select("log_id", F.array_join("unknown", ", ").alias("unknown"))
+
+
+@query("sql_log_identifiers", _UNKNOWN.format(log="sql_log"), ctes=_IDENTIFIER_CTES)
+def _(s):
+    return _unknown(s.sql_log())
+
+
 @query(
-    "sql_log_identifiers",
-    """SELECT s.log_id, COALESCE(string_agg(b.bad, ', ' ORDER BY b.bad), '') AS unknown
-    FROM sql_log s LEFT JOIN bad_names b ON b.log_id = s.log_id GROUP BY s.log_id""",
-    ctes=_IDENTIFIER_CTES,
+    "sql_log_identifiers_joins",
+    _UNKNOWN.format(log="joined_log"),
+    ctes={**_IDENTIFIER_CTES, "lexed": _IDENTIFIER_CTES["lexed"].replace("sql_log", "joined_log")},
 )
 def _(s):
-    checked = sqllog.sql_log_identifiers(s.sql_log(), CATALOG)
-    return checked.select("log_id", F.array_join("unknown", ", ").alias("unknown"))
+    return _unknown(s.joined_sql_log())
 
 
 _NAMES = sorted({*CATALOG, *(c for cols in CATALOG.values() for c in cols)})
 
 
-@query(
-    "sql_log_aliases",
-    rf"""SELECT log_id, n_words, n_unknown, CASE
+_ALIASES = rf"""SELECT log_id, n_words, n_unknown, CASE
         WHEN n_unknown > greatest(5, floor(n_words * CAST(0.45 AS DOUBLE)))
             THEN 'too_many_unknown'
         WHEN len(ids) <> len(list_distinct(ids)) THEN 'duplicate_id_alias'
@@ -173,12 +191,19 @@ _NAMES = sorted({*CATALOG, *(c for cols in CATALOG.values() for c in cols)})
                 lambda w: w NOT IN {_in(sqllog.OLD_RESERVED)}) AS words,
             list_filter(regexp_extract_all(lower(sql_text), '\bas\s+({_N})\b', 1),
                 lambda a: ends_with(a, '_id')) AS ids
-        FROM sql_log))""",
-)
+        FROM {{log}}))"""
+
+
+@query("sql_log_aliases", _ALIASES.format(log="sql_log"))
 def _(s):
     return sqllog.sql_log_aliases(s.sql_log(), CATALOG).drop("sql_text")
 
 
+@query("sql_log_aliases_joins", _ALIASES.format(log="joined_log"))
+def _(s):
+    return sqllog.sql_log_aliases(s.joined_sql_log(), CATALOG).drop("sql_text")
+
+
 @query(
     "result_digest",
     """SELECT n AS n_results, 'Found ' || n || ' result(s).' || chr(10) || lines AS digest FROM (
