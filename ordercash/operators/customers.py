@@ -1,4 +1,7 @@
-"""Customer lists, lookups and balances."""
+"""Customer lists, lookups and balances.
+
+A lookup takes one key, or a DataFrame of keys for many at a time.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordercash.model import Tables
-from ordercash.plans import left_join_many, left_join_one, near, newest_first, page
+from ordercash.plans import left_join_many, left_join_one, near, newest_first, page, pick
 from ordercash.plans.joins import ROWS_PER_TASK
 
 
@@ -19,16 +22,16 @@ def list_customers(
     return page(customers, [F.col("customer_id").asc_nulls_last()], limit, offset)
 
 
-def get_customer(t: Tables, customer_id: str) -> DataFrame:
+def get_customer(t: Tables, customer_id: str | DataFrame) -> DataFrame:
     """The customer with this key; no row when there is none."""
-    return t["customers"].filter(F.col("customer_id") == customer_id)
+    return pick(t["customers"], "customer_id", customer_id)
 
 
 def customer_orders(
-    t: Tables, customer_id: str, rows_per_task: int = ROWS_PER_TASK
+    t: Tables, customer_id: str | DataFrame, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Orders of one customer with their deliveries and invoices, newest order first."""
-    orders = t["orders"].filter(F.col("customer_id") == customer_id)
+    """Orders of a customer with their deliveries and invoices, newest order first."""
+    orders = pick(t["orders"], "customer_id", customer_id)
     deliveries = t["deliveries"].select("order_id", "delivery_id", "goods_status", "ship_date")
     invoices = t["invoices"].select(
         "order_id", "invoice_id", F.col("total_amount").alias("invoice_amount"), "is_cancelled"
@@ -37,7 +40,7 @@ def customer_orders(
     with_deliveries = left_join_many(orders, deliveries, "order_id", "delivery_id", rows_per_task)
     return left_join_many(
         with_deliveries, invoices, "order_id", "invoice_id", rows_per_task
-    ).orderBy(*newest_first("order_date", "order_id", "delivery_id", "invoice_id"))
+    ).orderBy("customer_id", *newest_first("order_date", "order_id", "delivery_id", "invoice_id"))
 
 
 def _totals(t: Tables, customer_id: str | None) -> DataFrame:
@@ -70,11 +73,13 @@ def _totals(t: Tables, customer_id: str | None) -> DataFrame:
     )
 
 
-def _with_totals(t: Tables, customer_id: str | None) -> DataFrame:
+def _with_totals(t: Tables, wanted: str | DataFrame | None) -> DataFrame:
+    """Customers with their totals; one key filters every table, many only the customers."""
     customers = t["customers"].select("customer_id", "name", "is_blocked")
-    if customer_id is not None:
-        customers = customers.filter(F.col("customer_id") == customer_id)
-    joined = left_join_one(customers, _totals(t, customer_id), "customer_id")
+    if wanted is not None:
+        customers = pick(customers, "customer_id", wanted)
+    totals = _totals(t, wanted if isinstance(wanted, str) else None)
+    joined = left_join_one(customers, totals, "customer_id")
     zero = F.lit(0)
     return joined.select(
         "customer_id",
@@ -95,14 +100,14 @@ def _times(amount: str, *counts: str):
     return value.cast("decimal(38,4)")
 
 
-def _summary(t: Tables, customer_id: str | None = None) -> DataFrame:
+def _summary(t: Tables, wanted: str | DataFrame | None = None) -> DataFrame:
     """Totals as a join of orders, invoices and payments on the customer alone gives them.
 
     Such a join pairs every invoice with every order and payment of its customer, so each
     sum is multiplied by the row counts of the other two tables. The product is computed
     from per-customer totals; the pairs are never formed.
     """
-    return _with_totals(t, customer_id).select(
+    return _with_totals(t, wanted).select(
         "customer_id",
         "name",
         "is_blocked",
@@ -112,7 +117,7 @@ def _summary(t: Tables, customer_id: str | None = None) -> DataFrame:
     )
 
 
-def customer_summary(t: Tables, customer_id: str) -> DataFrame:
+def customer_summary(t: Tables, customer_id: str | DataFrame) -> DataFrame:
     return _summary(t, customer_id)
 
 

@@ -14,6 +14,7 @@ from ordercash.plans import (
     near,
     newest_first,
     page,
+    pick,
 )
 from ordercash.plans.joins import ROWS_PER_TASK
 
@@ -44,8 +45,9 @@ def list_orders(t: Tables, limit: int = 50, offset: int = 0) -> DataFrame:
     )
 
 
-def get_order(t: Tables, order_id: str) -> DataFrame:
-    return t["orders"].filter(F.col("order_id") == order_id)
+def get_order(t: Tables, order_id: str | DataFrame) -> DataFrame:
+    """The order with this key, or those with the keys of a DataFrame."""
+    return pick(t["orders"], "order_id", order_id)
 
 
 def shipped(t: Tables) -> DataFrame:
@@ -175,12 +177,12 @@ def order_flow_all(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     )
 
 
-def order_items(t: Tables, order_id: str) -> DataFrame:
-    """Lines of one order with product attributes, in line order."""
-    items = t["order_items"].filter(F.col("order_id") == order_id)
+def order_items(t: Tables, order_id: str | DataFrame) -> DataFrame:
+    """Lines of an order, or of the orders in a DataFrame, with product attributes, in order."""
+    items = pick(t["order_items"], "order_id", order_id)
     products = t["products"].select("product_id", "product_name", "product_type", "old_sku")
     return left_join_one(items, near(products, items, "product_id"), "product_id").select(
         *items.columns, "product_name", "product_type", "old_sku"
     ).orderBy(
-        F.col("line_no").cast("int").asc_nulls_last(), "product_id", "plant", "net_amount"
+        "order_id", F.col("line_no").cast("int").asc_nulls_last(), "product_id", "plant", "net_amount"
     )

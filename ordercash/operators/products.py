@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordercash.model import Tables
-from ordercash.plans import newest_first, page
+from ordercash.plans import newest_first, page, pick
 
 MAX_TOP = 50
 
@@ -20,9 +20,9 @@ def list_products(
     return page(products, [F.col("product_id").asc_nulls_last()], limit, offset)
 
 
-def get_product(t: Tables, product_id: str) -> DataFrame:
-    """The product with this key, withdrawn or not."""
-    return t["products"].filter(F.col("product_id") == product_id)
+def get_product(t: Tables, product_id: str | DataFrame) -> DataFrame:
+    """The product with this key, or those with the keys of a DataFrame, withdrawn or not."""
+    return pick(t["products"], "product_id", product_id)
 
 
 def billed_products(t: Tables) -> DataFrame:

@@ -5,10 +5,11 @@ from ordercash.plans.joins import (
     left_join_many,
     left_join_one,
     near,
+    pick,
 )
 from ordercash.plans.paging import broadcast_page, newest_first, page
 
 __all__ = [
     "broadcast_page", "having_no", "having_some", "hot_keys", "left_join_many", "left_join_one",
-    "near", "newest_first", "page",
+    "near", "newest_first", "page", "pick",
 ]

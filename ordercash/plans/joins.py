@@ -83,6 +83,13 @@ def having_some(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
     return df.join(other.select(on).distinct(), on, "left_semi")
 
 
+def pick(df: DataFrame, column: str, wanted: str | DataFrame) -> DataFrame:
+    """Rows of one key, or of every key in a DataFrame that has the column."""
+    if isinstance(wanted, str):
+        return df.filter(F.col(column) == wanted)
+    return having_some(df, wanted, column)
+
+
 def having_no(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose key does not occur in ``other``; a null key never occurs."""
     return df.join(other.select(on).distinct(), on, "left_anti")

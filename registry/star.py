@@ -3,17 +3,22 @@ the counting and pre-summing the Spark side does."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ordercash.model import STAR_RELATIONSHIPS
 from ordercash.operators import analytics, customers, orders, products
 from ordercash.sources import tables
 from registry.base import query
 
-CUSTOMER = "7"
 ORDER = "7"
-PRODUCT = "7"
+BLOCKED = "SELECT customer_id FROM o2c_customers WHERE is_blocked = 1"
 ORDER_TEXT = ("order_date", "requested_delivery_date")
 
 
+def blocked(t):
+    return t["customers"].filter(F.col("is_blocked") == 1)
+
+
 @query(
     "list_customers",
     "SELECT * FROM o2c_customers WHERE is_blocked = 1 ORDER BY customer_id LIMIT 50 OFFSET 10",
@@ -25,16 +30,18 @@ def _(s):
 
 @query(
     "get_customer",
-    f"SELECT * FROM o2c_customers WHERE customer_id = '{CUSTOMER}'",
+    """SELECT * FROM o2c_customers WHERE customer_id IN (
+        SELECT customer_id FROM o2c_payments WHERE is_incoming = 1)""",
     text=["created_date"],
 )
 def _(s):
-    return customers.get_customer(s.star(), CUSTOMER)
+    t = s.star()
+    return customers.get_customer(t, orders.incoming_payments(t))
 
 
 @query(
     "customer_orders",
-    f"""SELECT * FROM (SELECT * FROM o2c_orders WHERE customer_id = '{CUSTOMER}')
+    f"""SELECT * FROM (SELECT * FROM o2c_orders WHERE customer_id IN ({BLOCKED}))
     LEFT JOIN (SELECT order_id, delivery_id, goods_status, ship_date FROM o2c_deliveries)
         USING (order_id)
     LEFT JOIN (SELECT order_id, invoice_id, total_amount AS invoice_amount, is_cancelled
@@ -42,7 +49,8 @@ def _(s):
     text=[*ORDER_TEXT, "ship_date"], number=["total_amount", "invoice_amount"],
 )
 def _(s):
-    return customers.customer_orders(s.star(), CUSTOMER)
+    t = s.star()
+    return customers.customer_orders(t, blocked(t))
 
 
 # All four tables paired by customer, so that each amount is repeated by the other tables' rows.
@@ -60,11 +68,12 @@ _SUMMARY = """SELECT customer_id, ANY_VALUE(name) AS name, ANY_VALUE(is_blocked)
 
 @query(
     "customer_summary",
-    _SUMMARY.format(where=f"WHERE customer_id = '{CUSTOMER}'"),
+    _SUMMARY.format(where=f"WHERE customer_id IN ({BLOCKED})"),
     number=["total_invoiced", "total_paid"],
 )
 def _(s):
-    return customers.customer_summary(s.star(), CUSTOMER)
+    t = s.star()
+    return customers.customer_summary(t, blocked(t))
 
 
 @query(
@@ -103,9 +112,14 @@ def _(s):
     return products.list_products(s.star(), product_type="SMALL")
 
 
-@query("get_product", f"SELECT * FROM o2c_products WHERE product_id = '{PRODUCT}'")
+@query(
+    "get_product",
+    """SELECT * FROM o2c_products WHERE product_id IN (
+        SELECT product_id FROM o2c_order_items WHERE quantity >= 50)""",
+)
 def _(s):
-    return products.get_product(s.star(), PRODUCT)
+    t = s.star()
+    return products.get_product(t, t["order_items"].filter(F.col("quantity") >= 50))
 
 
 @query(
@@ -122,11 +136,13 @@ def _(s):
 
 @query(
     "get_order",
-    f"SELECT * FROM o2c_orders WHERE order_id = '{ORDER}'",
+    """SELECT * FROM o2c_orders WHERE order_id IN (
+        SELECT order_id FROM o2c_invoices WHERE is_cancelled = 1)""",
     text=ORDER_TEXT, number=["total_amount"],
 )
 def _(s):
-    return orders.get_order(s.star(), ORDER)
+    t = s.star()
+    return orders.get_order(t, t["invoices"].filter(F.col("is_cancelled") == 1))
 
 
 @query(
@@ -224,13 +240,15 @@ def _(s):
 
 @query(
     "order_items",
-    f"""SELECT * FROM (SELECT * FROM o2c_order_items WHERE order_id = '{ORDER}')
+    """SELECT * FROM (SELECT * FROM o2c_order_items WHERE order_id IN (
+        SELECT order_id FROM o2c_orders WHERE order_type = '1-URGENT'))
     LEFT JOIN (SELECT product_id, product_name, product_type, old_sku FROM o2c_products)
         USING (product_id)""",
     number=["quantity", "net_amount"],
 )
 def _(s):
-    return orders.order_items(s.star(), ORDER)
+    t = s.star()
+    return orders.order_items(t, t["orders"].filter(F.col("order_type") == "1-URGENT"))
 
 
 @query(

@@ -119,6 +119,18 @@ def test_lookups_give_no_row_for_an_unknown_key(t):
     assert [r.product_id for r in products.list_products(t).collect()] == ["p2"]
 
 
+def test_lookups_take_many_keys(spark, t):
+    keys = spark.createDataFrame([("1",), ("10",), ("1",), ("404",)], "customer_id string")
+    assert rows(customers.get_customer(t, keys), "customer_id") == [("1",), ("10",)]
+    got = rows(customers.customer_summary(t, keys), "customer_id", "total_orders", "total_paid")
+    assert got == [("1", 2, d("16.0000")), ("10", 0, d("0.0000"))]
+    assert rows(customers.customer_orders(t, keys)) == rows(customers.customer_orders(t, "1"))
+    orders_ = spark.createDataFrame([("o1",), ("o2",)], "order_id string")
+    got = [(r.order_id, r.line_no) for r in orders.order_items(t, orders_).collect()]
+    assert got == [("o1", "9"), ("o1", "10"), ("o2", "1")]
+    assert rows(orders.get_order(t, orders_), "order_id") == [("o1",), ("o2",)]
+
+
 def test_lines_sort_by_number_not_text(t):
     got = [(r.line_no, r.product_name) for r in orders.order_items(t, "o1").collect()]
     assert got == [("9", "Bolt"), ("10", "Nut")]
