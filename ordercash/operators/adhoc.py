@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ordercash.model import Tables
 from ordercash.operators.orders import live_invoices, shipped
 from ordercash.operators.products import billed_products
-from ordercash.plans import having_no, having_some, left_join_many, newest_first, page
+from ordercash.plans import having_no, having_some, join_totals, left_join_many, newest_first, page
 
 # The codes a delivery status can take.
 STATUS_CODES = ("A", "B", "C")
@@ -273,9 +273,9 @@ def correlated_subquery(t: Tables) -> DataFrame:
     own = t["orders"].groupBy("customer_id").agg(
         F.sum("total_amount").alias("own_total"), F.count("total_amount").alias("own_orders")
     )
+    orders = t["orders"].select("order_id", "customer_id", "total_amount")
     return (
-        t["orders"].select("order_id", "customer_id", "total_amount")
-        .join(own, "customer_id")
+        join_totals(orders, own, "customer_id", "inner")
         .filter(F.col("total_amount") * F.col("own_orders") > F.col("own_total"))
         .select("order_id", "customer_id", "total_amount")
     )

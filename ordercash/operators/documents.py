@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ordercash.model import Tables
 from ordercash.plans import (
     broadcast_page,
+    join_totals,
     left_join_many,
     left_join_one,
     near,
@@ -72,7 +73,7 @@ def unpaid_by_link(s: Tables, link: str = "invoice_reference") -> DataFrame:
     )
     open_links = F.when(F.col("n_links").isNull(), F.lit(1)).otherwise(F.col("n_open"))
     return (
-        left_join_one(live, settled, ours)
+        join_totals(live, settled, ours)
         .withColumn("open_links", open_links.cast("bigint"))
         .filter(F.col("open_links") > 0)
         .select(
@@ -144,7 +145,7 @@ def _paths(orders: DataFrame, links: _Links, rows_per_task: int) -> DataFrame:
     paths = left_join_many(orders, deliveries, "sales_order", "delivery_document", rows_per_task)
     paths = left_join_many(paths, billings, "delivery_document", "billing_document", rows_per_task)
     paths = left_join_one(paths, links.headers, "billing_document")
-    paths = left_join_one(paths, payments, "accounting_document")
+    paths = join_totals(paths, payments, "accounting_document")
     n_paths = F.lit(1).cast("bigint")
     for n in ("n_delivery", "n_billing", "n_payment"):
         n_paths = n_paths * F.coalesce(n, F.lit(1))

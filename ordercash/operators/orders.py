@@ -9,6 +9,7 @@ from ordercash.model import Tables
 from ordercash.plans import (
     broadcast_page,
     having_no,
+    join_totals,
     left_join_many,
     left_join_one,
     near,
@@ -165,7 +166,8 @@ def order_flow_all(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
         F.max("clearing_date").alias("last_clearing_date"),
     )
     orders = _flow_orders(t["orders"])
-    orders = left_join_one(left_join_one(orders, _names(t), "customer_id"), received, "customer_id")
+    orders = left_join_one(orders, _names(t), "customer_id")
+    orders = join_totals(orders, received, "customer_id")
     flow = left_join_many(
         orders, documents, "order_id", ["delivery_id", "invoice_id"], rows_per_task
     )
@@ -181,7 +183,8 @@ def order_items(t: Tables, order_id: str | DataFrame) -> DataFrame:
     """Lines of an order, or of the orders in a DataFrame, with product attributes, in order."""
     items = pick(t["order_items"], "order_id", order_id)
     products = t["products"].select("product_id", "product_name", "product_type", "old_sku")
-    return left_join_one(items, near(products, items, "product_id"), "product_id").select(
+    products = near(products, items, "product_id")
+    return left_join_one(items, products, "product_id").select(
         *items.columns, "product_name", "product_type", "old_sku"
     ).orderBy(
         "order_id", F.col("line_no").cast("int").asc_nulls_last(), "product_id", "plant", "net_amount"

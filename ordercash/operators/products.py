@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordercash.model import Tables
-from ordercash.plans import newest_first, page, pick
+from ordercash.plans import mix, newest_first, page, pick
 
 MAX_TOP = 50
 
@@ -38,9 +38,9 @@ def billed_products(t: Tables) -> DataFrame:
         .agg(F.count("*").cast("decimal(18,0)").alias("n_live"))
     )
     per_order = (
-        t["order_items"].select("order_id", "product_id", "net_amount", "quantity")
-        .join(live, "order_id")
-        .groupBy("product_id", "order_id")
+        mix(t["order_items"].select("order_id", "product_id", "net_amount", "quantity"), "order_id")
+        .join(mix(live, "order_id"), ["order_id", "_mix"])
+        .groupBy("product_id", "order_id", "_mix")
         .agg(
             F.sum(F.col("net_amount") * F.col("n_live")).alias("revenue"),
             F.sum(F.col("quantity") * F.col("n_live")).alias("units"),

@@ -2,14 +2,16 @@ from ordercash.plans.joins import (
     having_no,
     having_some,
     hot_keys,
+    join_totals,
     left_join_many,
     left_join_one,
+    mix,
     near,
     pick,
 )
 from ordercash.plans.paging import broadcast_page, newest_first, page
 
 __all__ = [
-    "broadcast_page", "having_no", "having_some", "hot_keys", "left_join_many", "left_join_one",
-    "near", "newest_first", "page", "pick",
+    "broadcast_page", "having_no", "having_some", "hot_keys", "join_totals", "left_join_many",
+    "left_join_one", "mix", "near", "newest_first", "page", "pick",
 ]

@@ -2,9 +2,10 @@
 
 At run time AQE splits a skewed partition of either side of an inner join, and of the
 preserved side of an outer, semi or anti join. It cannot split the other side of a left
-join, nor the probed side of a semi or anti join. The helpers below cover those two:
-``left_join_many`` salts the hot keys of the right side, and ``having_some`` /
-``having_no`` reduce the probed side to its distinct keys before the shuffle.
+join, nor the probed side of a semi or anti join, nor any join in which a side is an aggregate
+by the join key. The helpers below cover those: ``left_join_many`` salts the hot keys of the
+right side, ``having_some`` and ``having_no`` probe distinct keys, and ``join_totals`` joins an
+aggregate in a way that AQE can split.
 """
 
 from __future__ import annotations
@@ -74,13 +75,29 @@ def left_join_many(
 
 
 def left_join_one(left: DataFrame, one: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """``left LEFT JOIN one`` where ``one`` is unique by ``on``: AQE splits a skewed ``left``."""
+    """``left LEFT JOIN one`` where ``one`` is a table unique by ``on``."""
     return left.join(one, on, "left")
 
 
+def mix(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with a second join key ``_mix``, a hash of ``keys``.
+
+    AQE splits a skewed join only where both sides come straight out of a shuffle. An
+    aggregate by the join key is joined where it lies, without one, so a hot key on the other
+    side stays in one task. Joining on the key and ``_mix`` makes the planner shuffle the
+    aggregate, which has one row per key, and leaves the other side splittable.
+    """
+    return df.withColumn("_mix", F.xxhash64(*keys))
+
+
+def join_totals(left: DataFrame, totals: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """``left JOIN totals`` where ``totals`` is an aggregate by ``on`` and ``left`` is skewed."""
+    return mix(left, on).join(mix(totals, on), [on, "_mix"], how).drop("_mix")
+
+
 def having_some(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``other``."""
-    return df.join(other.select(on).distinct(), on, "left_semi")
+    return join_totals(df, other.select(on).distinct(), on, "left_semi")
 
 
 def pick(df: DataFrame, column: str, wanted: str | DataFrame) -> DataFrame:
@@ -92,7 +109,7 @@ def pick(df: DataFrame, column: str, wanted: str | DataFrame) -> DataFrame:
 
 def having_no(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose key does not occur in ``other``; a null key never occurs."""
-    return df.join(other.select(on).distinct(), on, "left_anti")
+    return join_totals(df, other.select(on).distinct(), on, "left_anti")
 
 
 def near(df: DataFrame, keys: DataFrame, on: str, most: int = MAX_HOT_KEYS) -> DataFrame:

@@ -1,6 +1,15 @@
+import pytest
 from pyspark.sql import functions as F
 
-from ordercash.plans import broadcast_page, having_no, having_some, hot_keys, left_join_many, near
+from ordercash.plans import (
+    broadcast_page,
+    having_no,
+    having_some,
+    hot_keys,
+    join_totals,
+    left_join_many,
+    near,
+)
 from ordercash.plans.paging import MAX_BROADCAST_ROWS
 from tests.conftest import rows
 
@@ -64,3 +73,61 @@ def test_near_keeps_every_row_that_could_match(spark):
     for most in (1, 2, 10):
         joined = few.join(near(many, few, "k", most=most), "k", "left")
         assert rows(joined) == rows(few.join(many, "k", "left"))
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "64",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "65536",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "65536",
+}
+
+
+@pytest.fixture
+def small_partitions(spark):
+    before = {key: spark.conf.get(key) for key in SKEW}
+    for key, value in SKEW.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def _skewed(spark):
+    """A third of 300,000 rows on key 0, from several input partitions."""
+    return spark.range(0, 300_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5_000).alias("k"), "id"
+    )
+
+
+def _totals(spark):
+    return spark.range(0, 20_000, 1, 8).groupBy((F.col("id") % 4_000).alias("k")).agg(
+        F.count("*").alias("n")
+    )
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("join", [
+    lambda df, totals: having_some(df, totals, "k"),
+    lambda df, totals: having_no(df, totals.filter("k > 10"), "k"),
+    lambda df, totals: join_totals(df, totals, "k"),
+    lambda df, totals: join_totals(df, totals, "k", "inner"),
+], ids=["semi", "anti", "left", "inner"])
+def test_a_hot_key_is_split_in_joins_with_aggregates(spark, small_partitions, join):
+    assert "skew=true" in _final_plan(join(_skewed(spark), _totals(spark)))
+
+
+def test_a_plain_join_with_an_aggregate_is_not_split(spark, small_partitions):
+    plain = _skewed(spark).join(_totals(spark), "k", "left")
+    assert "skew=true" not in _final_plan(plain)
+
+
+def test_joins_with_aggregates_keep_their_meaning(spark):
+    left, many = _tables(spark)
+    totals = many.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        assert rows(join_totals(left, totals, "k", how)) == rows(left.join(totals, "k", how))

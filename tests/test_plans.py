@@ -92,7 +92,9 @@ def test_top_few_per_key_are_cut_before_the_shuffle(spark):
 
 def test_lines_are_summed_without_a_shuffle_of_their_own(stored):
     text = plan(products.billed_products(stored))
-    # one exchange of lines by order, one of live invoices, then only per-product partial sums
-    assert text.count("hashpartitioning(order_id") == 2
+    # live invoices are counted by order and their counts shuffled, lines are shuffled once,
+    # and all that follows is per-product partial sums
+    assert text.count("hashpartitioning(order_id") == 3
+    assert text.count("hashpartitioning(order_id#") == 3
     assert "hashpartitioning(product_id#" in text
     assert not re.search(r"hashpartitioning\(product_id#\w+, order_id", text)
