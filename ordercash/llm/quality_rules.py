@@ -31,53 +31,55 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _repeat_words(words: Column, window: int) -> Column:
-    """Words in windows of ``window`` words that are found twice or more.
+def with_repeat_words(df: DataFrame, window: int) -> DataFrame:
+    """``df`` with n_repeat_words: words in windows of ``window`` of its ``words`` that are found
+    twice or more in the text.
 
-    Windows are hashed and sorted with their places, so that equal ones lie side by side; the
-    places of those with an equal neighbour then say which words are covered.
+    Windows are hashed; only where two are equal are they sorted with their places, so that equal
+    ones lie side by side. Each step is a column of its own, so that it is worked out once a row.
     """
-    n = F.size(words)
-    places = F.sequence(F.lit(0), n - window)
-    hashed = F.transform(
-        places,
-        lambda i: F.struct(
-            F.xxhash64(*[F.get(words, i + k) for k in range(window)]).alias("h"), i.alias("i")
-        ),
+    n = F.size("words")
+    hashes = F.transform(
+        F.sequence(F.lit(0), n - window),
+        lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(window)]),
     )
-    return F.when(n <= window, F.lit(0)).otherwise(_covered(F.array_sort(hashed), window))
-
-
-def _covered(rows: Column, window: int) -> Column:
-    hashes = rows["h"]
+    out = df.withColumn("_hashes", F.when(n > window, hashes))
+    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    placed = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    out = out.withColumn("_rows", F.when(repeats, F.array_sort(placed)))
+    rows = F.col("_rows")
     twice = F.filter(
         rows,
-        lambda r, k: (r["h"] == F.get(hashes, k - 1)) | (r["h"] == F.get(hashes, k + 1)),
+        lambda r, k: (r["h"] == F.get(rows, k - 1)["h"]) | (r["h"] == F.get(rows, k + 1)["h"]),
     )
-    starts = F.array_sort(twice["i"])
-    gaps = F.transform(
-        starts, lambda i, k: F.least(F.lit(window), F.coalesce(F.get(starts, k + 1) - i, F.lit(window)))
+    out = out.withColumn("_starts", F.array_sort(F.transform(twice, lambda r: r["i"])))
+    starts = F.col("_starts")
+    covered = F.transform(
+        starts,
+        lambda i, k: F.least(F.lit(window), F.coalesce(F.get(starts, k + 1) - i, F.lit(window))),
     )
-    return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
+    total = F.coalesce(F.aggregate(covered, F.lit(0), lambda x, y: x + y), F.lit(0))
+    return out.withColumn("n_repeat_words", total.cast("long")).drop("_hashes", "_rows", "_starts")
 
 
 def rule_figures(docs: DataFrame, id_column="doc_id", text_column="text", host_column="source") -> DataFrame:
     """One row a document: its figures, ``base_failed`` and its host."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    figures = docs.select(
+    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
+    split = docs.select(
         F.col(id_column).alias("doc_id"),
         F.coalesce(F.col(host_column).cast("string"), F.lit(NULL_HOST)).alias("host"),
         text.alias("text"),
         words_of(text).alias("words"),
-    ).select(
+    )
+    figures = with_repeat_words(split, WINDOW).select(
         "doc_id",
         "host",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("words"), WINDOW).cast("long").alias("n_repeat_words"),
+        "n_repeat_words",
     )
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordercash.llm import decontamination, packing, quality_rules, sharding
-from ordercash.llm.common import written
+from ordercash.llm import (
+    decontamination,
+    jaccard_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    warc,
+)
+from ordercash.llm.common import crc_of_id, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +27,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return jaccard_join.linked(docs).select(
+        "doc_id", F.col("group_id").alias("class_id"), "n_links", "n_texts"
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffled(table(spark, sf_dir, "documents"), shards=16, keep=["doc_id"])
     return placed.select(
@@ -43,6 +58,22 @@ def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(spark, archives, split_bytes=4 << 20, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.pmod(crc_of_id("doc_id"), F.lit(quality_classifier.HELD_OUT)) == 0
+    scored = docs.select(
+        "doc_id", held_out.alias("held_out"), quality_classifier.score(F.col("text"), model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= quality_classifier.CUT).cast("int"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.hits(docs, table(spark, sf_dir, "benchmark"))
@@ -56,7 +87,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_sharding, op5_quality_rules, op7_packing, op10_decontamination)
+    for f in (
+        op2_jaccard_join, op3_sharding, op5_quality_rules, op7_packing, op8_warc,
+        op9_quality_classifier, op10_decontamination,
+    )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -66,9 +100,13 @@ ORACLES = {
     WITH d AS (
         SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, {_WORDS} AS w
         FROM documents),
+    placed AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+    five AS (
+        SELECT doc_id, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d,
+            lead(a, 4) OVER o AS e FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
     grams AS (
-        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(w, i, i + 4)) AS n
-        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c, d, e) AS n
+        FROM five WHERE e IS NOT NULL),
     covered AS (
         SELECT doc_id, count(DISTINCT i + k) AS n
         FROM grams, unnest([0, 1, 2, 3, 4]) AS u(k) WHERE n > 1 GROUP BY doc_id),
@@ -99,6 +137,16 @@ ORACLES = {
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
         NOT base_failed AND (failed + mean * s) / (n + s) <= 0.5 AS kept
     FROM b JOIN hosts USING (host), prior""",
+    "op8_warc": """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size,
+            sha256(coalesce(html, '')) AS digest FROM pages),
+    f AS (
+        SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END
+            AS first FROM p)
+    SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
     "op10_decontamination": r"""
     WITH d AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
