@@ -9,6 +9,7 @@ from ordercash.llm import (
     decontamination,
     jaccard_join,
     packing,
+    partial_matching,
     quality_classifier,
     quality_rules,
     sharding,
@@ -27,6 +28,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partial_matching.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return jaccard_join.linked(docs).select(
@@ -88,7 +93,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_jaccard_join, op3_sharding, op5_quality_rules, op7_packing, op8_warc,
+        op1_partial_matching, op2_jaccard_join, op3_sharding, op5_quality_rules, op7_packing, op8_warc,
         op9_quality_classifier, op10_decontamination,
     )
 }
