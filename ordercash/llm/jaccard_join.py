@@ -101,18 +101,14 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, n: int, bands:
 
     @F.pandas_udf(schema)
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         hasher = Hasher(n, bands, rows)
         for texts in batches:
             out = []
             for text in texts:
                 grams = hasher.ngrams(text)
-                if len(grams):
-                    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
-                    out.append((digest, len(grams), hasher.band_hashes(grams)))
-                else:
-                    out.append((None, 0, None))
+                out.append((
+                    _digest(grams), len(grams), hasher.band_hashes(grams) if len(grams) else None
+                ))
             yield pd.DataFrame(out, columns=["set", "n_grams", "bands"])
 
     return docs.select(
@@ -224,16 +220,21 @@ def _forest(linked: np.ndarray, same: bool) -> np.ndarray:
     return label
 
 
+def _digest(grams: np.ndarray) -> bytes | None:
+    """Hash of a whole n-gram set, None for an empty one."""
+    import hashlib
+
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+
+
 def _gram_sets(n: int):
     @F.pandas_udf("set binary, grams array<long>")
     def gram_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         hasher = Hasher(n, 1, 1)
         for texts in batches:
             found = [hasher.ngrams(t) for t in texts]
             yield pd.DataFrame({
-                "set": [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in found],
+                "set": [_digest(g) for g in found],
                 "grams": [g.view(np.int64) for g in found],
             })
 
@@ -289,9 +290,10 @@ def linked(
     block_rows: int = 256,
     block_grams: int = 500_000,
 ) -> DataFrame:
-    """One row a document: doc_id, ``class`` (of equal n-gram sets), ``group_id``, the smallest
-    doc_id of all linked to it directly or through others, ``n_links`` and ``n_texts``, the other
-    documents and other classes of similarity ``threshold`` or more."""
+    """One row a document: doc_id, ``class`` (of equal n-gram sets), ``group_id`` and
+    ``group_class``, the smallest doc_id of all linked to it directly or through others and that
+    one's class, ``n_links`` and ``n_texts``, the other documents and other classes of similarity
+    ``threshold`` or more."""
     bands, rows = bands_for(threshold, recall)
     signed = written(signatures(docs, id_column, text_column, n, bands, rows), "signatures")
     with_set = signed.filter(F.col("set").isNotNull())
@@ -351,12 +353,15 @@ def linked(
     roots = components(verified.filter(F.col("set") != F.col("to")).select("set", "to").distinct())
     labelled = classes.select("set", "first_id", "copies").join(roots, "set", "left").join(counts, "set", "left")
     labelled = written(labelled.withColumn("root", F.coalesce("root", "set")), "labelled")
-    group_ids = labelled.groupBy("root").agg(F.min("first_id").alias("group_id"))
+    first = F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "set")
+    group_ids = labelled.groupBy("root").agg(F.min(first).alias("first")).select(
+        "root", F.col("first.first_id").alias("group_id"), F.col("first.set").alias("group_set")
+    )
     about = (
         labelled.withColumn("_spread", spread("root"))
         .join(group_ids.withColumn("_spread", spread("root")), ["root", "_spread"])
         .select(
-            "set", "group_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            "set", "group_id", "group_set", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
         )
     )
@@ -365,5 +370,38 @@ def linked(
     return members.join(about.withColumn("_spread", spread("set")), ["set", "_spread"], "left").select(
         "doc_id", F.hex("set").alias("class"),
         F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
+        F.hex("group_set").alias("group_class"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
     )
+
+
+def deduplicated(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = NGRAM, **options
+) -> DataFrame:
+    """``docs`` with one document of each group, that of the smallest id; documents without a word
+    are no copies of each other. Of rows that share both id and class one stays."""
+    about = linked(docs, id_column, text_column, n, **options)
+    stays = about.filter(
+        F.col("doc_id").eqNullSafe(F.col("group_id")) & F.col("class").eqNullSafe(F.col("group_class"))
+    ).select(F.col("doc_id").alias("_kept"), F.unhex("class").alias("_kept_set")).distinct()
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    tagged = docs.select(
+        record.alias("record"), F.col(id_column).cast("long").alias("_id"),
+        _set_hash(n)(F.col(text_column)).alias("_set"),
+    )
+    kept = tagged.join(
+        written(stays, "stays"),
+        F.col("_id").eqNullSafe(F.col("_kept")) & F.col("_set").eqNullSafe(F.col("_kept_set")),
+        "left_semi",
+    )
+    return kept.dropDuplicates(["_id", "_set"]).select("record.*")
+
+
+def _set_hash(n: int):
+    @F.pandas_udf("binary")
+    def set_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher = Hasher(n, 1, 1)
+        for texts in batches:
+            yield pd.Series([_digest(hasher.ngrams(t)) for t in texts], dtype=object)
+
+    return set_hash

@@ -14,7 +14,9 @@ rows are packed each. Columns beyond id and text are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -33,35 +35,65 @@ PIECES = (
 )
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level tokenizer writes for each byte: printable ones stand for
+    themselves, the others for the letters from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
-    """Token ids of texts for a tokenizer that never joins across white space.
+    """Token ids of texts for a tokenizer that lower-cases and never joins across white space.
 
     Words are encoded once and kept, up to ``keep`` of them; a text's ids are those of its words.
+    A word of letters, with marks behind it or not, is one piece to the tokenizer's model (the marks
+    are another), which is then asked directly; any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
+
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, np.ndarray] = {}
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.known: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.keep = keep
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
+    def whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode()
+        core = text.rstrip(self.MARKS)
+        # Letters of one form each; a mark of a foreign alphabet behind a word is none of them.
+        if not core.isalpha() or not (core.isascii() or (is_normalized("NFC", core) and core.islower())):
+            return self.whole(text)
+        marks = text[len(core) :]
+        if marks not in self.marks:
+            if len(self.marks) > 100_000:
+                self.marks = {"": b""}
+            self.marks[marks] = self.whole(marks)
+        spelt = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes() + self.marks[marks]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.known) > self.keep:
             self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast(
-                [w.decode() for w in part], add_special_tokens=False
-            )
-            for w, e in zip(part, encoded, strict=True):
-                known[w] = np.array(e.ids, dtype="<u4")
-        none = np.zeros(0, dtype="<u4")
-        return [np.concatenate([known[w] for w in ws]) if ws else none for ws in split]
+        known, word, out = self.known, self.word, []
+        for text in texts:
+            ws = text.encode("utf-8", "replace").lower().split()
+            for w in ws:
+                if w not in known:
+                    known[w] = word(w)
+            out.append(b"".join([known[w] for w in ws]))
+        return out
 
 
 def pieces(
@@ -78,7 +110,7 @@ def pieces(
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder(tokenizer)
-        last = np.array([end], dtype="<u4")
+        last = array("I", [end]).tobytes()
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             for at in range(0, len(texts), 256):
@@ -87,12 +119,12 @@ def pieces(
                     batch["doc_id"][at : at + 256], batch["row"][at : at + 256],
                     encoder.encode(texts[at : at + 256]), strict=True,
                 ):
-                    ids = np.concatenate([ids, last])
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
+                    ids += last
+                    for k, start in enumerate(range(0, len(ids) // 4, capacity)):
+                        part = ids[4 * start : 4 * (start + capacity)]
                         rows.append((
-                            doc, k, start, len(part), zlib.crc32(part.tobytes()),
-                            part.astype("i4") if keep_ids else None, row,
+                            doc, k, start, len(part) // 4, zlib.crc32(part),
+                            np.frombuffer(part, dtype="<i4") if keep_ids else None, row,
                         ))
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "row"])
                 out["doc_id"] = out["doc_id"].astype("Int64")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ordercash.llm import (
     decontamination,
     jaccard_join,
+    license_scan,
     packing,
     partial_matching,
     quality_classifier,
     quality_rules,
+    quote_linking,
     sharding,
     warc,
 )
@@ -47,6 +49,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as mail that quotes the turns before; without quotes they are the turns again."""
+    mail = quote_linking.as_mail(table(spark, sf_dir, "conversations"))
+    return quote_linking.conversations(mail)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -55,6 +63,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer or default_tokenizer())
     placed = packing.packed(written(cut, "pieces"))
@@ -93,8 +105,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_partial_matching, op2_jaccard_join, op3_sharding, op5_quality_rules, op7_packing, op8_warc,
-        op9_quality_classifier, op10_decontamination,
+        op1_partial_matching, op2_jaccard_join, op3_sharding, op4_quote_linking,
+        op5_quality_rules, op6_license_scan, op7_packing, op8_warc, op9_quality_classifier,
+        op10_decontamination,
     )
 }
 
