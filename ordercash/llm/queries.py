@@ -114,6 +114,59 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES = {
+    # Every pair that shares an n-gram, counted exactly; groups by walking the links.
+    "op2_jaccard_join": rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    g AS (
+        SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS gram
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+    n AS (
+        SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(31) ORDER BY gram)) AS same
+        FROM g GROUP BY doc_id),
+    pairs AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+        FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT x, y, a.same <> b.same AS other, b.same
+        FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+        WHERE 10 * k >= 8 * (a.n + b.n - k)),
+    reach AS (
+        SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+    low AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+    counts AS (
+        SELECT x, count(*) AS n_links, count(DISTINCT same) FILTER (other) AS n_texts
+        FROM links GROUP BY x)
+    SELECT doc_id, least(doc_id, coalesce(low.y, doc_id)) AS class_id,
+        coalesce(n_links, 0) AS n_links, coalesce(n_texts, 0) AS n_texts
+    FROM d LEFT JOIN low ON low.x = doc_id LEFT JOIN counts ON counts.x = doc_id""",
+    # The texts are the turns' own again; a turn replies to the first that says what the turn
+    # before it says.
+    "op4_quote_linking": r"""
+    WITH RECURSIVE t AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+    said AS (
+        SELECT conv_id, turn, trim(regexp_replace(lower(x), '[\x00-\x20]+', ' ', 'g')) AS piece
+        FROM (SELECT conv_id, turn, unnest([text] || string_split(text, chr(10))
+            || regexp_split_to_array(text, '\n[ \t]*\n')) AS x FROM t)),
+    firsts AS (
+        SELECT conv_id, piece, min(turn) AS original FROM said WHERE piece <> '' GROUP BY ALL),
+    links AS (
+        SELECT b.conv_id, b.turn, original AS parent
+        FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1
+            JOIN firsts f ON f.conv_id = a.conv_id
+                AND f.piece = trim(regexp_replace(lower(a.text), '[\x00-\x20]+', ' ', 'g'))
+        WHERE original < b.turn),
+    up AS (
+        SELECT conv_id, turn, parent, parent AS start, 1 AS depth FROM links
+        UNION ALL
+        SELECT u.conv_id, u.turn, u.parent, l.parent, u.depth + 1
+        FROM up u JOIN links l ON l.conv_id = u.conv_id AND l.turn = u.start),
+    top AS (
+        SELECT conv_id, turn, parent, min(start) AS start, max(depth) AS depth
+        FROM up GROUP BY conv_id, turn, parent)
+    SELECT conv_id, turn, role, text, parent, coalesce(start, turn) AS start,
+        CAST(coalesce(depth, 0) AS BIGINT) AS depth
+    FROM t LEFT JOIN top USING (conv_id, turn)""",
     "op5_quality_rules": rf"""
     WITH d AS (
         SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, {_WORDS} AS w
