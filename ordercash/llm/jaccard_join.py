@@ -68,7 +68,7 @@ class Hasher:
         ws = (text or "").encode("utf-8", "replace").split()
         if not ws:
             return np.zeros(0, dtype=np.uint64)
-        if len(self.known) > 500_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         known, word = self.known, self.word
         ids = [known.get(w) or known.setdefault(w, word(w)) for w in ws]
@@ -126,50 +126,60 @@ def _new_pairs(bands: np.ndarray, other: np.ndarray, band: int, same: bool) -> n
     return new
 
 
-def _halves(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    """The two blocks of a task's rows; a block with itself is given twice."""
-    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-    rows = rows.sort_values("set", ignore_index=True)
-    if i == j:
-        return rows, rows, True
-    return rows[rows["block"] == i], rows[rows["block"] == j], False
+def _tasks(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Band and the rows' places of both blocks, for every pair of blocks in ``rows``; a block
+    with itself is given twice."""
+    columns = [rows[c].to_numpy(np.int64) for c in ("j", "i", "hash", "band")]
+    order = np.lexsort(columns)
+    ordered = np.stack([c[order] for c in columns])
+    cuts = np.flatnonzero((ordered[:, 1:] != ordered[:, :-1]).any(axis=0)) + 1
+    block, (j, i, _, band) = rows["block"].to_numpy(np.int64), columns
+    for at in np.split(order, cuts) if len(order) else []:
+        one = at[0]
+        if i[one] == j[one]:
+            yield int(band[one]), at, at, True
+        else:
+            yield int(band[one]), at[block[at] == i[one]], at[block[at] == j[one]], False
+
+
+def _band_matrix(rows: pd.DataFrame) -> np.ndarray:
+    return np.array(rows["bands"].tolist(), dtype=np.int64).reshape(len(rows), -1)
 
 
 def _open(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a pair of blocks that have a pair to verify here."""
-    left, right, same = _halves(rows)
-    band = int(rows["band"].iloc[0])
-    a = np.array(left["bands"].tolist(), dtype=np.int64).reshape(len(left), -1)
-    b = a if same else np.array(right["bands"].tolist(), dtype=np.int64).reshape(len(right), -1)
-    new = _new_pairs(a, b, band, same)
-    some_left, some_right = new.any(axis=1), new.any(axis=0)
-    out = left[some_left | some_right] if same else pd.concat([left[some_left], right[some_right]])
-    return out[["set", "band", "hash", "i", "j", "block", "bands", "copies"]]
+    """The rows that have a pair to verify in their pair of blocks."""
+    bands, keep = _band_matrix(rows), []
+    for band, left, right, same in _tasks(rows):
+        new = _new_pairs(bands[left], bands[right], band, same)
+        if same:
+            keep.append(left[new.any(axis=1) | new.any(axis=0)])
+        else:
+            keep += [left[new.any(axis=1)], right[new.any(axis=0)]]
+    return rows.iloc[np.concatenate(keep)].drop(columns="part")
 
 
 def _verifier(threshold: float):
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = _halves(rows)
-        band = int(rows["band"].iloc[0])
-        if not len(left) or not len(right):
-            return pd.DataFrame({"set": [], "links": [], "texts": [], "to": []})
-        a = np.array(left["bands"].tolist(), dtype=np.int64).reshape(len(left), -1)
-        b = a if same else np.array(right["bands"].tolist(), dtype=np.int64).reshape(len(right), -1)
-        linked = _new_pairs(a, b, band, same)
-        linked &= _similar(left["grams"].tolist(), right["grams"].tolist(), linked, threshold)
-        both = [left] if same else [left, right]
-        ca, cb = left["copies"].to_numpy(), right["copies"].to_numpy()
-        texts = [linked.sum(axis=1), linked.sum(axis=0)]
-        links = [linked @ cb, ca @ linked]
-        if same:
-            texts, links = [texts[0] + texts[1]], [links[0] + links[1]]
-        to = _forest(linked, same)
-        sets = np.concatenate([x["set"].to_numpy() for x in both])
-        out = pd.DataFrame({
-            "set": sets, "links": np.concatenate(links).astype(np.int64),
-            "texts": np.concatenate(texts).astype(np.int64), "to": sets[to],
-        })
-        return out[out["texts"] > 0]
+        bands, copies = _band_matrix(rows), rows["copies"].to_numpy(np.int64)
+        sets, grams = rows["set"].to_numpy(), rows["grams"].to_numpy()
+        out = []
+        for band, left, right, same in _tasks(rows):
+            if not len(left) or not len(right):
+                continue
+            linked = _new_pairs(bands[left], bands[right], band, same)
+            linked &= _similar([grams[k] for k in left], [grams[k] for k in right], linked, threshold)
+            if not linked.any():
+                continue
+            texts = [linked.sum(axis=1), linked.sum(axis=0)]
+            links = [linked @ copies[right], copies[left] @ linked]
+            if same:
+                texts, links = [texts[0] + texts[1]], [links[0] + links[1]]
+            here = sets[left if same else np.concatenate([left, right])]
+            to = _forest(linked, same)
+            texts, links = np.concatenate(texts), np.concatenate(links)
+            some = np.flatnonzero(texts)
+            out += zip(here[some], links[some], texts[some], here[to[some]], strict=True)
+        return pd.DataFrame(out, columns=["set", "links", "texts", "to"])
 
     return verify
 
@@ -228,15 +238,14 @@ def _digest(grams: np.ndarray) -> bytes | None:
 
 
 def _gram_sets(n: int):
-    @F.pandas_udf("set binary, grams array<long>")
-    def gram_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def gram_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(n, 1, 1)
-        for texts in batches:
-            found = [hasher.ngrams(t) for t in texts]
-            yield pd.DataFrame({
-                "set": [_digest(g) for g in found],
-                "grams": [g.view(np.int64) for g in found],
-            })
+        for batch in batches:
+            for at in range(0, len(batch), 256):  # sets are larger than texts; few at a time
+                found = [hasher.ngrams(t) for t in batch["text"].iloc[at : at + 256]]
+                yield pd.DataFrame({
+                    "set": [_digest(g) for g in found], "grams": [g.view(np.int64) for g in found],
+                })
 
     return gram_sets
 
@@ -289,6 +298,7 @@ def linked(
     recall: float = 0.9999,
     block_rows: int = 256,
     block_grams: int = 500_000,
+    group_rows: int = 20_000,
 ) -> DataFrame:
     """One row a document: doc_id, ``class`` (of equal n-gram sets), ``group_id`` and
     ``group_class``, the smallest doc_id of all linked to it directly or through others and that
@@ -304,7 +314,7 @@ def linked(
         ),
         "classes",
     )
-    at = classes.select("set", "copies", "n_grams", "bands", F.posexplode("bands").alias("band", "hash"))
+    at = classes.select("set", "n_grams", F.posexplode("bands").alias("band", "hash"))
     buckets = (
         at.groupBy("band", "hash")
         .agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
@@ -321,16 +331,25 @@ def linked(
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "set", "band", "hash", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"),
-            "block", "bands", "copies",
+            "block",
         )
+        # Only what shares a bucket takes all its bands along.
+        .join(classes.select("set", "bands", "copies", "n_grams"), "set")
+        .select("set", "band", "hash", "i", "j", "block", "bands", "copies", "n_grams")
+    )
+    # Many small pairs of blocks share a group, whose rows are about ``group_rows``.
+    task = F.xxhash64("band", "hash", "i", "j")
+    columns = (
+        "set binary, band int, hash long, i int, j int, block int, bands array<long>, copies long, "
+        "n_grams long"
     )
-    task = ["band", "hash", "i", "j"]
+    parts = max(1, -(-classes.count() * bands // group_rows))
     todo = written(
-        dealt.groupBy(*task).applyInPandas(
-            _open, "set binary, band int, hash long, i int, j int, block int, bands array<long>, copies long"
-        ),
+        dealt.withColumn("part", F.pmod(task, F.lit(parts))).groupBy("part").applyInPandas(_open, columns),
         "todo",
     )
+    size = todo.agg(F.sum("n_grams")).first()[0] or 0
+    parts = max(1, -(-size // (2 * block_grams)))
     # One text of each class that is to be verified; a null id stands for all rows without one,
     # and so does an id for all its rows, which is why the set's hash is taken once more.
     needed = written(
@@ -340,13 +359,14 @@ def linked(
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = (
-        texts.select(_gram_sets(n)(F.col("text")).alias("s")).select("s.*")
+        texts.select("text").mapInPandas(_gram_sets(n), "set binary, grams array<long>")
         .join(needed.select("set"), "set", "left_semi").dropDuplicates(["set"])
     )
     verified = written(
         todo.withColumn("_spread", spread("set"))
         .join(sets.withColumn("_spread", spread("set")), ["set", "_spread"]).drop("_spread")
-        .groupBy(*task).applyInPandas(_verifier(threshold), "set binary, links long, texts long, to binary"),
+        .withColumn("part", F.pmod(task, F.lit(parts)))
+        .groupBy("part").applyInPandas(_verifier(threshold), "set binary, links long, texts long, to binary"),
         "verified",
     )
     counts = verified.groupBy("set").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
