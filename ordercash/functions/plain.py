@@ -45,14 +45,26 @@ def as_text(value: Column, kind: T.DataType, point: bool) -> Column:
     """
     if not isinstance(kind, T.FractionalType):
         return plain(value, kind).cast("string")
-    short = value.cast("string")
-    if isinstance(kind, T.DecimalType):
-        digits = short
-    else:
-        digits = F.when(short.contains("E"), value.cast("decimal(38,10)").cast("string")).otherwise(
-            short
-        )
+    digits = value.cast("string")
+    if not isinstance(kind, T.DecimalType):
+        digits = F.when(digits.contains("E"), _unfolded(digits)).otherwise(digits)
     trimmed = F.regexp_replace(digits, r"\.0*\z|(\.\d*?[1-9])0+\z", "$1")
     if not point:
         return trimmed
-    return F.when(trimmed.contains("."), trimmed).otherwise(F.concat(trimmed, F.lit(".0")))
+    whole = trimmed.rlike(r"^-?\d+\z")
+    return F.when(whole, F.concat(trimmed, F.lit(".0"))).otherwise(trimmed)
+
+
+def _unfolded(short: Column) -> Column:
+    """The digits of a number in exponent form, its point moved as far as the exponent says."""
+    sign = F.when(short.startswith("-"), "-").otherwise("")
+    mantissa = F.regexp_extract(short, r"^-?([\d.]+)E", 1)
+    power = F.regexp_extract(short, r"E(-?\d+)", 1).cast("int")
+    head = F.substring_index(mantissa, ".", 1)
+    tail = F.regexp_replace(F.substring_index(mantissa, ".", -1), r"^0\z", "")
+    large = F.concat(
+        head, F.rpad(F.left(tail, power), power, F.lit("0")),
+        F.lit("."), F.substr(tail, power + 1, F.greatest(F.length(tail) - power, F.lit(0))),
+    )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), head, tail)
+    return F.concat(sign, F.when(power < 0, small).otherwise(large))

@@ -44,7 +44,7 @@ def left_join(t: Tables) -> DataFrame:
     )
     return left_join_many(
         t["orders"].select("order_id", "customer_id", "total_amount"),
-        invoices, "order_id", "invoice_id",
+        invoices, "order_id",
     )
 
 
@@ -64,18 +64,20 @@ def full_join(t: Tables) -> DataFrame:
 
 
 def cross_join(t: Tables) -> DataFrame:
-    """Orders per type and status code, with a row for every combination, empty ones too.
+    """Orders per type and status code, with a row for every known combination, empty ones too,
+    and one for each other code that orders of the type have, null included.
 
     The second factor is a fixed code list, so the product is an explode of one row per type.
     """
-    counts = t["orders"].groupBy("order_type").agg(
-        *[F.count_if(F.col("delivery_status") == c).alias(c) for c in STATUS_CODES]
+    orders = t["orders"].groupBy("order_type", "delivery_status").agg(F.count("*").alias("n_orders"))
+    types = orders.select("order_type").distinct()
+    empty = types.select(
+        "order_type", F.explode(F.array(*map(F.lit, STATUS_CODES))).alias("delivery_status"),
+        F.lit(0).cast("bigint").alias("n_orders"),
     )
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("delivery_status"), F.col(c).alias("n_orders"))
-          for c in STATUS_CODES]
+    return orders.unionByName(empty).groupBy("order_type", "delivery_status").agg(
+        F.sum("n_orders").alias("n_orders")
     )
-    return counts.select("order_type", F.inline(cells))
 
 
 def theta_join(t: Tables, as_of: date) -> DataFrame:
@@ -369,27 +371,33 @@ def strings(t: Tables) -> DataFrame:
 
 
 def array_agg(t: Tables) -> DataFrame:
-    """The delivery status codes of each customer's orders as a sorted array.
-
-    Codes come from a short fixed list, so the array stays short however many orders there are.
-    """
-    known = F.when(F.col("delivery_status").isin(*STATUS_CODES), F.col("delivery_status"))
+    """The distinct delivery status codes of each customer's orders as a sorted array; a null
+    among them comes last."""
+    status = F.col("delivery_status")
     return t["orders"].groupBy("customer_id").agg(
-        F.array_sort(F.collect_set(known)).alias("statuses")
+        F.array_sort(F.collect_set(status)).alias("known"), F.bool_or(status.isNull()).alias("blank")
+    ).select(
+        "customer_id",
+        F.when(F.col("blank"), F.array_append("known", F.lit(None).cast("string")))
+        .otherwise(F.col("known")).alias("statuses"),
     )
 
 
 def json_agg(t: Tables) -> DataFrame:
-    """Per order type, a JSON list of its order counts by status code."""
+    """Per order type, a JSON list of its order counts by status code, a null code as null."""
     cell = F.struct(
         F.col("delivery_status").alias("status"), F.col("n_orders").alias("orders")
     )
+    cells = F.array_sort(
+        F.collect_list(cell),
+        lambda a, b: F.when(a["status"] == b["status"], 0)
+        .when(a["status"].isNull(), 1).when(b["status"].isNull(), -1)
+        .when(a["status"] < b["status"], -1).otherwise(1),
+    )
     return (
-        t["orders"].filter(F.col("delivery_status").isin(*STATUS_CODES))
-        .groupBy("order_type", "delivery_status")
-        .agg(F.count("*").alias("n_orders"))
+        t["orders"].groupBy("order_type", "delivery_status").agg(F.count("*").alias("n_orders"))
         .groupBy("order_type")
-        .agg(F.to_json(F.array_sort(F.collect_list(cell))).alias("by_status"))
+        .agg(F.to_json(cells, {"ignoreNullFields": "false"}).alias("by_status"))
     )
 
 
@@ -408,8 +416,8 @@ def json_build_object(t: Tables) -> DataFrame:
 
 
 def unnest(t: Tables) -> DataFrame:
-    """The arrays of ``array_agg`` as one row per customer and code."""
-    return array_agg(t).select("customer_id", F.explode("statuses").alias("status"))
+    """One row per customer and distinct status code of its orders, null included."""
+    return t["orders"].select("customer_id", F.col("delivery_status").alias("status")).distinct()
 
 
 def extract(t: Tables) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordercash.model import Tables
-from ordercash.plans import left_join_many, left_join_one, near, newest_first, page, pick
-from ordercash.plans.joins import ROWS_PER_TASK
+from ordercash.plans import having_some, left_join_many, left_join_one, newest_first, page, pick
 
 
 def list_customers(
@@ -27,23 +26,20 @@ def get_customer(t: Tables, customer_id: str | DataFrame) -> DataFrame:
     return pick(t["customers"], "customer_id", customer_id)
 
 
-def customer_orders(
-    t: Tables, customer_id: str | DataFrame, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def customer_orders(t: Tables, customer_id: str | DataFrame) -> DataFrame:
     """Orders of a customer with their deliveries and invoices, newest order first."""
     orders = pick(t["orders"], "customer_id", customer_id)
     deliveries = t["deliveries"].select("order_id", "delivery_id", "goods_status", "ship_date")
     invoices = t["invoices"].select(
         "order_id", "invoice_id", F.col("total_amount").alias("invoice_amount"), "is_cancelled"
     )
-    deliveries, invoices = near(deliveries, orders, "order_id"), near(invoices, orders, "order_id")
-    with_deliveries = left_join_many(orders, deliveries, "order_id", "delivery_id", rows_per_task)
-    return left_join_many(
-        with_deliveries, invoices, "order_id", "invoice_id", rows_per_task
-    ).orderBy("customer_id", *newest_first("order_date", "order_id", "delivery_id", "invoice_id"))
+    deliveries = having_some(deliveries, orders, "order_id")
+    invoices = having_some(invoices, orders, "order_id")
+    with_deliveries = left_join_many(orders, deliveries, "order_id")
+    return left_join_many(with_deliveries, invoices, "order_id").orderBy("customer_id", *newest_first("order_date", "order_id", "delivery_id", "invoice_id"))
 
 
-def _totals(t: Tables, customer_id: str | None) -> DataFrame:
+def _totals(t: Tables, wanted: str | DataFrame | None) -> DataFrame:
     """Per customer, in one grouping: orders, live invoices and payments, counts and sums."""
     facts = (
         t["orders"].select("customer_id", F.lit(1).alias("n_orders")),
@@ -60,8 +56,8 @@ def _totals(t: Tables, customer_id: str | None) -> DataFrame:
             .alias("paid"),
         ),
     )
-    if customer_id is not None:
-        facts = tuple(f.filter(F.col("customer_id") == customer_id) for f in facts)
+    if wanted is not None:
+        facts = tuple(pick(f, "customer_id", wanted) for f in facts)
     orders, invoices, payments = facts
     both = orders.unionByName(invoices, allowMissingColumns=True)
     every = both.unionByName(payments, allowMissingColumns=True)
@@ -74,11 +70,11 @@ def _totals(t: Tables, customer_id: str | None) -> DataFrame:
 
 
 def _with_totals(t: Tables, wanted: str | DataFrame | None) -> DataFrame:
-    """Customers with their totals; one key filters every table, many only the customers."""
+    """Customers with their totals; keys cut every table ahead of the grouping."""
     customers = t["customers"].select("customer_id", "name", "is_blocked")
     if wanted is not None:
         customers = pick(customers, "customer_id", wanted)
-    totals = _totals(t, wanted if isinstance(wanted, str) else None)
+    totals = _totals(t, wanted)
     joined = left_join_one(customers, totals, "customer_id")
     zero = F.lit(0)
     return joined.select(

@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 
 from ordercash.model import Tables
 from ordercash.plans import (
-    broadcast_page,
+    having_some,
     join_totals,
     left_join_many,
     left_join_one,
-    near,
     newest_first,
     page,
 )
-from ordercash.plans.joins import ROWS_PER_TASK
 
 TOP = 20  # Fixed value: rows shown by each report.
 
@@ -121,15 +119,18 @@ def _links(s: Tables) -> _Links:
     )
 
 
-def _links_near(links: _Links, orders: DataFrame, limit: int) -> _Links:
-    """The item tables, the largest, cut down to a page of orders before they are shuffled."""
-    keys = broadcast_page(orders.select("sales_order"), limit)
-    delivery_items = links.delivery_items.join(keys, "sales_order", "left_semi")
-    billing_items = near(links.billing_items, delivery_items, "delivery_document")
-    return links._replace(delivery_items=delivery_items, billing_items=billing_items)
+def _links_near(links: _Links, orders: DataFrame) -> _Links:
+    """All four tables cut down to what a page of orders leads to, before they are shuffled."""
+    delivery_items = links.delivery_items.join(
+        orders.select("sales_order"), "sales_order", "left_semi"
+    )
+    billing_items = having_some(links.billing_items, delivery_items, "delivery_document")
+    headers = having_some(links.headers, billing_items, "billing_document")
+    payments = having_some(links.payments, headers, "accounting_document")
+    return _Links(delivery_items, billing_items, headers, payments)
 
 
-def _paths(orders: DataFrame, links: _Links, rows_per_task: int) -> DataFrame:
+def _paths(orders: DataFrame, links: _Links) -> DataFrame:
     """Every distinct link path of ``orders`` and how many item-level paths it stands for.
 
     Items link documents, so a document pair occurs once per item that names it. The pairs
@@ -142,8 +143,8 @@ def _paths(orders: DataFrame, links: _Links, rows_per_task: int) -> DataFrame:
         F.count("*").alias("n_billing")
     )
     payments = links.payments.groupBy("accounting_document").agg(F.count("*").alias("n_payment"))
-    paths = left_join_many(orders, deliveries, "sales_order", "delivery_document", rows_per_task)
-    paths = left_join_many(paths, billings, "delivery_document", "billing_document", rows_per_task)
+    paths = left_join_many(orders, deliveries, "sales_order")
+    paths = left_join_many(paths, billings, "delivery_document")
     paths = left_join_one(paths, links.headers, "billing_document")
     paths = join_totals(paths, payments, "accounting_document")
     n_paths = F.lit(1).cast("bigint")
@@ -154,20 +155,18 @@ def _paths(orders: DataFrame, links: _Links, rows_per_task: int) -> DataFrame:
     ).withColumn("n_paths", n_paths)
 
 
-def trace_orders(
-    s: Tables, limit: int = TOP, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def trace_orders(s: Tables, limit: int = TOP) -> DataFrame:
     """Order to delivery to invoice to payment for the newest orders, ``limit`` link paths.
 
     Every order has at least one path, so the newest ``limit`` orders hold all rows of the
-    page, and the item tables are probed with their keys before they are shuffled.
+    page, and all other tables are probed with their keys before they are shuffled.
     """
     newest = newest_first("creation_date", "sales_order")
     orders = page(
         s["sales_order_headers"].select("sales_order", "sold_to_party", "creation_date"),
         newest, limit,
     )
-    paths = _paths(orders, _links_near(_links(s), orders, limit), rows_per_task)
+    paths = _paths(orders, _links_near(_links(s), orders))
     order = newest + [
         F.col(c).asc_nulls_last() for c in ("delivery_document", "billing_document", "payment_id")
     ]
@@ -175,10 +174,10 @@ def trace_orders(
     return page(_repeat(rows, "n_paths", limit), order, limit).select(*_PATH)
 
 
-def trace_orders_full(s: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def trace_orders_full(s: Tables) -> DataFrame:
     """Every distinct link path of every order, with the number of item-level paths."""
     orders = s["sales_order_headers"].select("sales_order", "sold_to_party")
-    paths = _paths(orders, _links(s), rows_per_task)
+    paths = _paths(orders, _links(s))
     return paths.select(*_PATH, "n_paths")
 
 

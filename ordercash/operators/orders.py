@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from ordercash.model import Tables
 from ordercash.plans import (
-    broadcast_page,
     having_no,
+    having_some,
     join_totals,
     left_join_many,
     left_join_one,
-    near,
     newest_first,
     page,
     pick,
 )
-from ordercash.plans.joins import ROWS_PER_TASK
 
 STAGES = ("delivery", "billing", "payment")
 
@@ -35,9 +33,9 @@ def list_orders(t: Tables, limit: int = 50, offset: int = 0) -> DataFrame:
     newest = newest_first("order_date", "order_id")
     rows = page(t["orders"], newest, limit, offset)
     keys = rows.select("customer_id").distinct()
-    names = _names(t).join(broadcast_page(keys, limit), "customer_id", "left_semi")
+    names = _names(t).join(keys, "customer_id", "left_semi")
     return (
-        left_join_one(rows, broadcast_page(names, limit), "customer_id")
+        left_join_one(rows, names, "customer_id")
         .select(
             "order_id", "customer_id", "customer_name", "order_date", "total_amount",
             "currency", "delivery_status", "process_status",
@@ -133,7 +131,7 @@ def _flow_invoices(t: Tables) -> DataFrame:
     )
 
 
-def order_flow(t: Tables, order_id: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def order_flow(t: Tables, order_id: str) -> DataFrame:
     """One order with each of its deliveries, invoices and its customer's payments."""
     order = get_order(t, order_id)
     # The key admits one order, so its customer is a scalar that filters both scans.
@@ -143,16 +141,13 @@ def order_flow(t: Tables, order_id: str, rows_per_task: int = ROWS_PER_TASK) ->
         "customer_id", "payment_id", "clearing_date", F.col("amount").alias("payment_amount")
     )
     flow = left_join_one(_flow_orders(order), customers, "customer_id")
-    for many, key in (
-        (_flow_deliveries(t).filter(F.col("order_id") == order_id), "delivery_id"),
-        (_flow_invoices(t).filter(F.col("order_id") == order_id), "invoice_id"),
-    ):
-        flow = left_join_many(flow, many, "order_id", key, rows_per_task)
-    flow = left_join_many(flow, payments, "customer_id", "payment_id", rows_per_task)
+    for many in (_flow_deliveries(t), _flow_invoices(t)):
+        flow = left_join_many(flow, many.filter(F.col("order_id") == order_id), "order_id")
+    flow = left_join_many(flow, payments, "customer_id")
     return flow.select(*_FLOW, "payment_id", "clearing_date", "payment_amount")
 
 
-def order_flow_all(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def order_flow_all(t: Tables) -> DataFrame:
     """The trace of every order in linear size: one row per delivery and one per invoice.
 
     An order with neither keeps one row. Payments belong to the customer, not the order, so
@@ -168,9 +163,7 @@ def order_flow_all(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     orders = _flow_orders(t["orders"])
     orders = left_join_one(orders, _names(t), "customer_id")
     orders = join_totals(orders, received, "customer_id")
-    flow = left_join_many(
-        orders, documents, "order_id", ["delivery_id", "invoice_id"], rows_per_task
-    )
+    flow = left_join_many(orders, documents, "order_id")
     return flow.select(
         *_FLOW,
         F.coalesce("n_payments", F.lit(0)).alias("n_payments"),
@@ -183,7 +176,7 @@ def order_items(t: Tables, order_id: str | DataFrame) -> DataFrame:
     """Lines of an order, or of the orders in a DataFrame, with product attributes, in order."""
     items = pick(t["order_items"], "order_id", order_id)
     products = t["products"].select("product_id", "product_name", "product_type", "old_sku")
-    products = near(products, items, "product_id")
+    products = having_some(products, items, "product_id")
     return left_join_one(items, products, "product_id").select(
         *items.columns, "product_name", "product_type", "old_sku"
     ).orderBy(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ordercash.model import Tables
 from ordercash.plans import mix, newest_first, page, pick
 
-MAX_TOP = 50
 
 
 def list_products(
@@ -57,6 +56,4 @@ def billed_products(t: Tables) -> DataFrame:
 
 def top_products(t: Tables, limit: int = 10) -> DataFrame:
     """The products with the highest billed revenue."""
-    if limit > MAX_TOP:
-        raise ValueError(f"limit must not exceed {MAX_TOP}")
     return page(billed_products(t), newest_first("total_revenue", "product_id"), limit)

@@ -1,17 +1,15 @@
 from ordercash.plans.joins import (
     having_no,
     having_some,
-    hot_keys,
     join_totals,
     left_join_many,
     left_join_one,
     mix,
-    near,
     pick,
 )
-from ordercash.plans.paging import broadcast_page, newest_first, page
+from ordercash.plans.paging import newest_first, page, page_after
 
 __all__ = [
-    "broadcast_page", "having_no", "having_some", "hot_keys", "join_totals", "left_join_many",
-    "left_join_one", "mix", "near", "newest_first", "page", "pick",
+    "having_no", "having_some", "join_totals", "left_join_many",
+    "left_join_one", "mix", "newest_first", "page", "page_after", "pick",
 ]

@@ -3,8 +3,8 @@
 At run time AQE splits a skewed partition of either side of an inner join, and of the
 preserved side of an outer, semi or anti join. It cannot split the other side of a left
 join, nor the probed side of a semi or anti join, nor any join in which a side is an aggregate
-by the join key. The helpers below cover those: ``left_join_many`` salts the hot keys of the
-right side, ``having_some`` and ``having_no`` probe distinct keys, and ``join_totals`` joins an
+by the join key. The helpers below cover those: ``left_join_many`` is an inner join and the rows
+without a match, ``having_some`` and ``having_no`` probe distinct keys, and ``join_totals`` joins an
 aggregate in a way that AQE can split.
 """
 
@@ -15,63 +15,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 1_000_000
-MAX_HOT_KEYS = 10_000
+def left_join_many(left: DataFrame, many: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """``left LEFT JOIN many USING (on)`` where a key may have any number of rows on either side.
 
-
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows, and the number of parts to cut each into.
-
-    At most ``MAX_HOT_KEYS`` rows come back, the largest first, so the result is safe to
-    broadcast whatever the size of ``df``. A key below the cut is joined whole, in one part.
-    """
-    sizes = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_rows"))
-    return (
-        sizes.filter(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
-    )
-
-
-def left_join_many(
-    left: DataFrame,
-    many: DataFrame,
-    on: str | Sequence[str],
-    spread_by: str | Sequence[str],
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """``left LEFT JOIN many USING (on)`` where a key may have any number of rows in ``many``.
-
-    Rows of a hot key are dealt to parts by a hash of ``spread_by`` (the key columns of
-    ``many``), and the matching left rows are repeated once per part. A hot key always has
-    a match, so an unmatched row it gets in an empty part is an artefact and is dropped.
+    An inner join, of which AQE splits both sides, and the rows of ``left`` without a match, of
+    which it splits the left side. Both read the same shuffle of ``left``.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    spread = [spread_by] if isinstance(spread_by, str) else list(spread_by)
-    hot = F.broadcast(hot_keys(many, keys, rows_per_task))
-    last = F.coalesce("_parts", F.lit(1)) - 1
-    salted_left = (
-        left.join(hot, keys, "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
-        .withColumnRenamed("_parts", "_hot")
-    )
-    salted_many = (
-        many.join(hot, keys, "left")
-        .withColumn(
-            "_part",
-            F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int"),
-        )
-        .drop("_parts")
-        .withColumn("_matched", F.lit(True))
-    )
-    return (
-        salted_left.join(salted_many, [*keys, "_part"], "left")
-        .filter(F.col("_hot").isNull() | F.col("_matched"))
-        .drop("_part", "_hot", "_matched")
-    )
+    rows, by = mix(left, *keys), [*keys, "_mix"]
+    matched = rows.join(mix(many, *keys), by)
+    alone = rows.join(mix(many.select(*keys).distinct(), *keys), by, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True).drop("_mix")
 
 
 def left_join_one(left: DataFrame, one: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -110,20 +64,3 @@ def pick(df: DataFrame, column: str, wanted: str | DataFrame) -> DataFrame:
 def having_no(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose key does not occur in ``other``; a null key never occurs."""
     return join_totals(df, other.select(on).distinct(), on, "left_anti")
-
-
-def near(df: DataFrame, keys: DataFrame, on: str, most: int = MAX_HOT_KEYS) -> DataFrame:
-    """``df`` cut down, before any shuffle, to the rows whose key occurs in a short ``keys``.
-
-    For a lookup that touches few keys of a large table. Up to ``most`` keys are broadcast and
-    other rows are dropped at the scan; when there are more, ``df`` passes through whole. Either
-    way no row that could match is lost, so a join that follows gives the same result.
-    """
-    some = keys.select(on).limit(most + 1)
-    too_many = some.agg(F.count("*") > most).scalar()
-    flagged = some.distinct().withColumn("_near", F.lit(True))
-    return (
-        df.join(F.broadcast(flagged), on, "left")
-        .filter(F.col("_near") | too_many)
-        .drop("_near")
-    )

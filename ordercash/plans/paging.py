@@ -11,14 +11,22 @@ def newest_first(column: str, *key: str) -> list[Column]:
     return [F.col(column).desc_nulls_first(), *[F.col(k).asc_nulls_last() for k in key]]
 
 
-MAX_BROADCAST_ROWS = 10_000
-
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """One page, as a top-k of every partition and then of all.
 
-def broadcast_page(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint for a DataFrame of at most ``rows`` rows, given only when they are few."""
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+    Every partition sends ``offset + limit`` rows to one task, so a deep page is better asked for
+    with ``page_after``. Spark knows how few rows come out and broadcasts them by that size.
+    """
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page; planned as a per-partition top-k, never as a full sort."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+def page_after(df: DataFrame, keys: dict[str, object], limit: int, descending: bool = False) -> DataFrame:
+    """The page behind the row with these values of its order columns, which are not null; its
+    cost does not grow with how deep it lies."""
+    columns = list(keys)
+    later = F.lit(False)
+    for c in reversed(columns):
+        beyond = F.col(c) < keys[c] if descending else F.col(c) > keys[c]
+        later = beyond | ((F.col(c) == keys[c]) & later)
+    order = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in columns]
+    return page(df.filter(later), order, limit)

@@ -13,8 +13,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even where a later aggregation then needs its own shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A page that lies deeper than this is cut from a distributed sort, not from a heap.
-    "spark.sql.execution.topKSortFallbackThreshold": "1000000",
 }
 
 

@@ -36,12 +36,12 @@ class Sample:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
-        self._root = root
+        self.root = root
         self._read: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self._root}/{name}.parquet")
+            self._read[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
         return self._read[name]
 
     def star(self) -> LazyTables:

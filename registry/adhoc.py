@@ -61,10 +61,11 @@ def _(s):
 
 @query(
     "adhoc_cross_join",
-    """SELECT t.order_type, c.code AS delivery_status, (SELECT COUNT(*) FROM o2c_orders o
-            WHERE o.order_type = t.order_type AND o.delivery_status = c.code) AS n_orders
-    FROM (SELECT DISTINCT order_type FROM o2c_orders) t
-    CROSS JOIN (VALUES ('A'), ('B'), ('C')) AS c(code)""",
+    """SELECT order_type, delivery_status, COUNT(order_id) AS n_orders
+    FROM (SELECT order_type, delivery_status, order_id FROM o2c_orders
+        UNION ALL SELECT DISTINCT order_type, code, CAST(NULL AS VARCHAR)
+        FROM o2c_orders CROSS JOIN (VALUES ('A'), ('B'), ('C')) AS c(code))
+    GROUP BY order_type, delivery_status""",
 )
 def _(s):
     return adhoc.cross_join(s.star())
@@ -343,18 +344,18 @@ def _(s):
 
 @query(
     "adhoc_array_agg",
-    """SELECT customer_id, array_to_string(array_agg(DISTINCT delivery_status
-        ORDER BY delivery_status), ',') AS statuses FROM o2c_orders GROUP BY customer_id""",
+    """SELECT customer_id, string_agg(DISTINCT coalesce(delivery_status, '~'), ','
+        ORDER BY coalesce(delivery_status, '~')) AS statuses FROM o2c_orders GROUP BY customer_id""",
 )
 def _(s):
     arrays = adhoc.array_agg(s.star())
-    return arrays.withColumn("statuses", F.array_join("statuses", ","))
+    return arrays.withColumn("statuses", F.array_join("statuses", ",", "~"))
 
 
 @query(
     "adhoc_json_agg",
-    """SELECT order_type, '[' || string_agg('{"status":"' || delivery_status ||
-            '","orders":' || n || '}', ',' ORDER BY delivery_status) || ']' AS by_status
+    """SELECT order_type, '[' || string_agg('{"status":' || coalesce('"' || delivery_status || '"', 'null')
+            || ',"orders":' || n || '}', ',' ORDER BY delivery_status NULLS LAST) || ']' AS by_status
     FROM (SELECT order_type, delivery_status, COUNT(*) AS n FROM o2c_orders GROUP BY ALL)
     GROUP BY order_type""",
 )
@@ -373,8 +374,7 @@ def _(s):
 
 @query(
     "adhoc_unnest",
-    """SELECT customer_id, unnest(array_agg(DISTINCT delivery_status)) AS status
-    FROM o2c_orders GROUP BY customer_id""",
+    "SELECT DISTINCT customer_id, delivery_status AS status FROM o2c_orders",
 )
 def _(s):
     return adhoc.unnest(s.star())

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ordercash.operators import adhoc, orders
 from ordercash.session import scratch_dir
 from ordercash.sources import sap, sinks, tables
 from registry.base import query
 
 
+_GIVEN = ("customer", "orders", "lineitem", "part", "events", "supplier", "nation")
+
+
 @query(
     "load_o2c",
-    "SELECT * FROM o2c_orders",
-    text=["order_date", "requested_delivery_date"], number=["total_amount"],
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS name, COUNT(*) AS n_rows FROM {name}" for name in _GIVEN
+    ),
 )
 def _(s):
-    """The orders table written as parquet and loaded by name."""
-    root = scratch_dir(s.spark, "o2c")
-    s.star()["orders"].write.parquet(f"{root}/orders")
-    return tables.load_o2c(s.spark, root, ["orders"])["orders"]
+    """The given parquet files loaded by name, with the rows of each."""
+    loaded = tables.load_o2c(s.spark, s.root, _GIVEN)
+    counts = [
+        df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+        for name, df in loaded.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query(

@@ -74,7 +74,22 @@ def test_every_type_and_code_has_a_cell(spark):
     )
     got = rows(adhoc.cross_join({"orders": orders}))
     assert got == [("t1", "A", 2), ("t1", "B", 0), ("t1", "C", 0), ("t2", "A", 0), ("t2", "B", 0),
-                   ("t2", "C", 0)]
+                   ("t2", "C", 0), ("t2", None, 1)]
+
+
+def test_no_status_code_is_lost(spark):
+    orders = spark.createDataFrame(
+        [("c", "t", "A"), ("c", "t", "D"), ("c", "t", None), ("c", "t", "A"), ("x", "u", None)],
+        "customer_id string, order_type string, delivery_status string",
+    )
+    t = {"orders": orders}
+    assert rows(adhoc.array_agg(t)) == [("c", ["A", "D", None]), ("x", [None])]
+    assert rows(adhoc.unnest(t)) == [("c", "A"), ("c", "D"), ("c", None), ("x", None)]
+    assert rows(adhoc.json_agg(t)) == [
+        ("t", '[{"status":"A","orders":2},{"status":"D","orders":1},{"status":null,"orders":1}]'),
+        ("u", '[{"status":null,"orders":1}]'),
+    ]
+    assert ("t", "D", 1) in rows(adhoc.cross_join(t))
 
 
 def test_rounding_goes_away_from_zero(spark):

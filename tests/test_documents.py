@@ -45,7 +45,6 @@ def test_trace_counts_item_paths_instead_of_forming_them(spark):
         ("s2", "c2", None, None, None, 1), ("s3", "c1", None, None, None, 1),
     ], key=repr)
     assert rows(documents.trace_orders_full(s)) == want
-    assert rows(documents.trace_orders_full(s, rows_per_task=1)) == want
 
 
 def test_trace_page_shows_each_item_path(spark):

@@ -2,15 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordercash.plans import (
-    broadcast_page,
     having_no,
     having_some,
-    hot_keys,
     join_totals,
     left_join_many,
-    near,
+    page_after,
 )
-from ordercash.plans.paging import MAX_BROADCAST_ROWS
 from tests.conftest import rows
 
 MANY = [("a", i) for i in range(100)] + [("b", 1), ("b", 2), (None, 7), ("x", 9)]
@@ -23,26 +20,29 @@ def _tables(spark):
     return left, many
 
 
-def test_hot_keys_lists_only_large_keys_with_their_parts(spark):
-    _, many = _tables(spark)
-    assert rows(hot_keys(many, ["k"], 30)) == [("a", 4)]
-    assert rows(hot_keys(many, ["k"], 1_000)) == []
+def test_left_join_many_is_a_left_join(spark):
+    left, many = _tables(spark)
+    assert rows(left_join_many(left, many, "k")) == rows(left.join(many, "k", "left"))
+    for none in (left.limit(0), many.limit(0)):
+        pair = (none, many) if "l" in none.columns else (left, none)
+        assert rows(left_join_many(*pair, "k")) == rows(pair[0].join(pair[1], "k", "left"))
 
 
-def test_left_join_many_is_a_left_join_whatever_is_hot(spark):
+def test_left_join_many_has_no_single_task_and_no_limit(spark):
     left, many = _tables(spark)
-    want = rows(left.join(many, "k", "left"))
-    for size in (1, 2, 7, 30, 1_000):
-        assert rows(left_join_many(left, many, "k", "m", rows_per_task=size)) == want
+    plan = left_join_many(left, many, "k")._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "Limit" not in plan
 
 
-def test_left_join_many_spreads_a_hot_key(spark):
-    left, many = _tables(spark)
-    hot = left.filter("l = 'l1'")
-    plan = left_join_many(hot, many, "k", "m", rows_per_task=10)
-    assert plan.count() == 100
-    salted = many.filter("k = 'a'").select(F.pmod(F.xxhash64("m"), F.lit(10)).alias("part"))
-    assert salted.distinct().count() == 10
+def test_page_after_walks_through_all_rows(spark):
+    table = spark.createDataFrame([(i % 3, i) for i in range(20)], "g int, i int")
+    seen, last = [], {"g": -1, "i": -1}
+    while page := [tuple(r) for r in page_after(table, last, 6).collect()]:
+        seen += page
+        last = dict(zip(("g", "i"), page[-1], strict=True))
+    assert seen == sorted((i % 3, i) for i in range(20))
+    back = page_after(table, {"g": 1, "i": 7}, 3, descending=True)
+    assert [tuple(r) for r in back.collect()] == [(1, 4), (1, 1), (0, 18)]
 
 
 def test_semi_and_anti_keep_duplicates_and_treat_null_as_unmatched(spark):
@@ -51,28 +51,13 @@ def test_semi_and_anti_keep_duplicates_and_treat_null_as_unmatched(spark):
     assert rows(having_no(left, many, "k"), "l") == [("l4",), ("l5",)]
 
 
-def test_page_is_broadcast_only_when_small(spark):
-    left, _ = _tables(spark)
-
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().analyzed().toString()
-
-    assert hinted(broadcast_page(left, 50))
-    assert not hinted(broadcast_page(left, MAX_BROADCAST_ROWS + 1))
-
-
-def test_near_keeps_every_row_that_could_match(spark):
-    left, many = _tables(spark)
-    few = left.filter("l in ('l3', 'l4', 'l5')")
-    assert rows(near(many, few, "k")) == [("b", 1), ("b", 2)]
-    assert rows(near(many, few, "k", most=3)) == [("b", 1), ("b", 2)]
-    assert rows(near(many, few, "k", most=2)) == rows(many)
-    assert rows(near(many, few.limit(0), "k")) == []
-    doubled = few.unionByName(few)
-    assert rows(near(many, doubled, "k")) == [("b", 1), ("b", 2)]
-    for most in (1, 2, 10):
-        joined = few.join(near(many, few, "k", most=most), "k", "left")
-        assert rows(joined) == rows(few.join(many, "k", "left"))
+def small_partitions(spark):
+    before = {key: spark.conf.get(key) for key in SKEW}
+    for key, value in SKEW.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
 
 
 SKEW = {

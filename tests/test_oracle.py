@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from registry import ORACLES, QUERIES
 from tests.conftest import SMALL
 from tools.check import compare, connect
 
@@ -12,14 +13,15 @@ def duck():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    outcome = compare(spark, duck, SMALL, name, queries()[name], oracle_sql().get(name))
+    outcome = compare(spark, duck, SMALL, name, QUERIES[name], ORACLES.get(name))
     assert outcome.startswith("ok"), outcome
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry_gives_edges(spark):

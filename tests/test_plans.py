@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from registry import QUERIES
 from ordercash.operators import analytics, customers, orders, products
 from ordercash.session import scratch_dir
 from ordercash.sources.sample import Sample
@@ -33,9 +33,9 @@ def stored(spark):
     return load_o2c(spark, root)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_is_distributed(spark, name):
-    text = plan(queries()[name](spark, SMALL))
+    text = plan(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in text
     assert not re.search(r"Python|PandasGroup|MapInPandas", text)
     if name != "adhoc_theta_join":  # five fixed bands
@@ -86,7 +86,7 @@ def test_page_of_orders_never_shuffles_customers_or_orders(stored):
 
 
 def test_top_few_per_key_are_cut_before_the_shuffle(spark):
-    text = plan(queries()["adhoc_row_number"](spark, SMALL))
+    text = plan(QUERIES["adhoc_row_number"](spark, SMALL))
     assert re.search(r"Exchange hashpartitioning\(customer_id.*\n.*WindowGroupLimit.*Partial", text)
 
 

