@@ -38,10 +38,11 @@ from ordercash.llm.common import crc_of_id, ship, spread, written
 
 ship(__name__)
 
-ORDER = 5
+ORDER = 5  # six at most: a context is packed into one number
+LENGTH = 48  # its length lies above this many bits of its bytes
 #: The end of a text, a byte that UTF-8 never has.
 END = b"\xff"
-SYMBOLS = 257  # bytes, of which END is one, and the blank that ends a word counts as itself
+SYMBOLS = 257  # 256 bytes and the end, which is written as a byte that UTF-8 never has
 HELD_OUT, FOLDS = 2, 7
 _BEYOND = re.compile("[^\x00-\x7f]")
 
@@ -67,6 +68,11 @@ def positions(word: bytes, order: int = ORDER) -> Iterator[tuple[bytes, bytes]]:
         yield whole[max(0, i - order) : i], whole[i : i + 1]
 
 
+def packed(context: bytes) -> int:
+    """A context as one number: its length above its bytes, the latest byte lowest."""
+    return len(context) << LENGTH | int.from_bytes(context, "big")
+
+
 def _chunk_words(rows: pd.DataFrame) -> pd.DataFrame:
     trained: dict[int, Counter] = {}
     for text, held in zip(rows["text"], rows["held_out"], strict=True):
@@ -78,53 +84,82 @@ def _chunk_words(rows: pd.DataFrame) -> pd.DataFrame:
         else:
             counts.update(ws)
     chunk = rows["chunk"].iloc[0]
-    out = [(chunk, z, w, n) for z, counts in trained.items() for w, n in counts.items()]
-    return pd.DataFrame(out, columns=["chunk", "z", "word", "n"])
+    return pd.concat([
+        pd.DataFrame({"chunk": chunk, "z": z, "word": list(counts), "n": list(counts.values())})
+        for z, counts in trained.items()
+    ])
+
+
+def _keys(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed context and symbol of every byte of all words, one after the other, as ``context *
+    256 + symbol``; the number of the word of each; where each word begins among them."""
+    whole = [b" " + w if w == END else b" " + w + b" " for w in words]
+    raw = np.frombuffer(b"".join(whole), dtype=np.uint8).astype(np.int64)
+    sizes = np.array([len(w) for w in whole], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    depth = np.arange(len(raw)) - np.repeat(ends - sizes, sizes)
+    length = np.minimum(depth, order)
+    context = length << LENGTH
+    for k in range(1, order + 1):
+        earlier = np.concatenate([np.zeros(min(k, len(raw)), dtype=np.int64), raw[: max(0, len(raw) - k)]])
+        context += np.where(length >= k, earlier << (8 * (k - 1)), 0)
+    predicted = depth > 0
+    starts = ends - sizes - np.arange(len(words))
+    return (context * 256 + raw)[predicted], word[predicted], starts
+
+
+def _distinct(z: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by z and key, and where in it each distinct pair begins."""
+    order = np.lexsort((key, z))
+    zs, ks = z[order], key[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (zs[1:] != zs[:-1]) | (ks[1:] != ks[:-1])
+    return order, new
 
 
 def _lookups(order: int):
     def lookups(rows: pd.DataFrame) -> pd.DataFrame:
         """The distinct contexts and symbols of a bucket of words, with their counts."""
-        counts: Counter = Counter()
-        for z, word, n in zip(rows["z"], rows["word"], rows["n"], strict=True):
-            for context, symbol in positions(bytes(word), order):
-                counts[z, context, symbol] += n
-        bucket = rows["bucket"].iloc[0]
-        out = [(bucket, z, c, s, n) for (z, c, s), n in counts.items()]
-        return pd.DataFrame(out, columns=["bucket", "z", "context", "symbol", "n"])
+        key, word, _ = _keys(rows["word"].tolist(), order)
+        z = rows["z"].to_numpy(np.int64)[word]
+        by, new = _distinct(z, key)
+        first = by[new]
+        return pd.DataFrame({
+            "bucket": rows["bucket"].iloc[0], "z": z[first], "context": key[first] >> 8, "symbol": key[first] & 255,
+            "n": np.add.reduceat(rows["n"].to_numpy(np.int64)[word][by], np.flatnonzero(new)),
+        })
 
     return lookups
 
 
 def _code_words(order: int):
     def code(words: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        table = {
-            (z, bytes(c), bytes(s)): p
-            for z, c, s, p in zip(known["z"], known["context"], known["symbol"], known["p"], strict=True)
-        }
-        scores = [
-            sum(table[z, c, s] for c, s in positions(bytes(w), order))
-            for z, w in zip(words["z"], words["word"], strict=True)
-        ]
-        return pd.DataFrame({"z": words["z"], "word": words["word"], "n": words["n"], "code": scores})
+        key, word, starts = _keys(words["word"].tolist(), order)
+        by, new = _distinct(words["z"].to_numpy(np.int64)[word], key)
+        told = np.lexsort((known["context"].to_numpy(np.int64) * 256 + known["symbol"], known["z"]))
+        # Each distinct context and symbol of the words is known once, and nothing else is.
+        p = np.empty(len(key))
+        p[by] = known["p"].to_numpy()[told][np.cumsum(new) - 1]
+        return pd.DataFrame({"z": words["z"], "word": words["word"], "code": np.add.reduceat(p, starts)})
 
     return code
 
 
 def _score_chunk(total: int, distinct: int):
     def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        table = {
-            (z, bytes(w)): (c, p)
-            for z, w, c, p in zip(known["z"], known["word"], known["c"], known["code"], strict=True)
-        }
+        counts, codes = known["c"].to_numpy(np.float64), known["code"].to_numpy()
+        bases = np.log10((counts + 1) / (total + distinct + 1))
+        at: dict[int, dict[bytes, int]] = {}
+        for k, (z, w) in enumerate(zip(known["z"], known["word"], strict=True)):
+            at.setdefault(z, {})[w] = k
         out = []
         for doc, text, held in zip(texts["doc_id"], texts["text"], texts["held_out"], strict=True):
             z, ws = tokens(text)
-            found = [table[z, w] for w in ws]
-            c = np.array([x[0] for x in found], dtype=np.float64)
-            base = float(np.log10((c + 1) / (total + distinct + 1)).sum())
-            code = float(np.sum([x[1] for x in found])) + table[z, b""][1]
-            out.append((doc, held, len(ws), int((c > 0).sum()), total, base, code))
+            here = at[z]
+            k = np.fromiter(map(here.__getitem__, ws), dtype=np.int64, count=len(ws))
+            code = float(codes[k].sum()) + float(codes[here[b""]])
+            out.append((doc, held, len(ws), int((counts[k] > 0).sum()), total, float(bases[k].sum()), code))
         frame = pd.DataFrame(out, columns=[
             "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
@@ -140,7 +175,7 @@ def _log(p: Column) -> Column:
 def trie(lookups: DataFrame, order: int = ORDER) -> DataFrame:
     """(z, context, symbol, n): z is -1 in all contexts but the longest ones of each alphabet."""
     longest = lookups.filter(F.col("n") > 0).groupBy("z", "context", "symbol").agg(F.sum("n").alias("n"))
-    lengths = F.sequence(F.lit(0), F.octet_length("context"))
+    lengths = F.sequence(F.lit(0), _length(F.col("context")))
     shorter = longest.select(
         F.lit(-1).alias("z"),
         F.explode(F.transform(lengths, lambda k: _last(F.col("context"), k))).alias("context"),
@@ -149,9 +184,14 @@ def trie(lookups: DataFrame, order: int = ORDER) -> DataFrame:
     return longest.unionByName(shorter)
 
 
+def _length(context: Column) -> Column:
+    return F.shiftright(context, LENGTH).cast("int")
+
+
 def _last(context: Column, k: Column) -> Column:
-    """The last k bytes."""
-    return F.substr(context, F.octet_length(context) - k + 1, k)
+    """The last k bytes of a packed context."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), k * 8) - 1
+    return F.shiftleft(k.cast("long"), LENGTH) + context.bitwiseAND(mask)
 
 
 def probabilities(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -160,9 +200,9 @@ def probabilities(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     # What a context excludes from the next shorter one: the same symbols' counts there.
     up = nodes.select(
         F.when(F.col("z") >= 0, F.col("context"))
-        .otherwise(_last(F.col("context"), F.octet_length("context") - 1)).alias("up"),
+        .otherwise(_last(F.col("context"), F.greatest(_length(F.col("context")) - 1, F.lit(0)))).alias("up"),
         "symbol", "z", "context",
-    ).filter((F.col("z") >= 0) | (F.octet_length("context") > 0))
+    ).filter((F.col("z") >= 0) | (F.col("context") > 0))
     common = nodes.filter("z = -1").select(F.col("context").alias("up"), "symbol", F.col("n").alias("m"))
     above = nodes.filter("z = -1").groupBy(F.col("context").alias("up")).agg(
         F.sum("n").alias("up_t"), F.count("*").alias("up_d")
@@ -186,7 +226,7 @@ def probabilities(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
         "z", "context", "symbol", _log((2 * F.col("c") - 1) / (2 * F.col("t"))).alias("p")
     )
     # Steps of an escape: 0 is the alphabet's own context, then the context and its shorter ends.
-    length = F.octet_length("context")
+    length = _length(F.col("context"))
     missed = found.filter(F.col("c").isNull()).select("z", "context", "symbol")
     steps = F.concat(
         F.array(F.struct(F.lit(0).alias("step"), F.col("z").alias("at_z"), F.col("context").alias("at"))),
@@ -247,7 +287,7 @@ def scores(
     id_column: str = "doc_id",
     text_column: str = "text",
     order: int = ORDER,
-    chunk_bytes: int = 4 << 20,
+    chunk_bytes: int = 8 << 20,
     bucket_words: int = 20_000,
 ) -> DataFrame:
     """One row a document, learnt from those whose crc32 of the id mod 7 is not 2."""
@@ -270,7 +310,7 @@ def scores(
     dealt = lexicon.withColumn("bucket", F.pmod(F.xxhash64("word", "z"), F.lit(buckets)))
     lookups = written(
         dealt.groupBy("bucket").applyInPandas(
-            _lookups(order), "bucket long, z int, context binary, symbol binary, n long"
+            _lookups(order), "bucket long, z int, context long, symbol int, n long"
         ),
         "lookups",
     )
@@ -283,7 +323,7 @@ def scores(
         .join(known.withColumn("_spread", spread(*keys)), [*keys, "_spread"]).drop("_spread")
     )
     coded = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(
-        _code_words(order), "z int, word binary, n long, code double"
+        _code_words(order), "z int, word binary, code double"
     )
     coded = coded.join(by_word, "word").select("z", "word", "c", "code")
     # What stating an alphabet costs, as the code of a word of no bytes.

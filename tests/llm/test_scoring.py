@@ -67,12 +67,13 @@ def test_scores_are_those_of_the_plain_model(make):
 def test_probabilities_of_all_symbols_sum_to_one(spark, make):
     nodes = pm.trie(
         spark.createDataFrame(
-            [(7, b" a", b"b", 3), (7, b" a", b"c", 1), (9, b" a", b"b", 2), (9, b"x", b"d", 4)],
-            "z int, context binary, symbol binary, n long",
+            [(z, pm.packed(c), s, n) for z, c, s, n in
+             [(7, b" a", 98, 3), (7, b" a", 99, 1), (9, b" a", 98, 2), (9, b"x", 100, 4)]],
+            "z int, context long, symbol int, n long",
         )
     )
     wanted = spark.createDataFrame(
-        [(7, b" a", bytes([i])) for i in range(256)], "z int, context binary, symbol binary"
+        [(7, pm.packed(b" a"), i) for i in range(256)], "z int, context long, symbol int"
     )
     got = [r.p for r in pm.probabilities(wanted, nodes).collect()]
     assert len(got) == 256
