@@ -27,16 +27,18 @@ def get_customer(t: Tables, customer_id: str | DataFrame) -> DataFrame:
 
 
 def customer_orders(t: Tables, customer_id: str | DataFrame) -> DataFrame:
-    """Orders of a customer with their deliveries and invoices, newest order first."""
+    """Orders of a customer, newest first, with one row per delivery and one per invoice; an order
+    with neither keeps one row."""
     orders = pick(t["orders"], "customer_id", customer_id)
     deliveries = t["deliveries"].select("order_id", "delivery_id", "goods_status", "ship_date")
     invoices = t["invoices"].select(
         "order_id", "invoice_id", F.col("total_amount").alias("invoice_amount"), "is_cancelled"
     )
-    deliveries = having_some(deliveries, orders, "order_id")
-    invoices = having_some(invoices, orders, "order_id")
-    with_deliveries = left_join_many(orders, deliveries, "order_id")
-    return left_join_many(with_deliveries, invoices, "order_id").orderBy("customer_id", *newest_first("order_date", "order_id", "delivery_id", "invoice_id"))
+    documents = deliveries.unionByName(invoices, allowMissingColumns=True)
+    documents = having_some(documents, orders, "order_id")
+    return left_join_many(orders, documents, "order_id").orderBy(
+        "customer_id", *newest_first("order_date", "order_id", "delivery_id", "invoice_id")
+    )
 
 
 def _totals(t: Tables, wanted: str | DataFrame | None) -> DataFrame:

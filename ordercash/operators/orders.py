@@ -132,19 +132,16 @@ def _flow_invoices(t: Tables) -> DataFrame:
 
 
 def order_flow(t: Tables, order_id: str) -> DataFrame:
-    """One order with each of its deliveries, invoices and its customer's payments."""
+    """The trace of one order; as ``order_flow_all``."""
     order = get_order(t, order_id)
     # The key admits one order, so its customer is a scalar that filters both scans.
     customer_id = order.select("customer_id").scalar()
-    customers = _names(t).filter(F.col("customer_id") == customer_id)
-    payments = incoming_payments(t).filter(F.col("customer_id") == customer_id).select(
-        "customer_id", "payment_id", "clearing_date", F.col("amount").alias("payment_amount")
+    return _flow(
+        order,
+        _names(t).filter(F.col("customer_id") == customer_id),
+        _flow_documents(t).filter(F.col("order_id") == order_id),
+        incoming_payments(t).filter(F.col("customer_id") == customer_id),
     )
-    flow = left_join_one(_flow_orders(order), customers, "customer_id")
-    for many in (_flow_deliveries(t), _flow_invoices(t)):
-        flow = left_join_many(flow, many.filter(F.col("order_id") == order_id), "order_id")
-    flow = left_join_many(flow, payments, "customer_id")
-    return flow.select(*_FLOW, "payment_id", "clearing_date", "payment_amount")
 
 
 def order_flow_all(t: Tables) -> DataFrame:
@@ -154,16 +151,23 @@ def order_flow_all(t: Tables) -> DataFrame:
     they come as the customer's count, sum and latest clearing date; pairing them with each
     document would give rows that grow with the square of a customer's activity.
     """
-    documents = _flow_deliveries(t).unionByName(_flow_invoices(t), allowMissingColumns=True)
-    received = incoming_payments(t).groupBy("customer_id").agg(
+    return _flow(t["orders"], _names(t), _flow_documents(t), incoming_payments(t))
+
+
+def _flow_documents(t: Tables) -> DataFrame:
+    return _flow_deliveries(t).unionByName(_flow_invoices(t), allowMissingColumns=True)
+
+
+def _flow(
+    orders: DataFrame, names: DataFrame, documents: DataFrame, payments: DataFrame
+) -> DataFrame:
+    received = payments.groupBy("customer_id").agg(
         F.count("*").alias("n_payments"),
         F.sum("amount").alias("payment_amount"),
         F.max("clearing_date").alias("last_clearing_date"),
     )
-    orders = _flow_orders(t["orders"])
-    orders = left_join_one(orders, _names(t), "customer_id")
-    orders = join_totals(orders, received, "customer_id")
-    flow = left_join_many(orders, documents, "order_id")
+    named = left_join_one(_flow_orders(orders), names, "customer_id")
+    flow = left_join_many(join_totals(named, received, "customer_id"), documents, "order_id")
     return flow.select(
         *_FLOW,
         F.coalesce("n_payments", F.lit(0)).alias("n_payments"),

