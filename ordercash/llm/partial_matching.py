@@ -1,23 +1,24 @@
 """Prediction by partial matching over bytes, trained on the corpus.
 
-A text is its words and one end; white space only separates, and A-Z count as a-z. A word's bytes
-and the blank behind it are predicted one after the other from the bytes before, back to the blank
-ahead of the word and at most ``order`` of them. The longest context is tried first, first among
+A text is its words and one end; white space only separates, and A-Z count as a-z. A blank, its
+words with a blank behind each, and the end are predicted byte after byte, but for the first blank,
+from the bytes before: at most ``order`` of them, back to the text's first, across blanks. The longest
+context is tried first, first among
 texts of the same alphabet, then among all; a symbol not seen there is reached by an escape to the
 context one byte shorter, where the symbols just excluded no longer count. Escapes follow method D:
 with counts c that sum to T over d symbols, a symbol has (2c - 1) / 2T and the escape d / 2T. Below
 the empty context all symbols left are alike. A text's alphabet, its most frequent character beyond
-ASCII, is stated ahead of it and paid for. So a text's code length is a sum over its words.
+ASCII, is stated ahead of it and paid for.
 
-Contexts reach back to the start of the word. That makes a word's code length a property of the
-word and the alphabet, to be worked out once for the whole corpus. It is a table joined to the texts by
-words, of any size: no trie is held by the driver or by a worker.
+The trie is a table of any size, joined to the texts by context and symbol: neither the driver nor a
+worker holds it.
 
-1. Texts are dealt into chunks by a hash; each chunk gives its distinct words and their counts.
-2. Their sums are the lexicon; the words' contexts are the trie, a table (context, symbol, count).
-3. Each word's bytes look up their probability; a symbol that the trie doesn't have in its longest
-   context is looked up in all shorter ones at once.
-4. Code lengths return to the chunks by word and are summed by text.
+1. Texts are dealt into chunks by a hash; each chunk gives its distinct contexts with their symbols,
+   its distinct words and its alphabets, and their counts.
+2. The sums of the first are the trie, a table (context, symbol, count); those of the words a lexicon.
+3. Each distinct context and symbol looks up its probability; a symbol that the trie doesn't have in
+   its longest context is looked up in all shorter ones at once.
+4. Probabilities and words' counts return to the chunks and are summed by text.
 
 Nulls: a null text is the empty one, just an end; a null id is learnt from. Equal rows count each.
 An empty table gives no rows; with nothing to learn from, every symbol has one chance in 257.
@@ -34,11 +35,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordercash.llm.common import crc_of_id, ship, spread, written
+from ordercash.llm.common import crc_of_id, ship, written
 
 ship(__name__)
 
-ORDER = 5  # six at most: a context is packed into one number
+ORDER = 5
+REACH = 6  # the longest order: a context is packed into one number
 LENGTH = 48  # its length lies above this many bits of its bytes
 #: The end of a text, a byte that UTF-8 never has.
 END = b"\xff"
@@ -56,15 +58,31 @@ def alphabet(text: str) -> int:
     return min(ord(c) for c, n in seen.items() if n == most)
 
 
-def tokens(text: str | None) -> tuple[int, list[bytes]]:
+def words_of(text: str | None) -> tuple[int, list[bytes]]:
     text = text if isinstance(text, str) else ""
     return alphabet(text), [*text.encode("utf-8", "replace").lower().split(), END]
 
 
-def positions(word: bytes, order: int = ORDER) -> Iterator[tuple[bytes, bytes]]:
+class Word(bytes):
+    """A word of a text; ``before`` is what stands ahead of it, as far back as a context reaches."""
+
+    before = b" "
+
+
+def tokens(text: str | None) -> tuple[int, list[Word]]:
+    z, words = words_of(text)
+    before, out = Word.before, []
+    for w in map(Word, words):
+        w.before = before
+        before = (before + w + b" ")[-REACH:]
+        out.append(w)
+    return z, out
+
+
+def positions(word: Word, order: int = ORDER) -> Iterator[tuple[bytes, bytes]]:
     """Longest context and symbol of each byte of a word."""
-    whole = b" " + word + (b"" if word == END else b" ")
-    for i in range(1, len(whole)):
+    whole = word.before + word + (b"" if word == END else b" ")
+    for i in range(len(word.before), len(whole)):
         yield whole[max(0, i - order) : i], whole[i : i + 1]
 
 
@@ -73,98 +91,96 @@ def packed(context: bytes) -> int:
     return len(context) << LENGTH | int.from_bytes(context, "big")
 
 
-def _chunk_words(rows: pd.DataFrame) -> pd.DataFrame:
-    trained: dict[int, Counter] = {}
-    for text, held in zip(rows["text"], rows["held_out"], strict=True):
-        z, ws = tokens(text)
-        counts = trained.setdefault(z, Counter())
-        if held:
-            for w in ws:
-                counts.setdefault(w, 0)
-        else:
-            counts.update(ws)
-    chunk = rows["chunk"].iloc[0]
-    return pd.concat([
-        pd.DataFrame({"chunk": chunk, "z": z, "word": list(counts), "n": list(counts.values())})
-        for z, counts in trained.items()
-    ])
-
-
-def _keys(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed context and symbol of every byte of all words, one after the other, as ``context *
-    256 + symbol``; the number of the word of each; where each word begins among them."""
-    whole = [b" " + w if w == END else b" " + w + b" " for w in words]
-    raw = np.frombuffer(b"".join(whole), dtype=np.uint8).astype(np.int64)
-    sizes = np.array([len(w) for w in whole], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    word = np.repeat(np.arange(len(words)), sizes)
-    depth = np.arange(len(raw)) - np.repeat(ends - sizes, sizes)
-    length = np.minimum(depth, order)
-    context = length << LENGTH
-    for k in range(1, order + 1):
-        earlier = np.concatenate([np.zeros(min(k, len(raw)), dtype=np.int64), raw[: max(0, len(raw) - k)]])
-        context += np.where(length >= k, earlier << (8 * (k - 1)), 0)
-    predicted = depth > 0
-    starts = ends - sizes - np.arange(len(words))
-    return (context * 256 + raw)[predicted], word[predicted], starts
-
-
-def _distinct(z: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by z and key, and where in it each distinct pair begins."""
-    order = np.lexsort((key, z))
-    zs, ks = z[order], key[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (zs[1:] != zs[:-1]) | (ks[1:] != ks[:-1])
-    return order, new
-
-
-def _lookups(order: int):
-    def lookups(rows: pd.DataFrame) -> pd.DataFrame:
-        """The distinct contexts and symbols of a bucket of words, with their counts."""
-        key, word, _ = _keys(rows["word"].tolist(), order)
-        z = rows["z"].to_numpy(np.int64)[word]
-        by, new = _distinct(z, key)
-        first = by[new]
+def _keys(texts: list[list[bytes]], order: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed context and symbol of the bytes of all texts, as ``context * 256 + symbol``, and the
+    number of the text of each, for ``step`` bytes at a time."""
+    whole = [b"".join([b" ", *[w + b" " for w in words[:-1]], END]) for words in texts]
+    starts = np.cumsum([0] + [len(t) for t in whole[:-1]])
+    raw = np.frombuffer(bytes(order) + b"".join(whole), dtype=np.uint8)
+    for lo in range(order, len(raw), step):
+        hi = min(lo + step, len(raw))
+        at = np.arange(lo - order, hi - order)
+        text = np.searchsorted(starts, at, side="right") - 1
+        depth = at - starts[text]
+        length = np.minimum(depth, order)
+        context = length << LENGTH
+        for k in range(1, order + 1):
+            context += np.where(length >= k, raw[lo - k : hi - k].astype(np.int64) << (8 * (k - 1)), 0)
+        predicted = depth > 0
+        yield (context * 256 + raw[lo:hi])[predicted], text[predicted]
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of n for each."""
+    by = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[by], prepend=-1))
+    return keys[by][first], np.add.reduceat(n[by], first)
+
+
+def _by_alphabet(rows: pd.DataFrame) -> dict[int, list[tuple[int, list[bytes]]]]:
+    """Place and words of the texts of each alphabet."""
+    texts: dict[int, list[tuple[int, list[bytes]]]] = {}
+    for i, text in enumerate(rows["text"]):
+        z, words = words_of(text)
+        texts.setdefault(z, []).append((i, words))
+    return texts
+
+
+def _chunk_counts(order: int, step: int):
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        """Contexts, words (key 0) and alphabets (key 0, no word) of a chunk, 0 times if only held out."""
+        held = rows["held_out"].to_numpy(bool)
+        lexicon: Counter = Counter()
+        out = []
+        for z, texts in _by_alphabet(rows).items():
+            parts = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+            for learnt in (True, False):
+                some = [words for i, words in texts if held[i] != learnt]
+                for words in some:
+                    if learnt:
+                        lexicon.update(words)
+                    else:
+                        lexicon.update(dict.fromkeys(words, 0))
+                for key, _ in _keys(some, order, step) if some else ():
+                    key, n = np.unique(key, return_counts=True)
+                    parts.append((key, n if learnt else np.zeros_like(n)))
+            key, n = _summed(*map(np.concatenate, zip(*parts, strict=True)))
+            out.append(pd.DataFrame({"z": z, "key": key, "word": b"", "n": n}))
+            out.append(pd.DataFrame({"z": [z], "key": 0, "word": b"", "n": sum(not held[i] for i, _ in texts)}))
+        out.append(pd.DataFrame({"z": 0, "key": 0, "word": list(lexicon), "n": list(lexicon.values())}))
+        return pd.concat(out).assign(chunk=rows["chunk"].iloc[0])
+
+    return count
+
+
+def _score_chunk(total: int, distinct: int, order: int, step: int):
+    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        key, word, value = known["key"].to_numpy(np.int64), known["word"], known["value"].to_numpy()
+        is_word = (word.str.len() > 0).to_numpy()
+        counts = dict(zip(word[is_word], value[is_word], strict=True))
+        alike = np.flatnonzero((key == 0) & ~is_word)
+        stated = dict(zip(known["z"].to_numpy()[alike], value[alike], strict=True))
+        by = np.lexsort((key, known["z"].to_numpy()))
+        by = by[key[by] > 0]
+        zs, keys, ps = known["z"].to_numpy()[by], key[by], value[by]
+        codes = np.zeros(len(texts))
+        base, sizes, seen = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for z, some in _by_alphabet(texts).items():
+            lo, hi = np.searchsorted(zs, [z, z + 1])
+            here, p = keys[lo:hi], ps[lo:hi]
+            code = np.full(len(some), stated[z])
+            # Each context and symbol of the texts is known once.
+            for wanted, text in _keys([words for _, words in some], order, step):
+                code += np.bincount(text, weights=p[np.searchsorted(here, wanted)], minlength=len(some))
+            for (i, words), c in zip(some, code, strict=True):
+                n = np.fromiter(map(counts.__getitem__, words), dtype=np.float64, count=len(words))
+                codes[i], sizes[i], seen[i] = c, len(words), (n > 0).sum()
+                base[i] = np.log10((n + 1) / (total + distinct + 1)).sum()
         return pd.DataFrame({
-            "bucket": rows["bucket"].iloc[0], "z": z[first], "context": key[first] >> 8, "symbol": key[first] & 255,
-            "n": np.add.reduceat(rows["n"].to_numpy(np.int64)[word][by], np.flatnonzero(new)),
+            "doc_id": texts["doc_id"].astype("Int64"), "held_out": texts["held_out"], "n_tokens": sizes,
+            "n_known": seen, "train_tokens": total, "base_score": base, "score": codes,
         })
 
-    return lookups
-
-
-def _code_words(order: int):
-    def code(words: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        key, word, starts = _keys(words["word"].tolist(), order)
-        by, new = _distinct(words["z"].to_numpy(np.int64)[word], key)
-        told = np.lexsort((known["context"].to_numpy(np.int64) * 256 + known["symbol"], known["z"]))
-        # Each distinct context and symbol of the words is known once, and nothing else is.
-        p = np.empty(len(key))
-        p[by] = known["p"].to_numpy()[told][np.cumsum(new) - 1]
-        return pd.DataFrame({"z": words["z"], "word": words["word"], "code": np.add.reduceat(p, starts)})
-
-    return code
-
-
-def _score_chunk(total: int, distinct: int):
-    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        counts, codes = known["c"].to_numpy(np.float64), known["code"].to_numpy()
-        bases = np.log10((counts + 1) / (total + distinct + 1))
-        at: dict[int, dict[bytes, int]] = {}
-        for k, (z, w) in enumerate(zip(known["z"], known["word"], strict=True)):
-            at.setdefault(z, {})[w] = k
-        out = []
-        for doc, text, held in zip(texts["doc_id"], texts["text"], texts["held_out"], strict=True):
-            z, ws = tokens(text)
-            here = at[z]
-            k = np.fromiter(map(here.__getitem__, ws), dtype=np.int64, count=len(ws))
-            code = float(codes[k].sum()) + float(codes[here[b""]])
-            out.append((doc, held, len(ws), int((counts[k] > 0).sum()), total, float(bases[k].sum()), code))
-        frame = pd.DataFrame(out, columns=[
-            "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
-
     return score
 
 
@@ -299,49 +315,46 @@ def scores(
     chunks = max(1, -(-size // chunk_bytes))
     # The same rows go to the same chunk again when the texts are scored.
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    step = 8 * bucket_words
     used = written(
-        rows.groupBy("chunk").applyInPandas(_chunk_words, "chunk long, z int, word binary, n long"), "words"
+        rows.groupBy("chunk").applyInPandas(
+            _chunk_counts(order, step), "chunk long, z int, key long, word binary, n long"
+        ),
+        "used",
     )
-    lexicon = written(used.groupBy("z", "word").agg(F.sum("n").alias("n")), "lexicon")
-    by_word = lexicon.groupBy("word").agg(F.sum("n").alias("c"))
-    sums = by_word.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.count("*")).first()
+    of_words = used.filter(F.octet_length("word") > 0)
+    of_contexts = used.filter("key > 0")
+    of_alphabets = used.filter((F.col("key") == 0) & (F.octet_length("word") == 0))
+    lexicon = written(of_words.groupBy("word").agg(F.sum("n").alias("c")), "lexicon")
+    sums = lexicon.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     total, distinct = sums[0] or 0, sums[1]
-    buckets = max(1, -(-(sums[2] or 0) // bucket_words))
-    dealt = lexicon.withColumn("bucket", F.pmod(F.xxhash64("word", "z"), F.lit(buckets)))
     lookups = written(
-        dealt.groupBy("bucket").applyInPandas(
-            _lookups(order), "bucket long, z int, context long, symbol int, n long"
+        of_contexts.groupBy("z", "key").agg(F.sum("n").alias("n")).select(
+            "z", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("symbol"),
+            "n",
         ),
         "lookups",
     )
     nodes = written(trie(lookups, order), "trie")
-    wanted = lookups.select("z", "context", "symbol").distinct()
-    known = written(probabilities(wanted, nodes), "probabilities")
-    keys = ["z", "context", "symbol"]
-    answers = (
-        lookups.select("bucket", *keys, spread(*keys).alias("_spread"))
-        .join(known.withColumn("_spread", spread(*keys)), [*keys, "_spread"]).drop("_spread")
-    )
-    coded = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(
-        _code_words(order), "z int, word binary, code double"
-    )
-    coded = coded.join(by_word, "word").select("z", "word", "c", "code")
-    # What stating an alphabet costs, as the code of a word of no bytes.
-    ends = lexicon.filter(F.col("word") == F.lit(END))
-    all_ends = ends.agg(F.sum("n").alias("s"), F.count("*").alias("k"))
-    stated = ends.select(
-        "z", F.lit(b"").alias("word"), F.lit(0).cast("long").alias("c"),
-        _log((F.col("n") + 1) / (all_ends.select("s").scalar() + all_ends.select("k").scalar() + 1)).alias("code"),
-    )
-    codes = written(coded.unionByName(stated), "codes")
-    uses = used.select("chunk", "z", "word").unionByName(
-        used.filter(F.col("word") == F.lit(END)).select("chunk", "z", F.lit(b"").alias("word"))
+    known = written(probabilities(lookups.select("z", "context", "symbol"), nodes), "probabilities")
+    known = known.select("z", (F.col("context") * 256 + F.col("symbol")).alias("key"), F.col("p").alias("value"))
+    # What stating an alphabet costs.
+    alphabets = of_alphabets.groupBy("z").agg(F.sum("n").alias("n"))
+    all_texts = alphabets.agg(F.sum("n").alias("s"), F.count("*").alias("k"))
+    stated = written(
+        alphabets.select(
+            "z",
+            _log((F.col("n") + 1) / (all_texts.select("s").scalar() + all_texts.select("k").scalar() + 1)).alias("value"),
+        ),
+        "stated",
     )
+    row = ["chunk", "z", "key", "word", "value"]
     told = (
-        uses.withColumn("_spread", spread("z", "word"))
-        .join(codes.withColumn("_spread", spread("z", "word")), ["z", "word", "_spread"]).drop("_spread")
+        of_contexts.join(known, ["z", "key"]).select(row)
+        .unionByName(of_alphabets.join(stated, "z").select(row))
+        .unionByName(of_words.join(lexicon, "word").withColumn("value", F.col("c").cast("double")).select(row))
     )
     return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
-        _score_chunk(total, distinct),
+        _score_chunk(total, distinct, order, step),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

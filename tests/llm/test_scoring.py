@@ -87,3 +87,19 @@ def test_nothing_to_learn_from(make):
     assert {r.train_tokens for r in rows} == {0}
     assert all(r.score < 0 and r.n_known == 0 for r in rows)
     assert pm.scores(make([])).collect() == []
+
+
+def test_contexts_reach_across_blanks(spark, make):
+    words = [b"ab", b"cd", b"e"]
+    whole = b" ab cd e \xff"
+    z, seen = pm.tokens(" AB\tcd  e")
+    assert (z, seen) == (0, [*words, pm.END])
+    assert [x for w in seen for x in pm.positions(w)] == [
+        (whole[max(0, i - 5) : i], whole[i : i + 1]) for i in range(1, len(whole))
+    ]
+    learnt = [i for i in range(90) if zlib.crc32(str(i).encode()) % 7 != 2][:30]
+    held = [i for i in range(90, 300) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    texts = ["the cat sat on a mat", "my dog ran to an old inn"] * 15
+    docs = make(texts + ["the cat sat on a mat", "mat a on sat cat the"], learnt + held)
+    score = {r.doc_id: r.score for r in pm.scores(docs).collect()}
+    assert score[held[0]] > score[held[1]] + 1
