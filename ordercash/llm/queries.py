@@ -42,7 +42,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shuffled(table(spark, sf_dir, "documents"), shards=16, keep=["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    placed = sharding.read_shards(docs, sharding.write_shards(docs, shards=16), shards=16)
     return placed.select(
         F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"),
         "shard", "slot", "grown_shard",

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ordercash.llm.common import fresh_path, written
@@ -29,6 +30,14 @@ def rendezvous(id_column: Column, shards: int, seed: int) -> Column:
     return -(F.greatest(*draws) if shards > 1 else draws[0])["no"]
 
 
+def sized_text(text: Column) -> list[Column]:
+    """``size`` and ``text_crc32`` of a text."""
+    return [
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    ]
+
+
 def shuffled(
     docs: DataFrame,
     shards: int = 16,
@@ -49,16 +58,16 @@ def shuffled(
     sized = docs.select(
         record.alias("record"),
         F.col(id_column).alias("key"),
-        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        *sized_text(text),
     ).withColumns({
         "shard": rendezvous(F.col("key"), shards, seed),
         "grown_shard": rendezvous(F.col("key"), shards + 1, seed),
         # Only the place in the bucket rests on the row's place in the input.
         "row": F.monotonically_increasing_id(),
     })
-    sized = written(sized, "sized")
-    carried = F.col("size") if keep is None else F.lit(256)
+    sized = written(sized, "sized", compression="zstd")
+    # What a row weighs beside its text, or without it.
+    carried = F.lit(256) + (F.col("size") if keep is None else F.lit(0))
     # A salt of a thousand parts a shard keeps the sums small; its size does not grow.
     total = sized.groupBy("shard").agg(F.sum(carried).alias("bytes")).agg(F.max("bytes")).first()[0]
     buckets = max(1, -(-(total or 0) // bucket_bytes))
@@ -88,10 +97,31 @@ def write_shards(docs: DataFrame, path: str | None = None, shards: int = 16, **o
     path = path or fresh_path(docs.sparkSession, "shards")
     placed = shuffled(docs, shards, **options)
     (
-        placed.repartition("shard", "bucket")
-        .sortWithinPartitions("shard", "bucket", "slot")
+        # A bucket's rows lie in one task already; they are shuffled over the network once.
+        placed.sortWithinPartitions("shard", "bucket", "slot")
         .select("record", "slot", "shard", "bucket")
         .write.partitionBy("shard", "bucket")
         .parquet(path)
     )
     return path
+
+
+def read_shards(
+    docs: DataFrame,
+    path: str,
+    shards: int = 16,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    seed: int = 17,
+) -> DataFrame:
+    """The shards of ``docs`` at ``path``, with ``key``, ``size``, ``text_crc32`` and ``grown_shard``
+    of the records read."""
+    schema = T.StructType([
+        T.StructField("record", docs.schema), T.StructField("slot", T.LongType()),
+        T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()),
+    ])
+    key, text = F.col("record")[id_column], F.col("record")[text_column]
+    return docs.sparkSession.read.schema(schema).parquet(path).select(
+        "record", key.alias("key"), *sized_text(text), "shard", "bucket",
+        rendezvous(key, shards + 1, seed).alias("grown_shard"), "slot",
+    )

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from ordercash.llm import packing, sharding, warc
+from ordercash.llm import packing, queries, sharding, warc
 from ordercash.llm.queries import default_tokenizer
 
 TEXTS = [None, "", "same text", "same text", "é", *[f"text number {i}" * (i % 7) for i in range(200)], "long " * 9000]
@@ -42,6 +42,28 @@ def test_written_shards_are_in_shuffled_order(make, spark, tmp_path):
     assert [r.slot for r in one] == sorted(r.slot for r in one)
 
 
+def test_sharding_query_publishes_the_written_shards(spark, make, monkeypatch, tmp_path):
+    docs = make(TEXTS, [None, *range(len(TEXTS) - 2), 3])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    paths = []
+    real = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda *a, **b: paths.append(real(*a, **b)) or paths[-1])
+    rows = queries.op3_sharding(spark, str(tmp_path)).collect()
+    (path,) = paths
+    held = spark.read.parquet(path).collect()
+    key = lambda r: repr(r)
+    want = [
+        (r.record["doc_id"], len((r.record["text"] or "").encode()) + 1, zlib.crc32((r.record["text"] or "").encode()), r.shard, r.slot)
+        for r in held
+    ]
+    assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in rows), key=key) == sorted(want, key=key)
+    assert collections.Counter(r.record["record"] for r in held) == collections.Counter(f"r{i}" for i in range(len(TEXTS)))
+    assert all(r.grown_shard in (r.shard, 16) for r in rows)
+    for shard in range(16):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_encoder_gives_the_tokenizers_ids():
     from array import array
 
