@@ -1,9 +1,9 @@
 """The order-to-cash data model: table schemas, keys and relationships.
 
 Two models describe the same business. The star model (``STAR``) holds one table per
-entity; the document model (``SAP``) holds headers and items under SAP names. Only the
-columns that some operator reads are declared; tables may carry more, and every operator
-keeps to the columns it needs, so extra columns are pruned at the scan.
+entity; the document model (``SAP``) holds headers and items under SAP names, with all its
+tables and columns. Tables may carry more, and every operator keeps to the columns it
+needs, so extra columns are pruned at the scan.
 """
 
 from __future__ import annotations
@@ -112,68 +112,176 @@ _STAR = {
     ),
 }
 
-# Names of the document model, with the columns its operators read.
+# Every table and column of the document model. Columns that no operator reads, and
+# that are not days or amounts, are text.
 _SAP = {
+    "billing_document_cancellations": _table(
+        "Cancelled invoices",
+        """billing_document string, billing_document_type string, creation_date date,
+        creation_time string, creation_time_json string, last_change_date_time string,
+        billing_document_date date, billing_document_is_cancelled boolean,
+        cancelled_billing_document string, total_net_amount total,
+        transaction_currency string, company_code string, fiscal_year string,
+        accounting_document string, sold_to_party string""",
+    ),
+    "billing_document_headers": _table(
+        "One row per invoice",
+        """billing_document string, billing_document_type string, billing_document_date date,
+        billing_document_is_cancelled boolean, total_net_amount total,
+        transaction_currency string, accounting_document string, sold_to_party string,
+        creation_date date, creation_time string, creation_time_json string,
+        last_change_date_time string, cancelled_billing_document string,
+        company_code string, fiscal_year string""",
+    ),
+    "billing_document_items": _table(
+        "Invoice lines, each naming the delivery it bills",
+        """billing_document string, billing_document_item string, material string,
+        net_amount net, reference_sd_document string, reference_sd_document_item string,
+        billing_quantity string, billing_quantity_unit string, transaction_currency string""",
+    ),
+    "business_partner_addresses": _table(
+        "Addresses of business partners",
+        """business_partner string, address_id string, validity_start_date date,
+        validity_end_date date, address_uuid string, address_time_zone string,
+        city_name string, country string, po_box string,
+        po_box_deviating_city_name string, po_box_deviating_country string,
+        po_box_deviating_region string, po_box_is_without_number string,
+        po_box_lobby_name string, po_box_postal_code string, postal_code string,
+        region string, street_name string, tax_jurisdiction string, transport_zone string""",
+    ),
     "business_partners": _table(
         "Customers as business partners",
         """business_partner string, customer string, business_partner_name string,
         business_partner_full_name string, business_partner_is_blocked boolean,
         business_partner_grouping string, creation_date date, last_change_date date,
-        is_marked_for_archiving boolean""",
+        is_marked_for_archiving boolean, business_partner_category string,
+        correspondence_language string, created_by_user string, creation_time string,
+        creation_time_json string, first_name string, form_of_address string,
+        industry string, last_name string, organization_bp_name1 string,
+        organization_bp_name2 string""",
     ),
-    "sales_order_headers": _table(
-        "One row per sales order",
-        """sales_order string, sales_order_type string, sales_organization string,
-        sold_to_party string, creation_date date,
-        requested_delivery_date date, total_net_amount money,
-        transaction_currency string, overall_delivery_status string""",
+    "customer_company_assignments": _table(
+        "Customers by company code",
+        """customer string, company_code string, accounting_clerk string,
+        accounting_clerk_fax_number string, accounting_clerk_internet_address string,
+        accounting_clerk_phone_number string, alternative_payer_account string,
+        payment_blocking_reason string, payment_methods_list string, payment_terms string,
+        reconciliation_account string, deletion_indicator string,
+        customer_account_group string""",
     ),
-    "sales_order_items": _table(
-        "One row per order line",
-        """sales_order string, sales_order_item string, sales_order_item_category string,
-        material string, requested_quantity money, requested_quantity_unit string,
-        net_amount net, production_plant string""",
+    "customer_sales_area_assignments": _table(
+        "Customers by sales area",
+        """customer string, sales_organization string, distribution_channel string,
+        division string, billing_is_blocked_for_customer string,
+        complete_delivery_is_defined string, credit_control_area string, currency string,
+        customer_payment_terms string, delivery_priority string,
+        incoterms_classification string, incoterms_location1 string, sales_group string,
+        sales_office string, shipping_condition string,
+        sls_unlmtd_ovrdeliv_is_allwd string, supplying_plant string,
+        sales_district string, exchange_rate_type string""",
+    ),
+    "journal_entry_items_accounts_receivable": _table(
+        "Receivable lines of journal entries",
+        """company_code string, fiscal_year string, accounting_document string,
+        accounting_document_item string, gl_account string, reference_document string,
+        cost_center string, profit_center string, transaction_currency string,
+        amount_in_transaction_currency money, company_code_currency string,
+        amount_in_company_code_currency money, posting_date date, document_date date,
+        accounting_document_type string, assignment_reference string,
+        last_change_date_time string, customer string, financial_account_type string,
+        clearing_date date, clearing_accounting_document string,
+        clearing_doc_fiscal_year string""",
     ),
     "outbound_delivery_headers": _table(
         "One row per delivery",
         """delivery_document string, actual_goods_movement_date date, creation_date date,
         overall_goods_movement_status string, overall_picking_status string,
-        shipping_point string, delivery_block_reason string""",
+        shipping_point string, delivery_block_reason string,
+        actual_goods_movement_time string, actual_goods_movement_time_json string,
+        creation_time string, creation_time_json string,
+        hdr_general_incompletion_status string, header_billing_block_reason string,
+        last_change_date date, overall_proof_of_delivery_status string""",
     ),
     "outbound_delivery_items": _table(
         "Delivery lines, each naming the order line it serves",
         """delivery_document string, delivery_document_item string,
-        reference_sd_document string,
-        reference_sd_document_item string""",
-    ),
-    "billing_document_headers": _table(
-        "One row per invoice",
-        """billing_document string, billing_document_type string, billing_document_date date,
-        billing_document_is_cancelled boolean, total_net_amount total,
-        transaction_currency string, accounting_document string, sold_to_party string""",
-    ),
-    "billing_document_items": _table(
-        "Invoice lines, each naming the delivery it bills",
-        """billing_document string, billing_document_item string, material string,
-        net_amount net, reference_sd_document string,
-        reference_sd_document_item string""",
+        reference_sd_document string, reference_sd_document_item string,
+        actual_delivery_quantity string, batch string, delivery_quantity_unit string,
+        item_billing_block_reason string, last_change_date date, plant string,
+        storage_location string""",
     ),
     "payments_accounts_receivable": _table(
         "Receivable postings and how they were cleared",
         """accounting_document string, accounting_document_item string, customer string,
-        clearing_date date, clearing_accounting_document string,
-        posting_date date, amount_in_transaction_currency money,
-        transaction_currency string, invoice_reference string, sales_document string,
-        gl_account string""",
+        clearing_date date, clearing_accounting_document string, posting_date date,
+        amount_in_transaction_currency money, transaction_currency string,
+        invoice_reference string, sales_document string, gl_account string,
+        company_code string, fiscal_year string, clearing_doc_fiscal_year string,
+        amount_in_company_code_currency money, company_code_currency string,
+        invoice_reference_fiscal_year string, sales_document_item string,
+        document_date date, assignment_reference string, financial_account_type string,
+        profit_center string, cost_center string""",
+    ),
+    "plants": _table(
+        "Plants",
+        """plant string, plant_name string, valuation_area string, plant_customer string,
+        plant_supplier string, factory_calendar string,
+        default_purchasing_organization string, sales_organization string,
+        address_id string, plant_category string, distribution_channel string,
+        division string, language string, is_marked_for_archiving boolean""",
+    ),
+    "product_descriptions": _table(
+        "Product names by language",
+        """product string, language string, product_description string""",
+    ),
+    "product_plants": _table(
+        "Products by plant",
+        """product string, plant string, country_of_origin string, region_of_origin string,
+        production_invtry_managed_loc string, availability_check_type string,
+        fiscal_year_variant string, profit_center string, mrp_type string""",
+    ),
+    "product_storage_locations": _table(
+        "Products by storage location",
+        """product string, plant string, storage_location string,
+        physical_inventory_block_ind string, date_of_last_posted_cnt_unrstrcd_stk string,
+        date_of_last_posted_cnt_un_rstrcd_stk string""",
     ),
     "products": _table(
         "Product master",
         """product string, product_type string, product_old_id string,
-        is_marked_for_deletion boolean""",
+        is_marked_for_deletion boolean, cross_plant_status string,
+        cross_plant_status_validity_date date, creation_date date, created_by_user string,
+        last_change_date date, last_change_date_time string, gross_weight string,
+        weight_unit string, net_weight string, product_group string, base_unit string,
+        division string, industry_sector string""",
     ),
-    "product_descriptions": _table(
-        "Product names by language",
-        "product string, language string, product_description string",
+    "sales_order_headers": _table(
+        "One row per sales order",
+        """sales_order string, sales_order_type string, sales_organization string,
+        sold_to_party string, creation_date date, requested_delivery_date date,
+        total_net_amount money, transaction_currency string,
+        overall_delivery_status string, distribution_channel string,
+        organization_division string, sales_group string, sales_office string,
+        created_by_user string, last_change_date_time string,
+        overall_ord_reltd_billg_status string, overall_sd_doc_reference_status string,
+        pricing_date date, header_billing_block_reason string,
+        delivery_block_reason string, incoterms_classification string,
+        incoterms_location1 string, customer_payment_terms string,
+        total_credit_check_status string""",
+    ),
+    "sales_order_items": _table(
+        "One row per order line",
+        """sales_order string, sales_order_item string, sales_order_item_category string,
+        material string, requested_quantity money, requested_quantity_unit string,
+        net_amount net, production_plant string, transaction_currency string,
+        material_group string, storage_location string, sales_document_rjcn_reason string,
+        item_billing_block_reason string""",
+    ),
+    "sales_order_schedule_lines": _table(
+        "Confirmed quantities and days of order lines",
+        """sales_order string, sales_order_item string, schedule_line string,
+        confirmed_delivery_date date, order_quantity_unit string,
+        confd_order_qty_by_matl_avail_check string""",
     ),
 }
 
@@ -184,7 +292,7 @@ DESCRIPTIONS: dict[str, str] = {
     **{f"sap.{name}": text for name, (text, _) in _SAP.items()},
 }
 
-# Every table of the document model, with or without declared columns.
+# Every table of the document model.
 SAP_TABLES = (
     "billing_document_cancellations",
     "billing_document_headers",

@@ -248,6 +248,7 @@ STATEMENTS = (
     "SELECT a.sales_order FROM sales_order_headers a, sales_order_items b "
     "WHERE a.sales_order = b.sales_order",
     "SELECT EXTRACT(year FROM creation_date) AS y FROM sales_order_headers",
+    "SELECT plant_name, incoterms FROM plants WHERE plant = 'KEY'",
 )
 JOINED_STATEMENTS = (
     "SELECT soh.sales_order, bp.business_partner_name FROM sales_order_headers AS soh "
@@ -267,6 +268,9 @@ JOINED_STATEMENTS = (
     "  select a, b, c, d, e, f, g from nowhere n  ",
     "SELECT billing_document FROM billing_document_headers bdh WHERE 1.5 < 20 AND "
     "bdh.billing_document = 'KEY' ORDER BY bdh.billing_document_date DESC",
+    "SELECT j.cost_center, s.incoterms_classification, s.plant_name "
+    "FROM journal_entry_items_accounts_receivable j "
+    "JOIN customer_sales_area_assignments s ON j.customer = s.customer",
 )
 
 

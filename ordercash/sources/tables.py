@@ -24,6 +24,8 @@ JSONL_TABLES = (
     "payments_accounts_receivable",
 )
 
+UNDECLARED, CORRUPT = "_undeclared", "_corrupt_record"
+
 
 def load_o2c(
     spark: SparkSession, root: str, tables: Iterable[str] = tuple(STAR)
@@ -38,8 +40,27 @@ def load_jsonl(
     schemas: Mapping[str, T.StructType] = SAP,
     tables: Iterable[str] = JSONL_TABLES,
 ) -> dict[str, DataFrame]:
-    """Tables stored as folders of JSON lines; schemas are given, so no pass infers them."""
-    return {name: spark.read.schema(schemas[name]).json(f"{root}/{name}") for name in tables}
+    """Tables stored as folders of JSON lines; schemas are given, so no pass infers them.
+
+    Nothing of a line is dropped: columns the schema does not declare come as text in the map
+    ``_undeclared``, and a line that is no JSON, or holds a value its column cannot, comes whole in
+    ``_corrupt_record``. Both are null elsewhere.
+    """
+    return {name: _json_lines(spark, f"{root}/{name}", schemas[name]) for name in tables}
+
+
+def _json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    line = F.col("value")
+    whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    row = F.from_json(line, whole, {"columnNameOfCorruptRecord": CORRUPT})
+    entries = F.from_json(line, "map<string,string>")
+    more = F.map_filter(entries, lambda name, _: ~name.isin(schema.names))
+    return (
+        spark.read.text(path)
+        .filter(F.trim(line) != "")
+        .select(row.alias("row"), F.when(F.size(more) > 0, more).alias(UNDECLARED))
+        .select("row.*", UNDECLARED)
+    )
 
 
 def hash_predicates(column: str, n: int) -> list[str]:

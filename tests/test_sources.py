@@ -184,3 +184,22 @@ def test_today_is_the_default_day(spark):
         "order_id string, delivery_status string, requested_delivery_date date",
     )
     assert rows(adhoc.date_now({"orders": orders}), "order_id") == [("1",)]
+
+
+def test_every_table_of_the_document_model_is_declared():
+    assert tuple(model.SAP) == model.SAP_TABLES
+    assert sum(len(schema.names) for schema in model.SAP.values()) == 274
+
+
+def test_load_jsonl_drops_nothing(spark, tmp_path):
+    (tmp_path / "products").mkdir()
+    (tmp_path / "products" / "part.jsonl").write_text(
+        '{"product": "1", "gross_weight": "1.50", "unheard": {"of": [1]}}\n'
+        '\n{"product": "2", "is_marked_for_deletion": "maybe"}\n{"product": \n'
+    )
+    df = tables.load_jsonl(spark, str(tmp_path), tables=["products"])["products"]
+    assert df.columns == [*model.SAP["products"].names, "_corrupt_record", "_undeclared"]
+    got = rows(df, "product", "gross_weight", "_corrupt_record", "_undeclared")
+    assert len(got) == 3 and ("1", "1.50", None, {"unheard": '{"of":[1]}'}) in got
+    assert ("2", None, '{"product": "2", "is_marked_for_deletion": "maybe"}', None) in got
+    assert (None, None, '{"product": ', None) in got

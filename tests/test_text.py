@@ -198,3 +198,21 @@ def test_numbers_in_exponent_form_keep_all_digits(spark):
     assert [r.a for r in got.orderBy("i").collect()] == want
     pointed = [w if not w.lstrip("-").isdigit() else w + ".0" for w in want]
     assert [r.b for r in got.orderBy("i").collect()] == pointed
+
+
+@pytest.mark.parametrize("sql, unknown", [
+    ("SELECT plant_name, incoterms FROM plants WHERE plant = '7'", ["incoterms"]),
+    ("SELECT j.cost_center, s.incoterms_classification, s.plant_name "
+     "FROM journal_entry_items_accounts_receivable j "
+     "JOIN customer_sales_area_assignments s ON j.customer = s.customer", ["s.plant_name"]),
+    ("SELECT mrp_type FROM product_plants", []),
+    ("SELECT schedule_line, city_name FROM sales_order_schedule_lines, business_partner_addresses", []),
+])
+def test_identifiers_of_the_whole_catalog(spark, sql, unknown):
+    assert sqllog.sql_log_identifiers(_log(spark, sql), CATALOG).collect()[0].unknown == unknown
+
+
+def test_older_check_knows_the_whole_catalog(spark):
+    sql = "select plant_name, factory_calendar, valuation_area, plant_category, address_id, mrp_type from plants"
+    got = sqllog.sql_log_aliases(_log(spark, sql), CATALOG).collect()[0]
+    assert (got.n_unknown, got.verdict) == (0, "ok")
