@@ -1,5 +1,6 @@
 """Quality rules against plain Python, and the classifier on labels it has not seen."""
 
+import inspect
 import random
 import re
 import zlib
@@ -86,3 +87,13 @@ def test_held_out_labels_are_told(make, spark):
     again = qc.fit(docs, spark.createDataFrame(flipped, "doc_id long, quality int, toxic int"))
     assert (again[0] == model[0]).all() and again[1] == model[1]
     assert qc.accepted(docs, known).columns == docs.columns
+
+
+def test_labels_of_absent_documents_use_up_no_sample(make, spark):
+    assert inspect.signature(qc.fit).parameters["sample"].default == 10_000
+    texts = [("plain words here " if i % 2 else "### $$$ ") * (1 + i % 5) for i in range(60)]
+    docs = make(texts)
+    rows = [(i, i % 2, 0) for i in range(3000)]
+    few, many = (spark.createDataFrame(r, "doc_id long, quality int, toxic int") for r in (rows[:60], rows))
+    a, b = qc.fit(docs, few, sample=40), qc.fit(docs, many, sample=40)
+    assert a[0].any() and (a[0] == b[0]).all() and a[1] == b[1]
