@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ordercash.llm import (
     decontamination,
+    divergence,
     jaccard_join,
     license_scan,
     packing,
@@ -103,12 +104,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_partial_matching, op2_jaccard_join, op3_sharding, op4_quote_linking,
         op5_quality_rules, op6_license_scan, op7_packing, op8_warc, op9_quality_classifier,
-        op10_decontamination,
+        op10_decontamination, op12_divergence,
     )
 }
 
@@ -248,4 +253,48 @@ ORACLES = {
         CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
         coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
     FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    # Every group takes every kept term of its lang; a source's shares are set against all others'.
+    "op12_divergence": r"""
+    WITH d AS (
+        SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    kept AS (
+        SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d)
+        GROUP BY lang, t HAVING count(*) >= 30),
+    n AS (
+        SELECT lang, source, t, count(*) AS n
+        FROM (SELECT lang, source, unnest(w) AS t FROM d) JOIN kept USING (lang, t) GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    every AS (
+        SELECT lang, source, t, coalesce(n, 0) AS n
+        FROM g JOIN kept USING (lang) LEFT JOIN n USING (lang, source, t)),
+    sized AS (
+        SELECT *, sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source) AS m
+        FROM every),
+    p AS (
+        SELECT lang, source, t, n, 1 + CAST(1000000000 * CAST(n + 5 AS HUGEINT) // CAST(m AS HUGEINT) AS BIGINT) AS p
+        FROM sized),
+    l AS (SELECT lang, t, sum(n) AS n FROM every GROUP BY lang, t),
+    q AS (
+        SELECT lang, t, 1 + CAST(1000000000 * CAST(n + 5 AS HUGEINT)
+            // CAST(sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang) AS HUGEINT) AS BIGINT) AS q
+        FROM l),
+    far AS (
+        SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+    pairs AS (
+        SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+    terms AS (
+        SELECT lang, source, t AS item, p - q AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+    both_parts AS (
+        SELECT *, 'pair' AS part FROM pairs UNION ALL BY NAME SELECT *, 'term' AS part FROM terms),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+        FROM both_parts)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+    FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }
