@@ -10,6 +10,7 @@ from ordercash.llm import (
     divergence,
     jaccard_join,
     license_scan,
+    merkle,
     packing,
     partial_matching,
     quality_classifier,
@@ -104,6 +105,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, checked against rows of which a fifth are tampered with."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf_digest([lower if c == "text" else F.col(c) for c in merkle.FIELDS])
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), claim=F.when(hit, tampered))
+    told = rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        merkle.digest(merkle.proof_text(F.col("proof"))).alias("proof_sha256"),
+        merkle.folded(F.coalesce("claim", "leaf"), F.col("proof")).alias("folded_root"),
+    )
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -113,10 +128,99 @@ QUERIES = {
     for f in (
         op1_partial_matching, op2_jaccard_join, op3_sharding, op4_quote_linking,
         op5_quality_rules, op6_license_scan, op7_packing, op8_warc, op9_quality_classifier,
-        op10_decontamination, op12_divergence,
+        op10_decontamination, op11_merkle, op12_divergence,
     )
 }
 
+def _merkle_sql(levels: int, above: int) -> str:
+    """The levels of the trees and of the tree above them, written out; a lone node passes on its digest."""
+
+    def up(name: str, n: int) -> list[str]:
+        return [
+            f"""{name}{k + 1} AS (
+        SELECT tree, place // 16 AS place, (size + 15) // 16 AS size,
+            CASE WHEN size = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest,
+            CASE WHEN size = 1 THEN [] ELSE list(digest ORDER BY place) END AS run
+        FROM {name}{k} GROUP BY tree, place // 16, size)"""
+            for k in range(n)
+        ]
+
+    def joined(name: str, n: int, tree: str, place: str) -> str:
+        return "".join(
+            f" JOIN {name}{k + 1} AS {name}r{k + 1} ON {name}r{k + 1}.tree = {tree}"
+            f" AND {name}r{k + 1}.place = {place} // {16 ** (k + 1)}"
+            for k in range(n)
+        )
+
+    def sides(name: str, n: int, place: str) -> list[tuple[str, str]]:
+        out = []
+        for k in range(n):
+            run, at = f"{name}r{k + 1}.run", f"{place} // {16 ** k} % 16"
+            out.append((f"array_to_string({run}[:{at}], '')", f"array_to_string({run}[{at} + 2:], '')"))
+        return out
+
+    steps = sides("t", levels, "l.place") + sides("s", above, "b.place")
+    fold = "claim"
+    folds = []
+    for k, (left, right) in enumerate(steps):
+        folds.append(f"CASE WHEN size{k} = 1 THEN {fold} ELSE sha256(l{k} || {fold} || r{k}) END AS f{k}")
+        fold = f"f{k}"
+    parts = ", ".join(
+        f"{left} AS l{k}, {right} AS r{k}, "
+        + (f"len(tr{k + 1}.run)" if k < levels else f"len(sr{k - levels + 1}.run)") + f" + 1 AS size{k}"
+        for k, (left, right) in enumerate(steps)
+    )
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+
+    def leaf(text: str) -> str:
+        each = (f"CAST({text if c == 'text' else c} AS VARCHAR)" for c in fields)
+        return "sha256(" + " || ".join(
+            f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in each
+        ) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    nested = "told"
+    chain = []
+    for k, f in enumerate(folds):
+        chain.append(f"folded{k} AS (SELECT *, {f} FROM {nested})")
+        nested = f"folded{k}"
+    return ",\n".join([
+        f"""WITH RECURSIVE bits AS (
+        SELECT doc_id, CAST(doc_id AS VARCHAR) AS raw FROM documents WHERE doc_id IS NOT NULL),
+    crc AS (
+        SELECT DISTINCT doc_id, raw, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM bits
+        UNION ALL
+        SELECT doc_id, raw, i + 1, {_crc_step()} FROM crc WHERE i < length(raw)),
+    hit AS (SELECT DISTINCT doc_id FROM crc WHERE i = length(raw) AND xor(c, 4294967295) % 5 = 0),
+    t0 AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS place,
+            count(*) OVER (PARTITION BY tree) AS size
+        FROM (SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf('text')} AS digest,
+            CASE WHEN doc_id IN (SELECT doc_id FROM hit) THEN {leaf(lower)} ELSE {leaf('text')} END AS claim
+            FROM documents))""",
+        *up("t", levels),
+        f"""s0 AS (
+        SELECT '' AS tree, tree AS of, digest, row_number() OVER (ORDER BY tree) - 1 AS place,
+            count(*) OVER () AS size FROM t{levels})""",
+        *up("s", above),
+        f"""told AS (
+        SELECT l.doc_id, l.digest AS leaf, l.claim, b.digest AS subroot, top.digest AS root, {parts}
+        FROM t0 l JOIN s0 b ON b.of = l.tree JOIN s{above} top ON TRUE
+        {joined('t', levels, 'l.tree', 'l.place')}{joined('s', above, "''", 'b.place')})""",
+        *chain,
+    ]) + f"""
+    SELECT doc_id, leaf, subroot, root, sha256({' || '.join(f'l{k} || r{k}' for k in range(len(steps)))}) AS proof_sha256,
+        {fold} AS folded_root, {fold} = root AS verified FROM {nested}"""
+
+
+def _crc_step() -> str:
+    """One byte of crc32 more: eight shifts with the polynomial where the lowest bit is set."""
+    c = "xor(c, CAST(ascii(substr(raw, i + 1, 1)) AS BIGINT))"
+    for _ in range(8):
+        c = f"list_transform([{c}], lambda x: xor(x >> 1, 3988292384 * (x & 1)))[1]"
+    return c
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES = {
@@ -297,4 +401,6 @@ ORACLES = {
         FROM both_parts)
     SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
     FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    # Five levels hold a million leaves a tree, two hold 256 trees.
+    "op11_merkle": _merkle_sql(5, 2),
 }
