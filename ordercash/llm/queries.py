@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ordercash.llm import (
     decontamination,
     divergence,
+    html_extraction,
     jaccard_join,
     license_scan,
     merkle,
@@ -123,12 +124,17 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extraction.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_partial_matching, op2_jaccard_join, op3_sharding, op4_quote_linking,
         op5_quality_rules, op6_license_scan, op7_packing, op8_warc, op9_quality_classifier,
-        op10_decontamination, op11_merkle, op12_divergence,
+        op10_decontamination, op11_merkle, op12_divergence, op13_html_extraction,
     )
 }
 
