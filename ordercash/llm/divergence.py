@@ -119,16 +119,19 @@ def _tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rest = int(marks["terms"].iloc[0]) - len(ids)
     tile = marks["tile"].to_numpy()
     left, right = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
-    out = []
+    one, two, values = [], [], []
     for i in left:
         value = np.abs(p[right] - p[i]).sum(axis=1) + rest * np.abs(rest_p[right] - rest_p[i])
         other = right != i
-        one, two, value = np.full(other.sum(), names[i]), names[right][other], value[other]
-        out.append(pd.DataFrame({"source": one, "item": two, "value": value}))
-        if a != b:
-            out.append(pd.DataFrame({"source": two, "item": one, "value": value}))
-    whole = pd.concat(out) if out else pd.DataFrame({"source": [], "item": [], "value": []})
-    return whole.assign(lang=lang)[["lang", "source", "item", "value"]]
+        one.append(np.full(other.sum(), i))
+        two.append(right[other])
+        values.append(value[other])
+    none = np.zeros(0, dtype=np.int64)
+    one, two, value = (np.concatenate([none, *found]) for found in (one, two, values))
+    if a != b:
+        one, two, value = np.append(one, two), np.append(two, one), np.append(value, value)
+    names = names.astype(object)
+    return pd.DataFrame({"lang": lang, "source": names[one], "item": names[two], "value": value})
 
 
 def audit(
