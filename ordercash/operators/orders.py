@@ -18,6 +18,8 @@ from ordercash.plans import (
 )
 
 STAGES = ("delivery", "billing", "payment")
+#: Rows of a page whose keys and names are surely small: some 10 MB.
+SMALL_PAGE = 100_000
 
 
 def _names(t: Tables, *extra: str) -> DataFrame:
@@ -27,15 +29,17 @@ def _names(t: Tables, *extra: str) -> DataFrame:
 def list_orders(t: Tables, limit: int = 50, offset: int = 0) -> DataFrame:
     """One page of orders, newest first, with the customer's name.
 
-    The page is cut first; customers are then probed with the page's keys, at most ``limit``
-    of them, so neither table is shuffled for the join.
+    The page is cut first; customers are then probed with the page's keys, at most ``limit`` of them.
+    Keys and names of a page up to ``SMALL_PAGE`` orders are broadcast, so that neither table is shuffled
+    for the join; Spark chooses for larger ones.
     """
     newest = newest_first("order_date", "order_id")
     rows = page(t["orders"], newest, limit, offset)
-    keys = rows.select("customer_id").distinct()
+    small = F.broadcast if limit <= SMALL_PAGE else (lambda df: df)
+    keys = small(rows.select("customer_id").distinct())
     names = _names(t).join(keys, "customer_id", "left_semi")
     return (
-        left_join_one(rows, names, "customer_id")
+        left_join_one(rows, small(names), "customer_id")
         .select(
             "order_id", "customer_id", "customer_name", "order_date", "total_amount",
             "currency", "delivery_status", "process_status",
