@@ -1,18 +1,20 @@
 """Jobs over a column of logged SQL text: safety audit and identifier checks.
 
-The checks are word lists and patterns applied to a text; nothing is parsed or planned. Every
-check is a column expression over one row: words and names are arrays in that row, and the
-catalog is a set of literals, so a log of any size is one map stage without a shuffle.
+The checks are word lists and patterns applied to a text; nothing is parsed or planned. The audit and
+the older check are column expressions over one row. The check against the catalog takes the catalog
+as a table of any size: statements are reduced to their distinct shapes (quoted text emptied), their
+names are rows, and joins tell which of them the catalog has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordercash.functions.strings import strip
+from ordercash.plans import having_no, having_some, join_totals
 
 # Words that get a statement rejected, and the limit added when none is given.
 FORBIDDEN = (
@@ -44,7 +46,6 @@ UNKNOWN_SHARE = 0.45
 
 # Patterns of names and of their uses.
 NAME = r"[a-z_][a-z0-9_]*"
-WORD_PATTERN = rf"(?U)\b({NAME})\b"
 REF_PATTERN = rf"(?U)\b(from|join)\s+({NAME})(?:\s+(?:as\s+)?({NAME}))?"
 AS_PATTERN = rf"(?U)\bas\s+({NAME})\b"
 QUALIFIED_PATTERN = rf"(?U)\b({NAME})\.({NAME})\b"
@@ -85,64 +86,82 @@ def _blank_quotes(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"'[^']*'", "''"), r'"[^"]*"', '""')
 
 
+def _words(text: Column) -> Column:
+    """The distinct words that are names: what is between characters that no word has."""
+    return F.array_distinct(F.filter(F.split(text, r"(?U)\W+"), lambda w: w.rlike(rf"^{NAME}\z")))
+
+
+def catalog_table(spark: SparkSession, catalog: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(table_name, column_name) of a catalog given as a mapping."""
+    pairs = [(t, c) for t, cols in catalog.items() for c in cols]
+    return spark.createDataFrame(pairs, "table_name string, column_name string")
+
+
+def _names_used(shapes: DataFrame) -> dict[str, DataFrame]:
+    """Names of each shape, by ``_id``: table references with their nick, words after AS, qualified
+    names and words. A match is taken once and split."""
+    part = lambda m, i: F.get(F.split(m, r"(?U)\s+"), F.lit(i))
+    last = lambda m: F.element_at(F.split(m, r"(?U)\s+"), -1)
+    sql = F.col("_shape")
+    refs = shapes.select("_id", F.posexplode(_all(sql, REF_PATTERN, 0)).alias("pos", "m")).select(
+        "_id", "pos", part(F.col("m"), 1).alias("name"),
+        F.when(F.size(F.split("m", r"(?U)\s+")) > 2, last(F.col("m"))).otherwise("").alias("nick"),
+    )
+    renamed = shapes.select("_id", F.explode(_all(sql, AS_PATTERN, 0)).alias("m")).select(
+        "_id", last(F.col("m")).alias("word")
+    )
+    qualified = shapes.select("_id", F.explode(F.array_distinct(_all(sql, QUALIFIED_PATTERN, 0))).alias("m")).select(
+        "_id", F.substring_index("m", ".", 1).alias("owner"), F.substring_index("m", ".", -1).alias("name"), "m"
+    )
+    loose = F.regexp_replace(F.regexp_replace(sql, QUALIFIED_PATTERN, " "), NUMBER_PATTERN, " ")
+    words = shapes.select("_id", F.explode(_words(loose)).alias("word"))
+    return {"refs": refs, "as": renamed, "qualified": qualified, "words": words}
+
+
+def unknown_names(shapes: DataFrame, names: DataFrame) -> DataFrame:
+    """(``_id``, ``unknown``) of the shapes with a name that the catalog table ``names`` doesn't have."""
+    names = names.select(F.lower("table_name").alias("table"), F.lower("column_name").alias("column"))
+    tables = names.select(F.col("table").alias("name"))
+    used = _names_used(shapes)
+    known = having_some(used["refs"], tables, "name")
+    # Names a qualifier may use, each with its table; of two with one name the later holds.
+    owners = known.select("_id", F.inline(F.array(
+        F.struct(F.col("name").alias("owner"), F.col("name").alias("table"), (2 * F.col("pos")).alias("at")),
+        F.struct(F.col("nick").alias("owner"), F.col("name").alias("table"), (2 * F.col("pos") + 1).alias("at")),
+    ))).filter(
+        (F.col("owner") == F.col("table")) | ((F.col("owner") != "") & ~F.col("owner").isin(RESERVED))
+    ).groupBy("_id", "owner").agg(F.max_by("table", "at").alias("table"))
+    resolved = used["qualified"].join(owners, ["_id", "owner"], "left").withColumn(
+        "full", F.concat("table", F.lit("."), "name")
+    )
+    columns = names.select(F.concat("table", F.lit("."), "column").alias("full"))
+    either = tables.select(F.col("name").alias("word")).unionAll(names.select("column"))
+    aliases = owners.select("_id", F.col("owner").alias("word")).unionByName(used["as"]).distinct()
+    words = having_no(used["words"].filter(~F.col("word").isin(RESERVED)), either, "word")
+    bad = (
+        having_no(used["refs"], tables, "name").select("_id", F.col("name").alias("bad"))
+        .unionAll(having_no(resolved, columns, "full").select("_id", "m"))
+        .unionAll(words.join(aliases, ["_id", "word"], "left_anti").select("_id", "word"))
+    )
+    return bad.groupBy("_id").agg(F.array_sort(F.collect_set("bad")).alias("unknown"))
+
+
 def sql_log_identifiers(
-    df: DataFrame, catalog: Mapping[str, Sequence[str]], text: str = "sql_text"
+    df: DataFrame, catalog: Mapping[str, Sequence[str]] | DataFrame, text: str = "sql_text"
 ) -> DataFrame:
     """The rows with ``unknown``: the sorted names in the SQL that the catalog does not have.
 
-    ``catalog`` maps table names to column names, as ``ordercash.model.catalog`` gives it.
+    ``catalog`` is a table (table_name, column_name), or maps table names to column names, as
+    ``ordercash.model.catalog`` gives it. A null text has null. Statements that differ in quoted text
+    alone are looked at once.
     """
-    tables = sorted(t.lower() for t in catalog)
-    qualified = sorted({f"{t}.{c}".lower() for t, cols in catalog.items() for c in cols})
-    columns = sorted({c.lower() for cols in catalog.values() for c in cols})
-    known = sorted({*RESERVED, *tables, *columns})
-
-    found = df.withColumn("_sql", _blank_quotes(F.lower(F.col(text)))).withColumns({
-        "_refs": F.arrays_zip(
-            _all(F.col("_sql"), REF_PATTERN, 2).alias("name"),
-            _all(F.col("_sql"), REF_PATTERN, 3).alias("nick"),
-        ),
-        "_as": F.filter(_all(F.col("_sql"), AS_PATTERN), lambda a: ~a.isin(RESERVED)),
-        "_qualified": F.arrays_zip(
-            _all(F.col("_sql"), QUALIFIED_PATTERN, 1).alias("owner"),
-            _all(F.col("_sql"), QUALIFIED_PATTERN, 2).alias("name"),
-        ),
-        "_words": F.array_distinct(_all(
-            F.regexp_replace(
-                F.regexp_replace(F.col("_sql"), QUALIFIED_PATTERN, " "), NUMBER_PATTERN, " "
-            ),
-            WORD_PATTERN,
-        )),
-    })
-    known_refs = F.filter("_refs", lambda r: r["name"].isin(tables))
-    # Names a qualifier may use, each with its table; of two with one name the later holds.
-    owners = F.flatten(F.transform(known_refs, lambda r: F.filter(
-        F.array(
-            F.struct(r["name"].alias("owner"), r["name"].alias("table")),
-            F.struct(r["nick"].alias("owner"), r["name"].alias("table")),
-        ),
-        lambda o: (o["owner"] == o["table"])
-        | ((o["owner"] != "") & ~o["owner"].isin(RESERVED)),
-    )))
-    found = found.withColumn("_owners", owners)
-
-    def resolves(ref: Column) -> Column:
-        same = F.filter("_owners", lambda o: o["owner"] == ref["owner"])
-        table = F.get(F.reverse(same), F.lit(0))["table"]
-        return F.coalesce(F.concat(table, F.lit("."), ref["name"]).isin(qualified), F.lit(False))
-
-    aliases = F.concat(F.transform("_owners", lambda o: o["owner"]), F.col("_as"))
-    unknown = F.concat(
-        F.transform(F.filter("_refs", lambda r: ~r["name"].isin(tables)), lambda r: r["name"]),
-        F.transform(
-            F.filter("_qualified", lambda q: ~resolves(q)),
-            lambda q: F.concat_ws(".", q["owner"], q["name"]),
-        ),
-        F.array_except(F.filter("_words", lambda w: ~w.isin(known)), aliases),
-    )
-    return found.withColumn("unknown", F.array_sort(F.array_distinct(unknown))).drop(
-        "_sql", "_refs", "_as", "_qualified", "_words", "_owners"
-    )
+    names = catalog if isinstance(catalog, DataFrame) else catalog_table(df.sparkSession, catalog)
+    shape = _blank_quotes(F.lower(F.col(text)))
+    shapes = df.select(shape.alias("_shape")).filter(F.col("_shape").isNotNull()).distinct()
+    bad = unknown_names(shapes.withColumn("_id", F.unhex(F.sha2("_shape", 256))), names)
+    found = join_totals(df.withColumn("_id", F.unhex(F.sha2(shape, 256))), bad, "_id")
+    none = F.when(F.col(text).isNotNull(), F.array().cast("array<string>"))
+    return found.withColumn("unknown", F.coalesce("unknown", none)).drop("_id")
 
 
 def sql_log_aliases(
@@ -155,9 +174,7 @@ def sql_log_aliases(
     """
     names = sorted({*catalog, *(c for cols in catalog.values() for c in cols)})
     found = df.withColumn("_sql", F.lower(F.col(text))).withColumns({
-        "_words": F.filter(
-            F.array_distinct(_all(F.col("_sql"), WORD_PATTERN)), lambda w: ~w.isin(OLD_RESERVED)
-        ),
+        "_words": F.filter(_words(F.col("_sql")), lambda w: ~w.isin(OLD_RESERVED)),
         "_ids": F.filter(_all(F.col("_sql"), AS_PATTERN), lambda a: a.endswith("_id")),
     })
     n_words = F.size("_words")

@@ -216,3 +216,23 @@ def test_older_check_knows_the_whole_catalog(spark):
     sql = "select plant_name, factory_calendar, valuation_area, plant_category, address_id, mrp_type from plants"
     got = sqllog.sql_log_aliases(_log(spark, sql), CATALOG).collect()[0]
     assert (got.n_unknown, got.verdict) == (0, "ok")
+
+
+def test_identifiers_against_a_catalog_in_a_table(spark):
+    names = spark.range(100_000).select(
+        F.concat(F.lit("t"), (F.col("id") % 500).cast("string")).alias("table_name"),
+        F.concat(F.lit("C"), F.col("id").cast("string")).alias("column_name"),
+    )
+    log = spark.createDataFrame(
+        [(1, "select a.c7, c507, a.c8 from t7 a join t8 on t8.c8 = 'x'"), (2, "select c99999 from T499"),
+         (3, "select c100000 from t500"), (4, None), (5, ""), (1, "select c100000 from t500")],
+        "log_id long, sql_text string",
+    )
+    got = sqllog.sql_log_identifiers(log, names)
+    assert sorted((r.log_id, r.unknown) for r in got.collect() if r.unknown is not None) == [
+        (1, ["a.c8"]), (1, ["c100000", "t500"]), (2, []), (3, ["c100000", "t500"]), (5, [])
+    ]
+    assert [r.log_id for r in got.filter("unknown IS NULL").collect()] == [4]
+    assert "c99998" not in got._jdf.queryExecution().toString()
+    hot = log.filter("log_id = 2").crossJoin(spark.range(2000).select(F.col("id").alias("n")))
+    assert sqllog.sql_log_identifiers(hot, names).filter(F.size("unknown") == 0).count() == 2000
