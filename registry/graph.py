@@ -115,6 +115,39 @@ def _edges_sql(source: str, links: list[tuple[str, str, str]]) -> str:
     FROM ({pairs}) WHERE source IS NOT NULL AND target IS NOT NULL AND source <> target"""
 
 
+def _node(kind: str) -> str:
+    return f"'{kind}_' || {_MIXED_IDS[kind]}"
+
+
+@query(
+    "graph_edges_lines",
+    _edges_sql("mixed", [
+        (_node("order"), _node("invoice"), "'related'"),
+        (_node("order"), _node("delivery"), "'related'"),
+        (_node("order"), _node("product"), "'related'"),
+    ]),
+    ctes=_MIXED_CTE,
+)
+def _(s):
+    _nodes, edges = graph.build_graph(mixed(s), ["line_key"])
+    return edges
+
+
+@query(
+    "o2c_typed_edges_lines",
+    _edges_sql("mixed", [
+        (_node("order"), _node("delivery"), "'fulfilled by'"),
+        (_node("delivery"), _node("invoice"), "'billed via'"),
+        (f"CASE WHEN {_MIXED_IDS['delivery']} IS NULL THEN {_node('order')} END", _node("invoice"), "'billed via'"),
+        (_node("order"), _node("product"), "'contains'"),
+    ]),
+    ctes=_MIXED_CTE,
+)
+def _(s):
+    _nodes, edges = graph.o2c_typed_graph(mixed(s), ["line_key"])
+    return edges
+
+
 def _flow(s):
     return orders.order_flow_all(s.star()).withColumn(
         "document", F.coalesce("delivery_id", "invoice_id", F.lit(""))

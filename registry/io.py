@@ -13,40 +13,94 @@ from ordercash.sources import sap, sinks, tables
 from registry.base import query
 
 
-_GIVEN = ("customer", "orders", "lineitem", "part", "events", "supplier", "nation")
+# Columns of the given tables by how they are written as text: as they are, with four digits, or with micros.
+_GIVEN = {
+    "customer": "c_custkey c_name c_nationkey c_acctbal:number c_mktsegment",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:number o_orderdate:time o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:number l_extendedprice:number "
+    "l_discount:number l_tax:number l_returnflag l_linestatus l_shipdate:time",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice:number",
+    "events": "event_id ts:time user_id event_type value:number props",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal:number",
+    "nation": "n_nationkey n_name n_regionkey",
+}
+# Columns of the document tables that the sample has.
+_DOCUMENTS = {
+    "business_partners": "business_partner customer business_partner_name business_partner_full_name "
+    "business_partner_is_blocked business_partner_grouping last_change_date",
+    "products": "product product_type product_old_id is_marked_for_deletion",
+    "product_descriptions": "product language product_description",
+    "sales_order_headers": "sales_order sold_to_party creation_date total_net_amount:number overall_delivery_status",
+    "sales_order_items": "sales_order sales_order_item material requested_quantity:number net_amount:number",
+    "outbound_delivery_headers": "delivery_document actual_goods_movement_date overall_goods_movement_status "
+    "overall_picking_status",
+    "outbound_delivery_items": "delivery_document delivery_document_item reference_sd_document "
+    "reference_sd_document_item",
+    "billing_document_headers": "billing_document accounting_document sold_to_party billing_document_date "
+    "total_net_amount:number billing_document_is_cancelled",
+    "billing_document_items": "billing_document material net_amount:number reference_sd_document "
+    "reference_sd_document_item",
+    "payments_accounts_receivable": "accounting_document invoice_reference customer clearing_date",
+}
+_DOCUMENT_CTES = {
+    "products_rows": """SELECT CAST(p_partkey AS VARCHAR) AS product, p_type AS product_type,
+        p_brand AS product_old_id, p_size > 45 AS is_marked_for_deletion FROM part""",
+    "product_descriptions_rows": """SELECT CAST(p_partkey AS VARCHAR) AS product, 'EN' AS language,
+        p_name AS product_description FROM part""",
+    "outbound_delivery_headers_rows": """SELECT delivery_id AS delivery_document,
+        ship_date AS actual_goods_movement_date, goods_status AS overall_goods_movement_status,
+        picking_status AS overall_picking_status FROM o2c_deliveries""",
+}
 
 
-@query(
-    "load_o2c",
-    " UNION ALL ".join(
-        f"SELECT '{name}' AS name, COUNT(*) AS n_rows FROM {name}" for name in _GIVEN
-    ),
-)
-def _(s):
-    """The given parquet files loaded by name, with the rows of each."""
-    loaded = tables.load_o2c(s.spark, s.root, _GIVEN)
-    counts = [
-        df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
-        for name, df in loaded.items()
+def _columns(told: str) -> list[tuple[str, str]]:
+    return [(c, kind or "text") for c, _, kind in (x.partition(":") for x in told.split())]
+
+
+def _lines_sql(tables: dict[str, str], rows: str = "{}") -> str:
+    """A digest of each row with all its columns."""
+    form = {
+        "text": "CAST({} AS VARCHAR)", "number": "CAST(CAST({} AS DECIMAL(18,4)) AS VARCHAR)",
+        "time": "strftime({}, '%Y-%m-%d %H:%M:%S.%f')",
+    }
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS name, md5(concat_ws('|', "
+        + ", ".join(f"coalesce({form[kind].format(c)}, '~')" for c, kind in _columns(told))
+        + f")) AS row_digest FROM {rows.format(name) if rows.format(name) in _DOCUMENT_CTES else name}"
+        for name, told in tables.items()
+    )
+
+
+def _lines(loaded, tables: dict[str, str]) -> DataFrame:
+    form = {
+        "text": lambda c: F.col(c).cast("string"),
+        "number": lambda c: F.col(c).cast("decimal(18,4)").cast("string"),
+        "time": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+    }
+    parts = [
+        loaded[name].select(
+            F.lit(name).alias("name"),
+            F.md5(F.concat_ws("|", *(F.coalesce(form[kind](c), F.lit("~")) for c, kind in _columns(told)))).alias("row_digest"),
+        )
+        for name, told in tables.items()
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query(
-    "load_jsonl",
-    """SELECT sales_order, sold_to_party, creation_date, total_net_amount,
-        overall_delivery_status FROM sales_order_headers""",
-    text=["creation_date"], number=["total_net_amount"],
-)
+@query("load_o2c", _lines_sql(_GIVEN))
 def _(s):
-    """Order headers written as JSON lines and loaded with their declared schema."""
+    """The given parquet files loaded by name: a digest of every row with all its columns."""
+    return _lines(tables.load_o2c(s.spark, s.root, _GIVEN), _GIVEN)
+
+
+@query("load_jsonl", _lines_sql(_DOCUMENTS, "{}_rows"), ctes=_DOCUMENT_CTES)
+def _(s):
+    """All ten tables written as JSON lines and loaded with their declared schemas: a digest of every row."""
     root = scratch_dir(s.spark, "jsonl")
-    s.sap()["sales_order_headers"].write.json(f"{root}/sales_order_headers")
-    loaded = tables.load_jsonl(s.spark, root, tables=["sales_order_headers"])
-    return loaded["sales_order_headers"].select(
-        "sales_order", "sold_to_party", "creation_date", "total_net_amount",
-        "overall_delivery_status",
-    )
+    given = s.sap()
+    for name in _DOCUMENTS:
+        given[name].write.json(f"{root}/{name}")
+    return _lines(tables.load_jsonl(s.spark, root), _DOCUMENTS)
 
 
 @query(

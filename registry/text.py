@@ -62,14 +62,14 @@ _CASES = " ".join(
 )
 
 
-@query(
-    "question_intent",
-    f"""SELECT question_id, question, CASE {_CASES} END AS intent FROM (
+_INTENT = f"""SELECT question_id, question, CASE {_CASES} END AS intent FROM (
         SELECT *, lower(normalized)
             || CASE WHEN customer_hint IS NULL THEN '' ELSE ' customer order' END
             || CASE WHEN order_hint IS NULL THEN '' ELSE ' order' END AS q
-        FROM ({_HINTS}))""",
-)
+        FROM ({_HINTS}))"""
+
+
+@query("question_intent", _INTENT)
 def _(s):
     return questions.question_intent(s.questions())
 
@@ -81,17 +81,58 @@ _TABLE_ROWS = " UNION ".join(
 )
 
 
-@query(
-    "question_tables",
-    f"""SELECT * FROM hits UNION SELECT question_id, '{questions.ALWAYS}' FROM questions
+_TABLES = f"""SELECT * FROM hits UNION SELECT question_id, '{questions.ALWAYS}' FROM questions
     UNION SELECT question_id, t FROM questions, (VALUES {_list(SAP_TABLES)[1:-1]}) v(t)
-        WHERE question_id NOT IN (SELECT question_id FROM hits)""",
-    ctes={"hits": _TABLE_ROWS},
-)
+        WHERE question_id NOT IN (SELECT question_id FROM hits)"""
+
+
+@query("question_tables", _TABLES, ctes={"hits": _TABLE_ROWS})
 def _(s):
     return questions.question_tables(s.questions())
 
 
+# The same jobs over the texts that are given: turns of conversations, and whole documents.
+_ASKED = {
+    "messages": "SELECT concat(conv_id, '/', turn) AS question_id, text AS question FROM conversations",
+    "documents": "SELECT doc_id AS question_id, text AS question FROM documents",
+}
+
+
+def _asked(s, name):
+    if name == "messages":
+        return s.messages().select(
+            F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"),
+            F.col("text").alias("question"),
+        )
+    return s.raw("documents").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
+
+
+def _over(sql: str) -> str:
+    return sql.replace("FROM questions", "FROM asked")
+
+
+def _register_over(name: str) -> None:
+    asked = {"asked": _ASKED[name]}
+    found = ["question_id", "customer_hint", "order_hint"]
+    hints = f"SELECT {', '.join(found)}, md5(normalized) AS normalized FROM ({_over(_HINTS)})"
+
+    @query(f"question_hints_{name}", hints, ctes=asked)
+    def _(s):
+        return questions.question_hints(_asked(s, name)).select(*found, F.md5("normalized").alias("normalized"))
+
+    @query(f"question_intent_{name}", f"SELECT question_id, intent FROM ({_over(_INTENT)})", ctes=asked)
+    def _(s):
+        return questions.question_intent(_asked(s, name)).select("question_id", "intent")
+
+    @query(f"question_tables_{name}", _over(_TABLES), ctes={**asked, "hits": _over(_TABLE_ROWS)})
+    def _(s):
+        return questions.question_tables(_asked(s, name))
+
+
+for _name in _ASKED:
+    _register_over(_name)
+
+
 _AUDIT = rf"""SELECT log_id, sql_text, verdict, CASE WHEN verdict = 'ok' THEN
         CASE WHEN contains(lower(raw), 'limit') THEN raw ELSE raw || ' LIMIT 20' END END
         AS final_sql
