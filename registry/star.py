@@ -171,22 +171,35 @@ def _(s):
     return orders.incomplete_orders(s.star(), "delivery")
 
 
+# An order is shipped with its lines of status F that are delivered, and billed with any line that is not
+# free; both are told from all of its lines at once.
+_SHIPPED_LINE = "l_linestatus = 'F' AND l_suppkey % 3 <> 0"
+_LAST_SHIP = f"CAST(MAX(CASE WHEN {_SHIPPED_LINE} THEN l_shipdate END) AS DATE)"
+_UNBILLED = f"bool_and(l_returnflag = 'N') AND bool_or({_SHIPPED_LINE})"
+
+
 @query(
     "incomplete_billing",
-    """SELECT order_id, total_amount, delivery_id, ship_date
-    FROM o2c_orders JOIN (SELECT order_id, delivery_id, ship_date FROM o2c_deliveries
-        WHERE goods_status = 'C') USING (order_id)
-    WHERE order_id NOT IN (SELECT order_id FROM o2c_invoices)""",
+    f"""SELECT CAST(l_orderkey AS VARCHAR) AS order_id,
+        CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount,
+        'D' || l_orderkey || 'F' AS delivery_id, {_LAST_SHIP} AS ship_date
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    GROUP BY l_orderkey, o_totalprice HAVING {_UNBILLED}""",
     text=["ship_date"], number=["total_amount"],
 )
 def _(s):
     return orders.incomplete_orders(s.star(), "billing")
 
 
-_NEVER_PAID = """FROM o2c_invoices JOIN (
-        SELECT customer_id, name AS customer_name, is_blocked FROM o2c_customers
-        WHERE customer_id NOT IN (SELECT customer_id FROM o2c_payments WHERE is_incoming = 1)
-    ) USING (customer_id) WHERE is_cancelled = 0"""
+# Neither free nor taken back is live; an invoice is what the lines of one mark of an order come to.
+_NEVER_PAID = f"""FROM (
+        SELECT 'I' || l_orderkey || l_returnflag AS invoice_id, c_name AS customer_name,
+            CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS is_blocked,
+            CAST(MIN(l_shipdate) AS DATE) AS invoice_date, SUM({NET}) AS total_amount
+        FROM lineitem, orders, customer
+        WHERE l_returnflag NOT IN ('N', 'R') AND o_orderkey = l_orderkey AND c_custkey = o_custkey
+            AND (SELECT COUNT(*) FROM events WHERE user_id = c_custkey AND event_type = 'purchase') = 0
+        GROUP BY l_orderkey, l_returnflag, c_custkey, c_name, c_acctbal)"""
 
 
 @query(
@@ -241,10 +254,13 @@ def _(s):
 
 @query(
     "order_items",
-    """SELECT * FROM (SELECT * FROM o2c_order_items WHERE order_id IN (
-        SELECT order_id FROM o2c_orders WHERE order_type = '1-URGENT'))
-    LEFT JOIN (SELECT product_id, product_name, product_type, old_sku FROM o2c_products)
-        USING (product_id)""",
+    f"""SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_linenumber AS VARCHAR) AS line_no,
+        CAST(l_partkey AS VARCHAR) AS product_id, CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
+        'EA' AS unit, {NET} AS net_amount, CAST(l_suppkey AS VARCHAR) AS plant,
+        l_returnflag AS item_category, l_linestatus AS delivery_status,
+        p_name AS product_name, p_type AS product_type, p_brand AS old_sku
+    FROM lineitem LEFT JOIN part ON p_partkey = l_partkey
+    WHERE '1-URGENT' = ANY (SELECT o_orderpriority FROM orders WHERE o_orderkey = l_orderkey)""",
     number=["quantity", "net_amount"],
 )
 def _(s):
@@ -273,11 +289,10 @@ def _(s):
 
 @query(
     "delivery_performance",
-    """SELECT COUNT(days) AS shipped_orders, ROUND(AVG(days), 1) AS avg_days,
+    f"""SELECT COUNT(days) AS shipped_orders, ROUND(AVG(days), 1) AS avg_days,
         MIN(days) AS min_days, MAX(days) AS max_days
-    FROM (SELECT CAST(ship_date - order_date AS INT) AS days FROM o2c_orders JOIN (
-        SELECT order_id, ship_date FROM o2c_deliveries WHERE goods_status = 'C')
-        USING (order_id))""",
+    FROM (SELECT CAST({_LAST_SHIP} - CAST(o_orderdate AS DATE) AS INT) AS days
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, o_orderdate)""",
 )
 def _(s):
     return analytics.delivery_performance(s.star())
@@ -285,12 +300,10 @@ def _(s):
 
 @query(
     "revenue_leakage",
-    """SELECT order_id, customer_name, ship_date, total_amount AS order_amount
-    FROM o2c_orders JOIN (SELECT customer_id, name AS customer_name FROM o2c_customers)
-        USING (customer_id)
-    JOIN (SELECT order_id, ship_date FROM o2c_deliveries WHERE goods_status = 'C')
-        USING (order_id)
-    WHERE order_id NOT IN (SELECT order_id FROM o2c_invoices)""",
+    f"""SELECT CAST(l_orderkey AS VARCHAR) AS order_id, c_name AS customer_name,
+        {_LAST_SHIP} AS ship_date, CAST(o_totalprice AS DECIMAL(18,2)) AS order_amount
+    FROM lineitem, orders, customer WHERE o_orderkey = l_orderkey AND c_custkey = o_custkey
+    GROUP BY l_orderkey, c_custkey, c_name, o_totalprice HAVING {_UNBILLED}""",
     text=["ship_date"], number=["order_amount"],
 )
 def _(s):
