@@ -31,6 +31,7 @@ ship(__name__)
 
 MAGIC = b"\x1f\x8b\x08"
 REVISIT_FROM = 100
+READERS = 100_000  # tasks of one reading stage
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = (
     "file string, offset long, record_type string, record_id string, target_uri string, "
@@ -73,13 +74,18 @@ def member(page, url, payload: bytes, digest: str, refers_to, date: str, level:
 
 
 def linked(pages: DataFrame) -> DataFrame:
-    """``pages`` with digest, size and, for all but the first of equal payloads, ``refers_to``."""
+    """``pages`` with digest, size and, for all but the first of equal payloads, ``refers_to``.
+
+    Rows get their number once and are written with it, as a second run over an input that is not a plain
+    scan may number them otherwise.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", "html",
         F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"),
         F.monotonically_increasing_id().alias("row"),
     )
+    base = written(base, "numbered")
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")
     firsts = (
         base.filter(F.col("size") >= REVISIT_FROM)
@@ -177,11 +183,14 @@ def members(file, start: int, end: int, step: int = 1 << 20) -> Iterator[tuple[i
 def read_archives(
     spark: SparkSession, archives: DataFrame, split_bytes: int = 32 << 20, with_payload: bool = True
 ) -> DataFrame:
-    """All records of archives given as rows (path, bytes)."""
+    """All records of archives given as rows (path, bytes), by one task a range up to ``READERS`` tasks."""
     ranges = archives.select(
         "path", "bytes",
         F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")).alias("start"),
     )
+    readers = min(max(1, ranges.count()), READERS)
+    # The ranges of an archive go to one task after the other.
+    task = F.pmod(F.xxhash64("path") + F.floor(F.col("start") / split_bytes), F.lit(readers)).cast("int")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -203,7 +212,7 @@ def read_archives(
                             rows, held = [], 0
                 yield _frame(rows, columns)
 
-    return ranges.repartition("path", "start").mapInPandas(read, RECORDS)
+    return ranges.repartitionById(readers, task).mapInPandas(read, RECORDS)
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:

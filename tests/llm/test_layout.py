@@ -155,3 +155,13 @@ def test_magic_inside_a_record_is_no_record(cut):
         for at, _ in warc.members(io.BytesIO(raw), lo, min(len(raw), lo + cut))
     ]
     assert starts == [0, len(raw) - len(inner) - 13]
+
+
+def test_every_range_of_an_archive_has_a_task(spark):
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * 50, 0, "") for i in range(300)]
+    archives = warc.write_archives(pages(spark, rows).repartition(2))
+    ranges = sum(-(-r.bytes // 2000) for r in archives.collect())
+    read = warc.read_archives(spark, archives, split_bytes=2000)
+    assert ranges > 8 and read.rdd.getNumPartitions() == ranges
+    busy = read.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert busy > ranges // 2 and read.count() == 300
