@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ordercash.llm.common import spread, written
 
-QUOTE = r"^(?:[ \t]*>)+"
+#: Marks and blanks up to the last mark. A class is matched in a loop; a repeated group would take a
+#: level of the matcher's stack for each mark.
+QUOTE = r"^[ \t>]*>"
 BREAK, LEVEL = "\x01", "\x02"
 
 
@@ -73,33 +75,42 @@ def parsed(messages: DataFrame, scope: str, place: str, text: str, role: str | N
 
 def _hashes(texts: Column) -> Column:
     """Distinct hashes of the texts that are not blank."""
-    normal = F.filter(F.transform(texts, _normal), lambda x: x != "")
-    return F.array_distinct(F.transform(normal, lambda x: F.md5(x)))
+    normal = F.filter(F.transform(F.array_distinct(texts), _normal), lambda x: x != "")
+    return F.array_distinct(F.transform(normal, lambda x: F.unhex(F.md5(x))))
 
 
-def replies(messages: DataFrame) -> DataFrame:
-    """scope, place and ``parent``, the place of the message replied to, of those parsed rows that
-    have one."""
+def hashed(messages: DataFrame) -> DataFrame:
+    """scope, place, role and ``own`` of parsed rows, with the hashes ``said`` of own passages and those
+    ``asked`` for, with their level, of quoted ones (part 0 is a whole passage, 1 a line)."""
     own = F.filter("passages", lambda p: p["level"] == 0)["text"]
     pieces = F.concat(
         F.array("own"), own,
         F.flatten(F.transform(own, lambda t: F.split(t, r"\n[ \t]*\n"))),
         F.split("own", "\n"),
     )
+    quoted = F.filter("passages", lambda p: p["level"] > 0)
+
+    def asked(p: Column) -> Column:
+        told = lambda part: lambda h: F.struct(p["level"].alias("level"), F.lit(part).alias("part"), h.alias("hash"))
+        return F.concat(
+            F.transform(_hashes(F.array(p["text"])), told(0)),
+            F.transform(_hashes(F.split(p["text"], "\n")), told(1)),
+        )
+
+    return messages.select(
+        "scope", "place", "role", "own", _hashes(pieces).alias("said"),
+        F.array_distinct(F.flatten(F.transform(quoted, asked))).alias("asked"),
+    )
+
+
+def replies(messages: DataFrame) -> DataFrame:
+    """scope, place and ``parent``, the place of the message replied to, of those hashed rows that
+    have one."""
     originals = (
-        messages.select("scope", "place", F.explode(_hashes(pieces)).alias("hash"))
+        messages.select("scope", "place", F.explode("said").alias("hash"))
         .groupBy("scope", "hash").agg(F.min("place").alias("original"))
     )
-    quoted = F.filter("passages", lambda p: p["level"] > 0)
-    asked = messages.select("scope", "place", F.explode(quoted).alias("p")).select(
-        "scope", "place", "p.level",
-        F.explode(
-            F.concat(
-                F.transform(_hashes(F.array("p.text")), lambda h: F.struct(F.lit(0).alias("part"), h.alias("hash"))),
-                F.transform(_hashes(F.split("p.text", "\n")), lambda h: F.struct(F.lit(1).alias("part"), h.alias("hash"))),
-            )
-        ).alias("q"),
-    ).select("scope", "place", "level", "q.part", "q.hash").distinct()
+    asked = messages.select("scope", "place", F.inline("asked"))
     # Scopes may be null; their text and a mark of null stand for them in the join.
     a = asked.withColumn("_spread", spread("scope", "hash"))
     b = originals.select(
@@ -118,15 +129,23 @@ def replies(messages: DataFrame) -> DataFrame:
 
 def starts(links: DataFrame) -> DataFrame:
     """scope, place, parent, ``start`` and ``depth``: the top of each reply's chain and how far up
-    it is. Every round each row jumps to where its ancestor has got to, so rounds are the logarithm
-    of the longest chain; a round is written before the next."""
-    ups = written(links.select("scope", "place", "parent", F.col("parent").alias("start"), F.lit(1).cast("long").alias("depth")), "ups")
+    it is. Every round each row jumps to where its ancestor has got to, and rows that have reached their
+    top are joined no more, so a row takes part as often as the logarithm of its depth; a round is
+    written before the next."""
+    going = written(
+        links.select(
+            "scope", "place", "parent", F.col("parent").alias("start"), F.lit(1).cast("long").alias("depth"),
+            F.lit(False).alias("ended"),
+        ),
+        "ups",
+    )
+    ended: list[DataFrame] = []
     while True:
-        higher = ups.select(
-            F.col("scope").alias("_scope"), F.col("place").alias("_place"),
-            F.col("start").alias("higher"), F.col("depth").alias("more"), spread("scope", "place").alias("_other"),
+        higher = _union([going, *ended]).select(
+            F.col("scope").alias("_scope"), F.col("place").alias("_place"), F.col("start").alias("higher"),
+            F.col("depth").alias("more"), F.col("ended").alias("top"), spread("scope", "place").alias("_other"),
         )
-        a = ups.withColumn("_spread", spread("scope", "start"))
+        a = going.withColumn("_spread", spread("scope", "start"))
         jumped = a.join(
             higher,
             (a["start"] == higher["_place"]) & (a["_spread"] == higher["_other"])
@@ -134,12 +153,21 @@ def starts(links: DataFrame) -> DataFrame:
             "left",
         ).select(
             "scope", "place", "parent", F.coalesce("higher", "start").alias("start"),
-            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.coalesce("top", F.lit(True)).alias("ended"),
         )
         jumped = written(jumped, "ups")
-        ups = jumped.drop("moved")
-        if not jumped.filter("moved").limit(1).count():
-            return ups
+        ended.append(jumped.filter("ended"))
+        going = jumped.filter("NOT ended")
+        if going.isEmpty():
+            return _union(ended).drop("ended")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def conversations(
@@ -148,12 +176,12 @@ def conversations(
     """One row a message: scope, place, role, its text without quotes, ``parent``, ``start`` (the
     place of the first message of its conversation) and ``depth``. Sorted by scope, start and
     place, every reply comes after what it replies to."""
-    rows = parsed(messages, scope, place, text, role)
+    rows = written(hashed(parsed(messages, scope, place, text, role)), "hashed")
     ups = starts(replies(rows)).select(
         F.col("scope").alias("_scope"), F.col("place").alias("_place"), "parent", "start", "depth",
         spread("scope", "place").alias("_other"),
     )
-    a = rows.withColumn("_spread", spread("scope", "place"))
+    a = rows.select("scope", "place", "role", "own", spread("scope", "place").alias("_spread"))
     out = a.join(
         ups,
         a["place"].eqNullSafe(ups["_place"]) & (a["_spread"] == ups["_other"]) & a["scope"].eqNullSafe(ups["_scope"]),
@@ -166,10 +194,12 @@ def conversations(
     )
 
 
-def as_mail(messages: DataFrame, scope: str = "conv_id", place: str = "turn", text: str = "text") -> DataFrame:
+def as_mail(
+    messages: DataFrame, scope: str = "conv_id", place: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
     """Turns as mail: each quotes the whole turn before it below its own text, and the one before
     that a level deeper. For tables of turns, to which quotes are then what links them."""
-    base = messages.select(F.col(scope), F.col(place), "role", F.coalesce(F.col(text), F.lit("")).alias(text))
+    base = messages.select(F.col(scope), F.col(place), F.col(role), F.coalesce(F.col(text), F.lit("")).alias(text))
     before = base.groupBy(F.col(scope).alias("_s"), (F.col(place) + 1).alias("_p")).agg(F.min(text).alias("_before"))
     deeper = before.select(F.col("_s").alias("_t"), (F.col("_p") + 1).alias("_q"), F.col("_before").alias("_deeper"))
     quoted = lambda c, mark: F.concat(F.lit("\n" + mark), F.regexp_replace(c, "\n", "\n" + mark))
@@ -177,7 +207,7 @@ def as_mail(messages: DataFrame, scope: str = "conv_id", place: str = "turn", te
         base.join(before, base[scope].eqNullSafe(F.col("_s")) & (base[place] == F.col("_p")), "left")
         .join(deeper, base[scope].eqNullSafe(F.col("_t")) & (base[place] == F.col("_q")), "left")
         .select(
-            scope, place, "role",
+            scope, place, role,
             F.concat(
                 F.col(text), F.coalesce(quoted(F.col("_before"), "> "), F.lit("")),
                 F.coalesce(quoted(F.col("_deeper"), ">> "), F.lit("")),

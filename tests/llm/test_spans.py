@@ -119,3 +119,15 @@ def test_turns_as_mail_come_back_as_they_were(spark):
     rows = ql.conversations(ql.as_mail(table)).collect()
     assert sorted((r.conv_id, r.turn, r.role, r.text) for r in rows) == turns
     assert {(r.turn, r.parent, r.start, r.depth) for r in rows} == {(i, i - 1 if i else None, 0, i) for i in range(40)}
+
+
+def test_lines_of_very_many_marks_are_quotes_like_others(spark):
+    table = spark.createDataFrame(
+        [("c", 1, "user", "hello"), ("c", 2, "user", ">" * 1_000_000 + " hello\nyes"),
+         ("c", 3, "user", "> " * 500_000 + "hello\nno"), ("c", 4, "user", "> \t" * 1000)],
+        "conv_id string, turn long, who string, text string",
+    )
+    rows = {r.turn: r for r in ql.conversations(table, role="who").collect()}
+    assert [(rows[t].text, rows[t].parent) for t in (1, 2, 3, 4)] == [("hello", None), ("yes", 1), ("no", 1), ("", None)]
+    mail = ql.as_mail(table.filter("turn = 1"), role="who").collect()
+    assert [(m.who, m.text) for m in mail] == [("user", "hello")]
