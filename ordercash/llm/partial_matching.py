@@ -10,16 +10,19 @@ with counts c that sum to T over d symbols, a symbol has (2c - 1) / 2T and the e
 the empty context all symbols left are alike. A text's alphabet, its most frequent character beyond
 ASCII, is stated ahead of it and paid for.
 
-The trie is a table of any size, joined to the texts by context and symbol: neither the driver nor a
-worker holds it.
-
-1. Texts are dealt into chunks by a hash; each chunk gives its distinct contexts with their symbols,
-   its distinct words and its alphabets, and their counts.
-2. The sums of the first are the trie, a table (context, symbol, count); those of the words a lexicon.
-3. Each distinct context and symbol looks up its probability; a symbol that the trie doesn't have in
-   its longest context is looked up in all shorter ones at once.
-4. Probabilities and words' counts return to the chunks and are summed by text.
-
+The trie is a table of any size, cut into bins by the last three bytes of the context, so that a context
+and all longer ones that end in it lie together down to three bytes; what is shorter is small (at most
+65,793 contexts) and goes to every task. Neither the driver nor a worker holds the trie.
+
+1. Tasks write the texts in chunks to the shared folder and give each chunk's distinct contexts and symbols
+   with their counts, packed in one row for each bin and alphabet, its alphabets, and its distinct words with
+   their counts, packed by a hash of the word.
+2. The chunks' rows of a bin are summed, by teams of chunks and then all: the trie, and a lexicon.
+3. Each bin of the trie meets the chunks' rows of the bin, team by team, and gives the probability of each
+   context and symbol there, all steps of escape and exclusion in one pass.
+4. Probabilities and words' counts return to the chunks, whose texts are read again, and are summed by text.
+
+Chunks are what tasks read one after the other, so rows that repeat fall into as many chunks as others.
 Nulls: a null text is the empty one, just an end; a null id is learnt from. Equal rows count each.
 An empty table gives no rows; with nothing to learn from, every symbol has one chance in 257.
 """
@@ -27,15 +30,19 @@ An empty table gives no rows; with nothing to learn from, every symbol has one c
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordercash.llm.common import crc_of_id, ship, written
+from ordercash.llm.common import crc_of_id, fresh_path, ship, written
 
 ship(__name__)
 
@@ -46,6 +53,11 @@ LENGTH = 48  # its length lies above this many bits of its bytes
 END = b"\xff"
 SYMBOLS = 257  # 256 bytes and the end, which is written as a byte that UTF-8 never has
 HELD_OUT, FOLDS = 2, 7
+SHORT = 2  # contexts up to this length are everywhere, longer ones lie in a bin
+#: Rows of a chunk that are in no bin: alphabets, short contexts. In a bin, words have this alphabet.
+ALPHABETS, SHORTS, WORDS = -2, -3, -1
+MOST_BINS = 4096
+PACKED = "chunk long, bin int, z int, keys binary, counts binary, n long"
 _BEYOND = re.compile("[^\x00-\x7f]")
 
 
@@ -117,244 +129,390 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[by][first], np.add.reduceat(n[by], first)
 
 
-def _by_alphabet(rows: pd.DataFrame) -> dict[int, list[tuple[int, list[bytes]]]]:
+def _by_alphabet(texts: list[str | None]) -> dict[int, list[tuple[int, list[bytes]]]]:
     """Place and words of the texts of each alphabet."""
-    texts: dict[int, list[tuple[int, list[bytes]]]] = {}
-    for i, text in enumerate(rows["text"]):
+    out: dict[int, list[tuple[int, list[bytes]]]] = {}
+    for i, text in enumerate(texts):
         z, words = words_of(text)
-        texts.setdefault(z, []).append((i, words))
-    return texts
+        out.setdefault(z, []).append((i, words))
+    return out
+
+
+def _distinct(texts: list[tuple[int, list[bytes]]], held: np.ndarray, order: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct packed contexts and symbols of texts in order, and their counts in those learnt from."""
+    none = np.zeros(0, dtype=np.int64)
+    parts, size, kept = [(none, none)], 0, 0
+    for learnt in (True, False):
+        some = [words for i, words in texts if held[i] != learnt]
+        for key, _ in _keys(some, order, step) if some else ():
+            key, n = np.unique(key, return_counts=True)
+            parts.append((key, n if learnt else np.zeros_like(n)))
+            size += len(key)
+            if size > max(1 << 20, 2 * kept):
+                parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
+                size = kept = len(parts[0][0])
+    return _summed(*map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _mask(k: int) -> int:
+    return (1 << 8 * k) - 1
+
+
+def _cut(keys: np.ndarray, k: int) -> np.ndarray:
+    """Packed contexts and symbols, with the context's last k bytes."""
+    return (k << LENGTH | keys >> 8 & _mask(k)) << 8 | keys & 255
+
+
+def _bin(keys: np.ndarray, bins: int) -> np.ndarray:
+    last = keys >> 8 & _mask(SHORT + 1)
+    return ((last * 0x9E3779B1 & 0xFFFFFFFF) >> 8) % bins
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loosen(data: bytes, dtype) -> np.ndarray:
+    n, kind = int.from_bytes(data[:8], "little"), np.dtype(dtype)
+    raw = pa.decompress(data[8:], n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _squeeze(np.diff(keys, prepend=0))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_loosen(data, np.int64))
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    raw = b" ".join(words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b" ")
+
+
+def _word_bins(words: list[bytes], bins: int) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {}
+    for w in words:
+        out.setdefault(zlib.crc32(w) % bins, []).append(w)
+    return out
+
+
+def _pack_values(values: np.ndarray) -> bytes:
+    """Floats of which many are equal."""
+    told, at = np.unique(values, return_inverse=True)
+    first = _squeeze(told)
+    return len(first).to_bytes(8, "little") + first + _squeeze(at.astype(np.uint32))
+
 
+def _unpack_values(data: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(data[:8], "little")
+    return _loosen(data[8:end], np.float64)[_loosen(data[end:], np.uint32)]
 
-def _chunk_counts(order: int, step: int):
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        """Contexts, words (key 0) and alphabets (key 0, no word) of a chunk, 0 times if only held out."""
-        held = rows["held_out"].to_numpy(bool)
+
+def _write_chunks(folder: str, order: int, step: int, bins: int, chunk_bytes: int):
+    def chunk_rows(held_texts: pa.Table) -> pa.RecordBatch:
+        from pyarrow import fs, parquet
+
+        chunk = uuid.uuid4().int >> 65
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        parquet.write_table(held_texts, f"{root}/{chunk}.parquet", filesystem=store)
+        held = held_texts.column("held_out").to_numpy()
         lexicon: Counter = Counter()
+        rows, short = [], []
+        for z, texts in _by_alphabet(held_texts.column("text").to_pylist()).items():
+            for i, words in texts:
+                lexicon.update(dict.fromkeys(words, 0) if held[i] else words)
+            key, n = _distinct(texts, held, order, step)
+            short.append((np.where(key >> LENGTH + 8 > SHORT, _cut(key, SHORT), key), n))
+            place = _bin(key, bins)
+            for b in np.unique(place):
+                at = place == b
+                rows.append((int(b), z, _pack_keys(key[at]), _squeeze(n[at].astype(np.uint32)), 0))
+            rows.append((ALPHABETS, z, b"", b"", sum(not held[i] for i, _ in texts)))
+        key, n = _summed(*map(np.concatenate, zip(*short, strict=True)))
+        rows.append((SHORTS, 0, _pack_keys(key), _squeeze(n), 0))
+        for b, words in _word_bins(sorted(lexicon), bins).items():
+            n = np.array([lexicon[w] for w in words], dtype=np.uint32)
+            rows.append((b, WORDS, _pack_words(words), _squeeze(n), 0))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        names = [c.split()[0] for c in PACKED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), *columns], names=names)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            lo = 0
+            lengths = np.cumsum(pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy() + 1)
+            while lo < batch.num_rows:
+                # Rows up to the one that fills the chunk.
+                before = lengths[lo - 1] if lo else 0
+                hi = min(int(np.searchsorted(lengths, before + chunk_bytes - size)) + 1, batch.num_rows)
+                held.append(batch.slice(lo, hi - lo))
+                size += int(lengths[hi - 1] - before)
+                lo = hi
+                if size >= chunk_bytes:
+                    yield chunk_rows(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if held:
+            yield chunk_rows(pa.Table.from_batches(held))
+
+    return write
+
+
+def _sum_words(rows: pd.DataFrame, kind) -> tuple[list[bytes], np.ndarray]:
+    total: Counter = Counter()
+    for data, counts in zip(rows["keys"], rows["counts"], strict=True):
+        for w, n in zip(_unpack_words(data), _loosen(counts, kind).tolist(), strict=True):
+            if n:
+                total[w] += n
+    words = sorted(total)
+    return words, np.array([total[w] for w in words], dtype=np.int64)
+
+
+def _sum_bin(first: bool):
+    def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a bin summed, one for each alphabet, without what is only held out."""
         out = []
-        for z, texts in _by_alphabet(rows).items():
-            parts = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
-            for learnt in (True, False):
-                some = [words for i, words in texts if held[i] != learnt]
-                for words in some:
-                    if learnt:
-                        lexicon.update(words)
-                    else:
-                        lexicon.update(dict.fromkeys(words, 0))
-                for key, _ in _keys(some, order, step) if some else ():
-                    key, n = np.unique(key, return_counts=True)
-                    parts.append((key, n if learnt else np.zeros_like(n)))
-            key, n = _summed(*map(np.concatenate, zip(*parts, strict=True)))
-            out.append(pd.DataFrame({"z": z, "key": key, "word": b"", "n": n}))
-            out.append(pd.DataFrame({"z": [z], "key": 0, "word": b"", "n": sum(not held[i] for i, _ in texts)}))
-        out.append(pd.DataFrame({"z": 0, "key": 0, "word": list(lexicon), "n": list(lexicon.values())}))
-        return pd.concat(out).assign(chunk=rows["chunk"].iloc[0])
-
-    return count
-
-
-def _score_chunk(total: int, distinct: int, order: int, step: int):
-    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        key, word, value = known["key"].to_numpy(np.int64), known["word"], known["value"].to_numpy()
-        is_word = (word.str.len() > 0).to_numpy()
-        counts = dict(zip(word[is_word], value[is_word], strict=True))
-        alike = np.flatnonzero((key == 0) & ~is_word)
-        stated = dict(zip(known["z"].to_numpy()[alike], value[alike], strict=True))
-        by = np.lexsort((key, known["z"].to_numpy()))
-        by = by[key[by] > 0]
-        zs, keys, ps = known["z"].to_numpy()[by], key[by], value[by]
+        kind = np.uint32 if first and key[0] != SHORTS else np.int64
+        for z, some in rows.groupby("z"):
+            if z == WORDS:
+                words, n = _sum_words(some, kind)
+                if words:
+                    out.append((key[0], z, _pack_words(words), _squeeze(n), int(n.sum()), len(words)))
+                continue
+            keys = np.concatenate([_unpack_keys(k) for k in some["keys"]])
+            n = np.concatenate([_loosen(c, kind) for c in some["counts"]]).astype(np.int64)
+            keys, n = _summed(keys, n)
+            keys, n = keys[n > 0], n[n > 0]
+            out.append((key[0], z, _pack_keys(keys), _squeeze(n), 0, 0))
+        return pd.DataFrame(out, columns=["bin", "z", "keys", "counts", "total", "words"])
+
+    return summed
+
+
+class Level:
+    """Contexts of one length with their symbols: counts, their sum ``t`` and number ``d`` by context."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, self.n = keys, n
+        self.first = np.flatnonzero(np.diff(keys >> 8, prepend=-1))
+        self.contexts = keys[self.first] >> 8
+        self.t = np.add.reduceat(n, self.first) if len(n) else n
+        self.d = np.diff(np.append(self.first, len(keys)))
+        self.rest_t, self.rest_d = np.zeros_like(self.t), np.zeros_like(self.d)
+
+    def under(self, parent: Level, k: int) -> Level:
+        """Tell what is left in the parents, whose contexts are the last k bytes, once these symbols are excluded."""
+        if len(self.keys):
+            common = np.add.reduceat(parent.count(_cut(self.keys, k)), self.first)
+            at = parent.find(k << LENGTH | self.contexts & _mask(k))
+            self.rest_t, self.rest_d = parent.t[at] - common, parent.d[at] - self.d
+        return self
+
+    def find(self, contexts: np.ndarray) -> np.ndarray:
+        """Places of contexts, -1 where there is none."""
+        if not len(self.contexts):
+            return np.full(len(contexts), -1)
+        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        return np.where(self.contexts[at] == contexts, at, -1)
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at], 0)
+
+
+def all_levels(keys: np.ndarray, n: np.ndarray, short_keys: np.ndarray, short_n: np.ndarray, order: int) -> list[Level]:
+    """Levels 0 to ``order`` over all alphabets, from the longest contexts of a bin and the short ones of all."""
+    levels: list[Level] = []
+    for k in range(order + 1):
+        held, m = (short_keys, short_n) if k <= SHORT else (keys, n)
+        long = held >> LENGTH + 8 >= k
+        level = Level(*_summed(_cut(held[long], k), m[long]))
+        levels.append(level.under(levels[-1], k - 1) if k else level)
+    return levels
+
+
+def log_probabilities(wanted: np.ndarray, keys: np.ndarray, n: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log10 probability of packed contexts and symbols of an alphabet, whose own counts are ``keys`` and ``n``."""
+    out = np.zeros(len(wanted))
+    lengths, own = wanted >> LENGTH + 8, keys >> LENGTH + 8
+    for length in np.unique(lengths):
+        at = lengths == length
+        mine = own == length
+        first = Level(keys[mine], n[mine]).under(levels[length], int(length))
+        out[at] = _walk(wanted[at], first, levels[: int(length) + 1])
+    return out
+
+
+def _walk(wanted: np.ndarray, first: Level, levels: list[Level]) -> np.ndarray:
+    """Down from the alphabet's own context over all shorter ones until the symbol is met."""
+    p = np.zeros(len(wanted))
+    going, begun = np.ones(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=bool)
+    t, d = np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=np.int64)
+    chain = [(len(levels) - 1, first), *((k, levels[k]) for k in range(len(levels) - 1, -1, -1))]
+    for k, level in chain:
+        if not len(level.keys):
+            continue
+        keys = _cut(wanted, k)
+        at = level.find(keys >> 8)
+        there = going & (at >= 0)
+        # What a context met before has excluded is gone; the first one met is whole.
+        t, d = np.where(begun, t, level.t[at]), np.where(begun, d, level.d[at])
+        c = level.count(keys)
+        hit, miss = there & (c > 0), there & (c == 0)
+        p[hit] += np.log10((2 * c[hit] - 1) / (2 * t[hit]))
+        paid = miss & (d > 0)
+        p[paid] += np.log10(d[paid] / (2 * t[paid]))
+        t, d = np.where(there, level.rest_t[at], t), np.where(there, level.rest_d[at], d)
+        begun |= there
+        going &= ~hit
+    left = SYMBOLS - (len(levels[0].keys) if levels else 0)
+    p[going] -= np.log10(left)
+    return p
+
+
+def _look_up(order: int, short_keys: np.ndarray, short_n: np.ndarray):
+    def look_up(chunks: pd.DataFrame, trie: pd.DataFrame) -> pd.DataFrame:
+        """Probabilities of the chunks' rows of a bin, packed in the order of their keys."""
+        known, lexicon = {}, {}
+        for z, k, c in zip(trie["z"], trie["keys"], trie["counts"], strict=True):
+            n = _loosen(c, np.int64)
+            if z == WORDS:
+                lexicon = dict(zip(_unpack_words(k), n.tolist(), strict=True))
+            else:
+                known[z] = (_unpack_keys(k), n)
+        none = np.zeros(0, dtype=np.int64)
+        every = _summed(*map(np.concatenate, zip((none, none), *known.values(), strict=True)))
+        levels = all_levels(*every, short_keys, short_n, order)
+        out = []
+        for z, some in chunks.groupby("z"):
+            if z == WORDS:
+                for chunk, b, k in zip(some["chunk"], some["bin"], some["keys"], strict=True):
+                    n = np.array([lexicon.get(w, 0) for w in _unpack_words(k)], dtype=np.float64)
+                    out.append((chunk, b, z, _pack_values(n)))
+                continue
+            held = [_unpack_keys(k) for k in some["keys"]]
+            wanted, at = np.unique(np.concatenate(held), return_inverse=True)
+            p = log_probabilities(wanted, *known.get(z, (none, none)), levels)[at]
+            for chunk, b, part in zip(some["chunk"], some["bin"], np.split(p, np.cumsum([len(k) for k in held])[:-1]), strict=True):
+                out.append((chunk, b, z, _pack_values(part)))
+        return pd.DataFrame(out, columns=["chunk", "bin", "z", "values"])
+
+    return look_up
+
+
+def _score_chunk(folder: str, total: int, distinct: int, order: int, step: int, bins: int):
+    def score(key: tuple, told: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs, parquet
+
+        store, root = fs.FileSystem.from_uri(folder)
+        rows = parquet.read_table(f"{root}/{key[0]}.parquet", filesystem=store)
+        held, texts = rows.column("held_out").to_numpy(), rows.column("text").to_pylist()
+        kind = told["bin"].to_numpy()
+        alike = told[kind == ALPHABETS]
+        stated = dict(zip(alike["z"], alike["value"], strict=True))
+        packed = {(z, b): v for z, b, v in told.loc[kind >= 0, ["z", "bin", "values"]].itertuples(index=False)}
         codes = np.zeros(len(texts))
         base, sizes, seen = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        for z, some in _by_alphabet(texts).items():
-            lo, hi = np.searchsorted(zs, [z, z + 1])
-            here, p = keys[lo:hi], ps[lo:hi]
+        by_alphabet = _by_alphabet(texts)
+        words = sorted({w for some in by_alphabet.values() for _, words in some for w in words})
+        counts: dict[bytes, float] = {}
+        for b, binned in _word_bins(words, bins).items():
+            counts.update(zip(binned, _unpack_values(packed[WORDS, b]).tolist(), strict=True))
+        for z, some in by_alphabet.items():
+            here, _ = _distinct(some, held, order, step)
+            place, p = _bin(here, bins), np.zeros(len(here))
+            for b in np.unique(place):
+                p[place == b] = _unpack_values(packed[z, int(b)])
             code = np.full(len(some), stated[z])
             # Each context and symbol of the texts is known once.
             for wanted, text in _keys([words for _, words in some], order, step):
-                code += np.bincount(text, weights=p[np.searchsorted(here, wanted)], minlength=len(some))
+                wanted, at = np.unique(wanted, return_inverse=True)
+                code += np.bincount(text, weights=p[np.searchsorted(here, wanted)][at], minlength=len(some))
             for (i, words), c in zip(some, code, strict=True):
                 n = np.fromiter(map(counts.__getitem__, words), dtype=np.float64, count=len(words))
                 codes[i], sizes[i], seen[i] = c, len(words), (n > 0).sum()
                 base[i] = np.log10((n + 1) / (total + distinct + 1)).sum()
         return pd.DataFrame({
-            "doc_id": texts["doc_id"].astype("Int64"), "held_out": texts["held_out"], "n_tokens": sizes,
+            "doc_id": rows.column("doc_id").to_pandas().astype("Int64"), "held_out": held, "n_tokens": sizes,
             "n_known": seen, "train_tokens": total, "base_score": base, "score": codes,
         })
 
     return score
 
 
-def _log(p: Column) -> Column:
-    return F.log10(p)
-
-
-def trie(lookups: DataFrame, order: int = ORDER) -> DataFrame:
-    """(z, context, symbol, n): z is -1 in all contexts but the longest ones of each alphabet."""
-    longest = lookups.filter(F.col("n") > 0).groupBy("z", "context", "symbol").agg(F.sum("n").alias("n"))
-    lengths = F.sequence(F.lit(0), _length(F.col("context")))
-    shorter = longest.select(
-        F.lit(-1).alias("z"),
-        F.explode(F.transform(lengths, lambda k: _last(F.col("context"), k))).alias("context"),
-        "symbol", "n",
-    ).groupBy("z", "context", "symbol").agg(F.sum("n").alias("n"))
-    return longest.unionByName(shorter)
-
-
-def _length(context: Column) -> Column:
-    return F.shiftright(context, LENGTH).cast("int")
-
-
-def _last(context: Column, k: Column) -> Column:
-    """The last k bytes of a packed context."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), k * 8) - 1
-    return F.shiftleft(k.cast("long"), LENGTH) + context.bitwiseAND(mask)
-
-
-def probabilities(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """log10 probability ``p`` of each distinct (z, context, symbol) in ``wanted``."""
-    totals = nodes.groupBy("z", "context").agg(F.sum("n").alias("t"), F.count("*").alias("d"))
-    # What a context excludes from the next shorter one: the same symbols' counts there.
-    up = nodes.select(
-        F.when(F.col("z") >= 0, F.col("context"))
-        .otherwise(_last(F.col("context"), F.greatest(_length(F.col("context")) - 1, F.lit(0)))).alias("up"),
-        "symbol", "z", "context",
-    ).filter((F.col("z") >= 0) | (F.col("context") > 0))
-    common = nodes.filter("z = -1").select(F.col("context").alias("up"), "symbol", F.col("n").alias("m"))
-    above = nodes.filter("z = -1").groupBy(F.col("context").alias("up")).agg(
-        F.sum("n").alias("up_t"), F.count("*").alias("up_d")
-    )
-    excluded = (
-        up.join(common, ["up", "symbol"]).groupBy("z", "context", "up").agg(F.sum("m").alias("e"))
-        .join(above, "up")
-    )
-    stats = written(
-        totals.join(excluded.select("z", "context", "e", "up_t", "up_d"), ["z", "context"], "left").select(
-            "z", "context", "t", "d",
-            # Counts and symbols left in the shorter context once these are excluded.
-            (F.col("up_t") - F.col("e")).alias("rest_t"), (F.col("up_d") - F.col("d")).alias("rest_d"),
-        ),
-        "contexts",
-    )
-    nodes = nodes.select("z", "context", "symbol", F.col("n").alias("c"))
-    found = wanted.join(nodes, ["z", "context", "symbol"], "left")
-    found = written(found, "found")
-    direct = found.filter(F.col("c").isNotNull()).join(stats, ["z", "context"]).select(
-        "z", "context", "symbol", _log((2 * F.col("c") - 1) / (2 * F.col("t"))).alias("p")
-    )
-    # Steps of an escape: 0 is the alphabet's own context, then the context and its shorter ends.
-    length = _length(F.col("context"))
-    missed = found.filter(F.col("c").isNull()).select("z", "context", "symbol")
-    steps = F.concat(
-        F.array(F.struct(F.lit(0).alias("step"), F.col("z").alias("at_z"), F.col("context").alias("at"))),
-        F.transform(
-            F.sequence(F.lit(0), length),
-            lambda k: F.struct(
-                (k + 1).alias("step"), F.lit(-1).alias("at_z"), _last(F.col("context"), length - k).alias("at")
-            ),
-        ),
-    )
-    chains = (
-        missed.withColumn("s", F.explode(steps))
-        .select("z", "context", "symbol", "s.*")
-        .join(stats.select(F.col("z").alias("at_z"), F.col("context").alias("at"), "t", "d", "rest_t", "rest_d"), ["at_z", "at"])
-        .join(nodes.select(F.col("z").alias("at_z"), F.col("context").alias("at"), "symbol", "c"), ["at_z", "at", "symbol"], "left")
-        .groupBy("z", "context", "symbol")
-        .agg(F.array_sort(F.collect_list(F.struct("step", "t", "d", "rest_t", "rest_d", "c"))).alias("chain"))
-    )
-    # The first step of a chain is the longest context there is; each later one has lost to the one
-    # before it what that excludes. Nothing left there means that nothing is paid to pass it.
-    chain = F.col("chain")
-    level = F.transform(
-        chain,
-        lambda x, k: F.struct(
-            F.when(k == 0, x["t"]).otherwise(F.get(chain, k - 1)["rest_t"]).alias("t"),
-            F.when(k == 0, x["d"]).otherwise(F.get(chain, k - 1)["rest_d"]).alias("d"),
-            x["c"].alias("c"),
-            F.element_at(chain, -1)["d"].alias("symbols"),
-        ),
-    )
-    start = F.struct(F.lit(0.0).alias("p"), F.lit(False).alias("done"))
-
-    def walk(state: Column, x: Column) -> Column:
-        share = F.when(x["c"].isNotNull(), _log((2 * x["c"] - 1) / (2 * x["t"]))).when(
-            x["d"] > 0, _log(x["d"] / (2 * x["t"]))
-        ).otherwise(0.0)
-        return F.struct(
-            F.when(state["done"], state["p"]).otherwise(state["p"] + share).alias("p"),
-            (state["done"] | x["c"].isNotNull()).alias("done"),
-        )
-
-    walked = chains.withColumn("level", level).select(
-        "z", "context", "symbol",
-        F.aggregate("level", start, walk).alias("end"),
-        F.get(F.col("level"), F.lit(0))["symbols"].alias("symbols"),
-    )
-    escaped = missed.join(walked, ["z", "context", "symbol"], "left").select(
-        "z", "context", "symbol",
-        F.when(F.col("end").isNull(), -_log(F.lit(float(SYMBOLS))))
-        .when(F.col("end.done"), F.col("end.p"))
-        .otherwise(F.col("end.p") - _log(SYMBOLS - F.col("symbols"))).alias("p"),
-    )
-    return direct.unionByName(escaped)
-
-
 def scores(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
     order: int = ORDER,
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 16 << 20,
     bucket_words: int = 20_000,
+    bin_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """One row a document, learnt from those whose crc32 of the id mod 7 is not 2."""
+    """One row a document, learnt from those whose crc32 of the id mod 7 is not 2.
+
+    ``chunk_bytes`` of text are worked on at once, and ``bin_bytes`` of text (a share of each chunk's) make
+    a bin of the trie, or, where there are ``MOST_BINS``, a team in it.
+    """
+    spark = docs.sparkSession
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"),
         (F.pmod(crc_of_id(id_column), F.lit(FOLDS)) == HELD_OUT).alias("held_out"),
     )
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    # The same rows go to the same chunk again when the texts are scored.
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    bins = min(MOST_BINS, max(1, -(-size // bin_bytes)))
+    teams = max(1, -(-size // (bins * bin_bytes)))
     step = 8 * bucket_words
-    used = written(
-        rows.groupBy("chunk").applyInPandas(
-            _chunk_counts(order, step), "chunk long, z int, key long, word binary, n long"
-        ),
-        "used",
+    folder = fresh_path(spark, "texts")
+    used = written(rows.mapInArrow(_write_chunks(folder, order, step, bins, chunk_bytes), PACKED), "used")
+    of_alphabets = used.filter(F.col("bin") == ALPHABETS)
+    packed = used.filter(F.col("bin") != ALPHABETS).select(
+        "chunk", "bin", "z", "keys", "counts", F.pmod("chunk", F.lit(teams)).alias("team")
     )
-    of_words = used.filter(F.octet_length("word") > 0)
-    of_contexts = used.filter("key > 0")
-    of_alphabets = used.filter((F.col("key") == 0) & (F.octet_length("word") == 0))
-    lexicon = written(of_words.groupBy("word").agg(F.sum("n").alias("c")), "lexicon")
-    sums = lexicon.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
-    total, distinct = sums[0] or 0, sums[1]
-    lookups = written(
-        of_contexts.groupBy("z", "key").agg(F.sum("n").alias("n")).select(
-            "z", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("symbol"),
-            "n",
+    summed = "bin int, z int, keys binary, counts binary, total long, words long"
+    sums = packed.groupBy("bin", "team").applyInPandas(_sum_bin(True), summed)
+    if teams > 1:
+        sums = sums.groupBy("bin").applyInPandas(_sum_bin(False), summed)
+    trie = written(sums, "trie")
+    lexicon = trie.agg(F.sum("total").alias("n"), F.sum("words").alias("v")).first()
+    total, distinct = lexicon["n"] or 0, lexicon["v"] or 0
+    # At most 257 symbols in each of the contexts of at most two bytes.
+    short = trie.filter(F.col("bin") == SHORTS).first()
+    none = np.zeros(0, dtype=np.int64)
+    short_keys, short_n = (_unpack_keys(short["keys"]), _loosen(short["counts"], np.int64)) if short else (none, none)
+    team = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(teams - 1).cast("long")))
+    everywhere = trie.filter("bin >= 0").withColumn("team", team)
+    known = written(
+        packed.filter("bin >= 0").groupBy("bin", "team").cogroup(everywhere.groupBy("bin", "team")).applyInPandas(
+            _look_up(order, short_keys, short_n), "chunk long, bin int, z int, values binary"
         ),
-        "lookups",
+        "probabilities",
     )
-    nodes = written(trie(lookups, order), "trie")
-    known = written(probabilities(lookups.select("z", "context", "symbol"), nodes), "probabilities")
-    known = known.select("z", (F.col("context") * 256 + F.col("symbol")).alias("key"), F.col("p").alias("value"))
     # What stating an alphabet costs.
     alphabets = of_alphabets.groupBy("z").agg(F.sum("n").alias("n"))
     all_texts = alphabets.agg(F.sum("n").alias("s"), F.count("*").alias("k"))
     stated = written(
         alphabets.select(
             "z",
-            _log((F.col("n") + 1) / (all_texts.select("s").scalar() + all_texts.select("k").scalar() + 1)).alias("value"),
+            F.log10((F.col("n") + 1) / (all_texts.select("s").scalar() + all_texts.select("k").scalar() + 1)).alias("value"),
         ),
         "stated",
     )
-    row = ["chunk", "z", "key", "word", "value"]
-    told = (
-        of_contexts.join(known, ["z", "key"]).select(row)
-        .unionByName(of_alphabets.join(stated, "z").select(row))
-        .unionByName(of_words.join(lexicon, "word").withColumn("value", F.col("c").cast("double")).select(row))
+    told = known.withColumn("value", F.lit(None).cast("double")).unionByName(
+        of_alphabets.join(stated, "z").select("chunk", "bin", "z", "value", F.lit(None).cast("binary").alias("values"))
     )
-    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
-        _score_chunk(total, distinct, order, step),
+    return told.groupBy("chunk").applyInPandas(
+        _score_chunk(folder, total, distinct, order, step, bins),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

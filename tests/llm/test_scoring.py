@@ -4,6 +4,8 @@ import collections
 import math
 import zlib
 
+import numpy as np
+
 from ordercash.llm import partial_matching as pm
 
 
@@ -64,23 +66,26 @@ def test_scores_are_those_of_the_plain_model(make):
     }
 
 
-def test_probabilities_of_all_symbols_sum_to_one(spark, make):
-    nodes = pm.trie(
-        spark.createDataFrame(
-            [(z, pm.packed(c), s, n) for z, c, s, n in
-             [(7, b" a", 98, 3), (7, b" a", 99, 1), (9, b" a", 98, 2), (9, b"x", 100, 4)]],
-            "z int, context long, symbol int, n long",
-        )
-    )
-    wanted = spark.createDataFrame(
-        [(7, pm.packed(b" a"), i) for i in range(256)], "z int, context long, symbol int"
-    )
-    got = [r.p for r in pm.probabilities(wanted, nodes).collect()]
-    assert len(got) == 256
+def test_probabilities_of_all_symbols_sum_to_one():
+    seen = {7: {(b" ab", 98): 3, (b" ab", 99): 1}, 9: {(b" ab", 98): 2, (b"xab", 100): 4}}
+    key = lambda c, s: pm.packed(c) << 8 | s
+    packed = {z: pm._summed(np.array([key(*k) for k in held]), np.array(list(held.values()))) for z, held in seen.items()}
+    every = pm._summed(*map(np.concatenate, zip(*packed.values(), strict=True)))
+    levels = pm.all_levels(*every, *pm._summed(pm._cut(every[0], 2), every[1]), order=5)
+    got = pm.log_probabilities(np.array([key(b" ab", i) for i in range(256)]), *packed[7], levels)
     # 257 symbols share the mass; the one that no byte stands for is one of the unseen.
     assert math.isclose(sum(10**p for p in got) + 10 ** min(got), 1.0, rel_tol=1e-9)
 
 
+def test_scores_do_not_depend_on_how_the_work_is_cut(make, monkeypatch):
+    texts = ["The cat sat on the mat", "the dog sat", None, "été à été", "same same"] * 40 + ["long " * 20_000]
+    docs = make(texts, [*range(len(texts) - 41), *[3] * 41])
+    told = lambda df: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
+    whole = told(pm.scores(docs))
+    monkeypatch.setattr(pm, "MOST_BINS", 3)
+    assert told(pm.scores(docs.repartition(5), chunk_bytes=3000, bin_bytes=9000)) == whole
+
+
 def test_nothing_to_learn_from(make):
     held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     rows = pm.scores(make(["ab", None], held)).collect()
