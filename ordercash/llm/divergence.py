@@ -9,8 +9,8 @@
    terms that a group doesn't have share one value, so a pair of groups is worked out from the
    counts there are: tasks take a tile of groups against a tile of groups over a block of terms.
 
-The vocabulary passes through the driver, as CountVectorizer has it. It is counted first, and is cut by
-a hash of the term into as many fits as keep each below ``fit_bytes``: terms of different fits never
+The vocabulary passes through the driver, as CountVectorizer has it. Its size is estimated first, and it is cut
+by a hash of the term into as many fits as keep each below ``fit_bytes``: terms of different fits never
 meet in a sum, so the result is the same. A task holds at most two tiles of groups by a block of terms.
 
 Nulls: a null text, lang or source is the empty one. Equal rows count each. Long texts are counted
@@ -36,59 +36,74 @@ MIN_DOCS = 30
 PRIOR = 5
 TOP = 50
 SCALE = 1_000_000_000
-#: What parts a lang from a term; terms have no such character.
-BETWEEN = "\x00"
+#: What parts a lang from a term, and terms from each other; terms have no such characters.
+BETWEEN, NEXT = "\x00", "\x01"
 TILE = 256  # groups
 BLOCK = 4096  # terms
+SAMPLE = 64  # one of so many terms tells the size of the vocabulary
 ENTRY = 64  # bytes an entry of a vocabulary takes beside the term
 
 
-def terms(text: Column) -> Column:
-    """Runs of letters, A-Z lower-cased, and of characters beyond ASCII."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
-
-
-def tokens(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, source, terms) of each row, terms qualified by the lang."""
+def marked(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    """(lang, source, marked) of each row. A term is a run of letters, A-Z lower-cased, and of characters
+    beyond ASCII; ``marked`` is the terms, each with its lang in hex ahead of it."""
     rows = docs.select(
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
           for c, name in ((lang, "lang"), (source, "source"), (text, "text")))
     )
-    mark = F.concat("lang", F.lit(BETWEEN))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # What is between terms becomes the mark of the next one; a first and a last run are there always.
+    mark = F.concat(F.lit(NEXT), F.hex("lang"), F.lit(BETWEEN))
+    text = F.concat(F.lit(" "), lower, F.lit(" "))
     return rows.select(
-        "lang", "source", F.transform(terms(F.col("text")), lambda t: F.concat(mark, t)).alias("terms")
+        "lang", "source", F.regexp_replace(text, F.lit(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), mark).alias("marked")
     )
 
 
-def vectors(rows: DataFrame, min_docs: int = MIN_DOCS, fit_bytes: int = 256 << 20):
-    """For each fit, the rows with a sparse ``vector`` and the vocabulary (index, lang, term).
+def with_terms(rows: DataFrame) -> DataFrame:
+    """``marked`` as the array ``terms``; what is ahead of the first mark and behind the last is empty."""
+    pieces = rows.withColumn("pieces", F.split("marked", NEXT))
+    return pieces.withColumn("terms", F.slice("pieces", F.lit(2), F.size("pieces") - 2)).drop("marked", "pieces")
+
 
-    The number of documents of each term is counted ahead of the fits, to know how many there must be;
-    a fit without any kept term is left out.
+def fits_needed(rows: DataFrame, min_docs: int, fit_bytes: int) -> int:
+    """Into how many fits the vocabulary is cut, told from the kept ones of a ``SAMPLE``th of all terms.
+
+    Terms are drawn by a hash and counted where they stand, so those of too few documents may count too; only
+    the number of fits depends on them.
     """
+    drawn = F.pmod(F.xxhash64("term"), F.lit(SAMPLE)) == 0
     kept = (
-        rows.select(F.explode(F.array_distinct("terms")).alias("term"))
+        rows.select(F.explode("terms").alias("term")).filter(drawn)
         .groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
     )
-    size = kept.agg(F.sum(F.octet_length("term") + ENTRY)).first()[0]
-    if size is None:
-        return
-    fits = -(-size // fit_bytes)
-    place = F.pmod(F.xxhash64("term"), F.lit(fits))
-    there = [0] if fits == 1 else [r[0] for r in kept.select(place).distinct().sort(place).collect()]
-    for fit in there:
+    size = kept.agg(F.sum(F.octet_length("term") + ENTRY)).first()[0] or 0
+    return max(1, -(-size * SAMPLE // fit_bytes))
+
+
+def vectors(rows: DataFrame, min_docs: int = MIN_DOCS, fit_bytes: int = 256 << 20):
+    """For each fit, its number, the rows with a sparse ``vector``, and the vocabulary (index, lang, term)."""
+    spark = rows.sparkSession
+    fits = fits_needed(rows, min_docs, fit_bytes)
+    # A vocabulary must not be empty: a mark that no term is stands in as many documents as it takes.
+    marks = spark.range(min_docs).select(F.array(F.lit(BETWEEN)).alias("terms"))
+    for fit in range(fits):
         part = rows
         if fits > 1:
             part = rows.withColumn(
-                "terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(fits)) == fit)
+                "terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t, F.lit(fits)), F.lit(fits)) == fit)
             )
         model = CountVectorizer(
             inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1
-        ).fit(part)
-        langs, _, words = zip(*(t.rpartition(BETWEEN) for t in model.vocabulary), strict=True)
-        vocabulary = pa.table({"index": pa.array(range(len(words)), pa.int64()), "lang": langs, "term": words})
-        yield fit, model.transform(part).drop("terms"), rows.sparkSession.createDataFrame(vocabulary)
+        ).fit(part.select("terms").unionAll(marks))
+        cells = [(i, *t.split(BETWEEN)) for i, t in enumerate(model.vocabulary) if t != BETWEEN]
+        index, langs, words = zip(*cells, strict=True) if cells else ((), (), ())
+        vocabulary = pa.table({
+            "index": pa.array(index, pa.int64()),
+            "lang": pa.array([bytes.fromhex(x).decode() for x in langs], pa.string()),
+            "term": pa.array(words, pa.string()),
+        })
+        yield fit, model.transform(part).drop("terms"), spark.createDataFrame(vocabulary)
 
 
 def group_sums(rows: DataFrame, *group: str) -> DataFrame:
@@ -149,15 +164,17 @@ def audit(
     """(lang, source, part, item, value, rank): the distance to each other source of the lang (part
     ``pair``), and the ``top`` terms that a source has more of than its lang (part ``term``)."""
     spark = docs.sparkSession
-    rows = written(tokens(docs, text_column, lang_column, source_column), "terms")
-    counts = spark.createDataFrame([], "lang string, source string, id long, n long")
+    rows = with_terms(written(marked(docs, text_column, lang_column, source_column), "terms"))
+    counts = spark.createDataFrame([], "source string, id long, n long")
     words = spark.createDataFrame([], "id long, lang string, term string")
     for fit, vectored, vocabulary in vectors(rows, min_docs, fit_bytes):
         number = F.lit(fit * 2**31) + F.col("index")
         counts = counts.unionByName(
-            written(group_sums(vectored, "lang", "source"), "sums").withColumn("id", number).drop("index")
+            # An index is a lang's own.
+            written(group_sums(vectored, "source"), "sums").select("source", number.alias("id"), "n")
         )
         words = words.unionByName(written(vocabulary, "vocabulary").select(number.alias("id"), "lang", "term"))
+    counts = counts.join(words.select("id", "lang"), "id")
 
     # Totals: of groups, of langs, of terms in a lang.
     kept = words.groupBy("lang").agg(F.count("*").alias("v"))

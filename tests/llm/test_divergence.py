@@ -42,7 +42,8 @@ ROWS += [("l0", "s1", "the " * 50_000), ("l0", "é", "ÉCOLE école Ärger"), ("
 
 
 @pytest.mark.parametrize("cuts", [{}, {"fit_bytes": 700, "tile": 3, "block": 2}])
-def test_audit_equals_plain_counting(spark, cuts):
+def test_audit_equals_plain_counting(spark, cuts, monkeypatch):
+    monkeypatch.setattr(divergence, "SAMPLE", 1)
     docs = spark.createDataFrame([(*r, 1, "y") for r in ROWS], "lang string, source string, text string, id int, vector string").repartition(5)
     got = sorted(tuple(r) for r in divergence.audit(docs, min_docs=4, top=6, **cuts).collect())
     assert got == plain(ROWS, 4, top=6)
