@@ -6,10 +6,12 @@ the longest run of words ending there that occurs in some item. A run of ``windo
 means that a window of the item ends here; an item shorter than a window counts as a whole, which
 its end states tell. Hit spans are the unions of those windows.
 
-The automaton is held by every Python worker, so its size is checked: a benchmark of more than
-``block_words`` words is cut into blocks of whole items, and the documents are streamed through one
-automaton after the other, in as many passes, the hits being merged. An item of its own beyond that
-size makes a block of its own.
+Items are dealt by a hash into blocks of some ``block_words`` words, which Spark writes to the shared folder;
+neither the driver nor a broadcast holds an item. A Python worker reads a block's files and builds its
+automaton once, whatever number of tasks it runs, and holds one at a time. With one block that is one map
+stage. With more, rows are numbered and written once, every block is a pass over them that writes the spans
+it found, and spans and items of all passes are put together by row number. Items of equal words share
+one entry of an automaton, so a state has at most one short item of each length below ``window``.
 
 Nulls: a null text has no words; a null item id is an item named "". Items and documents without
 words hit nothing. Equal items are each counted. Empty tables give no rows, or no hits.
@@ -19,14 +21,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordercash.llm.common import ship
+from ordercash.llm.common import fresh_path, ship, written
 
 ship(__name__)
 
@@ -39,7 +43,7 @@ _WORD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 32
     for c in range(256)
 )
-_WORD_IN_TEXT = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+_WORD_IN_TEXT = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -54,9 +58,15 @@ class Automaton:
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[list[tuple[int, int, int]]] = [[]]  # (item, place, words) ending in a state
-        self.items = [name for name, _ in items]
-        for k, (_, ws) in enumerate(items):
+        ends: list[list[tuple[int, int, int]]] = [[]]  # (entry, place, words) ending in a state
+        entries: dict[bytes, int] = {}
+        self.names: list[list[str]] = []  # of the items that share an entry
+        for name, ws in items:
+            k = entries.setdefault(b" ".join(ws), len(entries))
+            if k < len(self.names):
+                self.names[k].append(name)
+                continue
+            self.names.append([name])
             last = 0
             for place, w in enumerate(ws):
                 last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary)))
@@ -65,9 +75,9 @@ class Automaton:
                 ends[last].append((k, place + 1, len(ws)))
         order = sorted(range(len(self.next)), key=self.length.__getitem__)
         # Where a state's string of ``window`` words lies: itself or one up the links. It holds the
-        # items of all states below it; each state hands its own up to there.
+        # entries of all states below it; each state hands its own up to there.
         self.home = [-1] * len(self.next)
-        self.short: list[list[tuple[int, int]]] = [[] for _ in self.next]  # (words, item), whole
+        self.short: list[list[tuple[int, int]]] = [[] for _ in self.next]  # (words, entry), whole
         found: list[set[int]] = [set() for _ in self.next]
         for v in order[1:]:
             up = self.link[v]
@@ -142,7 +152,7 @@ class Automaton:
                 while spans and spans[-1][1] >= first:
                     first = min(first, spans.pop()[0])
                 spans.append((first, place + 1))
-        return spans, {self.items[k] for k in hit}
+        return spans, {name for k in hit for name in self.names[k]}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -165,21 +175,99 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[end:]
 
 
-def blocks(benchmark: DataFrame, item_column: str, text_column: str, block_words: int) -> Iterator[list]:
-    """Items as (id, words) in blocks of at most ``block_words`` words; one is held at a time."""
-    block: list = []
-    size = 0
-    for item, text in benchmark.select(
-        F.coalesce(F.col(item_column).cast("string"), F.lit("")), text_column
-    ).toLocalIterator():
-        ws = words(text)
-        if block and size + len(ws) > block_words:
-            yield block
-            block, size = [], 0
-        if ws:
-            block.append((item, ws))
-            size += len(ws)
-    yield block
+def blocks(benchmark: DataFrame, item_column: str, text_column: str, block_words: int) -> tuple[str, int]:
+    """The folder that the items with words are written to as (item, text, block), and how many blocks."""
+    rows = benchmark.select(
+        F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"),
+        F.coalesce(F.col(text_column), F.lit("")).alias("text"),
+    ).withColumn("words", F.regexp_count("text", F.lit(_WORD_IN_TEXT.pattern)))
+    count = max(1, -(-(rows.agg(F.sum("words")).first()[0] or 0) // block_words))
+    folder = fresh_path(benchmark.sparkSession, "items")
+    # By item and text: neither a text nor an id that many rows share makes a block large.
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(count)).alias("block")
+    kept = rows.filter("words > 0").select("item", "text", block)
+    kept.repartition(count, "block").write.partitionBy("block").parquet(folder)
+    return folder, count
+
+
+def automaton_of(folder: str, block: int, window: int) -> Automaton:
+    """The automaton of a written block. A worker keeps the last one it built, in a module of its own, as
+    this one is sent anew with every task."""
+    kept = sys.modules.setdefault("_kept_automaton", ModuleType("_kept_automaton")).__dict__
+    if kept.get("key") != (folder, block, window):
+        from pyarrow import fs, parquet
+
+        kept.pop("key", None)
+        kept.pop("automaton", None)
+        store, root = fs.FileSystem.from_uri(folder)
+        files = store.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
+        items = []
+        for path in sorted(f.path for f in files if f.base_name.endswith(".parquet") and f.base_name[0] not in "._"):
+            with store.open_input_file(path) as file:
+                for batch in parquet.ParquetFile(file).iter_batches(columns=["item", "text"]):
+                    columns = batch.to_pydict()
+                    items += zip(columns["item"], map(words, columns["text"]), strict=True)
+        kept["automaton"] = Automaton(items, window)
+        kept["key"] = (folder, block, window)
+    return kept["automaton"]
+
+
+_SPANS = T.ArrayType(T.ArrayType(T.LongType()))
+_FOUND = T.StructType([
+    T.StructField("n_words", T.LongType()),
+    T.StructField("n_hit", T.LongType()),
+    T.StructField("spans", _SPANS),
+    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("clean_text", T.StringType()),
+])
+
+
+def _told(text: str | None, n_words: int, spans: list, items: list[str], coverage: int, cleaned: bool) -> tuple:
+    n_hit = sum(b - a for a, b in spans)
+    cut = cleaned and n_hit and coverage * n_hit >= n_words
+    return n_words, n_hit, [[a, b] for a, b in spans], items, without(text, spans) if cut else None
+
+
+def _one_pass(text: Column, folder: str, window: int, coverage: int, cleaned: bool) -> Column:
+    @F.pandas_udf(_FOUND)
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = automaton_of(folder, 0, window)
+        for texts in batches:
+            rows = []
+            for text in texts:
+                ws = words(text)
+                spans, items = automaton.match(ws)
+                rows.append(_told(text, len(ws), spans, sorted(items), coverage, cleaned))
+            yield pd.DataFrame(rows, columns=_FOUND.names)
+
+    return matched(text)
+
+
+def _a_pass(text: Column, folder: str, block: int, window: int) -> Column:
+    @F.pandas_udf(T.StructType([_FOUND["spans"], _FOUND["items"]]))
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = automaton_of(folder, block, window)
+        for texts in batches:
+            found = [automaton.match(words(text)) for text in texts]
+            yield pd.DataFrame({
+                "spans": [[[a, b] for a, b in spans] for spans, _ in found],
+                "items": [list(items) for _, items in found],
+            })
+
+    return matched(text)
+
+
+def _together(text: Column, spans: Column, items: Column, coverage: int, cleaned: bool) -> Column:
+    @F.pandas_udf(_FOUND)
+    def put(texts: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, s, x in zip(texts, spans, items, strict=True):
+            of_row = merged([(int(a), int(b)) for a, b in s]) if s is not None else []
+            names = sorted(set(x)) if x is not None else []
+            rows.append(_told(text, len(words(text)), of_row, names, coverage, cleaned))
+        return pd.DataFrame(rows, columns=_FOUND.names)
+
+    return put(text, spans, items)
 
 
 def hits(
@@ -195,51 +283,28 @@ def hits(
 ) -> DataFrame:
     """``docs`` in a struct ``record`` with n_words, n_hit, spans, items and ``contaminated``.
 
-    ``cleaned`` adds the text without its spans. Only the text goes to Python when it is off.
+    ``cleaned`` adds the text without its spans. With one block only the text goes to Python. Writes the items
+    when called, and with more than one block the numbered rows and what each pass finds.
     """
-    held = [
-        docs.sparkSession.sparkContext.broadcast(b)
-        for b in blocks(benchmark, item_column, item_text_column, block_words)
-    ]
-    schema = T.StructType([
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
-        T.StructField("items", T.ArrayType(T.StringType())),
-        T.StructField("clean_text", T.StringType()),
-    ])
-
-    @F.pandas_udf(schema)
-    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        only = Automaton(held[0].value, window) if len(held) == 1 else None
-        for texts in batches:
-            n_words = [0] * len(texts)
-            spans: list[list] = [[] for _ in n_words]
-            items: list[set] = [set() for _ in n_words]
-            for block in held:  # one automaton is in memory at a time
-                automaton = only or Automaton(block.value, window)
-                for i, text in enumerate(texts):
-                    ws = words(text)
-                    n_words[i] = len(ws)
-                    s, x = automaton.match(ws)
-                    if s:
-                        spans[i] += s
-                        items[i] |= x
-            spans = [merged(s) if s else s for s in spans]
-            n_hit = [sum(b - a for a, b in s) for s in spans]
-            yield pd.DataFrame({
-                "n_words": n_words,
-                "n_hit": n_hit,
-                "spans": [[[a, b] for a, b in s] for s in spans],
-                "items": [sorted(x) for x in items],
-                "clean_text": [
-                    without(t, s) if cleaned and n and coverage * n >= of else None
-                    for t, s, n, of in zip(texts, spans, n_hit, n_words, strict=True)
-                ],
-            })
-
-    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = docs.select(record.alias("record"), matched(F.col(text_column)).alias("found"))
+    folder, count = blocks(benchmark, item_column, item_text_column, block_words)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
+    text = F.col("record").getField(text_column)
+    if count == 1:
+        found = rows.select("record", _one_pass(text, folder, window, coverage, cleaned).alias("found"))
+    else:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        passes = fresh_path(docs.sparkSession, "passes")
+        for block in range(count):
+            in_block = rows.select("row", _a_pass(text, folder, block, window).alias("f")).select("row", "f.*")
+            in_block.filter(F.size("spans") > 0).write.parquet(f"{passes}/block={block}")
+        schema = T.StructType([T.StructField("row", T.LongType()), _FOUND["spans"], _FOUND["items"]])
+        of_rows = (
+            docs.sparkSession.read.schema(schema).parquet(passes).groupBy("row")
+            .agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("x"))
+        )
+        found = rows.join(of_rows, "row", "left").select(
+            "record", _together(text, F.col("s"), F.col("x"), coverage, cleaned).alias("found")
+        )
     found = found.select("record", "found.*")
     return found.withColumn(
         "contaminated",

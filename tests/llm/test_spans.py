@@ -42,6 +42,32 @@ def test_hits_are_those_of_every_window(make, spark):
             assert {r.record["doc_id"]: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in rows} == want
 
 
+def test_items_in_blocks_and_of_equal_words(make, spark):
+    items, texts = case(7)
+    items += [(1000 + i, items[7][1]) for i in range(50)] + [("one", "word")] * 2
+    benchmark = spark.createDataFrame([(None if i is None else str(i), t) for i, t in items], "item_id string, text string")
+    size = sum(len(dc.words(t)) for _, t in items)
+    folder, count = dc.blocks(benchmark, "item_id", "text", -(-size // 5))
+    assert count == 5
+    assert spark.read.parquet(folder).count() == sum(1 for _, t in items if dc.words(t))
+    docs, want = make(texts), {i: brute(t, items) for i, t in enumerate(texts)}
+    for block_words in (size, -(-size // 5)):
+        rows = dc.hits(docs, benchmark, block_words=block_words).collect()
+        assert {r.record["doc_id"]: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in rows} == want
+    one, five = (
+        sorted(tuple(r) for r in dc.decontaminated(docs.fillna(""), benchmark, block_words=w).drop("lang").collect())
+        for w in (size, -(-size // 5))
+    )
+    assert one == five
+
+
+def test_many_equal_short_items_share_an_entry():
+    automaton = dc.Automaton([(str(i), [b"word"]) for i in range(10_000)] + [("long", [b"a", b"word"])])
+    assert max(map(len, automaton.short)) == 2
+    spans, items = automaton.match([b"x", b"word", b"x", b"a", b"word"])
+    assert spans == [(1, 2), (3, 5)] and len(items) == 10_001
+
+
 def test_spans_are_cut_out_of_contaminated_documents_alone(make, spark):
     item = " ".join(f"q{i}" for i in range(20))
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
