@@ -6,17 +6,19 @@ in windows of 2 s shingles that start every s, so that one window holds any plac
 A band is one row, the least shingle under a seeded hash, and a window and a segment that it holds
 agree on a band with at least chance ``LEAST``; ``bands`` is chosen for ``recall`` at that chance.
 
-A window's least shingle can only be a segment's if the window has a shingle of some template. So
-texts and windows that have none are left out before any band is worked out, which loses nothing.
-Templates come as a parameter of at most ``MAX_TEMPLATE_WORDS`` words in all; that bounds what is
-broadcast. A longer list is scanned in several calls.
-
-A match is verified on the shingles around the window: the template is there if ``containment`` of
-its shingles are.
-
-Nulls: a null text has no words; a null id is an id like others. Texts or templates of fewer than
-five words have no shingle and match nothing. Equal rows of one id give one row. An empty table
-gives no rows.
+1. Where the texts have shingles of any template is told by a join on the shingle, and written.
+2. A window's least shingle can only be a segment's if the window has a shingle of some template, so
+   bands are worked out for the windows around those places alone, which loses nothing. They meet the
+   bands of the segments in a join on (size, band, least shingle), which gives pairs of text and template.
+3. A pair is verified exactly. With t shingles in the template, the text is cut into stretches of t; the
+   template is there if ``containment`` of its shingles are in three stretches in a row.
+
+Templates are a table of any size, written once; whether a side is broadcast is Spark's choice by the size
+of the files. Nothing of it comes to the driver or stands in a plan.
+
+Nulls: a null text has no words; a null id is an id like others; a null license is left out. Texts or
+templates of fewer than five words have no shingle and match nothing. Equal rows of one id give one row, as
+do several wordings of one license. An empty table of either gives no rows.
 """
 
 from __future__ import annotations
@@ -27,34 +29,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordercash.llm.common import written
+from ordercash.llm.license_texts import TEMPLATES
+
 NGRAM = 5
 CONTAINMENT = 0.8
 MAX_SEGMENT = 16
-MAX_TEMPLATE_WORDS = 100_000
+SIZES = [2**k for k in range(int(math.log2(MAX_SEGMENT)) + 1)]
 #: Jaccard of a window of 2 s shingles and a segment of over s / 2 of which it has 80 %.
 LEAST = 0.8 * 0.5 / (2 + 0.2 * 0.5)
 NOT_WORDS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
-
-#: Notices as they stand in files, by their names.
-TEMPLATES = [
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("MIT", "Released under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of "
-     "this software and associated documentation files (the \"Software\"), to deal in the Software "
-     "without restriction, including without limitation the rights to use, copy, modify, merge, "
-     "publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use "
-     "this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-notice", "This program is free software: you can redistribute it and/or modify it under the "
-     "terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("BSD-notice", "Redistribution and use in source and binary forms, with or without modification, are "
-     "permitted provided that the following conditions are met"),
-    ("ISC-notice", "Permission to use, copy, modify, and/or distribute this software for any purpose with "
-     "or without fee is hereby granted"),
-    ("MPL-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+#: What tells a text of an id: two hashes of both.
+TEXT = ["one", "two"]
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -79,13 +65,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _starts(hashes: Column, s: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.size(hashes), F.lit(s)),
-        lambda i: F.struct(F.lit(s).alias("s"), i.alias("start")),
-    )
-
-
 def bands_for(recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - LEAST))
 
@@ -98,75 +77,105 @@ def least_shingles(window: Column, bands: int) -> Column:
     )
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(license, template, t): the shingles of each template and how many there are."""
-    if sum(len(text.split()) for _, text in templates) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words; scan them in several calls")
-    rows = spark.createDataFrame(templates, "license string, text string")
-    split = rows.select("license", words_of(F.col("text")).alias("words"))
-    return split.select("license", F.array_distinct(shingles(F.col("words"))).alias("template")).filter(
-        F.size("template") > 0
+def template_table(spark: SparkSession, templates: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(template, license, hashes): a number, the license and the distinct shingles of each template."""
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(templates, "license string, text string")
+    split = templates.filter(F.col("license").isNotNull()).select(
+        "license", let(words_of(F.col("text")), lambda w: F.array_distinct(shingles(w))).alias("hashes")
+    )
+    # The number is written with its row; it is not worked out again.
+    return written(
+        split.filter(F.size("hashes") > 0).select(F.monotonically_increasing_id().alias("template"), "*"), "templates"
+    )
+
+
+def segment_bands(known: DataFrame, bands: int) -> DataFrame:
+    """(template, s, band, least) of each segment; its size class s is 1, 2, 4, 8 or MAX_SEGMENT."""
+    cuts = F.sequence(F.lit(1), F.size("hashes"), F.lit(MAX_SEGMENT))
+    segments = known.select(
+        "template", F.explode(F.transform(cuts, lambda i: F.slice("hashes", i, MAX_SEGMENT))).alias("segment")
+    ).withColumn("s", F.pow(F.lit(2), F.ceil(F.log2(F.size("segment")))).cast("int"))
+    return (
+        segments.select("template", "s", F.explode(least_shingles(F.col("segment"), bands)).alias("b"))
+        .select("template", "s", "b.band", "b.least").distinct()
+    )
+
+
+def window_bands(texts: DataFrame, hits: DataFrame, bands: int) -> DataFrame:
+    """(one, two, s, band, least) of the windows that hold a place in ``hits``."""
+    places = written(hits.groupBy(*TEXT).agg(F.collect_set("at").alias("places")), "places")
+
+    def windows_of(hashes: Column) -> Column:
+        # Two windows of each size hold a place, but for the first ones of a text. A window is told by one
+        # number, since Spark compares numbers by a hash but structs one by one.
+        windows = [
+            F.transform(
+                F.array_distinct(F.flatten(F.transform("places", lambda at: F.array(
+                    F.greatest(F.floor(at / s) - 1, F.lit(0)), F.floor(at / s)  # noqa: B023
+                )))),
+                lambda k: F.struct(
+                    F.lit(s).alias("s"),  # noqa: B023
+                    F.slice(hashes, (k * s + 1).cast("int"), s * 2).alias("window"),  # noqa: B023
+                ),
+            )
+            for s in SIZES
+        ]
+        return F.concat(*windows)
+
+    found = let(words_of(F.col("text")), lambda w: let(shingles(w), windows_of))
+    windows = texts.join(places, TEXT).select(*TEXT, F.explode(found).alias("w")).select(*TEXT, "w.*")
+    return windows.select(*TEXT, "s", F.explode(least_shingles(F.col("window"), bands)).alias("b")).select(
+        *TEXT, "s", "b.band", "b.least"
     )
 
 
 def scanned(
     docs: DataFrame,
-    templates: list[tuple[str, str]] | None = None,
+    templates: list[tuple[str, str]] | DataFrame | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
     containment: float = CONTAINMENT,
     recall: float = 0.9999,
 ) -> DataFrame:
-    """One row a document and license found: doc_id, license, containment, first_word."""
+    """One row a document and license found: doc_id, license, containment, first_word.
+
+    ``templates`` are (license, text) pairs or a DataFrame of these columns.
+    """
     bands = bands_for(recall)
     known = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
-    # As many numbers as the templates have words, which are a bounded parameter.
-    held = [row["template"] for row in known.select("template").collect()]
-    longest = F.lit(max(map(len, held), default=0))
-    every = F.lit(sorted({h for hashes in held for h in hashes})).cast("array<bigint>")
+    sizes = known.select("template", "license", F.size("hashes").alias("t"))
+    held = written(known.select("template", F.explode("hashes").alias("hash")), "shingles")
+    segments = written(segment_bands(known, bands), "segments")
 
-    # Segments and the class of sizes that each belongs to: 1, 2, 4, 8 or MAX_SEGMENT.
-    cuts = F.sequence(F.lit(1), F.size("template"), F.lit(MAX_SEGMENT))
-    segments = known.select(
-        "license", "template", F.explode(F.transform(cuts, lambda i: F.slice("template", i, MAX_SEGMENT))).alias("segment")
-    ).withColumn("s", F.pow(F.lit(2), F.ceil(F.log2(F.size("segment")))).cast("int"))
-    keys = segments.select(
-        "license", "template", "s", F.explode(least_shingles(F.col("segment"), bands)).alias("b")
-    ).select("license", "template", "s", "b.band", "b.least")
-
-    sizes = [2**k for k in range(int(math.log2(MAX_SEGMENT)) + 1)]
+    row = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+    texts = row.select(
+        F.xxhash64("doc_id", "text").alias("one"), F.xxhash64(F.lit(1), "doc_id", "text").alias("two"), "*"
+    )
+    every = let(words_of(F.col("text")), shingles)
+    hits = written(
+        texts.select(*TEXT, "doc_id", F.posexplode(every).alias("at", "hash"))
+        .join(held.select("hash").distinct(), "hash", "left_semi").distinct(),
+        "hits",
+    )
 
-    def windows_of(hashes: Column) -> Column:
-        starts = F.concat(*[_starts(hashes, s) for s in sizes])
-        at = F.filter(
-            starts, lambda w: F.arrays_overlap(F.slice(hashes, w["start"], w["s"] * 2), every)
-        )
-        # What is verified lies around the window, as far as the longest template reaches.
-        cut = F.transform(
-            at,
-            lambda w: F.struct(
-                w["s"].alias("s"),
-                F.slice(hashes, w["start"], w["s"] * 2).alias("window"),
-                F.greatest(F.lit(1), w["start"] - longest).alias("from"),
-                F.slice(hashes, F.greatest(F.lit(1), w["start"] - longest), (w["s"] + longest) * 2).alias("around"),
-            ),
-        )
-        return F.when(F.arrays_overlap(hashes, every), cut)
-
-    found = let(words_of(F.col(text_column)), lambda w: let(shingles(w), windows_of))
-    windows = docs.select(F.col(id_column).alias("doc_id"), F.explode(found).alias("w")).select("doc_id", "w.*")
-    asked = windows.withColumn("b", F.explode(least_shingles(F.col("window"), bands))).select(
-        "doc_id", "s", "around", "from", "b.band", "b.least"
+    pairs = written(
+        window_bands(texts, hits, bands).join(segments, ["s", "band", "least"]).select(*TEXT, "template").distinct(),
+        "pairs",
     )
-    matched = asked.join(F.broadcast(keys), ["s", "band", "least"])
-    share = F.size(F.array_intersect("around", "template")) / F.size("template")
-    first = F.array_min(
-        F.transform(F.array_intersect("around", "template"), lambda h: F.array_position(F.col("around"), h))
+
+    places = hits.join(held, "hash").join(pairs, [*TEXT, "template"]).join(sizes, "template")
+    stretch = F.floor(F.col("at") / F.col("t"))
+    near = places.select(
+        "doc_id", *TEXT, "template", "license", "t", "at", "hash",
+        F.explode(F.sequence(stretch - 1, stretch + 1)).alias("stretch"),
     )
+    # Distinct shingles are counted from one row each, so no group gathers its rows.
     return (
-        matched.withColumn("containment", share)
+        near.groupBy("doc_id", *TEXT, "template", "license", "t", "stretch", "hash").agg(F.min("at").alias("at"))
+        .groupBy("doc_id", *TEXT, "template", "license", "t", "stretch")
+        .agg((F.count("*") / F.col("t")).alias("containment"), F.min("at").cast("long").alias("first_word"))
         .filter(F.col("containment") >= containment)
-        .withColumn("first_word", (F.col("from") + first - 2).cast("long"))
         .groupBy("doc_id", "license")
         .agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))
     )

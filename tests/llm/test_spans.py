@@ -107,6 +107,73 @@ def test_license_templates_are_found_where_they_stand(make):
     assert ls.scanned(make([])).collect() == [] and ls.scanned(make(texts), []).collect() == []
 
 
+def licenses_by_hand(texts, templates):
+    """{(id, license): (containment, first word)} of all texts against all templates, without windows."""
+
+    def five(text):
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower())
+        return [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+
+    known = [(name, set(five(text))) for name, text in templates if name is not None]
+    found = {}
+    for doc, text in texts:
+        own = five(text)
+        for name, template in known:  # one name may stand for several wordings
+            t = len(template)
+            for start in range(-2 * t, len(own), t) if t and template & set(own) else ():
+                part = own[max(start, 0) : start + 3 * t]
+                share = len(template & set(part)) / t
+                if share >= 0.8:
+                    first = max(start, 0) + min(i for i, x in enumerate(part) if x in template)
+                    before = found.get((doc, name), (0, first))
+                    found[doc, name] = max(before[0], share), min(before[1], first)
+    return found
+
+
+def licenses(df):
+    return {(r.doc_id, r.license): (r.containment, r.first_word) for r in df.collect()}
+
+
+def test_scan_of_all_documents_equals_every_template_against_every_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = licenses_by_hand([(r.doc_id, r.text) for r in docs.collect()], ls.TEMPLATES)
+    assert want and licenses(ls.scanned(docs)) == want
+
+
+def test_scan_of_edge_cases_equals_every_template_against_every_text(spark, make):
+    rng = random.Random(5)
+    filler = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
+    whole = dict(ls.TEMPLATES)["BSD-3-Clause-text"]
+    line = "Released under the MIT License. "
+    cut = " ".join(whole.split()[:60])  # too little of the whole text, all of the notice
+    texts = [
+        whole, f"{filler(3000)} {whole} {filler(3000)} {whole}", cut, line * 500, f"{filler(20000)} {line}",
+        whole.replace("source", "other"), None, "", "five words are not here", f"{filler(7)} {line}", f"{line}{whole}",
+    ]
+    ids = [*range(9), None, None]
+    known = [*ls.TEMPLATES, ("none", None), ("none", ""), ("short", "four words of it"), (None, line), ("same", line), ("same", cut)]
+    table = spark.createDataFrame(known, "license string, text string").repartition(3)
+    want = licenses_by_hand(zip(ids, texts, strict=True), known)
+    assert {("BSD-3-Clause-text", 0), ("MIT", 4), ("same", None)} <= {(name, doc) for doc, name in want}
+    assert (2, "BSD-3-Clause-text") not in want
+    docs = make(texts, ids)
+    assert licenses(ls.scanned(docs, table)) == want
+    # Repeated rows change nothing, nor do columns named as the operator's own.
+    clashing = docs.unionAll(docs).selectExpr("doc_id AS s", "text AS hash", "1 AS doc_id", "2 AS text", "3 AS one")
+    assert licenses(ls.scanned(clashing, table, "s", "hash")) == want
+    assert ls.scanned(docs, table.limit(0)).collect() == []
+
+
+def test_templates_of_any_number_stand_in_no_plan(make):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    known = [(f"L{i}", " ".join(rng.choices(words, k=120))) for i in range(1500)]  # 180,000 words
+    picked = rng.sample(known, 30)
+    got = ls.scanned(make([text for _, text in picked]), known)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert set(licenses(got)) == {(i, name) for i, (name, _) in enumerate(picked)}
+
+
 MAIL = [
     ("t", 1, "a", "Hello all.\nWho has the key?\n\nSecond part here"),
     ("t", 2, "b", "I have it.\n\n> Who has  the KEY?"),
