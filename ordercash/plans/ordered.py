@@ -48,7 +48,7 @@ def numbered(
         F.col(RANGE).alias("_r"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)),
         F.coalesce(F.sum("_n").over(_before(*by)), F.lit(0)).alias("_start"),
     )
-    own = Window.partitionBy(RANGE, *by).orderBy(*order)
+    own = Window.partitionBy(*by, RANGE).orderBy(*order)
     same = F.col(RANGE) == F.col("_r")
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
@@ -103,7 +103,7 @@ def running(
     same = F.col(RANGE) == F.col("_r")
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    here = Window.partitionBy(RANGE, *by).orderBy(F.col(order).asc_nulls_last())
+    here = Window.partitionBy(*by, RANGE).orderBy(F.col(order).asc_nulls_last())
     joined = rows.withColumn("_distinct", F.lit(1)).select(
         RANGE, *by, order, "peers",
         *(F.sum(c).over(here).alias(f"_h{c}") for c in ("peers", "_distinct", "_values", "_sum")),
@@ -157,7 +157,7 @@ def carried(
     ahead = last.select(
         F.col(RANGE).alias("_r"), *keys, F.last("_last", ignorenulls=True).over(_before(*by)).alias("_ahead")
     )
-    own = Window.partitionBy(RANGE, *by).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*by, RANGE).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
     here = rows.withColumn("_here", F.last("_value", ignorenulls=True).over(own))
     return here.join(ahead, same).select(*df.columns, F.coalesce("_here", "_ahead").alias("carried"))
 
