@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ordercash.llm import quality_classifier as qc
@@ -97,3 +98,45 @@ def test_labels_of_absent_documents_use_up_no_sample(make, spark):
     few, many = (spark.createDataFrame(r, "doc_id long, quality int, toxic int") for r in (rows[:60], rows))
     a, b = qc.fit(docs, few, sample=40), qc.fit(docs, many, sample=40)
     assert a[0].any() and (a[0] == b[0]).all() and a[1] == b[1]
+
+
+def test_learning_comes_to_the_least_loss_of_all_pairs():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 5)).astype(np.float32)
+    y = (x @ np.array([1.5, -1, 0.5, 0, 0]) + rng.normal(size=120) > -0.5).astype(int)
+    gaps = (x[y == 1][:, None, :] - x[y == 0][None, :, :]).reshape(-1, 5).astype(float)
+    l2 = 0.01
+
+    def loss(w):
+        return np.log1p(np.exp(-gaps @ w)).mean() + l2 / 2 * w @ w
+
+    least = np.zeros(5)
+    for _ in range(4000):  # plain descent over every pair
+        least -= 0.5 * (l2 * least - gaps.T @ (1 / (1 + np.exp(gaps @ least))) / len(gaps))
+    w, cut = qc.learn(x, y, 400, 8192, l2, 5)
+    assert loss(least) <= loss(w) <= loss(least) * 1.02
+    assert w @ least / np.linalg.norm(w) / np.linalg.norm(least) > 0.99
+    # As many rows lie below the cut as labels are bad.
+    assert (x @ w < cut).sum() == (y == 0).sum()
+
+
+def test_scores_of_ties_repeats_long_texts_and_clashing_columns(make, spark):
+    texts = [("plain words here again " if i % 3 else "### $$$ ") * (1 + i % 5) for i in range(60)]
+    long = "plain words of a very long text\n" * 60_000
+    docs = make([*texts, long, "", None, texts[1]], [*range(60), 100, 101, 102, 1])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = qc.fit(docs, labels)
+    rows = docs.select("doc_id", "text", qc.score(F.col("text"), model).alias("score")).collect()
+    of = {}
+    for r in rows:  # equal texts tie, wherever they stand
+        assert of.setdefault(r.text or "", r.score) == r.score and 0 <= r.score <= 1
+    assert of[long] > of[texts[0]]
+    kept = qc.accepted(docs, labels)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in rows if r.score >= qc.CUT)
+    named = docs.selectExpr("doc_id AS `k`", "text AS body", "1 AS _id", "2 AS _label", "3 AS _text", "4 AS quality", "5 AS score")
+    again = qc.fit(named, labels.withColumnRenamed("doc_id", "k"), "k", "body")
+    assert (again[0] == model[0]).all() and again[1] == model[1]
+    # Texts that are all the same have no pair that tells them apart: all stay on one side of the cut.
+    same = make(["one text for all of them"] * 20)
+    told = {r.score for r in same.select(qc.score(F.col("text"), qc.fit(same, labels)).alias("score")).collect()}
+    assert len(told) == 1
