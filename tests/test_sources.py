@@ -203,3 +203,17 @@ def test_load_jsonl_drops_nothing(spark, tmp_path):
     assert len(got) == 3 and ("1", "1.50", None, {"unheard": '{"of":[1]}'}) in got
     assert ("2", None, '{"product": "2", "is_marked_for_deletion": "maybe"}', None) in got
     assert (None, None, '{"product": ', None) in got
+
+
+def test_json_lines_of_the_documents_are_written_compressed(spark, tmp_path, monkeypatch):
+    from registry import QUERIES, io
+
+    monkeypatch.setattr(io, "scratch_dir", lambda _spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(io, "FILE_ROWS", 1000)
+    digests = QUERIES["load_jsonl"](spark, "/root/testdata/sf0.001")
+    parts = [p for p in tmp_path.rglob("part-*")]
+    assert parts and all(p.name.endswith(".json.gz") for p in parts)
+    # Several files of a table, as one is read by one task; no row is lost between them.
+    items = spark.read.text(f"{tmp_path}/jsonl/sales_order_items")
+    assert len([p for p in parts if p.parent.name == "sales_order_items"]) >= items.count() / 1000
+    assert digests.filter("name = 'sales_order_items'").count() == items.count()
