@@ -7,8 +7,9 @@ the two joins that treat missing keys in a way of their own.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordercash.model import Tables
@@ -18,6 +19,7 @@ from ordercash.plans import having_no, join_totals, mix, newest_first
 from ordercash.plans.ordered import carried, chunked, deep_page, running, with_running
 
 DAY_ONE = "1970-01-01"
+WORD = 62  # columns whose bits one long number holds
 
 
 def incoming(t: Tables) -> DataFrame:
@@ -165,6 +167,12 @@ def full_join_rows(t: Tables) -> DataFrame:
     )
 
 
+def _bits_set(word: Column, first: int) -> Column:
+    """Numbers, from ``first`` on, of the bits of ``word`` that are set."""
+    at = F.sequence(F.lit(0), F.lit(WORD - 1))
+    return F.transform(F.filter(at, lambda i: F.getbit(word, i) == 1), lambda i: i + first)
+
+
 def inclusions(tables: Tables, columns: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """All pairs of columns of different tables of which one's values are all found in the other.
 
@@ -179,22 +187,38 @@ def inclusions(tables: Tables, columns: Sequence[tuple[str, str]] | None = None)
         ]
     names = [f"{table}.{column}" for table, column in columns]
     spark = next(iter(tables.values())).sparkSession
+    # Sets of columns are bits of as many long numbers as it takes: those are aggregated by hashing, where
+    # lists would have the values sorted and written to disk.
+    words = range(-(-len(columns) // WORD))
+
+    def bits(told: dict[int, Column], word: int) -> Column:
+        """The columns of one word of which ``told`` is true."""
+        own = [F.when(c, F.lit(1 << (i % WORD))).otherwise(F.lit(0)).cast("long") for i, c in told.items() if i // WORD == word]
+        return reduce(Column.bitwiseOR, own, F.lit(0).cast("long"))
+
+    def members(kind: str) -> Column:
+        """Numbers of the columns whose bits are set."""
+        return F.flatten(F.array(*(_bits_set(F.col(f"{kind}{w}"), w * WORD) for w in words)))
+
     held = None
     for name in dict.fromkeys(table for table, _ in columns):
         own = [(i, c) for i, (table, c) in enumerate(columns) if table == name]
         cells = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.col(c).cast("string").alias("value")) for i, c in own)))
-        part = (
+        counts = (
             tables[name].select(cells.alias("cell")).select("cell.*").filter(F.col("value").isNotNull())
-            .groupBy("at", "value").agg(F.count("*").alias("n"))
+            .groupBy("value").agg(*(F.count_if(F.col("at") == i).alias(f"n{i}") for i, _ in own))
+        )
+        part = counts.select(
+            "value", *(bits({i: F.col(f"n{i}") > 0 for i, _ in own}, w).alias(f"found{w}") for w in words),
+            *(bits({i: F.col(f"n{i}") > 1 for i, _ in own}, w).alias(f"twice{w}") for w in words),
         )
         held = part if held is None else held.unionByName(part)
     # One row for each distinct set of columns.
+    marks = [f"{kind}{w}" for kind in ("found", "twice") for w in words]
     sets = (
-        held.groupBy("value").agg(
-            F.array_sort(F.collect_list("at")).alias("found"),
-            F.array_sort(F.filter(F.collect_list(F.when(F.col("n") > 1, F.col("at"))), lambda x: x.isNotNull())).alias("twice"),
-        )
-        .groupBy("found", "twice").agg(F.count("*").alias("n"))
+        held.groupBy("value").agg(*(F.bit_or(c).alias(c) for c in marks))
+        .groupBy(*marks).agg(F.count("*").alias("n"))
+        .select(members("found").alias("found"), members("twice").alias("twice"), "n")
     )
     pairs = (
         sets.select("found", "n", F.explode("found").alias("a"))

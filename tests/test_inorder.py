@@ -169,3 +169,21 @@ def test_inclusions_of_columns_that_share_no_values_by_chance(spark):
     }
     got = rows(inorder.inclusions(t))
     assert got == [("child.parent", "other.some", 1, True), ("child.parent", "parent.id", 1, True)]
+
+
+def test_inclusions_of_more_columns_than_a_number_has_bits(spark):
+    n = 2 * inorder.WORD + 3
+    wide = spark.createDataFrame(
+        [tuple(f"v{i}" for i in range(n)), tuple(f"v{i}" for i in range(n))], ", ".join(f"c{i} string" for i in range(n))
+    )
+    few = spark.createDataFrame([("v0", f"v{n - 1}"), ("x", f"v{n - 1}")], "a string, b string")
+    got = inorder.inclusions({"wide": wide, "few": few})
+    assert rows(got) == sorted([
+        ("few.b", f"wide.c{n - 1}", 1, False), ("wide.c0", "few.a", 1, True), (f"wide.c{n - 1}", "few.b", 1, False),
+    ], key=repr)
+
+
+def test_inclusions_sort_no_values(spark):
+    tables = {"one": spark.createDataFrame([("a",)], "x string"), "two": spark.createDataFrame([("a",)], "y string")}
+    plan = inorder.inclusions(tables)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
