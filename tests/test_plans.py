@@ -98,3 +98,12 @@ def test_lines_are_summed_without_a_shuffle_of_their_own(stored):
     assert text.count("hashpartitioning(order_id#") == 3
     assert "hashpartitioning(product_id#" in text
     assert not re.search(r"hashpartitioning\(product_id#\w+, order_id", text)
+
+
+def test_lines_of_many_orders_are_found_once(stored):
+    text = plan(orders.order_items(stored, stored["orders"].filter("order_type = '1-URGENT'")))
+    assert text.count("LeftSemi") == 1
+
+
+def test_partitions_are_small_enough_to_sort(spark):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
