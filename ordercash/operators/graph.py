@@ -9,6 +9,7 @@ a minimum over (order, value), so no row is numbered and partial results combine
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -109,6 +110,31 @@ def _first(df: DataFrame, column: str) -> Column:
     return F.min(F.when(filled, ordered))["value"]
 
 
+def _firsts(df: DataFrame, together: Sequence[Sequence[str]]) -> tuple[list[Column], dict[str, Column]]:
+    """Aggregates, and from them the first filled value of each column.
+
+    A row that fills a whole group of ``together`` goes into one minimum with its order and the
+    group's values, others into one for each column they fill; the earlier of both is the first.
+    """
+    aggregates, values = [], {}
+    for at, group in enumerate(together):
+        group = [c for c in group if c in df.columns and "map<" not in df.schema[c].dataType.simpleString()]
+        if len(group) < 2:
+            continue
+        whole = reduce(Column.__and__, [_filled(df, c) for c in group])
+        own = [F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(group)]
+        aggregates.append(F.min(F.when(whole, F.struct(F.col("_ord").alias("ord"), *own))).alias(f"_group{at}"))
+        for i, c in enumerate(group):
+            single = F.struct(F.col("_ord").alias("ord"), F.col(f"`{c}`").alias("value"))
+            aggregates.append(F.min(F.when(_filled(df, c) & ~whole, single)).alias(f"_single{at}_{i}"))
+            first = F.col(f"_group{at}")
+            first = F.when(first.isNotNull(), F.struct(first["ord"].alias("ord"), first[f"v{i}"].alias("value")))
+            values[c] = F.least(first, F.col(f"_single{at}_{i}"))["value"]
+    alone = [c for c in df.columns if c not in values]
+    aggregates += [_first(df, c).alias(f"_alone{i}") for i, c in enumerate(alone)]
+    return aggregates, values | {c: F.col(f"_alone{i}") for i, c in enumerate(alone)}
+
+
 def _label(kind: Column, entity_id: Column) -> Column:
     return F.concat_ws(" ", F.initcap(kind), entity_id)
 
@@ -117,11 +143,14 @@ def graph_nodes(
     df: DataFrame,
     order_by: Sequence[str],
     columns: dict[str, Sequence[str]] = ENTITY_COLUMNS,
+    together: Sequence[Sequence[str]] = (),
 ) -> DataFrame:
     """One node per entity: id, type, entity_id, label, context, first_ord.
 
     ``order_by`` must identify a row; ``first_ord`` is its value for the first row that
-    names the entity.
+    names the entity. ``together`` may name groups of columns, no column twice, that most rows fill
+    all or none of, such as those of one table: the order is then kept once for a group and not for
+    each of its columns. The values are the same for any groups, or none.
     """
     ids = _present(df, columns)
     if not ids:
@@ -137,7 +166,7 @@ def graph_nodes(
         F.struct(*order_by).alias("_ord"),
         *[F.col(f"`{c}`") for c in df.columns],
     ).filter(F.col("_id").isNotNull())
-    first = [_first(df, c).alias(c) for c in df.columns]
+    first, values = _firsts(df, together)
     # Ids come first: the rows are sorted to be grouped, and ids differ sooner than types do.
     merged = named.groupBy("_id", "_type").agg(F.min("_ord").alias("_first_ord"), *first)
     return merged.select(
@@ -145,7 +174,7 @@ def graph_nodes(
         F.col("_type").alias("type"),
         F.col("_id").alias("entity_id"),
         _label(F.col("_type"), F.col("_id")).alias("label"),
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("context"),
+        F.struct(*[values[c].alias(c) for c in df.columns]).alias("context"),
         F.col("_first_ord").alias("first_ord"),
     )
 
@@ -217,29 +246,30 @@ def _graph(
     columns: dict[str, Sequence[str]],
     links: Sequence[Link],
     fallback: bool,
+    together: Sequence[Sequence[str]],
 ) -> tuple[DataFrame, DataFrame]:
-    nodes = graph_nodes(df, order_by, columns)
+    nodes = graph_nodes(df, order_by, columns, together)
     if fallback:
         nodes = nodes.unionByName(record_fallback(df, order_by, columns))
     return nodes, graph_edges(df, columns, links)
 
 
 def build_graph(
-    df: DataFrame, order_by: Sequence[str], fallback: bool = True
+    df: DataFrame, order_by: Sequence[str], fallback: bool = True, together: Sequence[Sequence[str]] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a result; no rows in, none out.
 
     ``fallback=False`` leaves out the record node, and with it one evaluation of ``df``, for
-    a result known to name some entity.
+    a result known to name some entity. For ``together`` see ``graph_nodes``.
     """
-    return _graph(df, order_by, ENTITY_COLUMNS, LINKS, fallback)
+    return _graph(df, order_by, ENTITY_COLUMNS, LINKS, fallback, together)
 
 
 def o2c_typed_graph(
-    df: DataFrame, order_by: Sequence[str], fallback: bool = True
+    df: DataFrame, order_by: Sequence[str], fallback: bool = True, together: Sequence[Sequence[str]] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """The documented model: payment nodes too, and a label for each kind of link."""
-    return _graph(df, order_by, TYPED_COLUMNS, TYPED_LINKS, fallback)
+    return _graph(df, order_by, TYPED_COLUMNS, TYPED_LINKS, fallback, together)
 
 
 def node_details(nodes: DataFrame) -> DataFrame:

@@ -154,6 +154,14 @@ def _flow(s):
     )
 
 
+# The columns of each table of the flow.
+FLOW_TOGETHER = [
+    ("order_id", "customer_id", "customer_name", "order_amount", "delivery_status", "requested_delivery_date",
+     "n_payments"),
+    ("delivery_id", "goods_status", "picking_status"),
+    ("invoice_id", "invoice_date", "invoice_amount", "is_cancelled"),
+    ("payment_amount", "last_clearing_date"),
+]
 _FLOW_CTE = {
     "flow": f"""SELECT *, COALESCE(delivery_id, invoice_id, '') AS document
         FROM ({ORDER_FLOW_ALL})"""
@@ -201,7 +209,7 @@ _FLOW_CONTEXT = {
     ctes=_FLOW_CTE,
 )
 def _(s):
-    nodes, _edges = graph.build_graph(_flow(s), ["order_id", "document"])
+    nodes, _edges = graph.build_graph(_flow(s), ["order_id", "document"], together=FLOW_TOGETHER)
     return flat(nodes)
 
 
@@ -228,6 +236,7 @@ def _trace(s):
     )
 
 
+TRACE_TOGETHER = [("sales_order", "sold_to_party", "n_paths", "path")]
 _TRACE_CTE = {
     "trace": f"""SELECT *, sales_order || '/' || COALESCE(delivery_document, '') || '/' ||
         COALESCE(billing_document, '') || '/' || COALESCE(payment_id, '') AS path
@@ -265,7 +274,7 @@ def _(s):
     ctes=_TRACE_CTE,
 )
 def _(s):
-    nodes, _edges = graph.o2c_typed_graph(_trace(s), ["path"])
+    nodes, _edges = graph.o2c_typed_graph(_trace(s), ["path"], together=TRACE_TOGETHER)
     return flat(nodes)
 
 

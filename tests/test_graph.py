@@ -153,3 +153,24 @@ def test_node_details_list_filled_fields(spark):
     got = rows(graph.node_details(nodes).filter("node_id = 'invoice_i2'"), "attribute", "value")
     assert got == [("entity_id", "i2"), ("entity_type", "invoice"), ("invoice_id", "i2"),
                    ("n", "4"), ("note", "alone"), ("qty", "1")]
+
+
+def test_columns_told_to_come_together_give_the_same_nodes(spark):
+    df = _df(spark)
+    plain = rows(graph.graph_nodes(df, ["n"]))
+    for together in (
+        [("order_id", "sales_order")], [("n", "customer_id", "note"), ("flag", "qty"), ("invoice_id", "absent")],
+        [tuple(df.columns)],
+    ):
+        assert rows(graph.graph_nodes(df, ["n"], together=together)) == plain
+
+
+def test_flow_nodes_keep_the_order_once_for_the_columns_of_a_table(spark):
+    from registry.graph import FLOW_TOGETHER, _flow
+    from ordercash.sources.sample import Sample
+    from tests.conftest import SMALL
+
+    flow = _flow(Sample(spark, SMALL))
+    plan = graph.graph_nodes(flow, ["order_id", "document"], together=FLOW_TOGETHER)
+    assert all(set(g) <= set(flow.columns) for g in FLOW_TOGETHER)
+    assert "_group0" in plan._jdf.queryExecution().executedPlan().toString()
