@@ -15,7 +15,7 @@ from ordercash.llm import (
     quality_classifier,
     quality_rules,
 )
-from ordercash.llm.common import written
+from ordercash.llm.common import small_batches, written
 from ordercash.llm.queries import default_tokenizer, table
 
 
@@ -26,21 +26,25 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking puts below the cut go. The labels are learnt on these documents."""
+    small_batches(spark)
     return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id."""
+    small_batches(spark)
     return jaccard_join.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents lose the spans that are a benchmark's, and go if nothing is left."""
+    small_batches(spark)
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
+    small_batches(spark)
     placed = packing.packed(written(packing.pieces(docs, default_tokenizer()), "pieces"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
