@@ -101,16 +101,20 @@ def _filled(df: DataFrame, column: str) -> Column:
     return value.isNotNull()
 
 
-def _first(df: DataFrame, column: str) -> Column:
+def _first(df: DataFrame, column: str, order_by: Sequence[str]) -> Column:
     """Aggregate: the filled value of the first row; of rows that tie, the least value."""
     value, filled = F.col(f"`{column}`"), _filled(df, column)
+    if list(order_by) == [column]:  # the order is the value
+        return F.min(F.when(filled, F.col("_ord")))[column]
     if "map<" in df.schema[column].dataType.simpleString():  # maps have no order
         return F.min_by(F.when(filled, value), F.when(filled, F.col("_ord")))
     ordered = F.struct(F.col("_ord").alias("ord"), value.alias("value"))
     return F.min(F.when(filled, ordered))["value"]
 
 
-def _firsts(df: DataFrame, together: Sequence[Sequence[str]]) -> tuple[list[Column], dict[str, Column]]:
+def _firsts(
+    df: DataFrame, order_by: Sequence[str], together: Sequence[Sequence[str]]
+) -> tuple[list[Column], dict[str, Column]]:
     """Aggregates, and from them the first filled value of each column.
 
     A row that fills a whole group of ``together`` goes into one minimum with its order and the
@@ -118,7 +122,10 @@ def _firsts(df: DataFrame, together: Sequence[Sequence[str]]) -> tuple[list[Colu
     """
     aggregates, values = [], {}
     for at, group in enumerate(together):
-        group = [c for c in group if c in df.columns and "map<" not in df.schema[c].dataType.simpleString()]
+        group = [
+            c for c in group
+            if c in df.columns and list(order_by) != [c] and "map<" not in df.schema[c].dataType.simpleString()
+        ]
         if len(group) < 2:
             continue
         whole = reduce(Column.__and__, [_filled(df, c) for c in group])
@@ -131,7 +138,7 @@ def _firsts(df: DataFrame, together: Sequence[Sequence[str]]) -> tuple[list[Colu
             first = F.when(first.isNotNull(), F.struct(first["ord"].alias("ord"), first[f"v{i}"].alias("value")))
             values[c] = F.least(first, F.col(f"_single{at}_{i}"))["value"]
     alone = [c for c in df.columns if c not in values]
-    aggregates += [_first(df, c).alias(f"_alone{i}") for i, c in enumerate(alone)]
+    aggregates += [_first(df, c, order_by).alias(f"_alone{i}") for i, c in enumerate(alone)]
     return aggregates, values | {c: F.col(f"_alone{i}") for i, c in enumerate(alone)}
 
 
@@ -166,7 +173,7 @@ def graph_nodes(
         F.struct(*order_by).alias("_ord"),
         *[F.col(f"`{c}`") for c in df.columns],
     ).filter(F.col("_id").isNotNull())
-    first, values = _firsts(df, together)
+    first, values = _firsts(df, order_by, together)
     # Ids come first: the rows are sorted to be grouped, and ids differ sooner than types do.
     merged = named.groupBy("_id", "_type").agg(F.min("_ord").alias("_first_ord"), *first)
     return merged.select(

@@ -34,7 +34,14 @@ def _mixed_columns(text: str) -> list[str]:
 
 
 def mixed(s):
-    return s.raw("lineitem").selectExpr(*_mixed_columns("STRING")).distinct()
+    # Equal lines meet in ranges of the lines, so the lines of an order lie together and its nodes and
+    # edges combine before they are shuffled; all columns make the range, so an order may fill many.
+    lines = s.raw("lineitem").selectExpr(*_mixed_columns("STRING"))
+    return lines.repartitionByRange(*MIXED).distinct()
+
+
+# The columns that every line fills.
+MIXED_TOGETHER = [("line_key", "sales_order", "material")]
 
 
 _MIXED_CTE = {
@@ -102,7 +109,7 @@ def _texts(*columns: str) -> dict[str, str]:
     ctes=_MIXED_CTE,
 )
 def _(s):
-    return flat(graph.graph_nodes(mixed(s), ["line_key"]))
+    return flat(graph.graph_nodes(mixed(s), ["line_key"], together=MIXED_TOGETHER))
 
 
 def _edges_sql(source: str, links: list[tuple[str, str, str]]) -> str:

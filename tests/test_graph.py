@@ -4,7 +4,9 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ordercash.operators import graph
-from tests.conftest import rows
+from ordercash.sources.sample import Sample
+from registry.graph import MIXED_TOGETHER, _mixed_columns, mixed
+from tests.conftest import SMALL, rows
 
 SCHEMA = "n int, customer_id string, customer string, order_id string, sales_order string, " \
     "invoice_id string, delivery_id string, product string, material string, note string, " \
@@ -174,3 +176,29 @@ def test_flow_nodes_keep_the_order_once_for_the_columns_of_a_table(spark):
     plan = graph.graph_nodes(flow, ["order_id", "document"], together=FLOW_TOGETHER)
     assert all(set(g) <= set(flow.columns) for g in FLOW_TOGETHER)
     assert "_group0" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_an_order_lie_together_and_equal_ones_once(spark, tmp_path):
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    bare = lines.limit(50).withColumn("l_extendedprice", F.lit(None).cast("double"))
+    lines.unionByName(lines.limit(500)).unionByName(bare).write.parquet(f"{tmp_path}/lineitem.parquet")
+    sample = Sample(spark, str(tmp_path))
+    plain = sample.raw("lineitem").selectExpr(*_mixed_columns("STRING")).distinct()
+    assert rows(mixed(sample)) == rows(plain)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = mixed(sample).select("sales_order", "line_key", F.spark_partition_id().alias("part"))
+        placed = placed.filter("line_key IS NOT NULL").distinct().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = {r.part for r in placed}
+    assert len(parts) > 1
+    # Each order is in one part, but for those where a part ends.
+    orders = {r.sales_order for r in placed}
+    assert len({(r.sales_order, r.part) for r in placed}) < len(orders) + len(parts)
+
+
+def test_graph_nodes_keeps_the_order_once_for_columns_of_every_line(spark):
+    named = graph.graph_nodes(mixed(Sample(spark, SMALL)), ["line_key"], together=MIXED_TOGETHER)
+    plain = graph.graph_nodes(mixed(Sample(spark, SMALL)), ["line_key"])
+    assert rows(named) == rows(plain)
