@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordercash.llm.common import fresh_path, ship, written
+from ordercash.llm.common import fresh_path, lean, ship, written
 
 ship(__name__)
 
@@ -230,6 +230,7 @@ def _told(text: str | None, n_words: int, spans: list, items: list[str], coverag
 
 def _one_pass(text: Column, folder: str, window: int, coverage: int, cleaned: bool) -> Column:
     @F.pandas_udf(_FOUND)
+    @lean
     def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = automaton_of(folder, 0, window)
         for texts in batches:
@@ -245,6 +246,7 @@ def _one_pass(text: Column, folder: str, window: int, coverage: int, cleaned: bo
 
 def _a_pass(text: Column, folder: str, block: int, window: int) -> Column:
     @F.pandas_udf(T.StructType([_FOUND["spans"], _FOUND["items"]]))
+    @lean
     def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = automaton_of(folder, block, window)
         for texts in batches:

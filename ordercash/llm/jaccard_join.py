@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordercash.llm.common import ship, spread, written
+from ordercash.llm.common import give_back, lean, ship, spread, written
 
 ship(__name__)
 
@@ -100,6 +100,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, n: int, bands:
     ])
 
     @F.pandas_udf(schema)
+    @lean
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(n, bands, rows)
         for texts in batches:
@@ -160,6 +161,7 @@ def _open(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _verifier(threshold: float):
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()  # what the group before took
         bands, copies = _band_matrix(rows), rows["copies"].to_numpy(np.int64)
         sets, grams = rows["set"].to_numpy(), rows["grams"].to_numpy()
         out = []
@@ -238,6 +240,7 @@ def _digest(grams: np.ndarray) -> bytes | None:
 
 
 def _gram_sets(n: int):
+    @lean
     def gram_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(n, 1, 1)
         for batch in batches:
@@ -419,6 +422,7 @@ def deduplicated(
 
 def _set_hash(n: int):
     @F.pandas_udf("binary")
+    @lean
     def set_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher = Hasher(n, 1, 1)
         for texts in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ordercash.llm.common import ship, spread, written
+from ordercash.llm.common import lean, ship, spread, written
 
 ship(__name__)
 
@@ -108,6 +108,7 @@ def pieces(
     """Pieces of at most ``capacity`` ids of every document, its end token included."""
     keep_ids = with_ids
 
+    @lean
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder(tokenizer)
         last = array("I", [end]).tobytes()
