@@ -63,9 +63,9 @@ _BEYOND = re.compile("[^\x00-\x7f]")
 
 def alphabet(text: str) -> int:
     """The most frequent character beyond ASCII, the lowest of equals; 0 if there is none."""
-    seen = Counter(_BEYOND.findall(text))
-    if not seen:
+    if text.isascii():
         return 0
+    seen = Counter(_BEYOND.findall(text))
     most = max(seen.values())
     return min(ord(c) for c, n in seen.items() if n == most)
 
@@ -109,17 +109,23 @@ def _keys(texts: list[list[bytes]], order: int, step: int) -> Iterator[tuple[np.
     whole = [b"".join([b" ", *[w + b" " for w in words[:-1]], END]) for words in texts]
     starts = np.cumsum([0] + [len(t) for t in whole[:-1]])
     raw = np.frombuffer(bytes(order) + b"".join(whole), dtype=np.uint8)
+    masks = np.array([_mask(k) for k in range(order + 1)], dtype=np.int64)
     for lo in range(order, len(raw), step):
         hi = min(lo + step, len(raw))
-        at = np.arange(lo - order, hi - order)
-        text = np.searchsorted(starts, at, side="right") - 1
-        depth = at - starts[text]
+        # The texts that reach into the step, and how many of its bytes are each one's.
+        first, last = np.searchsorted(starts, [lo - order, hi - order - 1], side="right") - 1
+        here = starts[first : last + 1]
+        bytes_of = np.diff(np.concatenate([[lo - order], here[1:], [hi - order]]))
+        depth = np.arange(lo - order, hi - order) - np.repeat(here, bytes_of)
         length = np.minimum(depth, order)
-        context = length << LENGTH
+        near = raw[lo - order : hi].astype(np.int64)
+        context = np.zeros(hi - lo, dtype=np.int64)
         for k in range(1, order + 1):
-            context += np.where(length >= k, raw[lo - k : hi - k].astype(np.int64) << (8 * (k - 1)), 0)
+            context |= near[order - k : len(near) - k] << (8 * (k - 1))
+        context &= masks[length]  # what is ahead of a text is none of its context
+        context |= length << LENGTH
         predicted = depth > 0
-        yield (context * 256 + raw[lo:hi])[predicted], text[predicted]
+        yield (context << 8 | near[order:])[predicted], np.repeat(np.arange(first, last + 1), bytes_of)[predicted]
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -425,9 +431,9 @@ def _score_chunk(folder: str, total: int, distinct: int, order: int, step: int,
         codes = np.zeros(len(texts))
         base, sizes, seen = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         by_alphabet = _by_alphabet(texts)
-        words = sorted({w for some in by_alphabet.values() for _, words in some for w in words})
+        distinct_words = set().union(*(words for some in by_alphabet.values() for _, words in some))
         counts: dict[bytes, float] = {}
-        for b, binned in _word_bins(words, bins).items():
+        for b, binned in _word_bins(sorted(distinct_words), bins).items():
             counts.update(zip(binned, _unpack_values(packed[WORDS, b]).tolist(), strict=True))
         for z, some in by_alphabet.items():
             here, _ = _distinct(some, held, order, step)

@@ -108,3 +108,20 @@ def test_contexts_reach_across_blanks(spark, make):
     docs = make(texts + ["the cat sat on a mat", "mat a on sat cat the"], learnt + held)
     score = {r.doc_id: r.score for r in pm.scores(docs).collect()}
     assert score[held[0]] > score[held[1]] + 1
+
+
+def test_keys_are_the_positions_of_each_text_for_any_step():
+    texts = [None, "", "A b\tcc", "é " * 9, "abcdefghij", "x"]
+    words = [pm.words_of(t)[1] for t in texts]
+    for order in (0, 1, 3, 6):
+        want = [
+            (pm.packed(c) * 256 + s[0], i)
+            for i, t in enumerate(texts) for w in pm.tokens(t)[1]
+            for c, s in pm.positions(w, order)
+        ]
+        for step in (1, 2, 5, 1_000):
+            got = [
+                (int(k), int(i)) for keys, at in pm._keys(words, order, step)
+                for k, i in zip(keys, at, strict=True)
+            ]
+            assert got == want
