@@ -51,7 +51,10 @@ def marked(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
           for c, name in ((lang, "lang"), (source, "source"), (text, "text")))
     )
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # Where all is ASCII, letters beyond A-Z can't be changed by ``lower``, which is many times faster.
+    lower = F.when(F.octet_length("text") == F.char_length("text"), F.lower("text")).otherwise(
+        F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    )
     # What is between terms becomes the mark of the next one; a first and a last run are there always.
     mark = F.concat(F.lit(NEXT), F.hex("lang"), F.lit(BETWEEN))
     text = F.concat(F.lit(" "), lower, F.lit(" "))

@@ -54,3 +54,11 @@ def test_audit_without_kept_terms_or_rows(spark):
     got = sorted(tuple(r) for r in divergence.audit(docs).collect())
     assert got == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
     assert divergence.audit(docs.limit(0)).collect() == []
+
+
+def test_only_a_to_z_are_lower_cased(spark):
+    texts = ["ABC xYz", "KELVIN İI ÉTÉ ABC", "", None, "É"]
+    docs = spark.createDataFrame([(t, "l", "s") for t in texts], "text string, lang string, source string")
+    got = divergence.with_terms(divergence.marked(docs, "text", "lang", "source")).collect()
+    terms = [[t.split("\x00")[1] for t in r.terms] for r in got]
+    assert terms == [["abc", "xyz"], ["Kelvin", "İi", "ÉtÉ", "abc"], [], [], ["É"]]
