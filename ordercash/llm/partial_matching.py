@@ -33,7 +33,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -42,7 +42,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordercash.llm.common import crc_of_id, fresh_path, ship, written
+from ordercash.llm.common import crc_of_id, fresh_path, give_back, lean, ship, small_batches, written
 
 ship(__name__)
 
@@ -103,12 +103,39 @@ def packed(context: bytes) -> int:
     return len(context) << LENGTH | int.from_bytes(context, "big")
 
 
-def _keys(texts: list[list[bytes]], order: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Packed context and symbol of the bytes of all texts, as ``context * 256 + symbol``, and the
-    number of the text of each, for ``step`` bytes at a time."""
-    whole = [b"".join([b" ", *[w + b" " for w in words[:-1]], END]) for words in texts]
+def _whole(words: list[bytes]) -> bytes:
+    """A text as it is predicted: a blank ahead of each word and of the end. A word is an object of some fifty
+    bytes, so the texts of a chunk are held like this, and their words told in arrays."""
+    return b" " + b" ".join(words)
+
+
+def _told_words(texts: Sequence[bytes], step: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of whole texts, the place in them of each word, and the place where each text begins;
+    the words are found for texts of ``step`` bytes at a time, or a longer one."""
+    ends = np.cumsum([len(t) for t in texts])
+    slices, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + step, side="right")))
+        raw = np.frombuffer(b"".join(texts[lo:hi]), dtype=np.uint8)
+        blanks = np.flatnonzero(raw == ord(" "))
+        offsets = np.append(blanks - np.arange(len(blanks)), len(raw) - len(blanks)).astype(np.int32)
+        letters = raw[raw != ord(" ")]
+        slices.append(pa.BinaryArray.from_buffers(
+            pa.binary(), len(blanks), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
+        ))
+        lo = hi
+    told = pa.chunked_array(slices).dictionary_encode().chunks  # all with the same distinct words
+    first = np.cumsum([0] + [t.count(b" ") for t in texts[:-1]])
+    return told[0].dictionary.to_pylist(), np.concatenate([c.indices.to_numpy() for c in told]), first
+
+
+def _keys(texts: list[bytes] | list[list[bytes]], order: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed context and symbol of the bytes of all texts, whole or as words, as ``context * 256 + symbol``,
+    and the number of the text of each, for ``step`` bytes at a time."""
+    whole = [t if isinstance(t, bytes) else _whole(t) for t in texts]
     starts = np.cumsum([0] + [len(t) for t in whole[:-1]])
-    raw = np.frombuffer(bytes(order) + b"".join(whole), dtype=np.uint8)
+    raw = np.frombuffer(b"".join([bytes(order), *whole]), dtype=np.uint8)
+    del whole
     masks = np.array([_mask(k) for k in range(order + 1)], dtype=np.int64)
     for lo in range(order, len(raw), step):
         hi = min(lo + step, len(raw))
@@ -135,21 +162,21 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[by][first], np.add.reduceat(n[by], first)
 
 
-def _by_alphabet(texts: list[str | None]) -> dict[int, list[tuple[int, list[bytes]]]]:
-    """Place and words of the texts of each alphabet."""
-    out: dict[int, list[tuple[int, list[bytes]]]] = {}
+def _by_alphabet(texts: pa.ChunkedArray) -> dict[int, list[tuple[int, bytes]]]:
+    """Place of the texts of each alphabet, and the texts whole."""
+    out: dict[int, list[tuple[int, bytes]]] = {}
     for i, text in enumerate(texts):
-        z, words = words_of(text)
-        out.setdefault(z, []).append((i, words))
+        z, words = words_of(text.as_py())
+        out.setdefault(z, []).append((i, _whole(words)))
     return out
 
 
-def _distinct(texts: list[tuple[int, list[bytes]]], held: np.ndarray, order: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(texts: list[tuple[int, bytes]], held: np.ndarray, order: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct packed contexts and symbols of texts in order, and their counts in those learnt from."""
     none = np.zeros(0, dtype=np.int64)
     parts, size, kept = [(none, none)], 0, 0
     for learnt in (True, False):
-        some = [words for i, words in texts if held[i] != learnt]
+        some = [text for i, text in texts if held[i] != learnt]
         for key, _ in _keys(some, order, step) if some else ():
             key, n = np.unique(key, return_counts=True)
             parts.append((key, n if learnt else np.zeros_like(n)))
@@ -230,11 +257,16 @@ def _write_chunks(folder: str, order: int, step: int, bins: int, chunk_bytes: in
         store.create_dir(root, recursive=True)
         parquet.write_table(held_texts, f"{root}/{chunk}.parquet", filesystem=store)
         held = held_texts.column("held_out").to_numpy()
-        lexicon: Counter = Counter()
+        by_alphabet = _by_alphabet(held_texts.column("text"))
+        del held_texts
         rows, short = [], []
-        for z, texts in _by_alphabet(held_texts.column("text").to_pylist()).items():
-            for i, words in texts:
-                lexicon.update(dict.fromkeys(words, 0) if held[i] else words)
+        at, texts = zip(*(t for some in by_alphabet.values() for t in some), strict=True)
+        words, place, first = _told_words(texts, step)
+        learnt = np.repeat(~held[list(at)], np.diff(first, append=len(place)))
+        n = np.bincount(place[learnt], minlength=len(words))
+        lexicon = dict(zip(words, n.tolist(), strict=True))
+        del at, texts, words, place, first, learnt
+        for z, texts in by_alphabet.items():
             key, n = _distinct(texts, held, order, step)
             short.append((np.where(key >> LENGTH + 8 > SHORT, _cut(key, SHORT), key), n))
             place = _bin(key, bins)
@@ -252,6 +284,7 @@ def _write_chunks(folder: str, order: int, step: int, bins: int, chunk_bytes: in
         names = [c.split()[0] for c in PACKED.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), *columns], names=names)
 
+    @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -265,8 +298,10 @@ def _write_chunks(folder: str, order: int, step: int, bins: int, chunk_bytes: in
                 size += int(lengths[hi - 1] - before)
                 lo = hi
                 if size >= chunk_bytes:
-                    yield chunk_rows(pa.Table.from_batches(held))
-                    held, size = [], 0
+                    chunk, held, size = pa.Table.from_batches(held), [], 0
+                    yield chunk_rows(chunk)
+                    del chunk
+                    give_back()
         if held:
             yield chunk_rows(pa.Table.from_batches(held))
 
@@ -286,6 +321,7 @@ def _sum_words(rows: pd.DataFrame, kind) -> tuple[list[bytes], np.ndarray]:
 def _sum_bin(first: bool):
     def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """The rows of a bin summed, one for each alphabet, without what is only held out."""
+        give_back()
         out = []
         kind = np.uint32 if first and key[0] != SHORTS else np.int64
         for z, some in rows.groupby("z"):
@@ -390,6 +426,7 @@ def _walk(wanted: np.ndarray, first: Level, levels: list[Level]) -> np.ndarray:
 def _look_up(order: int, short_keys: np.ndarray, short_n: np.ndarray):
     def look_up(chunks: pd.DataFrame, trie: pd.DataFrame) -> pd.DataFrame:
         """Probabilities of the chunks' rows of a bin, packed in the order of their keys."""
+        give_back()
         known, lexicon = {}, {}
         for z, k, c in zip(trie["z"], trie["keys"], trie["counts"], strict=True):
             n = _loosen(c, np.int64)
@@ -421,20 +458,28 @@ def _score_chunk(folder: str, total: int, distinct: int, order: int, step: int,
     def score(key: tuple, told: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs, parquet
 
+        give_back()
         store, root = fs.FileSystem.from_uri(folder)
         rows = parquet.read_table(f"{root}/{key[0]}.parquet", filesystem=store)
-        held, texts = rows.column("held_out").to_numpy(), rows.column("text").to_pylist()
+        held, by_alphabet = rows.column("held_out").to_numpy(), _by_alphabet(rows.column("text"))
+        rows = rows.drop_columns("text")
         kind = told["bin"].to_numpy()
         alike = told[kind == ALPHABETS]
         stated = dict(zip(alike["z"], alike["value"], strict=True))
         packed = {(z, b): v for z, b, v in told.loc[kind >= 0, ["z", "bin", "values"]].itertuples(index=False)}
-        codes = np.zeros(len(texts))
-        base, sizes, seen = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        by_alphabet = _by_alphabet(texts)
-        distinct_words = set().union(*(words for some in by_alphabet.values() for _, words in some))
+        codes, base = np.zeros(len(held)), np.zeros(len(held))
+        sizes, seen = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
+        at, texts = zip(*(t for some in by_alphabet.values() for t in some), strict=True)
+        at = list(at)
+        words, place, first = _told_words(texts, step)
         counts: dict[bytes, float] = {}
-        for b, binned in _word_bins(sorted(distinct_words), bins).items():
+        for b, binned in _word_bins(sorted(words), bins).items():
             counts.update(zip(binned, _unpack_values(packed[WORDS, b]).tolist(), strict=True))
+        n = np.array([counts[w] for w in words])
+        sizes[at] = np.diff(first, append=len(place))
+        seen[at] = np.add.reduceat((n > 0).astype(np.int64)[place], first)
+        base[at] = np.add.reduceat(np.log10((n + 1) / (total + distinct + 1))[place], first)
+        del at, texts, words, place, first, counts, n
         for z, some in by_alphabet.items():
             here, _ = _distinct(some, held, order, step)
             place, p = _bin(here, bins), np.zeros(len(here))
@@ -442,13 +487,10 @@ def _score_chunk(folder: str, total: int, distinct: int, order: int, step: int,
                 p[place == b] = _unpack_values(packed[z, int(b)])
             code = np.full(len(some), stated[z])
             # Each context and symbol of the texts is known once.
-            for wanted, text in _keys([words for _, words in some], order, step):
+            for wanted, text in _keys([text for _, text in some], order, step):
                 wanted, at = np.unique(wanted, return_inverse=True)
                 code += np.bincount(text, weights=p[np.searchsorted(here, wanted)][at], minlength=len(some))
-            for (i, words), c in zip(some, code, strict=True):
-                n = np.fromiter(map(counts.__getitem__, words), dtype=np.float64, count=len(words))
-                codes[i], sizes[i], seen[i] = c, len(words), (n > 0).sum()
-                base[i] = np.log10((n + 1) / (total + distinct + 1)).sum()
+            codes[[i for i, _ in some]] = code
         return pd.DataFrame({
             "doc_id": rows.column("doc_id").to_pandas().astype("Int64"), "held_out": held, "n_tokens": sizes,
             "n_known": seen, "train_tokens": total, "base_score": base, "score": codes,
@@ -472,6 +514,7 @@ def scores(
     a bin of the trie, or, where there are ``MOST_BINS``, a team in it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"),
         (F.pmod(crc_of_id(id_column), F.lit(FOLDS)) == HELD_OUT).alias("held_out"),

@@ -2,9 +2,11 @@
 
 import collections
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from ordercash.llm import partial_matching as pm
 
@@ -125,3 +127,29 @@ def test_keys_are_the_positions_of_each_text_for_any_step():
                 for k, i in zip(keys, at, strict=True)
             ]
             assert got == want
+
+
+def test_a_chunk_is_not_held_as_objects_of_its_words(tmp_path):
+    text = pa.array([" ".join(f"{chr(97 + i % 26)}{i * j % 997:x}" for j in range(400)) for i in range(2_000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_000)), text, pa.array([False, True] * 1_000)], ["doc_id", "text", "held_out"])
+    write = pm._write_chunks(tmp_path.as_uri(), 2, 10_000, 1, 1 << 30)
+    tracemalloc.start()
+    try:
+        (chunk,) = write(iter([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 17 * text.nbytes
+    finally:
+        tracemalloc.stop()
+    rows = chunk.to_pandas().set_index("z").loc[pm.WORDS]
+    got = dict(zip(pm._unpack_words(rows["keys"]), pm._loosen(rows["counts"], np.uint32).tolist(), strict=True))
+    want = collections.Counter(w for t in text.to_pylist()[::2] for w in [*t.encode().split(), pm.END])
+    assert {w: n for w, n in got.items() if n} == want
+    assert got.keys() == {w for t in text.to_pylist() for w in [*t.encode().split(), pm.END]}
+
+
+def test_words_are_told_for_any_step():
+    texts = [pm._whole(pm.words_of(t)[1]) for t in [None, "", "A b\tcc b", "é " * 9, "a", "cc", None]]
+    want = [t.split(b" ")[1:] for t in texts]
+    for step in (1, 5, 20, 1_000):
+        words, place, first = pm._told_words(texts, step)
+        got = [[words[i] for i in part] for part in np.split(place, first[1:])]
+        assert got == want and len(set(words)) == len(words)
