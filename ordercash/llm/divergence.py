@@ -1,17 +1,20 @@
 """Source divergence audit: how far the wording of a source lies from that of its language.
 
-1. Each text becomes its terms, qualified by the lang, so that one vocabulary holds that of every
-   lang and no job is run per lang. CountVectorizer keeps the terms of at least ``min_docs`` of a
-   lang's documents, with no limit on their number, and gives each document its sparse vector.
-2. The vectors are summed by group (lang, source) as index and count. Only the counts a group has
-   are rows; they are integers, so the sums are exact.
+1. Tasks tell the terms of a chunk of texts, qualified by the lang, so that one vocabulary holds that of
+   every lang and no job is run per lang. In how many documents a term is, and how often in the texts of a source, are
+   sums of powers of two: for each power the terms that have it are written as lists with that weight.
+2. The terms of at least ``min_docs`` of a lang's documents are told by an aggregate of the first lists. CountVectorizer
+   is fit on them, with no limit on their number, and makes each list of a source a sparse vector.
+   The weighted vectors are summed by group (lang, source) as index and count. Only the counts a group
+   has are rows; they are integers, so the sums are exact.
 3. A term's smoothed share in a group is ``p = 1 + floor(1e9 (count + prior) / (N + prior V))``. All
    terms that a group doesn't have share one value, so a pair of groups is worked out from the
    counts there are: tasks take a tile of groups against a tile of groups over a block of terms.
 
 The vocabulary passes through the driver, as CountVectorizer has it. Its size is estimated first, and it is cut
 by a hash of the term into as many fits as keep each below ``fit_bytes``: terms of different fits never
-meet in a sum, so the result is the same. A task holds at most two tiles of groups by a block of terms.
+meet in a sum, so the result is the same. A task holds at most two tiles of groups by a block of terms, and
+a chunk of texts, or a longer one.
 
 Nulls: a null text, lang or source is the empty one. Equal rows count each. Long texts are counted
 whole. A lang without any kept term gives its pairs the value 0 and no terms; an empty table gives no
@@ -21,14 +24,17 @@ what the pairs are, so their number is the square of a lang's sources.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordercash.llm.common import ship, written
+from ordercash.llm.common import give_back, lean, ship, small_batches, written
 
 ship(__name__)
 
@@ -42,10 +48,20 @@ TILE = 256  # groups
 BLOCK = 4096  # terms
 SAMPLE = 64  # one of so many terms tells the size of the vocabulary
 ENTRY = 64  # bytes an entry of a vocabulary takes beside the term
+LIST = 8192  # terms in a list at most
+#: Bytes as terms have them, 0 for those that no term has.
+_FOLD = np.array(
+    [b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 0 for b in range(256)], dtype=np.uint8
+)
+#: Lists of terms with a weight: ``seen`` by documents, ``terms`` a source's. Rows with a lang are groups.
+COUNTED = pa.schema([
+    ("lang", pa.string()), ("source", pa.string()), ("weight", pa.int64()),
+    ("seen", pa.list_(pa.string())), ("terms", pa.list_(pa.string())),
+])
 
 
 def marked(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, source, marked) of each row. A term is a run of letters, A-Z lower-cased, and of characters
+    """(lang, source, marked) of each row, to look at. A term is a run of letters, A-Z lower-cased, and of characters
     beyond ASCII; ``marked`` is the terms, each with its lang in hex ahead of it."""
     rows = docs.select(
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
@@ -69,36 +85,127 @@ def with_terms(rows: DataFrame) -> DataFrame:
     return pieces.withColumn("terms", F.slice("pieces", F.lit(2), F.size("pieces") - 2)).drop("marked", "pieces")
 
 
-def fits_needed(rows: DataFrame, min_docs: int, fit_bytes: int) -> int:
-    """Into how many fits the vocabulary is cut, told from the kept ones of a ``SAMPLE``th of all terms.
+def _listed(words: pa.Array, names: pa.Array | None, of: np.ndarray, codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Lists of the words that stand n times with a name, or with none; what is of one name lies together."""
+    for bit in range(int(n.max()).bit_length()):
+        has = n >> bit & 1 == 1
+        if not has.any():
+            continue
+        first = np.flatnonzero(np.diff(of[has], prepend=-1))
+        place = np.arange(has.sum())
+        starts = np.flatnonzero((place - np.repeat(first, np.diff(first, append=len(place)))) % LIST == 0)
+        lists = pa.ListArray.from_arrays(np.append(starts, len(place)).astype(np.int32), words.take(pa.array(codes[has])))
+        none, nameless = pa.nulls(len(starts), lists.type), pa.nulls(len(starts), pa.string())
+        sources = nameless if names is None else names.take(pa.array(of[has][starts]))
+        seen, terms = (lists, none) if names is None else (none, lists)
+        weight = pa.array(np.full(len(starts), 1 << bit))
+        yield pa.record_batch([nameless, sources, weight, seen, terms], schema=COUNTED)
+
+
+def _count_chunk(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The lists of a chunk of texts, each with a blank behind it, and the chunk's groups."""
+    groups = rows.select(["lang", "source"]).group_by(["lang", "source"]).aggregate([])
+    none = [pa.nulls(len(groups), COUNTED.field(c).type) for c in ("weight", "seen", "terms")]
+    yield from pa.table([*groups.columns, *none], schema=COUNTED).to_batches()
+    lang, source = (pc.dictionary_encode(rows.column(c).combine_chunks()) for c in ("lang", "source"))
+    texts = rows.column("text").cast(pa.large_string()).combine_chunks()
+    _, ends, raw = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = _FOLD[np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]]]
+    letter = raw != 0
+    edges = np.flatnonzero(np.diff(letter, prepend=False))
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    told = pa.LargeStringArray.from_buffers(
+        len(begin), pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(raw[letter])
+    ).dictionary_encode()
+    terms, code = told.dictionary.cast(pa.string()), told.indices.to_numpy()
+    n_terms = np.diff(np.searchsorted(begin, ends - ends[0]))
+    del texts, raw, letter, edges, begin, size, told
+    if not len(code):
+        return
+    key, n = np.unique(np.repeat(np.arange(len(n_terms)), n_terms) << 32 | code, return_counts=True)
+    text, code = key >> 32, key & 0xFFFFFFFF
+
+    # Terms with their langs.
+    pair, code = np.unique(lang.indices.to_numpy()[text].astype(np.int64) << 32 | code, return_inverse=True)
+    hexed = pa.array([x.encode().hex().upper() for x in lang.dictionary.to_pylist()], pa.string())
+    words = pc.binary_join_element_wise(
+        hexed.take(pa.array(pair >> 32)), terms.take(pa.array(pair & 0xFFFFFFFF)), BETWEEN
+    )
+    yield from _listed(words, None, np.zeros(len(pair), np.int64), np.arange(len(pair)), np.bincount(code))
+    key = source.indices.to_numpy()[text].astype(np.int64) << 32 | code
+    by = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[by], prepend=-1))
+    key, n = key[by][first], np.add.reduceat(n[by], first)
+    yield from _listed(words, source.dictionary, key >> 32, key & 0xFFFFFFFF, n)
+
+
+def _count(chunk_bytes: int):
+    @lean
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column("text").nbytes
+            if size >= chunk_bytes:
+                chunk, held, size = pa.Table.from_batches(held), [], 0
+                yield from _count_chunk(chunk)
+                del chunk
+                give_back()
+        if held:
+            yield from _count_chunk(pa.Table.from_batches(held))
+
+    return count
+
+
+def counted(
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", chunk_bytes: int = 12 << 20
+) -> DataFrame:
+    """Texts as lists of terms (``COUNTED``), ``chunk_bytes`` of them together."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(
+        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
+          for c, name in ((lang, "lang"), (source, "source"), (text, "text")))
+    )
+    return rows.withColumn("text", F.concat(F.make_valid_utf8("text"), F.lit(" "))).mapInArrow(
+        _count(chunk_bytes), "lang string, source string, weight long, seen array<string>, terms array<string>"
+    )
+
 
-    Terms are drawn by a hash and counted where they stand, so those of too few documents may count too; only
-    the number of fits depends on them.
-    """
-    drawn = F.pmod(F.xxhash64("term"), F.lit(SAMPLE)) == 0
-    kept = (
-        rows.select(F.explode("terms").alias("term")).filter(drawn)
-        .groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+def kept_terms(rows: DataFrame, min_docs: int) -> DataFrame:
+    """The terms, with their langs, of at least ``min_docs`` documents."""
+    return (
+        rows.filter("seen IS NOT NULL").select("weight", F.explode("seen").alias("term"))
+        .groupBy("term").agg(F.sum("weight").alias("n")).filter(F.col("n") >= min_docs).select("term")
     )
-    size = kept.agg(F.sum(F.octet_length("term") + ENTRY)).first()[0] or 0
+
+
+def fits_needed(kept: DataFrame, fit_bytes: int) -> int:
+    """Into how many fits the vocabulary is cut, told from a ``SAMPLE``th of the terms, drawn by a hash."""
+    drawn = kept.filter(F.pmod(F.xxhash64("term"), F.lit(SAMPLE)) == 0)
+    size = drawn.agg(F.sum(F.octet_length("term") + ENTRY)).first()[0] or 0
     return max(1, -(-size * SAMPLE // fit_bytes))
 
 
 def vectors(rows: DataFrame, min_docs: int = MIN_DOCS, fit_bytes: int = 256 << 20):
-    """For each fit, its number, the rows with a sparse ``vector``, and the vocabulary (index, lang, term)."""
+    """For each fit, its number, the sources' lists with a sparse ``vector``, and the vocabulary (index, lang, term)."""
     spark = rows.sparkSession
-    fits = fits_needed(rows, min_docs, fit_bytes)
-    # A vocabulary must not be empty: a mark that no term is stands in as many documents as it takes.
-    marks = spark.range(min_docs).select(F.array(F.lit(BETWEEN)).alias("terms"))
+    kept = written(kept_terms(rows, min_docs), "kept")
+    lists = rows.filter("terms IS NOT NULL").select("source", "weight", "terms")
+    fits = fits_needed(kept, fit_bytes)
+    # A vocabulary must not be empty: a mark that no term is stands in it.
+    mark = spark.range(1).select(F.array(F.lit(BETWEEN)).alias("terms"))
     for fit in range(fits):
-        part = rows
+        part, terms = lists, kept.select(F.array("term").alias("terms"))
         if fits > 1:
-            part = rows.withColumn(
-                "terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t, F.lit(fits)), F.lit(fits)) == fit)
+            part, terms = (
+                df.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t, F.lit(fits)), F.lit(fits)) == fit))
+                for df in (part, terms)
             )
         model = CountVectorizer(
-            inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1
-        ).fit(part.select("terms").unionAll(marks))
+            inputCol="terms", outputCol="vector", minDF=1.0, vocabSize=2**31 - 1, binary=True
+        ).fit(terms.unionAll(mark))
         cells = [(i, *t.split(BETWEEN)) for i, t in enumerate(model.vocabulary) if t != BETWEEN]
         index, langs, words = zip(*cells, strict=True) if cells else ((), (), ())
         vocabulary = pa.table({
@@ -110,12 +217,10 @@ def vectors(rows: DataFrame, min_docs: int = MIN_DOCS, fit_bytes: int = 256 << 2
 
 
 def group_sums(rows: DataFrame, *group: str) -> DataFrame:
-    """Sparse vectors summed by group, one row for each index that a group has."""
-    vector = F.unwrap_udt("vector")
+    """Weights of the lists' vectors summed by group, one row for each index that a group has."""
     return (
-        rows.select(*group, F.explode(F.arrays_zip(vector["indices"], vector["values"])).alias("cell"))
-        .groupBy(*group, F.col("cell.indices").cast("long").alias("index"))
-        .agg(F.sum(F.col("cell.values").cast("long")).alias("n"))
+        rows.select(*group, "weight", F.explode(F.unwrap_udt("vector")["indices"]).alias("index"))
+        .groupBy(*group, F.col("index").cast("long").alias("index")).agg(F.sum("weight").alias("n"))
     )
 
 
@@ -163,11 +268,12 @@ def audit(
     fit_bytes: int = 256 << 20,
     tile: int = TILE,
     block: int = BLOCK,
+    chunk_bytes: int = 12 << 20,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): the distance to each other source of the lang (part
     ``pair``), and the ``top`` terms that a source has more of than its lang (part ``term``)."""
     spark = docs.sparkSession
-    rows = with_terms(written(marked(docs, text_column, lang_column, source_column), "terms"))
+    rows = written(counted(docs, text_column, lang_column, source_column, chunk_bytes), "terms")
     counts = spark.createDataFrame([], "source string, id long, n long")
     words = spark.createDataFrame([], "id long, lang string, term string")
     for fit, vectored, vocabulary in vectors(rows, min_docs, fit_bytes):
@@ -183,7 +289,7 @@ def audit(
     kept = words.groupBy("lang").agg(F.count("*").alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = written(
-        rows.select("lang", "source").distinct()
+        rows.filter("lang IS NOT NULL").select("lang", "source").distinct()
         .join(totals, ["lang", "source"], "left").join(kept, "lang", "left")
         .select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "v"))),
         "groups",

@@ -62,3 +62,35 @@ def test_only_a_to_z_are_lower_cased(spark):
     got = divergence.with_terms(divergence.marked(docs, "text", "lang", "source")).collect()
     terms = [[t.split("\x00")[1] for t in r.terms] for r in got]
     assert terms == [["abc", "xyz"], ["Kelvin", "İi", "ÉtÉ", "abc"], [], [], ["É"]]
+
+
+@pytest.mark.parametrize("chunk_bytes", [1, 200, 1 << 20])
+def test_lists_add_up_to_the_terms_of_each_text(spark, chunk_bytes, monkeypatch):
+    monkeypatch.setattr(divergence, "LIST", 3)
+    texts = [*(r[2] for r in ROWS[:40]), None, "", "...", "ab", "ABC xYz", "KELVIN İI ÉTÉ ABC", "x1y`z{q", "a" * 30, "É"]
+    rows = [(t, f"l{i % 3}" if i % 5 else None, f"s{i % 4}" if i % 6 else None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(2)
+    told = divergence.with_terms(divergence.marked(docs, "text", "lang", "source")).collect()
+    seen, terms = Counter(), Counter()
+    for r in told:
+        seen.update(set(r.terms))
+        terms.update((r.source, t) for t in r.terms)
+    got_seen, got_terms, groups = Counter(), Counter(), set()
+    for r in divergence.counted(docs, chunk_bytes=chunk_bytes).collect():
+        if r.lang is not None:
+            groups.add((r.lang, r.source))
+        for t in r.seen or ():
+            got_seen[t] += r.weight
+        for t in r.terms or ():
+            got_terms[r.source, t] += r.weight
+        assert max(len(r.seen or ()), len(r.terms or ())) <= 3 and len(set(r.terms or ())) == len(r.terms or ())
+    assert (got_seen, got_terms) == (seen, terms)
+    assert groups == {(r.lang, r.source) for r in told}
+
+
+def test_terms_are_told_once_for_each_chunk(spark):
+    docs = spark.createDataFrame([("the cat and the dog " * 20, "en", "s")] * 500, "text string, lang string, source string")
+    rows = divergence.counted(docs.coalesce(1)).collect()
+    # 4 terms in 500 documents, and 10,000 or 20,000 times: six bits, and five.
+    assert sum(len(r.seen or ()) for r in rows) == 4 * 6
+    assert sum(len(r.terms or ()) for r in rows) == 4 * 5
