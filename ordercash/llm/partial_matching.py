@@ -229,11 +229,18 @@ def _unpack_words(data: bytes) -> list[bytes]:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b" ")
 
 
-def _word_bins(words: list[bytes], bins: int) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for w in words:
-        out.setdefault(zlib.crc32(w) % bins, []).append(w)
-    return out
+def _by_bin(place: np.ndarray) -> dict[int, np.ndarray]:
+    """Where what is in each bin stands, in one pass however many bins there are."""
+    by = np.argsort(place.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.diff(place[by], prepend=-1))
+    return dict(zip(place[by[first]].tolist(), np.split(by, first)[1:], strict=True))
+
+
+def _word_bins(words: list[bytes], bins: int) -> dict[int, np.ndarray]:
+    """Where the words of each bin stand, in the words' order."""
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64)
+    place = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % bins
+    return {b: order[at] for b, at in _by_bin(place[order]).items()}
 
 
 def _pack_values(values: np.ndarray) -> bytes:
@@ -263,22 +270,18 @@ def _write_chunks(folder: str, order: int, step: int, bins: int, chunk_bytes: in
         at, texts = zip(*(t for some in by_alphabet.values() for t in some), strict=True)
         words, place, first = _told_words(texts, step)
         learnt = np.repeat(~held[list(at)], np.diff(first, append=len(place)))
-        n = np.bincount(place[learnt], minlength=len(words))
-        lexicon = dict(zip(words, n.tolist(), strict=True))
+        n = np.bincount(place[learnt], minlength=len(words)).astype(np.uint32)
+        for b, at in _word_bins(words, bins).items():
+            rows.append((b, WORDS, _pack_words([words[i] for i in at.tolist()]), _squeeze(n[at]), 0))
         del at, texts, words, place, first, learnt
         for z, texts in by_alphabet.items():
             key, n = _distinct(texts, held, order, step)
             short.append((np.where(key >> LENGTH + 8 > SHORT, _cut(key, SHORT), key), n))
-            place = _bin(key, bins)
-            for b in np.unique(place):
-                at = place == b
-                rows.append((int(b), z, _pack_keys(key[at]), _squeeze(n[at].astype(np.uint32)), 0))
+            for b, at in _by_bin(_bin(key, bins)).items():
+                rows.append((b, z, _pack_keys(key[at]), _squeeze(n[at].astype(np.uint32)), 0))
             rows.append((ALPHABETS, z, b"", b"", sum(not held[i] for i, _ in texts)))
         key, n = _summed(*map(np.concatenate, zip(*short, strict=True)))
         rows.append((SHORTS, 0, _pack_keys(key), _squeeze(n), 0))
-        for b, words in _word_bins(sorted(lexicon), bins).items():
-            n = np.array([lexicon[w] for w in words], dtype=np.uint32)
-            rows.append((b, WORDS, _pack_words(words), _squeeze(n), 0))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         names = [c.split()[0] for c in PACKED.split(", ")]
@@ -472,19 +475,18 @@ def _score_chunk(folder: str, total: int, distinct: int, order: int, step: int,
         at, texts = zip(*(t for some in by_alphabet.values() for t in some), strict=True)
         at = list(at)
         words, place, first = _told_words(texts, step)
-        counts: dict[bytes, float] = {}
-        for b, binned in _word_bins(sorted(words), bins).items():
-            counts.update(zip(binned, _unpack_values(packed[WORDS, b]).tolist(), strict=True))
-        n = np.array([counts[w] for w in words])
+        n = np.zeros(len(words))
+        for b, told_of in _word_bins(words, bins).items():
+            n[told_of] = _unpack_values(packed[WORDS, b])
         sizes[at] = np.diff(first, append=len(place))
         seen[at] = np.add.reduceat((n > 0).astype(np.int64)[place], first)
         base[at] = np.add.reduceat(np.log10((n + 1) / (total + distinct + 1))[place], first)
-        del at, texts, words, place, first, counts, n
+        del at, texts, words, place, first, n
         for z, some in by_alphabet.items():
             here, _ = _distinct(some, held, order, step)
-            place, p = _bin(here, bins), np.zeros(len(here))
-            for b in np.unique(place):
-                p[place == b] = _unpack_values(packed[z, int(b)])
+            p = np.zeros(len(here))
+            for b, there in _by_bin(_bin(here, bins)).items():
+                p[there] = _unpack_values(packed[z, b])
             code = np.full(len(some), stated[z])
             # Each context and symbol of the texts is known once.
             for wanted, text in _keys([text for _, text in some], order, step):

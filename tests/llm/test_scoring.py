@@ -153,3 +153,14 @@ def test_words_are_told_for_any_step():
         words, place, first = pm._told_words(texts, step)
         got = [[words[i] for i in part] for part in np.split(place, first[1:])]
         assert got == want and len(set(words)) == len(words)
+
+
+def test_bins_are_told_in_one_pass():
+    place = np.array([3, 4095, 0, 3, 0, 3])
+    assert {b: at.tolist() for b, at in pm._by_bin(place).items()} == {0: [2, 4], 3: [0, 3, 5], 4095: [1]}
+    assert pm._by_bin(place[:0]) == {}
+    words = [b"b", b"\xff", b"a", b"c"]
+    binned = pm._word_bins(words, 2)
+    assert {b: [words[i] for i in at] for b, at in binned.items()} == {
+        b: some for b in (0, 1) if (some := [w for w in sorted(words) if zlib.crc32(w) % 2 == b])
+    }
