@@ -16,6 +16,7 @@ from ordercash.plans import (
     newest_first,
     page,
 )
+from ordercash.plans.kept import kept
 
 TOP = 20  # Fixed value: rows shown by each report.
 
@@ -130,11 +131,12 @@ def _links_near(links: _Links, orders: DataFrame) -> _Links:
     return _Links(delivery_items, billing_items, headers, payments)
 
 
-def _paths(orders: DataFrame, links: _Links) -> DataFrame:
+def _paths(orders: DataFrame, links: _Links, keep: bool = False) -> DataFrame:
     """Every distinct link path of ``orders`` and how many item-level paths it stands for.
 
     Items link documents, so a document pair occurs once per item that names it. The pairs
     are counted before they are joined; the number of item paths is the product of counts.
+    ``keep`` is that of ``trace_orders_full``.
     """
     deliveries = links.delivery_items.groupBy("sales_order", "delivery_document").agg(
         F.count("*").alias("n_delivery")
@@ -145,6 +147,8 @@ def _paths(orders: DataFrame, links: _Links) -> DataFrame:
     payments = links.payments.groupBy("accounting_document").agg(F.count("*").alias("n_payment"))
     paths = left_join_many(orders, deliveries, "sales_order")
     paths = left_join_many(paths, billings, "delivery_document")
+    if keep:
+        paths = kept("paths", paths)
     paths = left_join_one(paths, links.headers, "billing_document")
     paths = join_totals(paths, payments, "accounting_document")
     n_paths = F.lit(1).cast("bigint")
@@ -174,10 +178,14 @@ def trace_orders(s: Tables, limit: int = TOP) -> DataFrame:
     return page(_repeat(rows, "n_paths", limit), order, limit).select(*_PATH)
 
 
-def trace_orders_full(s: Tables) -> DataFrame:
-    """Every distinct link path of every order, with the number of item-level paths."""
+def trace_orders_full(s: Tables, keep: bool = False) -> DataFrame:
+    """Every distinct link path of every order, with the number of item-level paths.
+
+    With ``keep`` the paths from orders to invoices are written once when this is called, so that the
+    shuffles that lead to them are not on disk with those that follow.
+    """
     orders = s["sales_order_headers"].select("sales_order", "sold_to_party")
-    paths = _paths(orders, _links(s))
+    paths = _paths(orders, _links(s), keep)
     return paths.select(*_PATH, "n_paths")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ordercash.functions.plain import as_text
 from ordercash.functions.strings import strip
+from ordercash.plans.kept import kept
 
 # The columns that may hold the id of each entity type, in order of preference.
 ENTITY_COLUMNS = {
@@ -151,6 +152,7 @@ def graph_nodes(
     order_by: Sequence[str],
     columns: dict[str, Sequence[str]] = ENTITY_COLUMNS,
     together: Sequence[Sequence[str]] = (),
+    passes: int = 1,
 ) -> DataFrame:
     """One node per entity: id, type, entity_id, label, context, first_ord.
 
@@ -158,7 +160,20 @@ def graph_nodes(
     names the entity. ``together`` may name groups of columns, no column twice, that most rows fill
     all or none of, such as those of one table: the order is then kept once for a group and not for
     each of its columns. The values are the same for any groups, or none.
+
+    With ``passes`` above 1 the rows are written once when this is called, and then the nodes, a share of
+    their ids at a time, so that no more than the shuffle of a share is on disk at once. The nodes are the same.
     """
+    return _nodes(kept("rows", df) if passes > 1 else df, order_by, columns, together, passes)
+
+
+def _nodes(
+    df: DataFrame,
+    order_by: Sequence[str],
+    columns: dict[str, Sequence[str]],
+    together: Sequence[Sequence[str]],
+    passes: int,
+) -> DataFrame:
     ids = _present(df, columns)
     if not ids:
         none = df.filter(F.lit(False))
@@ -174,14 +189,24 @@ def graph_nodes(
         *[F.col(f"`{c}`") for c in df.columns],
     ).filter(F.col("_id").isNotNull())
     first, values = _firsts(df, order_by, together)
-    # Ids come first: the rows are sorted to be grouped, and ids differ sooner than types do.
-    merged = named.groupBy("_id", "_type").agg(F.min("_ord").alias("_first_ord"), *first)
-    return merged.select(
+    context = F.struct(*[values[c].alias(c) for c in df.columns])
+
+    def merged(rows: DataFrame) -> DataFrame:
+        # Ids come first: the rows are sorted to be grouped, and ids differ sooner than types do.
+        nodes = rows.groupBy("_id", "_type").agg(F.min("_ord").alias("_first_ord"), *first)
+        return nodes.select("_id", "_type", context.alias("_context"), "_first_ord")
+
+    if passes > 1:
+        share = F.pmod(F.xxhash64("_id", "_type"), F.lit(passes))
+        nodes = kept("nodes", *[merged(named.filter(share == k)) for k in range(passes)])
+    else:
+        nodes = merged(named)
+    return nodes.select(
         F.concat_ws("_", "_type", "_id").alias("id"),
         F.col("_type").alias("type"),
         F.col("_id").alias("entity_id"),
         _label(F.col("_type"), F.col("_id")).alias("label"),
-        F.struct(*[values[c].alias(c) for c in df.columns]).alias("context"),
+        F.col("_context").alias("context"),
         F.col("_first_ord").alias("first_ord"),
     )
 
@@ -254,29 +279,34 @@ def _graph(
     links: Sequence[Link],
     fallback: bool,
     together: Sequence[Sequence[str]],
+    passes: int,
 ) -> tuple[DataFrame, DataFrame]:
-    nodes = graph_nodes(df, order_by, columns, together)
+    if passes > 1:
+        df = kept("rows", df)
+    nodes = _nodes(df, order_by, columns, together, passes)
     if fallback:
         nodes = nodes.unionByName(record_fallback(df, order_by, columns))
     return nodes, graph_edges(df, columns, links)
 
 
 def build_graph(
-    df: DataFrame, order_by: Sequence[str], fallback: bool = True, together: Sequence[Sequence[str]] = ()
+    df: DataFrame, order_by: Sequence[str], fallback: bool = True, together: Sequence[Sequence[str]] = (),
+    passes: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a result; no rows in, none out.
 
     ``fallback=False`` leaves out the record node, and with it one evaluation of ``df``, for
-    a result known to name some entity. For ``together`` see ``graph_nodes``.
+    a result known to name some entity. For ``together`` and ``passes`` see ``graph_nodes``.
     """
-    return _graph(df, order_by, ENTITY_COLUMNS, LINKS, fallback, together)
+    return _graph(df, order_by, ENTITY_COLUMNS, LINKS, fallback, together, passes)
 
 
 def o2c_typed_graph(
-    df: DataFrame, order_by: Sequence[str], fallback: bool = True, together: Sequence[Sequence[str]] = ()
+    df: DataFrame, order_by: Sequence[str], fallback: bool = True, together: Sequence[Sequence[str]] = (),
+    passes: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """The documented model: payment nodes too, and a label for each kind of link."""
-    return _graph(df, order_by, TYPED_COLUMNS, TYPED_LINKS, fallback, together)
+    return _graph(df, order_by, TYPED_COLUMNS, TYPED_LINKS, fallback, together, passes)
 
 
 def node_details(nodes: DataFrame) -> DataFrame:

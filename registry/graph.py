@@ -73,6 +73,10 @@ def _(s):
     )
 
 
+# Nodes of many rows are made a quarter at a time, so that their shuffles are not on disk together.
+PASSES = 4
+
+
 def flat(nodes):
     """Nodes with the context fields as columns of their own."""
     fields = nodes.schema["context"].dataType.names
@@ -233,8 +237,8 @@ def _(s):
     return flat(nodes)
 
 
-def _trace(s):
-    return documents.trace_orders_full(s.sap()).withColumn(
+def _trace(s, keep=False):
+    return documents.trace_orders_full(s.sap(), keep).withColumn(
         "path",
         F.concat_ws(
             "/", "sales_order", *[F.coalesce(c, F.lit("")) for c in (
@@ -281,7 +285,9 @@ def _(s):
     ctes=_TRACE_CTE,
 )
 def _(s):
-    nodes, _edges = graph.o2c_typed_graph(_trace(s), ["path"], together=TRACE_TOGETHER)
+    nodes, _edges = graph.o2c_typed_graph(
+        _trace(s, keep=True), ["path"], together=TRACE_TOGETHER, passes=PASSES
+    )
     return flat(nodes)
 
 

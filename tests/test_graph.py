@@ -1,9 +1,11 @@
 import datetime
+import time
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from ordercash.operators import graph
+from ordercash.operators import documents, graph
+from ordercash.plans.kept import SETTINGS, kept
 from ordercash.sources.sample import Sample
 from registry.graph import MIXED_TOGETHER, _mixed_columns, mixed
 from tests.conftest import SMALL, rows
@@ -202,3 +204,39 @@ def test_graph_nodes_keeps_the_order_once_for_columns_of_every_line(spark):
     named = graph.graph_nodes(mixed(Sample(spark, SMALL)), ["line_key"], together=MIXED_TOGETHER)
     plain = graph.graph_nodes(mixed(Sample(spark, SMALL)), ["line_key"])
     assert rows(named) == rows(plain)
+
+
+def test_nodes_made_in_passes_are_the_same(spark):
+    df = _df(spark)
+    for order, together in ((["n"], ()), (["n", "note"], [("order_id", "note"), ("flag", "qty")])):
+        plain = graph.graph_nodes(df, order, together=together)
+        for passes in (2, 3, 9):
+            again = graph.graph_nodes(df, order, together=together, passes=passes)
+            assert again.dtypes == plain.dtypes and rows(again) == rows(plain)
+    for some in (df, df.limit(0), df.select("n", "note")):
+        for make in (graph.build_graph, graph.o2c_typed_graph):
+            for a, b in zip(make(some, ["n"], passes=3), make(some, ["n"])):
+                assert rows(a) == rows(b)
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_what_is_kept_leaves_no_shuffle_on_disk(spark):
+    before = _shuffle_files(spark)
+    settings = {key: spark.conf.get(key, None) for key in SETTINGS}
+    df = spark.range(1000).repartition(3).groupBy((F.col("id") % 10).alias("k")).count()
+    assert rows(kept("counts", df, df.limit(0))) == [(k, 100) for k in range(10)]
+    for _ in range(100):  # files are removed beside the statement that follows
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    assert {key: spark.conf.get(key, None) for key in SETTINGS} == settings
+
+
+def test_paths_kept_halfway_are_the_same(spark):
+    tables = Sample(spark, SMALL).sap()
+    assert rows(documents.trace_orders_full(tables, keep=True)) == rows(documents.trace_orders_full(tables))

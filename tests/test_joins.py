@@ -116,3 +116,19 @@ def test_joins_with_aggregates_keep_their_meaning(spark):
     totals = many.groupBy("k").agg(F.count("*").alias("n"))
     for how in ("left", "inner", "left_semi", "left_anti"):
         assert rows(join_totals(left, totals, "k", how)) == rows(left.join(totals, "k", how))
+
+
+def test_both_halves_of_a_left_join_read_one_shuffle_of_the_left_side(spark):
+    left = spark.range(100).selectExpr("nullif(id % 50, 7) AS k", "id AS n")
+    many = spark.range(200).selectExpr("nullif(id % 25, 3) AS k", "id AS m")
+    expected = left.join(many, "k", "left").select("k", "n", "m")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = left_join_many(left.repartition(3), many.repartition(3), "k").select("k", "n", "m")
+        got = sorted(map(tuple, joined.collect()), key=repr)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == rows(expected)
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
