@@ -113,7 +113,7 @@ def _texts(*columns: str) -> dict[str, str]:
     ctes=_MIXED_CTE,
 )
 def _(s):
-    return flat(graph.graph_nodes(mixed(s), ["line_key"], together=MIXED_TOGETHER))
+    return flat(graph.graph_nodes(mixed(s), ["line_key"], together=MIXED_TOGETHER, passes=PASSES))
 
 
 def _edges_sql(source: str, links: list[tuple[str, str, str]]) -> str:

@@ -240,3 +240,14 @@ def test_what_is_kept_leaves_no_shuffle_on_disk(spark):
 def test_paths_kept_halfway_are_the_same(spark):
     tables = Sample(spark, SMALL).sap()
     assert rows(documents.trace_orders_full(tables, keep=True)) == rows(documents.trace_orders_full(tables))
+
+
+def test_graph_nodes_leaves_no_shuffle_to_its_reader(spark):
+    from registry import QUERIES
+
+    nodes = QUERIES["graph_nodes"](spark, SMALL)
+    assert "Exchange" not in nodes._jdf.queryExecution().executedPlan().toString()
+    plain = graph.graph_nodes(mixed(Sample(spark, SMALL)), ["line_key"], together=MIXED_TOGETHER)
+    assert rows(nodes, "id", "ctx_line_key", "ctx_order_id") == rows(
+        plain.select("id", F.col("context.line_key"), F.col("context.order_id"))
+    )
