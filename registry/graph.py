@@ -220,7 +220,9 @@ _FLOW_CONTEXT = {
     ctes=_FLOW_CTE,
 )
 def _(s):
-    nodes, _edges = graph.build_graph(_flow(s), ["order_id", "document"], together=FLOW_TOGETHER)
+    nodes, _edges = graph.build_graph(
+        _flow(s), ["order_id", "document"], together=FLOW_TOGETHER, passes=PASSES
+    )
     return flat(nodes)
 
 

@@ -251,3 +251,10 @@ def test_graph_nodes_leaves_no_shuffle_to_its_reader(spark):
     assert rows(nodes, "id", "ctx_line_key", "ctx_order_id") == rows(
         plain.select("id", F.col("context.line_key"), F.col("context.order_id"))
     )
+
+
+def test_build_graph_leaves_its_reader_the_record_alone_to_shuffle(spark):
+    from registry import QUERIES
+
+    text = QUERIES["build_graph"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in text and text.count("Exchange SinglePartition") == 1
