@@ -140,3 +140,27 @@ def test_scores_of_ties_repeats_long_texts_and_clashing_columns(make, spark):
     same = make(["one text for all of them"] * 20)
     told = {r.score for r in same.select(qc.score(F.col("text"), qc.fit(same, labels)).alias("score")).collect()}
     assert len(told) == 1
+
+
+def test_every_pair_is_learnt_from_in_every_step():
+    rng = np.random.default_rng(7)
+    good, bad = rng.normal(size=300) * 9, rng.normal(size=70) * 9
+    chance = 1 / (1 + np.exp(good[:, None] - bad[None, :]))
+    for at_once in (1, 1000, 1 << 18):
+        of_good, of_bad = qc.pulls(good, bad, at_once)
+        assert np.allclose(of_good, chance.sum(1), rtol=1e-12) and np.allclose(of_bad, chance.sum(0), rtol=1e-12)
+    far = qc.pulls(np.array([2000.0, -2000.0]), np.array([0.0]), 9)
+    assert np.allclose(far[0], [0, 1]) and np.allclose(far[1], [1])
+    # One step, by hand: at zero weights all pairs pull by half, and Adam goes by the gradient's sign.
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    y = (np.arange(300) % 3 > 0).astype(np.int32)
+    grad = -(x[y == 1].mean(0) - x[y == 0].mean(0)) / 2
+    assert np.allclose(qc.learn(x, y, 1, 1 << 18, 0.0, 5)[0], -0.1 * np.sign(grad), rtol=1e-4)
+    # A feature of one bad row among 20,000 is in few of the pairs; what is learnt of it depends on no draw.
+    x = rng.normal(size=(20_000, 2)).astype(np.float32)
+    x[:, 1] = 0
+    y = np.ones(20_000, dtype=np.int32)
+    y[:2000] = 0
+    x[0, 1] = 1
+    one, other = (qc.learn(x, y, 20, 1 << 18, 1e-3, seed) for seed in (1, 2))
+    assert (one[0] == other[0]).all() and one[1] == other[1] and one[0][1] < 0
